@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op5_byte_bpe
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .token_files import op4_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_files": op4_token_files,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
