@@ -10,6 +10,7 @@ from .byte_bpe import op5_byte_bpe
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .token_files import op4_token_files
+from .warc import OP9_SQL, op9_warc_merkle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
+        "op9_warc_merkle": op9_warc_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_merkle": OP9_SQL}
