@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op5_byte_bpe
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .pii import op3_pii_surrogates
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .token_files import op4_token_files
 from .warc import OP9_SQL, op9_warc_merkle
@@ -15,6 +16,7 @@ from .warc import OP9_SQL, op9_warc_merkle
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii_surrogates": op3_pii_surrogates,
         "op4_token_files": op4_token_files,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_line_dedup": op7_line_dedup,
