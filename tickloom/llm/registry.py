@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op5_byte_bpe
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .near_dup import op10_near_duplicates
 from .pii import op3_pii_surrogates
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .token_files import op4_token_files
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc_merkle": op9_warc_merkle,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
