@@ -12,6 +12,7 @@ from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dup import op10_near_duplicates
 from .pii import op3_pii_surrogates
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .repeats import OP6_SQL, op6_repeated_passages
 from .token_files import op4_token_files
 from .warc import OP9_SQL, op9_warc_merkle
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii_surrogates": op3_pii_surrogates,
         "op4_token_files": op4_token_files,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_repeated_passages": op6_repeated_passages,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc_merkle": op9_warc_merkle,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_merkle": OP9_SQL}
+    return {"op6_repeated_passages": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_merkle": OP9_SQL}

@@ -14,19 +14,27 @@ from pyspark.sql import functions as F
 
 from .common import quoted, read_table, scratch
 from .pfor import BLOCK, Reader, Writer
+from .word_hashes import MARKS, SPACES, buffer_of, fold_ascii, span_hashes, turns
 
-#: Entries of a worker's memo of words; it starts anew when full, so its memory is bounded.
-_MEMO = 600_000
+#: Entries of a worker's memo of pieces; it starts anew when full, so its memory is bounded.
+_MEMO = 1_000_000
 _WORD_ENDS = "</w>"
+_U = np.uint64
+
+# Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 other marks.
+_byte = np.arange(256)
+_KIND = np.where(SPACES, 0, np.where((_byte >= 48) & (_byte <= 57), 2, np.where(MARKS, 3, 1))).astype(np.uint8)
+#: Bytes that make a word one piece: ' starts contractions, < special tokens, and control characters may be spaces.
+_ODD = (_byte == 0x27) | (_byte == 0x3C) | ((_byte < 32) & ~SPACES) | (_byte == 127)
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library whose tokens never hold white space.
 
-    Such a tokenizer's ids of a text are those of its words one after another, so each word is encoded
-    once and remembered. Words of letters alone, or such words and full stops or commas, are looked up
-    without case and marks, which the tokenizer keeps apart itself; many of them go to the library in
-    one text, parted again at the tokens that end a word.
+    Such a tokenizer lower-cases, and its ids of a text are those of its runs of letters, its digits and its
+    runs of other marks, one after another. So each such piece is encoded once and remembered by its hash,
+    and texts are put together from pieces. A word with anything else in it (letters beyond Latin-1, quotes,
+    control characters, what may be a special token) is one piece, as it is.
     """
 
     def __init__(self, path: str):
@@ -38,57 +46,123 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(_WORD_ENDS)
-        self.memo: dict[bytes, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> None:
-        """Remember lower-case words of letters, encoded many in a text."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = 4 << (_MEMO - 1).bit_length()
+        self.key, self.value = np.zeros(self.slots, _U), np.zeros(self.slots, np.int32)
+        self.flat, self.starts, self.counts, self.n, self.n_ids = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        last = self.slots - 1
+        slot = (hashes & _U(last)).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            held = self.key[slot]
+            hit = held == hashes[todo]
+            out[todo[hit]] = self.value[slot[hit]]
+            on = ~hit & (held != 0)
+            todo, slot = todo[on], (slot[on] + 1) & last
+        return out
+
+    def _remember(self, hashes: np.ndarray, parts: list[np.ndarray]) -> None:
+        n, counts = len(parts), np.array([len(p) for p in parts], np.int64)
+        ids = np.concatenate(parts)
+        while self.n + n > len(self.starts):
+            self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
+        while self.n_ids + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+        self.counts[self.n : self.n + n] = counts
+        self.starts[self.n : self.n + n] = self.n_ids + np.cumsum(counts) - counts
+        entry = np.arange(self.n, self.n + n)
+        self.n, self.n_ids = self.n + n, self.n_ids + len(ids)
+        last, slot = self.slots - 1, (hashes & _U(self.slots - 1)).astype(np.int64)
+        while len(hashes):
+            free = self.key[slot] == 0
+            self.key[slot[free]] = hashes[free]
+            won = self.key[slot] == hashes
+            self.value[slot[won]] = entry[won]
+            hashes, entry, slot = hashes[~won], entry[~won], (slot[~won] + 1) & last
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        parts: list[np.ndarray | None] = [None] * len(texts)
+        words = [i for i, t in enumerate(texts) if t.isalpha() and t.isascii() or t.isalpha() and max(t) < "\u0100"]
         for lo in range(0, len(words), 64):
             some = words[lo : lo + 64]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1  # one token ends each word
             if len(cuts) == len(some):
-                starts = [0, *cuts[:-1].tolist()]
-                self.bare.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, starts, cuts.tolist(), strict=True))
-            else:
-                self.bare.update(zip(some, self._library(some), strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.bare) > _MEMO:
-            self.bare.clear()
-        split, whole, new = [], [], set()
-        for raw in words:
-            word = raw.decode("utf-8", "replace")
-            letters = word.rstrip(".,")
-            # lower case of letters below U+0250 is the same everywhere, but for U+0130
-            if letters.isalpha() and max(letters) < "ɐ" and "İ" not in letters:
-                low = letters.lower()
-                split.append((raw, low, word[len(letters) :]))
-                for part in (low, split[-1][2]):
-                    if part and part not in self.bare:
-                        new.add(part)
-            else:
-                whole.append((raw, word))
-        self._letters(sorted(x for x in new if x[0] not in ".,"))
-        marks = sorted(x for x in new if x[0] in ".,")
-        self.bare.update(zip(marks, self._library(marks), strict=True))
-        self.memo.update((raw, self.bare[low] + (self.bare[mark] if mark else b"")) for raw, low, mark in split)
-        self.memo.update(zip((raw for raw, _ in whole), self._library([w for _, w in whole]), strict=True))
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Each UTF-8 text's ids as int32 bytes."""
-        words = [t.split() if t else [] for t in texts]  # bytes part at ASCII white space
-        memo = self.memo
-        new = {w for ws in words for w in ws if w not in memo}
-        if new:
-            if len(memo) + len(new) > _MEMO:
-                memo.clear()
-                new = {w for ws in words for w in ws}
-            self._learn(sorted(new))
-        return [b"".join([memo[w] for w in ws]) for ws in words]
+                start = 0
+                for i, end in zip(some, cuts.tolist(), strict=True):
+                    parts[i] = ids[start:end]
+                    start = end
+        rest = [i for i, p in enumerate(parts) if p is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            parts[i] = np.array(e.ids, np.uint32)
+        self._remember(hashes, parts)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        raw, at = buffer_of(texts)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        hashes, starts, ends = self._pieces(raw, at)
+        entry = self._find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            fresh, first = np.unique(hashes[new], return_index=True)
+            if self.n + len(fresh) > _MEMO:
+                self._forget()
+                fresh, new = np.unique(hashes, return_index=True)
+                first = np.arange(len(new))
+            where = new[first]
+            whole = raw.tobytes()
+            self._learn(fresh, [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            entry = self._find(hashes)
+        counts = self.counts[entry]
+        total = np.cumsum(counts)
+        place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.starts[entry] - (total - counts), counts)
+        upto = np.concatenate([[0], total])[np.searchsorted(starts, at)]
+        return self.flat[place], np.diff(upto)
+
+    @staticmethod
+    def _pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kind, own = _KIND[raw], fold_ascii(raw)
+        high = raw >= 0x80
+        odd = _ODD[raw]
+        if high.any():
+            latin = np.zeros(len(raw), bool)  # C3 and what follows it, but for the signs of multiplication and division
+            lead = np.flatnonzero(raw[:-1] == 0xC3)
+            lead = lead[(raw[lead + 1] >= 0x80) & (raw[lead + 1] <= 0xBF) & (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+            latin[lead] = latin[lead + 1] = True
+            odd |= high & ~latin
+        edge = at[(at > 0) & (at < len(raw))]
+        if odd.any():
+            before = np.ones(len(raw), bool)
+            before[1:] = kind[:-1] == 0
+            before[edge] = True
+            words = np.flatnonzero(before & (kind != 0))
+            hit = np.unique(np.searchsorted(words, np.flatnonzero(odd), "right") - 1)
+            gaps = np.union1d(np.flatnonzero(kind == 0), np.append(edge, len(raw)))
+            stop = gaps[np.searchsorted(gaps, words[hit], "right")]
+            inside = np.zeros(len(raw) + 1, np.int8)
+            np.add.at(inside, words[hit], 1)
+            np.add.at(inside, stop, -1)
+            inside = np.cumsum(inside[:-1]).astype(bool)
+            kind[inside] = 4
+            own[inside] = raw[inside]
+        turn = np.ones(len(raw), bool)
+        turn[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        turn[edge] = True
+        cuts = np.flatnonzero(turn)
+        solid = kind[cuts] != 0
+        starts, ends = cuts[solid], np.append(cuts[1:], len(raw))[solid]
+        hashes = span_hashes(own, starts, ends) ^ (kind[starts] == 4).astype(_U)
+        return np.maximum(hashes, _U(1)), starts, ends
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -125,15 +199,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         system.create_dir(base, recursive=True)
         final = f"{base}/tokens-{context.partitionId():06d}.pfor"
         part = f"{final}.{context.taskAttemptId()}.tmp"
-        end = np.array([] if end_id is None else [end_id], "<i4").tobytes()
+        end = np.array([] if end_id is None else [end_id], np.uint32)
         with system.open_output_stream(part) as out:
             writer = Writer(out, block, percentile)
             for whole in batches:
-                for lo in range(0, whole.num_rows, 500):
-                    batch = whole.slice(lo, 500)
-                    texts = batch.column(1).cast(pa.binary()).to_pylist()
-                    for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                        writer.add(doc, np.frombuffer(ids + end, "<u4"))
+                for batch in turns(whole, 1, 2 << 20):
+                    ids, counts = encoder.encode(batch.column(1))
+                    stops = np.cumsum(counts).tolist()
+                    for doc, a, b in zip(batch.column(0).to_pylist(), [0, *stops[:-1]], stops, strict=True):
+                        writer.add(doc, np.concatenate([ids[a:b], end]))
             writer.close()
         system.move(part, final)
         yield pa.RecordBatch.from_pydict({

@@ -44,6 +44,29 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts, where each starts and the last ends). A null is empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    if not pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    return (np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)), offsets - lo
+
+
+def fold_ascii(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case, as a copy."""
+    return _LOWER[raw]
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of raw[start:end] for each pair."""
+    up, down = _power(max(TURN, len(raw)))
+    total = np.zeros(len(raw) + 1, _U)
+    np.cumsum(_TABLE[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
+
+
 def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, where each text's words start). Null texts have no words.
 
@@ -51,16 +74,11 @@ def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.
     marks and white space, with A-Z and the capitals of Latin-1 as small letters. Equal words have equal hashes
     on every machine; others differ but for a chance of 2**-64 a pair.
     """
-    texts = texts.fill_null("") if texts.null_count else texts
-    if not pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    lo, hi = int(offsets[0]), int(offsets[-1])
+    raw, at = buffer_of(texts)
     bounds = np.zeros(len(texts) + 1, np.int64)
-    if lo == hi:
+    if not len(raw):
         return np.zeros(0, _U), bounds
-    raw = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi]
-    parts, first, done, at = [], 0, 0, offsets - lo
+    parts, first, done = [], 0, 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(at, at[first] + TURN, "right")) - 1)
         own = raw[at[first] : at[last]]
@@ -95,11 +113,7 @@ def _turn(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.n
     after[edge - 1] = True
     starts = np.flatnonzero(before & ~gap)
     ends = np.flatnonzero(after & ~gap) + 1
-    up, down = _power(max(TURN, len(raw)))
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_TABLE[raw] * up[: len(raw)], out=total[1:])
-    hashes = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U)
-    return mix(hashes), starts
+    return span_hashes(raw, starts, ends), starts
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
