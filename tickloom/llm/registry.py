@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op5_byte_bpe
+from .decontaminate import op2_decontamination
 from .html_text import op1_html_text
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dup import op10_near_duplicates
@@ -20,6 +21,7 @@ from .warc import OP9_SQL, op9_warc_merkle
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
+        "op2_decontamination": op2_decontamination,
         "op3_pii_surrogates": op3_pii_surrogates,
         "op4_token_files": op4_token_files,
         "op5_byte_bpe": op5_byte_bpe,
