@@ -1,0 +1,425 @@
+"""The pipeline operators: against SQL, the libraries whose ids they must give, brute force, and odd tables."""
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests import oracle
+from tickloom.llm import registry
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "alpha beta gamma delta " * 4000
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, "same text here, the very same one", "en", "s", 1), (3, "same text here, the very same one", "en", "s", 1),
+    (None, "no id at all\nbut two lines of text", None, None, 2), (4, LONG, "en", None, 3), (5, " \t\n\x0b \r\n", "en", "s", 4), (6, "é\x00ñ \U0001f600 word's <|endoftext|> 12345  x", "fr", "t", 5),
+    (7, "same text here, the very same one", "en", "s", 1), (8, "\n\n\n", "en", "s", 3),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A documents table with nulls, empty and long texts, repeated rows and columns whose names operators use."""
+    extra = [c for name in ("node", "label", "e", "a", "b", "h1", "rest", "host", "n_words", "kept", "leaks", "ids", "decoded", "_t", "n_entities") for c in (F.lit(1).alias(name),)]
+    return spark.createDataFrame(ODD, DOCS).select("*", *extra).repartition(3)
+
+
+def texts(spark, rows):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("name", registry.oracle_sql())
+def test_matches_sql(spark, small, name):
+    assert oracle.difference(registry.queries()[name](spark, small), oracle.database(small), registry.oracle_sql()[name]) is None
+
+
+# --- op1 ---
+def page(menu, body, foot):
+    return f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul>{menu}</ul></nav><div class='wrap'><article>{body}</article></div><footer><p>{foot}</p></footer><script>var x='<p>no</p>'</script></body></html>"
+
+
+def test_html_text(spark):
+    from tickloom.llm.html_text import extract_text
+
+    rows = [(k, f"https://host.example/{k}", page("<li>Home</li><li>News</li>", f"<h1>Title {k}</h1><p>Body&nbsp;of <b>page</b> {k}\n &amp; more.</p>", "All rights")) for k in range(12)]
+    rows += [(100, "https://host.example/x", None), (101, None, ""), (102, "not a url", "<p>alone</p>"), (103, "https://host.example/1", "<div><p>open")]
+    out = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    for k in range(12):
+        assert out[k].text == f"Title {k}\nBody of page {k} & more." and out[k].n_chars == len(out[k].text)
+    assert out[100].text == "" and out[101].text == "" and out[102].text == "alone" and out[103].text == "open"
+    assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_templates_beyond_the_broadcast_bound(spark, small, monkeypatch):
+    from tickloom.llm import html_text
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    one = sorted(html_text.extract_text(pages).collect())
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert sorted(html_text.extract_text(pages).collect()) == one
+
+
+# --- op2 ---
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def closest(item, words):
+    """The least edit distance of item to any run of words, by trying all."""
+    best = len(item)
+    for s in range(len(words)):
+        row = list(range(len(words) - s + 1))
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(words[s : s + 2 * len(item)], 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        best = min(best, min(row))
+    return best
+
+
+def test_leaks_against_brute_force(spark):
+    from tickloom.llm.decontaminate import edited, find_leaks
+
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 60, n)]
+    items = [word(int(n)) for n in rng.integers(8, 40, 30)]
+    docs, expected = [], set()
+    for d in range(150):
+        filler, item = word(40), int(rng.integers(30))
+        k = int(rng.integers(0, 12))
+        copy = [str(x) if x < 1 << 40 else f"new{x}" for x in edited(np.arange(len(items[item]), dtype=np.uint64), k, rng).tolist()]
+        copy = [items[item][int(x)] if x.isdigit() else x for x in copy]
+        docs.append(filler[:20] + copy + filler[20:])
+        for i, own in enumerate(items):
+            if closest(own, docs[-1]) <= int(0.2 * len(own)):
+                expected.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x).title() + ".") for i, x in enumerate(items)], "item_id long, text string")
+    out = find_leaks(texts(spark, [" ".join(x) for x in docs]).repartition(3), bench).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*").collect()
+    found = {(r.doc_id, r.item_id) for r in out}
+    assert found <= expected and len(found) >= 0.95 * len(expected) and len(expected) > 60
+    for r in out:
+        assert distance(items[r.item_id], docs[r.doc_id][r.start : r.start + r.n_words]) == r.distance
+    blocks = find_leaks(texts(spark, [" ".join(x) for x in docs]), bench, block_bytes=500).select("doc_id", F.explode("leaks.item_id").alias("i")).collect()
+    again = {(r.doc_id, r.i) for r in blocks}
+    assert again <= expected and len(again) >= 0.95 * len(expected)
+
+
+def test_leaks_of_odd_tables(spark, odd):
+    from tickloom.llm.decontaminate import find_leaks
+
+    bench = spark.createDataFrame([("x", "Same text here, the VERY same one"), ("y", "same text here the very same one!"), ("z", None), ("e", ""), ("s", "word"), ("l", "no id at all but two lines")], "item_id string, text string")
+    out = find_leaks(odd, bench)
+    assert out.count() == len(ODD)
+    got = {(r.doc_id, r.text): sorted(x.item_id for x in r.leaks) for r in out.collect()}
+    assert got[3, ODD[2][1]] == got[7, ODD[2][1]] == ["x", "y"] and got[None, ODD[4][1]] == ["l"] and got[1, None] == [] and got[4, LONG] == []
+    assert find_leaks(odd, bench.where("false")).where(F.size("leaks") > 0).count() == 0 and find_leaks(odd.where("false"), bench).count() == 0
+
+
+# --- op3 ---
+def test_surrogates(spark):
+    from tickloom.llm.pii import ENTITY, pseudonymise
+
+    rows = ["Mr. John Smith wrote to jane.doe@mail.example and Jane.Doe@mail.example from 10.1.22.200.", "Mrs Anna Smith, +49 170 1234567, card 4111 1111 1111 1111; Mr John Smith again", "Frau Anna Klein; password=hunter22x; SSN 123-45-6789", "nothing here"]
+    out = {r.doc_id: r for r in pseudonymise(texts(spark, rows), "k1").collect()}
+    again = {r.doc_id: r.text for r in pseudonymise(texts(spark, rows).repartition(4), "k1").collect()}
+    assert {k: r.text for k, r in out.items()} == again and out[3].text == rows[3] and out[3].n_entities == 0
+    for k, old in enumerate(rows[:3]):
+        for secret in ("John", "Smith", "jane", "4111", "1234567", "hunter22x", "123-45-6789", "10.1.22.200"):
+            assert secret.lower() not in out[k].text.lower(), (secret, out[k].text)
+        assert len(re.findall(r"\S+", out[k].text)) == len(re.findall(r"\S+", old))
+    mails = re.findall(r"\S+@\S+", out[0].text)
+    assert mails[0].lower() == mails[1].lower() and mails[1][0].isupper() and out[0].text.startswith("Mr. ")
+    john = re.match(r"Mr\. (\w+ \w+)", out[0].text)[1]
+    assert f"Mr {john}" in out[1].text and john.split()[1] in out[1].text.split(",")[0]
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", out[1].text)[1].replace(" ", "")
+    digits = [int(c) for c in card[::-1]]
+    assert sum(digits[::2] + [d * 2 - 9 * (d > 4) for d in digits[1::2]]) % 10 == 0
+    assert "Frau " in out[2].text and ENTITY
+    assert {r.text for r in pseudonymise(texts(spark, rows), "k2").collect()} != set(again.values())
+
+
+def test_surrogates_stay_distinct(spark):
+    from tickloom.llm.pii import pseudonymise
+
+    rows = [f"Call 555-010-{k:04d} or Dr {chr(65 + k % 26)}{'abcdefghij'[k // 26 % 10]}o" for k in range(260)]
+    out = pseudonymise(texts(spark, rows), "k").collect()
+    for at in (1, 4):
+        assert len({r.text.split()[at] for r in out}) == 260
+
+
+# --- op4, op5 ---
+def test_token_files(spark, odd, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.token_files import read_token_files, write_token_files
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd.where("doc_id IS NULL OR doc_id <> 3").collect()))
+    out = read_token_files(write_token_files(odd.where("doc_id IS NULL OR doc_id <> 3"), str(tmp_path / "t"), path, 2, files=3)).orderBy("start").collect()
+    start = 0
+    for (has, doc, text), r in zip(rows, out, strict=True):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        raw = np.array(ids, "<u4").tobytes()
+        assert (r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids_le)) == (doc if has else None, start, len(ids), zlib.crc32(raw))
+        start += len(ids)
+    assert read_token_files(write_token_files(odd.where("false"), str(tmp_path / "e"), path, 2)).count() == 0
+
+
+def test_token_files_of_a_table(spark, small, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    crc = {r.doc_id: r for r in registry.queries()["op4_token_files"](spark, small).collect()}
+    start = 0
+    for r in rows:
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
+        assert (crc[r.doc_id].start, crc[r.doc_id].n_tokens, crc[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+@pytest.mark.parametrize("values", [[], [7], [5] * 5000, [0, 2**32 - 1], list(range(300)) + [2**31] * 7])
+def test_blocks_round_trip(values):
+    from tickloom.llm.pfor import decode_block, encode_block
+
+    v = np.array(values, np.uint32)
+    for percentile in (0.0, 50.0, 90.0, 100.0):
+        assert decode_block(encode_block(v, percentile)).tolist() == values
+
+
+def _tiktoken():
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(spark, small, odd):
+    from tickloom.llm.byte_bpe import bpe_digests, decode_bpe, encode_bpe, public_ranks
+
+    enc = _tiktoken()
+    for table in (spark.read.parquet(f"{small}/documents.parquet"), odd):
+        got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_digests(table, *public_ranks()).collect()))
+        want = []
+        for r in table.collect():
+            ids = enc.encode_ordinary(r.text or "")
+            want.append((r.doc_id is not None, r.doc_id or 0, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+        assert got == sorted(want)
+    both = decode_bpe(encode_bpe(odd, *public_ranks()), public_ranks()[0]).collect()
+    assert all(bytes(r.decoded).decode() == (r.text or "") and r.lang is None or bytes(r.decoded).decode() == (r.text or "") for r in both)
+    assert encode_bpe(odd.where("false"), *public_ranks()).count() == 0
+
+
+def test_long_piece_merges_as_short_ones_do():
+    from tickloom.llm.byte_bpe import Ranks, merge_long, merge_many, public_ranks
+
+    r, enc = Ranks(public_ranks()[0]), _tiktoken()
+    for raw in (b"abab" * 15, b"a" * 64, "öäü".encode() * 9, b"internationalisation"):
+        assert merge_long(raw, r) == np.frombuffer(merge_many([raw], r)[0], "<i4").tolist()
+    assert merge_long(b"x" * 20000, r) == enc.encode_ordinary("x" * 20000)
+
+
+# --- op6, op7, op8 ---
+def _words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def repeats(rows, window):
+    seen = {}
+    for d, t in enumerate(rows):
+        w = _words(t)
+        for i in range(len(w) - window + 1):
+            seen.setdefault(tuple(w[i : i + window]), []).append((d, i))
+    gone = [set() for _ in rows]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                gone[d].update(range(i, i + window))
+    return [(len(_words(t)), len(g), " ".join(w for k, w in enumerate(_words(t)) if k not in g)) for t, g in zip(rows, gone, strict=True)]
+
+
+@pytest.mark.parametrize("window", [9, 35])
+def test_repeats_against_brute_force(spark, window, monkeypatch):
+    from tickloom.llm import repeats as R
+
+    monkeypatch.setattr(R, "SHARD_WORDS", 2000)
+    rng = np.random.default_rng(3)
+    passages = [[f"p{x}" for x in rng.integers(0, 400, 60)] for _ in range(6)]
+    rows = []
+    for _ in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 30, int(rng.integers(0, 80)))]
+        for p in rng.integers(0, 6, int(rng.integers(0, 3))):
+            a = int(rng.integers(0, 20))
+            w = w[: len(w) // 2] + passages[p][a : a + int(rng.integers(10, 60))] + w[len(w) // 2 :]
+        rows.append(" ".join(w))
+    rows += ["x " * 200, "x " * 90, rows[0], None, ""]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in R.remove_repeats(texts(spark, rows).repartition(5), window=window).collect()}
+    assert [got[i] for i in range(len(rows))] == repeats(rows, window)
+
+
+def test_matching_statistics():
+    from tickloom.llm.fm_index import FMIndex, WaveletTree
+
+    rng = np.random.default_rng(0)
+    s = rng.integers(0, 11, 500)
+    tree = WaveletTree(s, 11)
+    at = rng.integers(0, 501, 200)
+    sym = rng.integers(0, 11, 200)
+    assert tree.rank(sym, at).tolist() == [int((s[:a] == c).sum()) for a, c in zip(at, sym, strict=True)]
+    words, lengths = rng.integers(0, 3, 90), np.array([30, 25, 35])
+    mask = FMIndex(words, lengths, np.ones(3, np.int64), 6).repeated()
+    parts = np.split(words, np.cumsum(lengths)[:-1])
+    runs = [tuple(p[i : i + 6]) for p in parts for i in range(len(p) - 5)]
+    want = [sum(1 << i for i in range(len(p) - 5) if runs.count(tuple(p[i : i + 6])) > 1) for p in parts]
+    assert mask.tolist() == want
+
+
+def test_line_dedup(spark, odd):
+    from tickloom.llm.line_dedup import dedup_lines
+
+    rows = ["Shared line of text\nown 0\nShared line of text", "  SHARED line of text\t\nshort\nown line number 1", "short\nshared line of texT \n", None, "\n\n"]
+    out = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in dedup_lines(texts(spark, rows).repartition(3)).collect()}
+    assert out == {0: (rows[0], 3, 0), 1: ("short\nown line number 1", 3, 1), 2: ("short\n", 3, 1), 3: ("", 1, 0), 4: ("\n\n", 3, 0)}
+    three = {r.doc_id: r.n_dropped for r in dedup_lines(texts(spark, rows), min_docs=4).collect()}
+    assert set(three.values()) == {0}
+    assert dedup_lines(odd).count() == len(ODD) and dedup_lines(odd.where("false")).count() == 0
+
+
+def test_quality_rules(spark, odd):
+    from tickloom.llm.quality_rules import quality_rules
+
+    boiler = "All rights reserved by this fine host of pages and notices for all readers of it"
+    more = "Please subscribe to letters that we send each week about new things\nTerms apply wherever you may live or go in any country under law"
+    good = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(k, f"{boiler}\n{more}\na word\na word\nand {k}" if k < 30 else f"{boiler}\n{good(k)}" if k < 60 else good(k), "h" if k < 60 else None) for k in range(100)]
+    rows += [(200, "spam ham " * 40, "x"), (201, "too few words", "x"), (202, None, "x")]
+    out = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(out[k].kept for k in [*range(30), 200, 201, 202]) and all(out[k].kept for k in range(30, 100))
+    assert out[200].n_repeat_words == 80 and out[200].base_failed and not out[0].base_failed and out[0].removed_words == 41 and out[0].n_dup_lines == 1
+    done = quality_rules(odd)
+    assert done.count() == len(ODD) and done.where("kept").count() == done.collect().__len__() - done.where("NOT kept").count()
+    assert quality_rules(odd.where("false")).count() == 0
+
+
+# --- op9 ---
+def test_merkle_audit_finds_every_damage(spark):
+    from tickloom.llm.warc import audit, place_records, warc_records
+
+    rows = [(k, f"u{k}", f"<p>{k}</p>") for k in range(300)] + [(None, None, None)]
+    df = warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    one = place_records(df.select("id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("hash")), segments=3).cache()
+    bad = {5, 77, 250}
+    two = one.withColumn("hash", F.when(F.col("id").isin(*bad), F.sha2("hash", 256)).otherwise(F.col("hash")))
+    out = audit(one, two).collect()
+    assert {r.id for r in out} == bad and {r.status for r in out} == {"damaged"}
+    assert audit(one, one).count() == 0 and audit(one.where("false"), one.where("false")).count() == 0
+    last = one.groupBy("segment").agg(F.max("ordinal").alias("ordinal"))
+    assert [r.status for r in audit(one, one.join(last, ["segment", "ordinal"], "left_anti")).collect()] == ["missing"] * 3
+
+
+# --- op10 ---
+def similarity(a, b, size=5):
+    from collections import Counter
+
+    grams = lambda w: Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
+    x, y = grams(a), grams(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def classes(rows):
+    fold = [tuple(re.findall(r"[a-z0-9]+", (t or "").lower())) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if fold[i] and fold[j] and find(i) != find(j) and (fold[i] == fold[j] or similarity(fold[i], fold[j]) >= 0.8):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(rows))]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    from tickloom.llm.near_dup import near_duplicates
+
+    rng = np.random.default_rng(11)
+    bases = [[f"w{x}" for x in rng.integers(0, 500, 120)] for _ in range(5)]
+    rows = []
+    for k in range(140):
+        w = list(bases[k % 5])
+        for _ in range(int(rng.integers(0, 7))):
+            w[int(rng.integers(len(w)))] = f"n{rng.integers(1 << 30)}"
+        rows.append(" ".join(w))
+    rows += [rows[3].upper() + "!", rows[3], "two words", "Two, words", None, "", "..."]
+    want = classes(rows)
+    out = {r.doc_id: r for r in near_duplicates(texts(spark, rows).repartition(4)).collect()}
+    assert [out[i].class_id for i in range(len(rows))] == want
+    assert all(out[i].n_in_class == want.count(want[i]) for i in range(len(rows)))
+
+
+def test_dart_signatures_estimate_similarity():
+    from tickloom.llm.near_dup import dart_signatures
+
+    rng = np.random.default_rng(2)
+    e = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    wa, wb = rng.integers(0, 4, 300).astype(float), rng.integers(0, 4, 300).astype(float)
+    made = []
+    for w in (wa, wb):
+        on = w > 0
+        made.append(dart_signatures(e[on], w[on], np.zeros(int(on.sum()), int), 1, 2048)[0])
+    assert abs((made[0] == made[1]).mean() - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.05
+
+
+def test_near_duplicates_of_odd_tables(spark, odd):
+    from tickloom.llm.near_dup import near_duplicates
+
+    out = near_duplicates(odd).collect()
+    by = {r.doc_id: r.class_id for r in out}
+    assert len(out) == len(ODD) and by[3] == by[7] == 3 and by[None] is None and by[1] == 1 and by[5] == 5
+    assert near_duplicates(odd.where("false")).count() == 0
+
+
+# --- the pipeline ---
+def test_stages(spark, small, odd):
+    import corpus_pipeline as P
+
+    assert [len(P.STAGES), P.STAGES[0][0], P.STAGES[-1][0]] == [5, "quality_rules", "byte_bpe"]
+    out = P.run(spark, small)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert 0 < out.count() <= docs.count() and out.join(docs, "doc_id", "left_anti").count() == 0
+    for name, stage in P.STAGES:
+        for table in (odd, odd.where("false")):
+            made = stage(spark, table, small)
+            assert made.columns == table.columns or name == "byte_bpe"
+            assert made.count() <= len(ODD)
+
+
+def test_near_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline as P
+
+    t = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, t), (2, t.upper()), (2, t.upper()), (9, t + " more"), (4, "another text altogether, of few words"), (6, None)]
+    out = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [2, 4, 6]

@@ -24,8 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = held.get()
     return found.rstrip("/")
 
 

@@ -232,9 +232,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     parts = parts.join(table.select("kind", "canon", "stand_in"), ["kind", "canon"]).groupBy("value", "type").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "stand_in"))), lambda x: x["stand_in"]).alias("s"))
     first = F.get("s", F.lit(0))
     prefix = F.when(F.col("type") == "secret", F.regexp_extract("value", "^" + _SECRET, 0)).otherwise("")
+    mail = F.array_join("s", "@")
     new = (
         F.when(F.col("type") == "name", F.concat(F.regexp_extract("value", _TITLE, 0), F.array_join("s", " ")))
-        .when(F.col("type") == "email", F.array_join("s", "@"))
+        .when((F.col("type") == "email") & (F.char_length(mail) == F.char_length("value")), _filled(F.col("value"), mail))
+        .when(F.col("type") == "email", mail)
         .otherwise(F.concat(prefix, _filled(F.substr("value", F.char_length(prefix) + 1), first)))
     )
     h1, h2 = key2(F.col("value"))
