@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, read_table
+from .common import key2, prefix_for, quoted, read_table, scratch
 from .word_hashes import mix, turns, word_hashes
 
 _U = np.uint64
@@ -270,8 +271,9 @@ def find_leaks(
     There are as many walks as make items at the greatest distance meet their windows with target_recall;
     exact copies always do. Windows that hold too few of the items' words for any match are never embedded.
 
-    Each text is searched where it lies: nothing is shuffled. The benchmark goes to the tasks in blocks of
-    block_bytes, one pass over docs each. Null or empty text: no leaks (an empty array); so with an empty
+    Each text is searched where it lies: nothing is shuffled. The benchmark goes to the tasks in blocks of about
+    block_bytes, one pass over docs each; where there are several, what each finds is written to the shared folder
+    and joined in the end. Null or empty text: no leaks (an empty array); so with an empty
     benchmark. Items under min_words words are not looked for: they can't be told from ordinary
     text. Items of equal texts are found each. Equal rows get equal results; other columns pass
     through; one named leaks is replaced.
@@ -279,48 +281,50 @@ def find_leaks(
     item_type = benchmark.schema[item_id_col].dataType
     leak = T.StructType([T.StructField("item_id", item_type), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("distance", T.LongType())])
     docs = docs.select(*(quoted(c) for c in docs.columns if c != "leaks"))
-    out = docs.withColumn("leaks", F.array().cast(T.ArrayType(leak)))
-    at = docs.columns.index(text_col)
-    for ids, texts in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        items = Items(ids, texts, max_share, target_recall, min_words)
+    none = F.array().cast(T.ArrayType(leak))
+    made = (Items(ids, texts, max_share, target_recall, min_words) for ids, texts in _blocks(benchmark, item_id_col, item_text_col, block_bytes))
+    items = next(made, None)
+    after = next(made, None)
+    if after is None:
+        return _search(docs, items, text_col, leak)[0] if items and items.classes else docs.withColumn("leaks", none)
+    # a pass for each block, its finds written before the next: never more than two blocks on the driver
+    p = prefix_for(docs)
+    a, b = f"{p}a", f"{p}b"
+    keyed = docs.withColumns(dict(zip((a, b), key2(*(quoted(c) for c in docs.columns)), strict=True)))
+    path = scratch(docs.sparkSession, "leaks")
+    while items is not None:
         if items.classes:
-            out = _search(out, items, at, leak)
-    return out
-
-
-def _search(docs: DataFrame, items: Items, at: int, leak: T.StructType) -> DataFrame:
+            found, shipped = _search(keyed.select(quoted(text_col).alias("text"), a, b), items, "text", leak)
+            found.where(F.size("leaks") > 0).select(a, b, "leaks").write.mode("append").parquet(path)
+            shipped.destroy()
+        items, after = after, next(made, None)
+    schema = T.StructType([T.StructField(a, T.LongType()), T.StructField(b, T.LongType()), T.StructField("leaks", T.ArrayType(leak))])
+    each = docs.sparkSession.read.schema(schema).parquet(path)
+    once = each.groupBy(a, b).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaks")))).alias("leaks"))
+    return keyed.join(once, [a, b], "left").select(*(quoted(c) for c in docs.columns), F.coalesce("leaks", none).alias("leaks"))
+
+
+def _search(docs: DataFrame, items: Items, text_col: str, leak: T.StructType) -> tuple[DataFrame, Broadcast]:
+    """docs with the leaks of a block of items, and the block as it was shipped."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     shipped = docs.sparkSession.sparkContext.broadcast(items)  # bounded by the block
-    kind = to_arrow_type(leak["item_id"].dataType)
-    last = len(docs.columns) - 1
+    kind, at = to_arrow_type(leak["item_id"].dataType), docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("leaks", T.ArrayType(leak))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         for whole in batches:
-            for batch in turns(whole, at, 8 << 20):
+            for batch in turns(whole, at, 4 << 20):
                 text, item, start, words, far = known.search(batch.column(at))
-                counts = np.bincount(text, minlength=batch.num_rows)
-                before = batch.column(last)
-                if len(text) or len(before.values):
-                    ends = np.asarray(before.offsets)
-                    old = before.values
-                    new = pa.StructArray.from_arrays(
-                        [pa.array([known.ids[i] for i in item.tolist()], kind), pa.array(start, pa.int64()), pa.array(words, pa.int64()), pa.array(far, pa.int64())],
-                        names=["item_id", "start", "n_words", "distance"],
-                    )
-                    held = np.diff(ends)
-                    # both lists of a text, the old first
-                    order = np.argsort(np.concatenate([np.repeat(np.arange(batch.num_rows), held), text]), kind="stable")
-                    old = old.slice(int(ends[0]), int(ends[-1] - ends[0]))
-                    values = pa.concat_arrays([old.cast(new.type), new]).take(pa.array(order)) if len(old) else new
-                    offsets = np.concatenate([[0], np.cumsum(held + counts)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-                else:
-                    lists = before
-                yield pa.RecordBatch.from_arrays([*batch.columns[:last], lists], names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
+                found = pa.StructArray.from_arrays(
+                    [pa.array([known.ids[i] for i in item.tolist()], kind), pa.array(start, pa.int64()), pa.array(words, pa.int64()), pa.array(far, pa.int64())],
+                    names=["item_id", "start", "n_words", "distance"],
+                )
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), found)], names=[*batch.schema.names, "leaks"])
+
+    return docs.mapInArrow(run, schema), shipped
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
