@@ -246,7 +246,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
-_TOKENS: dict[str, list[bytes]] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def int_lists(parts: list[bytes]) -> pa.ListArray:
@@ -264,8 +264,9 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with ids_col array<int>: the text's ids, each match of pattern merged separately.
+def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """df with ids_col array<int>: the text's ids, each match of pattern merged separately. With decoded_col also what
+    decode_bpe makes of the ids, by the same worker: a second pass would need a second worker for each task.
 
     The ids are those of the tiktoken library's encode_ordinary: a match that is a token is that token;
     else the leftmost pair of least rank merges until none is left. The segment tree makes a match of n
@@ -280,9 +281,18 @@ def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
         for whole in batches:
             for lo in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(lo, _ROWS)
-                yield _with(batch, ids_col, int_lists(encoder.encode(batch.column(batch.schema.names.index(text_col)).to_pylist())))
+                batch = _with(batch, ids_col, int_lists(encoder.encode(batch.column(batch.schema.names.index(text_col)).to_pylist())))
+                yield batch if decoded_col is None else _with(batch, decoded_col, _decoded(batch.column(batch.num_columns - 1), encoder.ranks.token))
 
-    return df.mapInArrow(run, _schema(df, ids_col, T.ArrayType(T.IntegerType())))
+    schema = _schema(df, ids_col, T.ArrayType(T.IntegerType()))
+    if decoded_col is not None:
+        schema = T.StructType([*(f for f in schema.fields if f.name != decoded_col), T.StructField(decoded_col, T.BinaryType())])
+    return df.mapInArrow(run, schema)
+
+
+def _decoded(lists: pa.ListArray, token: dict[int, bytes]) -> pa.Array:
+    flat, ends, find = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), token.__getitem__
+    return pa.array([b"".join(map(find, flat[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 
 
 def decode_bpe(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -292,14 +302,11 @@ def decode_bpe(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ranks_path not in _TOKENS:
             _TOKENS[ranks_path] = {i: t for t, i in load_ranks(ranks_path).items()}
-        token = _TOKENS[ranks_path].__getitem__
+        token = _TOKENS[ranks_path]
         for whole in batches:
             for lo in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(lo, _ROWS)
-                lists = batch.column(batch.schema.names.index(ids_col))
-                flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield _with(batch, out_col, pa.array(texts, pa.binary()))
+                yield _with(batch, out_col, _decoded(batch.column(batch.schema.names.index(ids_col)), token))
 
     return df.mapInArrow(run, _schema(df, out_col, T.BinaryType()))
 
@@ -313,7 +320,7 @@ def public_ranks() -> tuple[str, str]:
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of docs(doc_id, text)."""
-    coded = decode_bpe(encode_bpe(docs.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path)
+    coded = encode_bpe(docs.select("doc_id", "text"), ranks_path, pattern, decoded_col="decoded")
     listed = F.replace(F.btrim(F.col("ids").cast("string"), F.lit("[]")), F.lit(", "), F.lit(","))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
