@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, quoted, read_table
 from .word_hashes import gram_hashes, mix, turns, word_hashes
@@ -184,6 +185,54 @@ def components(edges: DataFrame, rank: DataFrame) -> DataFrame:
             return labels
 
 
+def links_to_check(nodes: DataFrame, texts: DataFrame, *, size: int, threshold: float) -> DataFrame:
+    """(x, y), x < y, of nodes(node, label) of different labels: all whose similarity can be threshold or more.
+
+    A text's shingles, the k-th occurrence of one being an element of its own, make a set, and the weighted Jaccard similarity is
+    that of the sets. Elements are ordered by how many of the nodes have them, rarest first. Sets of n and m
+    elements with a similarity of t share t / (1 + t) * (n + m) of them at least; so the first element that both have
+    comes where that many are left in each, and among the first (1 - t) * n of either. A text with many
+    elements of its own, such as a copy with too many edits, has no such place and is left out before any pair is
+    made; so are elements that only one class has.
+    """
+    most, share, slack = 1 - threshold, threshold / (1 + threshold), 1e-6
+    named = nodes.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("label").alias("lab"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in turns(whole, 1, 1 << 20):
+                words, at = _words(batch, 1)
+                nid, elements, counts = batch.column(0).to_numpy(), [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own, n = shingles(words[a:b], size)
+                    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    elements.append(mix(np.repeat(own, n) + _GOLD * nth.astype(_U)))
+                    counts.append(len(nth))
+                total = np.repeat(counts, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nid, counts)), pa.array(total, pa.int32()), pa.array(np.concatenate(elements).view(np.int64))], names=["nid", "n", "e"])
+
+    own = texts.join(named.select("node", "nid"), "node").select("nid", "text").mapInArrow(run, "nid long, n int, e long")
+    held = own.groupBy("e").agg(F.count("*").alias("df")).where(F.col("df") > 1).select(F.col("e").bitwiseXOR(F.lit(1)).alias("other"), "df")
+    # xor, so that neither side of the join is dealt out by the key already and hot elements can be split
+    shared = own.withColumn("other", F.col("e").bitwiseXOR(F.lit(1))).join(held, "other").select("nid", "n", "e", "df")
+    whole = Window.partitionBy("nid")
+    placed = shared.withColumns({"at": F.row_number().over(whole.orderBy("df", "e")), "m": F.count("*").over(whole)})
+    left = F.col("m") - F.col("at") + 1  # elements from this one on that others have too
+    early = placed.withColumn("left", left.cast("int")).where(F.col("n") - F.col("left") <= most * F.col("n") + slack).select("nid", "n", "e", "left")
+    early = cut(early.join(named.select("nid", "lab"), "nid"))
+    least = early.groupBy("e").agg(F.min("n").alias("least"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where(F.col("lo") != F.col("hi")).select("e", "least")
+    able = early.join(least, "e").where(F.col("left") >= share * (F.col("n") + F.col("least")) - slack).drop("least")
+    two = able.groupBy("e").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where(F.col("lo") != F.col("hi")).select("e")
+    able = cut(able.join(two, "e", "left_semi"))
+    a, b = able.alias("a"), able.alias("b")
+    need = share * (F.col("a.n") + F.col("b.n")) - slack
+    on = (F.col("a.e") == F.col("b.e")) & (F.col("a.nid") < F.col("b.nid")) & (F.col("a.lab") != F.col("b.lab")) & (F.col("a.left") >= need) & (F.col("b.left") >= need)
+    pairs = a.join(b, on).select(F.col("a.nid").alias("p"), F.col("b.nid").alias("q")).distinct()
+    names = named.select("node", "nid")
+    full = pairs.join(names.withColumnsRenamed({"node": "s", "nid": "p"}), "p").join(names.withColumnsRenamed({"node": "t", "nid": "q"}), "q")
+    return full.select(F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, size: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
     """(id_col, class_id, n_in_class): a row for each row of docs, classes being the connected parts of the
     links between texts whose `size`-word shingles have a weighted Jaccard similarity of at least threshold.
@@ -191,9 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are folded (word_hashes); texts of equal words are one node, so exact copies never meet as
     pairs. Signatures of bands x rows coordinates: a pair at 0.8 shares no band with a
     probability of 3e-5. In each bucket all nodes are checked against one, its leader, and linked where
-    the similarity holds. Links within a class add nothing, so only buckets that then span classes go on:
-    of their nodes, pairs of different classes are checked that the distances to the leader (a metric) do not rule
-    out. So no link that shares a bucket is lost, and a bucket of near copies costs as many checks
+    the similarity holds. Links within a class add nothing, so only nodes of buckets that then span classes go on:
+    of them, pairs of different classes are checked that their rarest shingles do not rule out
+    (links_to_check). So no link that shares a bucket is lost, and a bucket of near copies costs as many checks
     as it has nodes.
 
     class_id is the least id of the class; null ids come last. A text without words (null, empty,
@@ -224,11 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = rank.select("node", F.struct("rep", "node").alias("self"))
     placed = shared.select("bucket", "node", "leader").join(labels, "node", "left").join(own, "node").select("bucket", "node", "leader", F.coalesce("label", "self").alias("label"))
     torn = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("bucket")
-    far = tested.select(F.col("x").alias("leader"), F.col("y").alias("node"), (1 - F.col("sim")).alias("far"))
-    rest = cut(placed.join(torn, "bucket", "left_semi").where(F.col("node") != F.col("leader")).join(far, ["leader", "node"]))
-    a, b = rest.alias("a"), rest.alias("b")
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & (F.abs(F.col("a.far") - F.col("b.far")) <= 1 - threshold + 1e-9)
-    more = a.join(b, on).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    rest = cut(placed.join(torn, "bucket", "left_semi").select("node", "label").distinct())
+    more = links_to_check(rest, texts, size=size, threshold=threshold)
     seen = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = cut(more.join(seen, ["x", "y"], "left_anti"))
     if not more.isEmpty():
