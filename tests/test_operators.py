@@ -143,6 +143,13 @@ def test_models_repeat_and_cover_the_test_rows(split):
         pd.testing.assert_frame_equal(one, two)
 
 
+def test_merged_families(split):
+    both = evaluate.merged(evaluate.baseline_predictions(split), models.arima_predict(split, ord_=11))
+    m = evaluate.model_metrics(both)
+    assert {r.type for r in evaluate.leaderboard(m).collect()} == {"ML", "TS"} and {r.type for r in evaluate.leaderboard(m, without=("TS",)).collect()} == {"ML"}
+    assert m.count() == 2 * 5
+
+
 def test_network_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,8 +57,17 @@ def _ranked(metrics: DataFrame, s: Series) -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(order))
 
 
-def leaderboard(metrics: DataFrame, s: Series = S, top: int = TOP) -> DataFrame:
-    """The best models of each series by r2 (ties: the one listed first), with rank, family and tier."""
+def merged(*predictions: DataFrame) -> DataFrame:
+    """The predictions of several models as one table; rows without a prediction go."""
+    names = ["model", "type", "ord", "actual", "predicted"]
+    own = [c for c in predictions[0].columns if c not in names and c != "fit_error"]
+    return reduce(DataFrame.unionByName, (p.select(*own, *names) for p in predictions)).where(F.col("predicted").isNotNull())
+
+
+def leaderboard(metrics: DataFrame, s: Series = S, top: int = TOP, without: tuple[str, ...] = ()) -> DataFrame:
+    """The best models of each series by r2 (ties: the one listed first), with rank, family and tier; `without` names
+    families to leave out, such as ("TS",)."""
+    metrics = metrics.where(~F.col("type").isin(*without)) if without else metrics
     family = F.element_at(F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv)), F.col("type"))
     ranked = _ranked(metrics, s).where(F.col("rank") <= top)
     return ranked.select(s.key, "rank", "model", "type", family.alias("family"), "r2", "rmse", "mae", tier(F.col("r2")).alias("tier"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -37,6 +37,15 @@ def estimator(name: str, trees: int | None = None) -> Estimator:
     return GBTRegressor(labelCol="target", maxIter=trees or n, stepSize=rate, maxDepth=depth, seed=SEED)
 
 
+def _fit(kind: Estimator, vectors: DataFrame) -> Model:
+    """Fit on the train rows, kept meanwhile: an estimator reads them several times."""
+    train = vectors.where(F.col("split") == "train").select("features", "target").persist()
+    try:
+        return kind.fit(train)
+    finally:
+        train.unpersist()
+
+
 def _predictions(out: DataFrame, name: str, kind: str, ord_: int, s: Series) -> DataFrame:
     return out.select(s.key, s.order, F.lit(name).alias("model"), F.lit(kind).alias("type"), F.lit(ord_).alias("ord"), F.col("target").alias("actual"), F.col("prediction").alias("predicted"))
 
@@ -44,7 +53,7 @@ def _predictions(out: DataFrame, name: str, kind: str, ord_: int, s: Series) ->
 def fit_predict(scaled: DataFrame, name: str, trees: int | None = None, ord_: int = 0, s: Series = S, columns: list[str] | None = None) -> DataFrame:
     """Fit a tree ensemble on the train rows of all series; predict the test rows."""
     vectors = VectorAssembler(inputCols=columns or FEATURES, outputCol="features").transform(scaled)
-    model = estimator(name, trees).fit(vectors.where(F.col("split") == "train").select("features", "target"))
+    model = _fit(estimator(name, trees), vectors)
     return _predictions(model.transform(vectors.where(F.col("split") == "test")), name, "ML", ord_, s)
 
 
@@ -62,7 +71,7 @@ def kernel_predict(scaled: DataFrame, n_features: int = 64, ridge: float = 1.0,
         waves.append((F.cos(total) * math.sqrt(2 / n_features)).alias(f"_z{k}"))
     wide = scaled.select(s.key, s.order, "split", "target", *waves)
     vectors = VectorAssembler(inputCols=[f"_z{k}" for k in range(n_features)], outputCol="features").transform(wide)
-    model = LinearRegression(labelCol="target", regParam=ridge, solver="normal").fit(vectors.where(F.col("split") == "train").select("features", "target"))
+    model = _fit(LinearRegression(labelCol="target", regParam=ridge, solver="normal"), vectors)
     return _predictions(model.transform(vectors.where(F.col("split") == "test")), "kernel_rff", "ML", ord_, s)
 
 

@@ -238,6 +238,17 @@ for _k, _name in enumerate(models.ORDERS, 11):
     _add(f"{_name}_forecast", lambda s, d, n=_name, k=_k: models.arima_predict(_split(s, d), n, ord_=k))
 
 
+def _zoo(spark: SparkSession, d: str) -> DataFrame:
+    """One model of each family, and the closed-form ones, on one leaderboard."""
+    split = _split(spark, d)
+    data = features.scaled(split)
+    every = evaluate.merged(evaluate.baseline_predictions(split), models.fit_predict(data, "random_forest", trees=4, ord_=4), models.network_predict(data, "plain_2", epochs=1, ord_=9), models.arima_predict(split, ord_=11))
+    return tidy(evaluate.leaderboard(evaluate.model_metrics(every)))
+
+
+_add("model_zoo_leaderboard", _zoo)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
