@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import quoted, read_table
+from .piece_memo import PieceMemo
+from .word_hashes import buffer_of, span_hashes, turns
 
 _NONE = np.int64(1) << 50
 #: Pieces of up to so many bytes are merged side by side, a tree each; longer ones have a tree alone.
 _SIDE_BY_SIDE = 64
-#: Entries of a worker's memo of chunks; it starts anew when full, so its memory is bounded.
-_MEMO = 400_000
+#: Entries of a worker's memo of chunks.
+_MEMO = 1 << 21
 _ROWS = 1000
 
 
@@ -177,7 +179,7 @@ class Encoder:
     No match of the pattern reaches over a single white space character followed by a non-space but for
     the space that starts it. So a text without two white space characters in a row is the
     concatenation of its lines' chunks ("word" at a line's start, " word" elsewhere), and each chunk
-    is encoded once and remembered. Other texts are matched whole.
+    is encoded once and remembered by its hash. Other texts are matched whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -187,74 +189,66 @@ class Encoder:
 
         self.ranks = Ranks(path)
         # \s as Unicode's White_Space; this library's \s also takes 1C-1F
-        space = r"\t-\r \x85\xa0  -     　"
+        space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")).findall
         self.two = re.compile(r"\s\s").search
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks."""
-        split = [self.find(c) for c in chunks]
-        pieces = self.pieces
-        new = {p for s in split for p in s if p not in pieces}
-        if new:
-            if len(pieces) + len(new) > _MEMO:
-                pieces.clear()
-                new = {p for s in split for p in s}
-            known, short = self.ranks.of, []
-            for p in new:
-                raw = p.encode("utf-8", "surrogatepass")
-                if (i := known.get(raw)) is not None:
-                    pieces[p] = i.to_bytes(4, "little")
-                elif len(raw) > _SIDE_BY_SIDE:
-                    pieces[p] = np.array(merge_long(raw, self.ranks), dtype="<i4").tobytes()
-                else:
-                    short.append((p, raw))
-            if short:
-                pieces.update(zip((p for p, _ in short), merge_many([x for _, x in short], self.ranks), strict=True))
-        return {c: b"".join([pieces[p] for p in s]) for c, s in zip(chunks, split, strict=True)}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as int32 bytes."""
-        plans: list[list[str]] = []
-        for text in texts:
-            if not text:
-                plans.append([])
-            elif self.two(text):
-                plans.append(self.find(text))
+        self.memo = PieceMemo(_MEMO)
+
+    def _ids(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The ids of texts that are split into the pattern's matches."""
+        known, done, short = self.ranks.of, {}, []
+        for p in {p for s in split for p in s}:
+            raw = p.encode("utf-8", "surrogatepass")
+            if (i := known.get(raw)) is not None:
+                done[p] = i.to_bytes(4, "little")
+            elif len(raw) > _SIDE_BY_SIDE:
+                done[p] = np.array(merge_long(raw, self.ranks), dtype="<i4").tobytes()
             else:
-                keys: list[str] = []
-                for k, line in enumerate(text.split("\n")):
-                    if k:
-                        keys.append("\n")
-                    parts = line.split(" ")
-                    if parts[0]:
-                        keys.append(parts[0])
-                    keys += [" " + p for p in parts[1:]]
-                plans.append(keys)
-        memo = self.memo
-        new = {c for plan in plans for c in plan if c not in memo}
-        if new:
-            if len(memo) + len(new) > _MEMO:
-                memo.clear()
-                new = {c for plan in plans for c in plan}
-            todo = sorted(new)
-            for lo in range(0, len(todo), 50_000):
-                memo.update(self._learn(todo[lo : lo + 50_000]))
-        return [b"".join([memo[c] for c in plan]) for plan in plans]
+                short.append((p, raw))
+        if short:
+            done.update(zip((p for p, _ in short), merge_many([x for _, x in short], self.ranks), strict=True))
+        return [np.frombuffer(b"".join([done[p] for p in s]), "<u4") for s in split]
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Each text's ids. Null and empty texts have none."""
+        strings = texts.to_pylist()
+        whole = [i for i, t in enumerate(strings) if t and self.two(t)]
+        raw, at = buffer_of(texts)
+        chunked = np.ones(len(strings), bool)
+        chunked[whole] = False
+        flat, counts = np.zeros(0, np.uint32), np.zeros(len(strings), np.int64)
+        if len(raw):
+            line = raw == 10
+            starts = (raw == 32) | line
+            starts[1:] |= line[:-1]
+            starts[at[:-1][at[:-1] < len(raw)]] = True
+            starts = np.flatnonzero(starts)
+            ends = np.append(starts[1:], len(raw))
+            own = chunked[np.searchsorted(at, starts, "right") - 1]
+            starts, ends = starts[own], ends[own]
+            hashes = np.maximum(span_hashes(raw, starts, ends), np.uint64(1))
+            fresh, where = self.memo.unknown(hashes)
+            if len(fresh):
+                data = raw.tobytes()
+                for lo in range(0, len(fresh), 50_000):
+                    some = where[lo : lo + 50_000]
+                    split = [self.find(data[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                    self.memo.remember(fresh[lo : lo + 50_000], self._ids(split))
+            if len(hashes):
+                flat, counts = self.memo.ids(hashes, starts, at)
+        if whole:
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for i, ids in zip(whole, self._ids([self.find(strings[i]) for i in whole]), strict=True):
+                parts[i], counts[i] = ids, len(ids)
+            flat = np.concatenate(parts)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32)))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 _TOKENS: dict[str, dict[int, bytes]] = {}
 
 
-def int_lists(parts: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-
-
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     keep = [i for i, c in enumerate(batch.schema.names) if c != name]
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], names=[*(batch.schema.names[i] for i in keep), name])
@@ -274,14 +268,15 @@ def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
     ids_col is replaced. No shuffle; a worker remembers a bounded number of chunks.
     """
 
+    at = df.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (ranks_path, pattern) not in _ENCODERS:
             _ENCODERS[ranks_path, pattern] = Encoder(ranks_path, pattern)
         encoder = _ENCODERS[ranks_path, pattern]
         for whole in batches:
-            for lo in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(lo, _ROWS)
-                batch = _with(batch, ids_col, int_lists(encoder.encode(batch.column(batch.schema.names.index(text_col)).to_pylist())))
+            for batch in turns(whole, at, 2 << 20):
+                batch = _with(batch, ids_col, encoder.encode(batch.column(at)))
                 yield batch if decoded_col is None else _with(batch, decoded_col, _decoded(batch.column(batch.num_columns - 1), encoder.ranks.token))
 
     schema = _schema(df, ids_col, T.ArrayType(T.IntegerType()))
