@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import quoted, read_table, scratch
 from .pfor import BLOCK, Reader, Writer
+from .piece_memo import PieceMemo
 from .word_hashes import MARKS, SPACES, buffer_of, fold_ascii, span_hashes, turns
 
 #: Entries of a worker's memo of pieces; it starts anew when full, so its memory is bounded.
-_MEMO = 1_000_000
+_MEMO = 1 << 20
 _WORD_ENDS = "</w>"
 _U = np.uint64
 
@@ -46,54 +47,16 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(_WORD_ENDS)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots = 4 << (_MEMO - 1).bit_length()
-        self.key, self.value = np.zeros(self.slots, _U), np.zeros(self.slots, np.int32)
-        self.flat, self.starts, self.counts, self.n, self.n_ids = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
-        last = self.slots - 1
-        slot = (hashes & _U(last)).astype(np.int64)
-        out = np.full(len(hashes), -1, np.int64)
-        todo = np.arange(len(hashes))
-        while len(todo):
-            held = self.key[slot]
-            hit = held == hashes[todo]
-            out[todo[hit]] = self.value[slot[hit]]
-            on = ~hit & (held != 0)
-            todo, slot = todo[on], (slot[on] + 1) & last
-        return out
-
-    def _remember(self, hashes: np.ndarray, parts: list[np.ndarray]) -> None:
-        n, counts = len(parts), np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate(parts)
-        while self.n + n > len(self.starts):
-            self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
-        while self.n_ids + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
-        self.counts[self.n : self.n + n] = counts
-        self.starts[self.n : self.n + n] = self.n_ids + np.cumsum(counts) - counts
-        entry = np.arange(self.n, self.n + n)
-        self.n, self.n_ids = self.n + n, self.n_ids + len(ids)
-        last, slot = self.slots - 1, (hashes & _U(self.slots - 1)).astype(np.int64)
-        while len(hashes):
-            free = self.key[slot] == 0
-            self.key[slot[free]] = hashes[free]
-            won = self.key[slot] == hashes
-            self.value[slot[won]] = entry[won]
-            hashes, entry, slot = hashes[~won], entry[~won], (slot[~won] + 1) & last
+        self.memo = PieceMemo(_MEMO)
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         parts: list[np.ndarray | None] = [None] * len(texts)
         words = [i for i, t in enumerate(texts) if t.isalpha() and t.isascii() or t.isalpha() and max(t) < "\u0100"]
-        for lo in range(0, len(words), 64):
-            some = words[lo : lo + 64]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+        groups = [words[lo : lo + 64] for lo in range(0, len(words), 64)]
+        found = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in some]) for some in groups], add_special_tokens=False)
+        for some, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1  # one token ends each word
             if len(cuts) == len(some):
                 start = 0
@@ -103,7 +66,7 @@ class WordEncoder:
         rest = [i for i, p in enumerate(parts) if p is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             parts[i] = np.array(e.ids, np.uint32)
-        self._remember(hashes, parts)
+        self.memo.remember(hashes, parts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
@@ -111,23 +74,11 @@ class WordEncoder:
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         hashes, starts, ends = self._pieces(raw, at)
-        entry = self._find(hashes)
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            fresh, first = np.unique(hashes[new], return_index=True)
-            if self.n + len(fresh) > _MEMO:
-                self._forget()
-                fresh, new = np.unique(hashes, return_index=True)
-                first = np.arange(len(new))
-            where = new[first]
+        fresh, where = self.memo.unknown(hashes)
+        if len(fresh):
             whole = raw.tobytes()
             self._learn(fresh, [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            entry = self._find(hashes)
-        counts = self.counts[entry]
-        total = np.cumsum(counts)
-        place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.starts[entry] - (total - counts), counts)
-        upto = np.concatenate([[0], total])[np.searchsorted(starts, at)]
-        return self.flat[place], np.diff(upto)
+        return self.memo.ids(hashes, starts, at)
 
     @staticmethod
     def _pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
