@@ -55,6 +55,27 @@ def test_html_text(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_text_of_two_layouts(spark):
+    from tickloom.llm.html_text import extract_text
+
+    rows = []
+    for k in range(40):
+        body = f"<p>Story {k} tells of its own matters, at some length, number {k}.</p>"
+        a = f"<html><body><div class='u1'><div class='u2'>Left side links</div>{body}<div class='u3'>Made by A</div></div></body></html>"
+        b = f"<html><body><table><tr><td>Our shop sells things{body}<ul><li>Made by B</ul></table>"
+        rows.append((k, f"http://two.example/{k}", a if k % 2 else b))
+    out = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"Story {k} tells of its own matters, at some length, number {k}." for k in range(40)), out
+
+
+def test_html_tokens_that_do_not_nest_leave_their_class():
+    from tickloom.llm.html_text import nested
+
+    row = lambda token, kind, inside, place: {"token": token, "kind": kind, "inside": inside, "place": place, "n_pages": 1}
+    own = [row(1, "<", 0, 0), row(2, "<", 1, 1), row(3, ">", 1, 2), row(4, ">", 2, 3), row(5, "=", 2, 4), row(6, "<", 0, 5), row(7, "=", 6, 6), row(8, ">", 6, 7)]
+    assert [t["token"] for t in nested(own)] == [1, 6, 7]
+
+
 def test_templates_beyond_the_broadcast_bound(spark, small, monkeypatch):
     from tickloom.llm import html_text
 

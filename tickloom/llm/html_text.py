@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
@@ -40,10 +41,10 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 class Box:
     """A container element: what names it, and where it stands."""
 
-    __slots__ = ("tag", "path", "out", "article", "rank", "chars")
+    __slots__ = ("tag", "path", "out", "article", "rank", "chars", "up")
 
-    def __init__(self, tag: str, path: str, out: bool, article: bool, rank: int):
-        self.tag, self.path, self.out, self.article, self.rank, self.chars = tag, path, out, article, rank, 0
+    def __init__(self, tag: str, path: str, out: bool, article: bool, rank: int, up: Box | None):
+        self.tag, self.path, self.out, self.article, self.rank, self.chars, self.up = tag, path, out, article, rank, 0, up
 
 
 def _box(tag: str, attrs: str, up: Box | None) -> Box:
@@ -57,7 +58,7 @@ def _box(tag: str, attrs: str, up: Box | None) -> Box:
     out = (up is not None and up.out) or tag in _LEFT_OUT or bool(parts & _PARTS_LEFT_OUT) or "hidden" in named or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog")
     out = out or (not inside and (tag == "header" or bool(parts & _PAGE_HEADS)))
     rank = 0 if out else 4 if tag == "article" or named.get("itemprop", "").lower() == "articlebody" else 3 if tag == "main" or role == "main" else 2 if parts & _MAIN_PARTS else 1
-    return Box(tag, (up.path if up else "") + "/" + ".".join([tag, *label]), out, inside or rank >= 3, rank)
+    return Box(tag, (up.path if up else "") + "/" + ".".join([tag, *label]), out, inside or rank >= 3, rank, up)
 
 
 def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Box | None, int]]]:
@@ -65,7 +66,8 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
     (path with "<" or ">") and blocks (None and the text), each with its container and place.
 
     Scripts, styles, markup and comments go; character references are decoded; white space becomes one space. An
-    element that is never closed ends where its parent does, and an end tag without a start is ignored.
+    element that is never closed ends where its parent does, which makes its end a token too; an end tag without a
+    start is ignored.
     """
     blocks: list[tuple[str, Box | None]] = []
     tokens: list[tuple[str, Box | None, int]] = []
@@ -113,10 +115,12 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
             elif any(b.tag == tag for b in stack):
                 while stack:
                     box = stack.pop()
+                    tokens.append((">", box, len(tokens)))
                     if box.tag == tag:
-                        tokens.append((">", box, len(tokens)))
                         break
     flush()
+    while stack:
+        tokens.append((">", stack.pop(), len(tokens)))
     return blocks, tokens
 
 
@@ -125,7 +129,7 @@ def _name(token: str, box: Box | None) -> int:
     return int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def root_of(boxes: list[tuple[str, int, int]]) -> str | None:
+def root_of(boxes: list[tuple[str, int, float]]) -> str | None:
     """The path of the container that holds the main text, of (path, rank, characters): the best named (article
     element, main element, a name such as "content"); else the deepest with three fifths of the text."""
     named = [b for b in boxes if b[1] >= 2 and b[2]]
@@ -146,17 +150,17 @@ def _boxes(tokens: list[tuple[str, Box | None, int]]) -> list[tuple[str, int, in
     return [(p, r, c) for p, (r, c) in total.items()]
 
 
-def main_text(source: str | None, root: str | None = None, fixed: frozenset[int] = frozenset()) -> str:
-    """The main text of a page, given its template: the main container's path, and its fixed blocks.
+def main_text(source: str | None, roots: Sequence[str] = (), fixed: frozenset[int] = frozenset()) -> str:
+    """The main text of a page, given its template: the main containers' paths, one for each layout, and fixed blocks.
 
-    What is left in the template's main container once its fixed blocks and the parts left out (menus, page
-    headers, footers, ...) are gone. A page without that container is judged alone.
+    What is left in the first of the main containers that the page has once its fixed blocks and the parts left out
+    (menus, page headers, footers, ...) are gone. A page without any of them is judged alone.
     """
     if not source:
         return ""
     blocks, tokens = parse(source)
     kept = [(t, b) for t, b in blocks if not (b and b.out)]
-    for path in (root, root_of(_boxes(tokens))):
+    for path in (*roots, root_of(_boxes(tokens))):
         if path:
             inside = [(t, b) for t, b in kept if b and (b.path == path or b.path.startswith(path + "/"))]
             if inside:
@@ -166,118 +170,172 @@ def main_text(source: str | None, root: str | None = None, fixed: frozenset[int]
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """(host, token, kind, path, rank, n_pages, vector, place, chars) of pages(page, host, html).
+    """(host, token, kind, path, rank, inside, n_pages, vector, place, chars) of packed pages(host, html).
 
     vector stands for the token's occurrence vector over the host's pages: the exclusive or of a hash of (page,
-    occurrences) of each. It combines in any order, so the counts are made in each task first.
+    occurrences) of each. It combines in any order, so the counts are made in each task first. inside is the start tag
+    of the container that a block or an end tag belongs to, and of the container around a start tag.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in turns(whole, 2):
+            for batch in turns(whole, 1):
                 found: dict[tuple[str, int], list] = {}
-                for page, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    _, tokens = parse(source or "")
+                for host, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    _, tokens = parse(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+                    page = blake2b(packed, digest_size=16).digest()
                     here: dict[int, list] = {}
                     for token, box, place in tokens:
                         own = here.setdefault(_name(token, box), [token[0], box, 0, place, 0])
                         own[2] += 1
-                        own[4] += box.chars if token == "<" else 0
+                        own[4] += box.chars if token == "<" else len(token) - 1
                     for name, (kind, box, n, place, chars) in here.items():
-                        mark = int.from_bytes(blake2b(f"{page}:{n}".encode(), digest_size=8).digest(), "little", signed=True)
-                        row = found.setdefault((host, name), [kind, box.path if box and kind == "<" else "", box.rank if box else 0, 0, 0, 0.0, 0])
-                        row[3] += 1
-                        row[4] ^= mark
-                        row[5] += place
-                        row[6] += chars
-                    found.setdefault((host, 0), ["*", "", 0, 0, 0, 0.0, 0])[3] += 1
+                        mark = int.from_bytes(blake2b(page + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+                        up = box.up if box and kind == "<" else box
+                        row = found.setdefault((host, name), [kind, box.path if box and kind == "<" else "", box.rank if box else 0, _name("<", up) if up else 0, 0, 0, 0.0, 0])
+                        row[4] += 1
+                        row[5] ^= mark
+                        row[6] += place
+                        row[7] += chars
+                    found.setdefault((host, 0), ["*", "", 0, 0, 0, 0, 0.0, 0])[4] += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*((h, n, *r) for (h, n), r in found.items()), strict=True), _KINDS, strict=True)], names=_NAMES
                 )
 
-    made = pages.select("page", "host", "html").mapInArrow(run, "host string, token long, kind string, path string, rank int, n_pages long, vector long, place double, chars long")
+    made = pages.select("host", "html").mapInArrow(run, "host string, token long, kind string, path string, rank int, inside long, n_pages long, vector long, place double, chars long")
     return made.groupBy("host", "token").agg(
-        F.min("kind").alias("kind"), F.max("path").alias("path"), F.max("rank").alias("rank"), F.sum("n_pages").alias("n_pages"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"), F.sum("chars").alias("chars")
+        F.min("kind").alias("kind"), F.max("path").alias("path"), F.max("rank").alias("rank"), F.max("inside").alias("inside"), F.sum("n_pages").alias("n_pages"), F.bit_xor("vector").alias("vector"),
+        F.sum("place").alias("place"), F.sum("chars").alias("chars"),
     )
 
 
-_NAMES = ["host", "token", "kind", "path", "rank", "n_pages", "vector", "place", "chars"]
-_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-
-
-def deduce(n_pages: int, tokens: list[dict], *, share: float, fixed_share: float, fixed_pages: int) -> tuple[str | None, list[int]]:
-    """(main container's path, fixed blocks) of a host's template.
+def packed(pages: DataFrame) -> DataFrame:
+    """pages(host, html) that have html, compressed: equal ones stay equal, and shuffling them takes less disk."""
 
-    Tokens with one occurrence vector are an equivalence class. A class is valid if, in the order of its tokens' mean
-    places, its tags nest: each end tag closes the last open start tag. Tags that break that leave the class. The valid
-    classes that enough pages have make the template, the classes of fewer occurrences nested in those of more. The main
-    container is chosen among its start tags. A block of text belongs to it only if nearly all of many pages have it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in turns(whole, 1):
+                made = [zlib.compress(x.encode("utf-8", "surrogatepass"), 3) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["host", "html"])
+
+    return pages.select("host", "html").where("html <> ''").mapInArrow(run, "host string, html binary")
+
+
+_NAMES = ["host", "token", "kind", "path", "rank", "inside", "n_pages", "vector", "place", "chars"]
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+
+
+def nested(tokens: list[dict]) -> list[dict]:
+    """What nests of an equivalence class, in the order of mean places: an end tag closes its start tag, and takes those
+    opened since and not closed with it; tags without their other half go, and so do blocks outside their container."""
+    own = sorted(tokens, key=lambda t: (t["place"] / t["n_pages"], t["kind"] != "<"))
+    starts = {t["token"] for t in own if t["kind"] == "<"}
+    opened: list[int] = []
+    paired, blocks = set(), []
+    for t in own:
+        if t["kind"] == "<":
+            opened.append(t["token"])
+        elif t["kind"] == ">":
+            if t["inside"] in opened:
+                while opened.pop() != t["inside"]:
+                    pass
+                paired.add(t["inside"])
+        elif t["inside"] not in starts or t["inside"] in opened:
+            blocks.append(t)
+    return [t for t in own if t["kind"] == "<" and t["token"] in paired] + [t for t in blocks if t["inside"] not in starts or t["inside"] in paired]
+
+
+def deduce(n_pages: int, tokens: list[dict], *, share: float, layout_share: float, fixed_share: float, fixed_pages: int, slot_share: float) -> tuple[list[str], list[int]]:
+    """(main containers' paths, fixed blocks) of a host's template.
+
+    Tokens with one occurrence vector are an equivalence class; what doesn't nest in it is dropped (nested()). Classes
+    nest by their containers: one whose container around it was dropped, or is of fewer pages, is dropped too. The rest is
+    the template. Each layout has its main container in it, chosen by mean characters a page; one that most pages have and
+    that is named comes first, then those of layouts. In a main container, blocks that nearly all of many of its own pages
+    have are fixed, if its slots, which is what isn't fixed, hold at least slot_share of its text; else what
+    repeats is the main text.
     """
     classes = defaultdict(list)
     for t in tokens:
         classes[t["vector"], t["n_pages"]].append(t)
-    starts, fixed = [], []
-    for (_, support), own in classes.items():
-        if support < share * n_pages:
-            continue
-        own.sort(key=lambda t: (t["place"] / support, t["kind"] != "<"))
-        fixed += [t["token"] for t in own if t["kind"] == "=" and support >= fixed_pages and support >= fixed_share * n_pages]
-        opened: list[dict] = []
-        for t in own:
-            if t["kind"] == "<":
-                opened.append(t)
-                starts.append((t["path"], t["rank"], t["chars"]))
-            elif t["kind"] == ">" and opened:
-                opened.pop()
-    return root_of(starts), fixed
-
-
-def templates(pages: DataFrame, *, share: float = 0.5, fixed_share: float = 0.9, fixed_pages: int = 10) -> DataFrame:
-    """(host, root, fixed) for each host of pages(page, host, html); fixed is int64 bytes.
-
-    A host's tokens that at least `share` of its pages have go to one row: no more than the mean number of
-    tokens of a page divided by share, however many pages there are.
+    kept = [t for own in classes.values() for t in nested(own)]
+    every = {t["token"]: t for t in kept if t["kind"] == "<"}
+    starts: dict[int, dict] = {}
+    for t in sorted(every.values(), key=lambda t: t["path"].count("/")):
+        if not t["inside"] or (t["inside"] in starts and starts[t["inside"]]["n_pages"] >= t["n_pages"]):
+            starts[t["token"]] = t
+
+    def best(of: list[dict]) -> str | None:
+        return root_of([(t["path"], t["rank"], t["chars"] / t["n_pages"]) for t in of])
+
+    left = list(starts.values())
+    roots: list[str] = []
+    path = best([t for t in left if t["n_pages"] >= share * n_pages])
+    if not path or max(t["rank"] for t in left if t["path"] == path) < 2:
+        path = best(left)
+    while path:
+        roots.append(path)
+        left = [t for t in left if not (path + "/").startswith(t["path"] + "/") and not t["path"].startswith(path + "/")]
+        path = best(left)
+    found: dict[int, list[dict]] = defaultdict(list)
+    main = {t["token"]: t for t in starts.values() if t["path"] in set(roots)}
+    for t in kept:
+        at = t["inside"] if t["kind"] == "=" else 0
+        while at in starts and at not in main:
+            at = starts[at]["inside"]
+        if at in main and t["n_pages"] >= fixed_pages and t["n_pages"] >= fixed_share * main[at]["n_pages"]:
+            found[at].append(t)
+    fixed = [t["token"] for at, own in found.items() for t in own]
+    return roots, fixed
+
+
+def templates(pages: DataFrame, *, share: float = 0.5, layout_share: float = 0.1, fixed_share: float = 0.9, fixed_pages: int = 10, slot_share: float = 0.2) -> DataFrame:
+    """(host, roots, fixed) for each host of pages(host, html); fixed is int64 bytes.
+
+    Equal pages of a host count once. A host's tokens that at least `layout_share` of its pages have go to one row: no
+    more than the mean number of tokens of a page divided by it, however many pages there are.
     """
-    counts = cut(token_counts(pages))
+    counts = cut(token_counts(packed(pages)))
     hosts = counts.where(F.col("token") == 0).select("host", F.col("n_pages").alias("pages"))
     # joined by a hash, so that the join's partitioning doesn't serve the grouping: a large host's tokens can be split, and
     # only its frequent ones are dealt out by host
     known = hosts.select(F.xxhash64("host").alias("key"), F.col("host").alias("same"), "pages")
-    often = counts.where(F.col("token") != 0).withColumn("key", F.xxhash64("host")).join(known, "key").where((F.col("host") == F.col("same")) & (F.col("n_pages") >= share * F.col("pages")))
-    listed = often.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("token", "kind", "path", "rank", "n_pages", "vector", "place", "chars")).alias("tokens"))
+    often = counts.where(F.col("token") != 0).withColumn("key", F.xxhash64("host")).join(known, "key").where((F.col("host") == F.col("same")) & (F.col("n_pages") >= layout_share * F.col("pages")))
+    listed = often.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("token", "kind", "path", "rank", "inside", "n_pages", "vector", "place", "chars")).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, made = batch.column(0).to_pylist(), []
             for n, tokens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                made.append(deduce(n, tokens, share=share, fixed_share=fixed_share, fixed_pages=fixed_pages))
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "root": pa.array([r for r, _ in made], pa.string()), "fixed": pa.array([np.array(f, "<i8").tobytes() for _, f in made], pa.binary())})
+                made.append(deduce(n, tokens, share=share, layout_share=layout_share, fixed_share=fixed_share, fixed_pages=fixed_pages, slot_share=slot_share))
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "roots": pa.array([r for r, _ in made], pa.list_(pa.string())), "fixed": pa.array([np.array(f, "<i8").tobytes() for _, f in made], pa.binary())})
 
-    return listed.mapInArrow(run, "host string, root string, fixed binary")
+    return listed.mapInArrow(run, "host string, roots array<string>, fixed binary")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars): the main text of every page, blocks joined by line feeds.
 
     Each host's template is deduced over all its pages, then its slots are read page by page. Null or empty
-    html gives "". A null url, or one without a host, is of the host "". Equal rows count as one page each.
+    html gives "". A null url, or one without a host, is of the host "". A host's equal pages count once in its template
+    (one shuffle of pages, after each task's own copies went). Under ten different pages, none of a host's blocks are fixed.
     A host may hold most pages: its counts combine before the shuffle. Templates of up to BROADCAST_BYTES in all,
-    which is looked at first, go to the pages, and no page is shuffled; else pages and templates are
+    which is looked at first, go to the pages, and these aren't shuffled again; else pages and templates are
     joined by a shuffle, in which a host's pages can be split. Other columns don't matter.
     """
     url = quoted(url_col)
     host = F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
     base = pages.select(quoted(id_col).alias("page"), url.alias("url"), host.alias("host"), quoted(html_col).alias("html"))
     made = cut(templates(base))
-    size = made.agg(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("root"), F.lit(0)) + F.octet_length("fixed"))).first()[0] or 0
-    both = base.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left").select("page", "url", "html", "root", "fixed")
+    size = made.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("roots", " ")) + F.octet_length("fixed"))).first()[0] or 0
+    both = base.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left").select("page", "url", "html", "roots", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in turns(whole, 2):
                 roots, packed = batch.column(3).to_pylist(), batch.column(4).to_pylist()
                 known = {raw: frozenset(np.frombuffer(raw or b"", "<i8").tolist()) for raw in set(packed)}
-                texts = [main_text(h, r, known[f]) for h, r, f in zip(batch.column(2).to_pylist(), roots, packed, strict=True)]
+                texts = [main_text(h, r or (), known[f]) for h, r, f in zip(batch.column(2).to_pylist(), roots, packed, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = dict(pages.dtypes)[id_col]
