@@ -76,6 +76,17 @@ def test_html_tokens_that_do_not_nest_leave_their_class():
     assert [t["token"] for t in nested(own)] == [1, 6, 7]
 
 
+def test_html_text_of_equal_pages_is_whole(spark):
+    from tickloom.llm.html_text import extract_text
+
+    same = page("<li>Home</li>", "<h1>One title</h1><p>The one article of this host.</p>", "All rights")
+    stamped = [page("<li>Home</li>", f"<h1>One title</h1><p>{'The one article of this host. ' * 9}</p><p>Session {k}</p>", "All rights") for k in range(20)]
+    rows = [(k, f"http://same.example/?s={k}", same) for k in range(20)] + [(100 + k, f"http://mirror.example/?s={k}", p) for k, p in enumerate(stamped)]
+    out = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(20):
+        assert out[k] == "One title\nThe one article of this host." and out[100 + k].startswith("One title\nThe one article") and out[100 + k].endswith(f"Session {k}")
+
+
 def test_templates_beyond_the_broadcast_bound(spark, small, monkeypatch):
     from tickloom.llm import html_text
 

@@ -285,7 +285,7 @@ def deduce(n_pages: int, tokens: list[dict], *, share: float, layout_share: floa
             at = starts[at]["inside"]
         if at in main and t["n_pages"] >= fixed_pages and t["n_pages"] >= fixed_share * main[at]["n_pages"]:
             found[at].append(t)
-    fixed = [t["token"] for at, own in found.items() for t in own]
+    fixed = [t["token"] for at, own in found.items() if sum(t["chars"] for t in own) <= (1 - slot_share) * main[at]["chars"] for t in own]
     return roots, fixed
 
 
@@ -295,7 +295,7 @@ def templates(pages: DataFrame, *, share: float = 0.5, layout_share: float = 0.1
     Equal pages of a host count once. A host's tokens that at least `layout_share` of its pages have go to one row: no
     more than the mean number of tokens of a page divided by it, however many pages there are.
     """
-    counts = cut(token_counts(packed(pages)))
+    counts = cut(token_counts(packed(pages).dropDuplicates()))
     hosts = counts.where(F.col("token") == 0).select("host", F.col("n_pages").alias("pages"))
     # joined by a hash, so that the join's partitioning doesn't serve the grouping: a large host's tokens can be split, and
     # only its frequent ones are dealt out by host
