@@ -148,6 +148,30 @@ def test_leaks_against_brute_force(spark):
     assert again <= expected and len(again) >= 0.95 * len(expected)
 
 
+@pytest.mark.parametrize("size", [50, 100, 400, 1000])
+def test_recall_of_long_items_at_the_limit(size):
+    import pyarrow as pa
+
+    from tickloom.llm.decontaminate import Items, edited
+
+    rng = np.random.default_rng(size)
+    n = 100 if size <= 100 else 40
+    items = [[f"w{x}" for x in rng.integers(0, 900, size)] for _ in range(n)]
+    docs = []
+    for own in items * 2:
+        copy = edited(np.arange(size, dtype=np.uint64), size // 5, rng).tolist()
+        docs.append(" ".join(["before", "it", *(own[x] if x < size else f"new{x}" for x in copy), "after", "it"]))
+    known = Items(list(range(n)), [" ".join(x) for x in items], 0.2, 0.95, 5)
+    text, item, start, words, far = known.search(pa.array(docs))
+    found = {(t, i) for t, i in zip(text.tolist(), item.tolist(), strict=True) if t % n == i}
+    assert len(found) == len(text) and len(found) >= 0.93 * len(docs)
+    for t, i, s, w, d in list(zip(text.tolist(), item.tolist(), start.tolist(), words.tolist(), far.tolist(), strict=True))[:3]:
+        assert distance(items[i], docs[t].split()[s : s + w]) == d <= size // 5
+    # all edits in one place: the first fifth is other words
+    text, item, *_ = known.search(pa.array([" ".join([f"x{k}" for k in range(size // 5)] + own[size // 5 :]) for own in items]))
+    assert sum(t == i for t, i in zip(text.tolist(), item.tolist(), strict=True)) >= 0.95 * n
+
+
 def test_leaks_of_odd_tables(spark, odd):
     from tickloom.llm.decontaminate import find_leaks
 

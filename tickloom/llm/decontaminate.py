@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,10 @@ _U = np.uint64
 BLOCK_BYTES = 1 << 20
 #: Coordinates of an embedding that a sample looks at.
 SAMPLED = 3
-#: Walks that the collision rate is measured over.
-_TRIALS = 48
+#: Words of a piece: items of more than twice as many are looked for by pieces.
+PIECE = 24
+#: Edited copies that the recall is measured over, for each class of sizes, at least.
+_COPIES = 1500
 #: An item's words in at least this share of the items are common.
 _COMMON = 0.03
 
@@ -72,14 +73,15 @@ def among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def edit_distances(keys: np.ndarray, starts: np.ndarray, items: np.ndarray, lengths: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+def edit_distances(keys: np.ndarray, starts: np.ndarray, items: np.ndarray, lengths: np.ndarray, slack: int, free: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(distance, words) for each pair of a place and an item (a row of `items`, as long as `lengths` says): the
-    least edit distance of the item to the words from that place on, and how many words that are."""
-    most = int(lengths.max()) + slack
+    least edit distance of the item to the words from that place on, and how many words that are. With `free`, to words
+    from any of that many places on; then words is where they end."""
+    most = int(lengths.max()) + slack + (free or 0)
     places = starts[:, None] + np.arange(most)
     words = np.where(places < len(keys), keys[np.minimum(places, len(keys) - 1)], _U(0))
     column = np.arange(most + 1)
-    row = np.tile(column, (len(starts), 1)).astype(np.int32)
+    row = np.tile(column if free is None else np.zeros_like(column), (len(starts), 1)).astype(np.int32)
     final = row.copy()
     for i in range(int(lengths.max())):
         own = items[:, i : i + 1]
@@ -121,26 +123,44 @@ class Items:
             rare = int(np.isin(self.words[here, :size], self.rare).sum(axis=1).min())
             self.classes.append((size, k, rare - k, here, self._samples(here, size, target_recall)))
 
-    def _samples(self, here: np.ndarray, size: int, target_recall: float) -> list[tuple[list[np.ndarray], np.ndarray]]:
-        """For each walk, the sorted keys of the items' samples up to each coordinate, and the items in the last
-        one's order; as many walks as reach the recall for items at the greatest distance, by the rate at which
-        samples of the items and of edited copies of them collide."""
+    def _samples(self, here: np.ndarray, size: int, target_recall: float) -> list[tuple[int, int, int, list[np.ndarray], np.ndarray]]:
+        """(walk, offset, words) of each sample, the sorted keys of the items' samples up to each coordinate, and the
+        items in the last one's order. The words are the item's, or one piece after the other of a long item.
+
+        Samples are added until those made so far meet target_recall of edited copies, of items drawn evenly, at the
+        greatest distance: by two standard errors of that share more.
+        """
         flat, starts = self._flat(self.words[here], self.lengths[here])
         rng = np.random.default_rng(size)
-        spoilt = [edited(self.words[i, : self.lengths[i]], int(self.slack[i]), rng) for i in here.tolist()]
+        long = size > 2 * PIECE
+        words = PIECE if long else size
+        offsets = np.arange(0, size - words + 1, words)
+        offsets = offsets[np.argsort(mix(offsets.astype(_U) + _U(1)), kind="stable")].tolist()
+        copies = max(1, min(-(-_COPIES // len(here)), 1 + (1 << 23) // int(self.lengths[here].sum())))
+        tried = np.tile(np.arange(len(here)), copies)
+        spoilt, kept = [], []
+        for i in here[tried].tolist():
+            n = int(self.lengths[i])
+            copy = edited(np.arange(n, dtype=_U), int(self.slack[i]), rng)
+            own = copy < _U(n)
+            spoilt.append(np.where(own, self.words[i, np.where(own, copy, _U(0)).astype(np.int64)], copy))
+            kept.append((copy[own].astype(np.int64), np.flatnonzero(own)))
         width = max(map(len, spoilt), default=1)
         padded = np.zeros((len(spoilt), width), _U)
         for i, x in enumerate(spoilt):
             padded[i, : len(x)] = x
         other, others = self._flat(padded, np.array([len(x) for x in spoilt], np.int64))
-        met = [float((sample_keys(flat, starts, size, w)[1][-1] == sample_keys(other, others, size, w)[1][-1]).mean()) for w in range(_TRIALS)]
-        rate = min(0.999, max(0.02, float(np.mean(met))))
-        walks = max(2, math.ceil(math.log(1 - target_recall) / math.log(1 - rate)))
-        out = []
-        for w in range(walks):
-            _, keys = sample_keys(flat, starts, size, w)
+        # where in a copy the first word from an offset on stands that it still has
+        at = {o: others + [p[min(np.searchsorted(w, o), len(w) - 1)] if o and len(w) else 0 for w, p in kept] for o in offsets}
+        enough = target_recall + 2 * (target_recall * (1 - target_recall) / len(tried)) ** 0.5
+        met, out = np.zeros(len(tried), bool), []
+        while len(out) < 2 or met.mean() < min(enough, 1.0):
+            w, o = len(out), offsets[len(out) % len(offsets)]
+            _, keys = sample_keys(flat, starts + o, words, w)
+            left = np.flatnonzero(~met)
+            met[left] = keys[-1][tried[left]] == sample_keys(other, at[o][left], words, w)[1][-1]
             order = np.argsort(keys[-1], kind="stable")
-            out.append(([np.unique(k) for k in keys[:-1]] + [keys[-1][order]], here[order]))
+            out.append((w, o, words, [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], here[order]))
         return out
 
     @staticmethod
@@ -158,8 +178,8 @@ class Items:
         gap = int(self.slack.max()) + 1
         n = np.diff(at)
         owner = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(hashes)) + owner * gap
-        keys = np.zeros(len(hashes) + len(n) * gap, _U)
+        place = np.arange(len(hashes)) + (owner + 1) * gap
+        keys = np.zeros(len(hashes) + (len(n) + 1) * gap, _U)
         known = self.flags[(hashes >> _U(44)).astype(np.int64)]
         hit = np.flatnonzero(known)
         hit = hit[among(self.vocabulary, np.maximum(hashes[hit], _U(1)))]
@@ -183,12 +203,25 @@ class Items:
             if len(last):
                 tail = known[len(keys)] - known[last] >= size - k
                 starts = np.concatenate([starts, last[tail]])
-            starts = starts[keys[starts] != 0]
+            pieces = samples[0][2] < size
+            if pieces and len(starts):
+                # insertions and deletions before a piece move it, by k words at most
+                near = np.zeros(len(keys) + 1, np.int32)
+                np.add.at(near, np.maximum(starts - k, 0), 1)
+                np.add.at(near, np.minimum(starts + k + 1, len(keys)), -1)
+                starts = np.flatnonzero(np.cumsum(near[:-1]))
+            elif len(starts):
+                starts = starts[keys[starts] != 0]
             if not len(starts):
                 continue
             pairs = []
-            for w, (allowed, ordered) in enumerate(samples):
-                alive, got = sample_keys(keys, starts, size, w, allowed)
+            for w, offset, n_words, allowed, ordered in samples:
+                at_word = starts + offset
+                held = np.flatnonzero((at_word < len(keys)) & (keys[np.minimum(at_word, len(keys) - 1)] != 0))
+                if not len(held):
+                    continue
+                alive, got = sample_keys(keys, at_word[held], n_words, w, allowed)
+                alive = held[alive]
                 if len(alive):
                     lo, hi = np.searchsorted(allowed[-1], got[-1], "left"), np.searchsorted(allowed[-1], got[-1], "right")
                     count = hi - lo
@@ -198,21 +231,39 @@ class Items:
                 continue
             both = np.unique(np.concatenate(pairs))
             start, item = both // len(self.ids), both % len(self.ids)
-            for lo in range(0, len(both), 1 << 15):
-                s, i = start[lo : lo + (1 << 15)], item[lo : lo + (1 << 15)]
-                far, words = edit_distances(keys, s, self.words[i], self.lengths[i], k)
+            step, wide = max(1, (1 << 22) // (size + 4 * k)), max(k, 1)
+            if pieces:
+                both = np.unique(start // wide * len(self.ids) + item)
+                start, item = both // len(self.ids) * wide, both % len(self.ids)
+            for lo in range(0, len(both), step):
+                s, i = start[lo : lo + step], item[lo : lo + step]
+                if pieces:
+                    # the least distance from any start near the piece's, where that ends, and from there back
+                    first = np.maximum(s - wide, 0)
+                    far, words = edit_distances(keys, first, self.words[i], self.lengths[i], k, 3 * wide)
+                    good = far <= self.slack[i]
+                    if not good.any():
+                        continue
+                    i, end = i[good], (first + words)[good]
+                    turned = np.zeros_like(self.words[i])
+                    for r, own in enumerate(i.tolist()):
+                        turned[r, : self.lengths[own]] = self.words[own, : self.lengths[own]][::-1]
+                    far, words = edit_distances(keys[::-1], len(keys) - end, turned, self.lengths[i], k)
+                    s = end - words
+                else:
+                    far, words = edit_distances(keys, s, self.words[i], self.lengths[i], k)
                 good = far <= self.slack[i]
                 found.append(np.stack([s[good], i[good], words[good], far[good]]))
         if not found:
             return none, none, none, none, none
         s, i, words, far = np.concatenate(found, axis=1)
-        text = np.searchsorted(at[:-1] + np.arange(len(n)) * gap, s, "right") - 1
+        text = np.searchsorted(at[:-1] + np.arange(1, len(n) + 1) * gap, s, "right") - 1
         order = np.lexsort((s, far, i, text))
         text, i, s, words, far = text[order], i[order], s[order], words[order], far[order]
         first = np.ones(len(text), bool)
         first[1:] = (text[1:] != text[:-1]) | (i[1:] != i[:-1])
         text, i, s, words, far = text[first], i[first], s[first], words[first], far[first]
-        return text, i, s - (at[text] + text * gap), words, far
+        return text, i, s - (at[text] + (text + 1) * gap), words, far
 
 
 def _ladder(most: int) -> Iterator[int]:
@@ -267,9 +318,11 @@ def find_leaks(
     whole words from it; start and n_words say which words, the closest run, then the first. Words are folded
     (letters and digits, case aside). Candidates come from CGK embeddings: the windows of an item's size (of its
     class of sizes, a tenth apart) at every word are embedded by random walks, a few coordinates of each
-    walk are sampled, and windows whose samples equal an item's are checked by their exact edit distance.
-    There are as many walks as make items at the greatest distance meet their windows with target_recall;
-    exact copies always do. Windows that hold too few of the items' words for any match are never embedded.
+    walk are sampled, and windows whose samples equal an item's are checked by their exact edit distance. Of items
+    of more than 2 * PIECE words pieces all over the item are embedded, and the check finds where a match starts.
+    There are as many walks as make copies with random edits up to the greatest distance meet their items with
+    target_recall, which is measured; exact copies always do. Windows that hold too few of the items' words for any
+    match are never embedded.
 
     Each text is searched where it lies: nothing is shuffled. The benchmark goes to the tasks in blocks of about
     block_bytes, one pass over docs each; where there are several, what each finds is written to the shared folder
