@@ -169,3 +169,25 @@ def test_failed_fit_is_reported(spark, split):
     few = split.where("symbol = 'a'").orderBy("dt").limit(3).withColumn("split", F.lit("test"))
     out = models.arima_predict(few).collect()
     assert out and all(r.predicted is None and r.fit_error for r in out)
+
+
+def test_queries_run_presets(monkeypatch):
+    from tickloom.operators import evaluate, models
+    from tickloom.plans import registry
+
+    asked = []
+    for name in ("fit_predict", "kernel_predict", "network_predict", "arima_predict"):
+        monkeypatch.setattr(models, name, lambda df, *args, _f=name, **kw: asked.append((_f, args, {k for k in kw if k != "ord_"})) or df)
+    monkeypatch.setattr(registry, "_split", lambda s, d: None)
+    monkeypatch.setattr(registry.features, "scaled", lambda df: None)
+    monkeypatch.setattr(registry, "tidy", lambda df: df)
+    for name in ("baseline_predictions", "model_metrics", "leaderboard"):
+        monkeypatch.setattr(evaluate, name, lambda df: df)
+    monkeypatch.setattr(evaluate, "merged", lambda *dfs: None)
+    for name in ("rf_predictions", "svr_rff_predictions", *(f"{n}_predictions" for n in models.BOOSTED), *(f"network_{n}_predictions" for n in models.NETWORKS)):
+        registry.queries()[name](None, "")
+    assert all(not kw and all(isinstance(a, str) for a in args) for _, args, kw in asked), asked
+    alone = {(f, args) for f, args, _ in asked} | {("arima_predict", (n,)) for n in models.ORDERS}
+    asked.clear()
+    registry.queries()["model_zoo_leaderboard"](None, "")
+    assert {(f, args) for f, args, _ in asked} == alone and all(not kw for *_, kw in asked)

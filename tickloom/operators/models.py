@@ -2,7 +2,7 @@
 
 Tree ensembles and random Fourier features are Spark ML estimators over the whole table, so a panel of many
 series is one fit. The network and the autoregression fit each series in a task of its own: bars, not
-ticks, so a series is a bounded group. Presets are the sizes; queries use small ones.
+ticks, so a series is a bounded group. Presets are the sizes, and queries use them.
 """
 
 from __future__ import annotations

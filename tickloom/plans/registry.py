@@ -223,26 +223,29 @@ _add("macd_panel", _over(_frame, views.macd_panel), _of(Q.IND, f"{KEY}, {Q.round
 _add("volume_panel", _over(_frame, views.volume_panel), _of(Q.IND, f"{KEY}, {Q.rounded('volume')}, close >= open AS is_up", _TAIL))
 
 
-# --- models: small presets ---
+# --- models, with their presets ---
 def _modelled(predict: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda s, d: predict(features.scaled(_split(s, d)))
 
 
-_add("rf_predictions", _modelled(lambda df: models.fit_predict(df, "random_forest", trees=8)))
+_add("rf_predictions", _modelled(lambda df: models.fit_predict(df, "random_forest")))
 for _k, _name in enumerate(models.BOOSTED, 1):
-    _add(f"{_name}_predictions", _modelled(lambda df, n=_name, k=_k: models.fit_predict(df, n, trees=3, ord_=k)))
-_add("svr_rff_predictions", _modelled(lambda df: models.kernel_predict(df, 32, ord_=5)))
+    _add(f"{_name}_predictions", _modelled(lambda df, n=_name, k=_k: models.fit_predict(df, n, ord_=k)))
+_add("svr_rff_predictions", _modelled(lambda df: models.kernel_predict(df, ord_=5)))
 for _k, _name in enumerate(models.NETWORKS, 6):
-    _add(f"network_{_name}_predictions", _modelled(lambda df, n=_name, k=_k: models.network_predict(df, n, epochs=2, ord_=k)))
+    _add(f"network_{_name}_predictions", _modelled(lambda df, n=_name, k=_k: models.network_predict(df, n, ord_=k)))
 for _k, _name in enumerate(models.ORDERS, 11):
     _add(f"{_name}_forecast", lambda s, d, n=_name, k=_k: models.arima_predict(_split(s, d), n, ord_=k))
 
 
 def _zoo(spark: SparkSession, d: str) -> DataFrame:
-    """One model of each family, and the closed-form ones, on one leaderboard."""
+    """All models, and the closed-form ones, on one leaderboard."""
     split = _split(spark, d)
     data = features.scaled(split)
-    every = evaluate.merged(evaluate.baseline_predictions(split), models.fit_predict(data, "random_forest", trees=4, ord_=4), models.network_predict(data, "plain_2", epochs=1, ord_=9), models.arima_predict(split, ord_=11))
+    trees = [models.fit_predict(data, n, ord_=k) for k, n in enumerate(("random_forest", *models.BOOSTED), 4)]
+    networks = [models.network_predict(data, n, ord_=k) for k, n in enumerate(models.NETWORKS, 10)]
+    arima = [models.arima_predict(split, n, ord_=k) for k, n in enumerate(models.ORDERS, 15)]
+    every = evaluate.merged(evaluate.baseline_predictions(split), *trees, models.kernel_predict(data, ord_=9), *networks, *arima)
     return tidy(evaluate.leaderboard(evaluate.model_metrics(every)))
 
 
