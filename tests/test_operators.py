@@ -191,3 +191,24 @@ def test_queries_run_presets(monkeypatch):
     asked.clear()
     registry.queries()["model_zoo_leaderboard"](None, "")
     assert {(f, args) for f, args, _ in asked} == alone and all(not kw for *_, kw in asked)
+
+
+def test_seasonal_arima_has_seasonal_terms():
+    from tickloom.operators import models
+
+    assert models._lags(2, 1, 5) == [1, 2, 5, 6, 7] and models._lags(5, 0, 0) == [1, 2, 3, 4, 5]
+    rng = np.random.default_rng(3)
+    v, e = np.zeros(3000), rng.normal(size=3000)
+    for t in range(5, 3000):
+        v[t] = 0.6 * v[t - 5] + e[t]
+    (p, d, q), season, seasonal = models.ORDERS["seasonal_arima"]
+    ar, ma, *_ = models._arma(v, models._lags(p, seasonal[0], season), [])
+    assert abs(ar[2] - 0.6) < 0.06 and abs(ar[[0, 1, 3, 4]]).max() < 0.06
+    x = v
+    for _ in range(d):
+        x = np.cumsum(x)
+    whole = np.concatenate([np.zeros(season), x])
+    for t in range(season, len(whole)):
+        whole[t] += whole[t - season]
+    one = [abs(models.arima_forecast(whole[:n], 1, p, d, q, season, s)[0] - whole[n]) for s in ((0, 0), seasonal) for n in range(2000, 2060)]
+    assert np.mean(one[60:]) < np.mean(one[:60])

@@ -145,25 +145,35 @@ def network_predict(scaled: DataFrame, name: str = "plain_2", epochs: int | None
     return _by_series(scaled.select(s.key, s.order, "split", "target", *names), fit, name, "DL", ord_, s)
 
 
-def _arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """(ar, ma, constant, residuals) by Hannan-Rissanen: residuals of a long autoregression stand in for the shocks."""
-    def lags(v: np.ndarray, n: int, start: int) -> list[np.ndarray]:
-        return [v[start - j : len(v) - j] for j in range(1, n + 1)]
+def _lags(n: int, seasonal: int, season: int) -> list[int]:
+    """The lags of a polynomial of n terms times a seasonal one."""
+    return sorted({j + season * k for k in range(seasonal + 1) for j in range(n + 1)} - {0})
 
-    long = min(len(x) // 4, max(p, q) + 10)
+
+def _arma(x: np.ndarray, p: list[int], q: list[int]) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(ar, ma, constant, residuals) of the lags p and q by Hannan-Rissanen: residuals of a long autoregression stand in
+    for the shocks. Coefficients of product lags are free."""
+    def lags(v: np.ndarray, of: list[int] | range, start: int) -> list[np.ndarray]:
+        return [v[start - j : len(v) - j] for j in of]
+
+    most_p, most_q = max(p, default=0), max(q, default=0)
+    long = min(len(x) // 4, max(most_p, most_q) + 10)
     if long < 1:
         raise ValueError("the series is too short")
-    design = np.column_stack([np.ones(len(x) - long), *lags(x, long, long)])
+    design = np.column_stack([np.ones(len(x) - long), *lags(x, range(1, long + 1), long)])
     beta, *_ = np.linalg.lstsq(design, x[long:], rcond=None)
     shocks = np.concatenate([np.zeros(long), x[long:] - design @ beta])
-    start = long + q
+    start = max(long + most_q, most_p)
+    if start >= len(x):
+        raise ValueError("the series is too short")
     design = np.column_stack([np.ones(len(x) - start), *lags(x, p, start), *lags(shocks, q, start)])
     beta, *_ = np.linalg.lstsq(design, x[start:], rcond=None)
-    return beta[1 : 1 + p], beta[1 + p :], float(beta[0]), shocks
+    return beta[1 : 1 + len(p)], beta[1 + len(p) :], float(beta[0]), shocks
 
 
-def arima_forecast(x: np.ndarray, steps: int, p: int, d: int, q: int, season: int = 0) -> np.ndarray:
-    """The next values of x by an ARIMA(p, d, q), after one seasonal difference if season is given."""
+def arima_forecast(x: np.ndarray, steps: int, p: int, d: int, q: int, season: int = 0, seasonal: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """The next values of x by an ARIMA(p, d, q), after one seasonal difference if season is given, with seasonal AR
+    and MA terms."""
     parts, v = [], x
     if season:
         parts.append((season, v[-season:]))
@@ -171,10 +181,11 @@ def arima_forecast(x: np.ndarray, steps: int, p: int, d: int, q: int, season: in
     for _ in range(d):
         parts.append((1, v[-1:]))
         v = np.diff(v)
-    ar, ma, constant, shocks = _arma(v, p, q)
-    past, noise, out = v[::-1][: max(p, 1)].tolist(), shocks[::-1][: max(q, 1)].tolist(), []
+    ps, qs = _lags(p, seasonal[0], season), _lags(q, seasonal[1], season)
+    ar, ma, constant, shocks = _arma(v, ps, qs)
+    past, noise, out = v[::-1][: max(ps, default=1)].tolist(), shocks[::-1][: max(qs, default=1)].tolist(), []
     for _ in range(steps):
-        nxt = constant + float(np.dot(ar, past[:p])) + float(np.dot(ma, noise[:q]))
+        nxt = constant + float(np.dot(ar, [past[j - 1] for j in ps])) + float(np.dot(ma, [noise[j - 1] for j in qs]))
         nxt = float(np.clip(nxt, -1e12, 1e12))
         out.append(nxt)
         past, noise = [nxt, *past], [0.0, *noise]
@@ -187,18 +198,18 @@ def arima_forecast(x: np.ndarray, steps: int, p: int, d: int, q: int, season: in
     return done
 
 
-#: Orders (p, d, q) and season of the price models. Fixed values.
-ORDERS = {"arima": ((5, 1, 2), 0), "seasonal_arima": ((2, 1, 2), 5)}
+#: Orders (p, d, q), season and seasonal terms (AR, MA) of the price models. Fixed values.
+ORDERS = {"arima": ((5, 1, 2), 0, (0, 0)), "seasonal_arima": ((2, 1, 2), 5, (1, 1))}
 
 
 def arima_predict(split: DataFrame, name: str = "arima", ord_: int = 0, s: Series = S) -> DataFrame:
     """Returns implied by a price forecast over each series' test rows, of a model of its train prices alone."""
-    (p, d, q), season = ORDERS[name]
+    (p, d, q), season, seasonal = ORDERS[name]
 
     def fit(group: pd.DataFrame) -> np.ndarray:
         test = (group["split"] == "test").to_numpy()
         price = group["close"].to_numpy(float)
-        path = np.concatenate([price[~test][-1:], arima_forecast(price[~test], int(test.sum()), p, d, q, season)])
+        path = np.concatenate([price[~test][-1:], arima_forecast(price[~test], int(test.sum()), p, d, q, season, seasonal)])
         with np.errstate(divide="ignore", invalid="ignore"):
             change = path[1:] / path[:-1] - 1
         return np.where(np.isfinite(change), change, np.nan)
