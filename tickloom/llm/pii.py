@@ -29,7 +29,7 @@ PATTERNS = {
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = r"^(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? "
 #: What any entity holds.
-_HINT = r"[0-9@=:]|(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? \p{Lu}"
+_HINT = r"[0-9@=:]|AKIA|ASIA|(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? \p{Lu}"
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
