@@ -109,6 +109,10 @@ def quality_rules(
     (see host_line_removals) are taken away, less than min_left of its words are left: it is depleted.
     removed_words is what those lines hold.
 
+    Boilerplate that is left: lines of fewer than min_docs documents of a host, so all of hosts with fewer documents
+    than that, and lines of at most max_share of a host's documents, however many these are. A line near that share
+    everywhere is removed for some hosts and kept for others. How many documents other shares reject isn't measured.
+
     Null or empty text has no word: base_failed. Equal rows get equal results, but each counts as a
     document of its host. A null host is a host. Columns of the names above are replaced; others pass.
     """
