@@ -491,3 +491,62 @@ def test_near_stage_keeps_one_of_each_group(spark):
     rows = [(5, t), (2, t.upper()), (2, t.upper()), (9, t + " more"), (4, "another text altogether, of few words"), (6, None)]
     out = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in out.collect()) == [2, 4, 6]
+
+
+# --- pieces whose hashes collide ---
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+COLLIDING = [w for n in (1024, 4096) for t in [thue_morse(n)] for w in (t, t.translate(str.maketrans("ab", "ba")))]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_ids_of_words_that_polynomials_confuse(spark, order, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.byte_bpe import decode_bpe, encode_bpe, public_ranks
+    from tickloom.llm.token_files import read_token_files, write_token_files
+
+    rows, enc = COLLIDING[::order], _tiktoken()
+    out = decode_bpe(encode_bpe(texts(spark, rows).coalesce(1), *public_ranks()), public_ranks()[0]).collect()
+    assert {r.doc_id: (list(r.ids), bytes(r.decoded).decode()) for r in out} == {i: (enc.encode_ordinary(t), t) for i, t in enumerate(rows)}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    read = read_token_files(write_token_files(texts(spark, rows), str(tmp_path / "t"), path, 2, files=1)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids_le, "<u4").tolist() for r in read} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(rows)}
+
+
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_pieces_of_one_hash_have_their_own_ids(bits):
+    from tickloom.llm.piece_memo import PieceMemo
+    from tickloom.llm.word_hashes import span_hashes
+
+    rng = np.random.default_rng(bits)
+    memo = PieceMemo(16, 4000)
+    for turn in range(6):
+        pieces = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.choice([1, 2, 3, 9, 17, 600], 40)]
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        starts = ends - [len(p) for p in pieces]
+        hashes = span_hashes(raw, starts, ends) & np.uint64((1 << bits) - 1)
+        entry = memo.entries(hashes, raw, starts, ends, lambda some: [np.frombuffer(p, np.uint8).astype(np.uint32) for p in some])
+        flat, counts = memo.ids(entry, starts, np.append(starts, len(raw)))
+        assert flat.tolist() == raw.tolist() and counts.tolist() == [len(p) for p in pieces], turn
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.token_files import WordEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, rows = Tokenizer.from_file(path), ["Some Words, 1234 of them\n\n and  don't", None, "", "ÀÉ"]
+    e = WordEncoder(path)
+    ids, counts = e.encode(pa.array(rows))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in rows]
+    assert not e.by_pieces and ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+    assert WordEncoder(public_tokenizers.path("word_bpe_49k.json")).by_pieces

@@ -49,9 +49,11 @@ _BACK = pow(_STEP, -1, 1 << 64)
 
 
 def run_hashes(words: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The hash of each run of words, by its start and length."""
+    """The hash of each run of four words or more, by its start and length: of its 4-grams, which leaves alternating words
+    no pattern under which sums modulo a power of two cancel."""
+    words, length = gram_hashes(words, 4), length - 3
     n = len(words)
     up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(max(0, n - 1), b, _U)])) for b in (_STEP, _BACK))
     total = np.zeros(n + 1, _U)
     np.cumsum(words * up[:n], out=total[1:])
-    return mix((total[first + length] - total[first]) * down[first] + length.astype(_U))
+    return mix((total[first + length] - total[first]) * down[first] + length.astype(_U)) if len(first) else np.zeros(0, _U)

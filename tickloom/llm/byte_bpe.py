@@ -179,7 +179,7 @@ class Encoder:
     No match of the pattern reaches over a single white space character followed by a non-space but for
     the space that starts it. So a text without two white space characters in a row is the
     concatenation of its lines' chunks ("word" at a line's start, " word" elsewhere), and each chunk
-    is encoded once and remembered by its hash. Other texts are matched whole.
+    is encoded once and remembered. Other texts are matched whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -226,16 +226,9 @@ class Encoder:
             ends = np.append(starts[1:], len(raw))
             own = chunked[np.searchsorted(at, starts, "right") - 1]
             starts, ends = starts[own], ends[own]
-            hashes = np.maximum(span_hashes(raw, starts, ends), np.uint64(1))
-            fresh, where = self.memo.unknown(hashes)
-            if len(fresh):
-                data = raw.tobytes()
-                for lo in range(0, len(fresh), 50_000):
-                    some = where[lo : lo + 50_000]
-                    split = [self.find(data[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-                    self.memo.remember(fresh[lo : lo + 50_000], self._ids(split))
-            if len(hashes):
-                flat, counts = self.memo.ids(hashes, starts, at)
+            if len(starts):
+                learn = lambda pieces: self._ids([self.find(p.decode("utf-8", "surrogatepass")) for p in pieces])
+                flat, counts = self.memo.ids(self.memo.entries(span_hashes(raw, starts, ends), raw, starts, ends, learn), starts, at)
         if whole:
             parts = np.split(flat, np.cumsum(counts)[:-1])
             for i, ids in zip(whole, self._ids([self.find(strings[i]) for i in whole]), strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import accumulate
@@ -20,7 +21,17 @@ from .word_hashes import MARKS, SPACES, buffer_of, fold_ascii, span_hashes, turn
 #: Entries of a worker's memo of pieces; it starts anew when full, so its memory is bounded.
 _MEMO = 1 << 20
 _WORD_ENDS = "</w>"
-_U = np.uint64
+# The tokenizer file's parts under which texts may be encoded by pieces.
+_NORMALIZERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTERS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: A file holds about so many bytes of text, and no more than about so many documents.
+FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 
 # Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 other marks.
 _byte = np.arange(256)
@@ -30,12 +41,13 @@ _ODD = (_byte == 0x27) | (_byte == 0x3C) | ((_byte < 32) & ~SPACES) | (_byte ==
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library whose tokens never hold white space.
+    """Encodes texts with a tokenizer of the tokenizers library.
 
-    Such a tokenizer lower-cases, and its ids of a text are those of its runs of letters, its digits and its
-    runs of other marks, one after another. So each such piece is encoded once and remembered by its hash,
+    One whose file has the normalizers and splitters of _NORMALIZERS and _SPLITTERS, ends of words and no special token
+    with white space lower-cases, and its ids of a text are those of its runs of letters, its digits and its
+    runs of other marks, one after another. So each such piece is encoded once and remembered,
     and texts are put together from pieces. A word with anything else in it (letters beyond Latin-1, quotes,
-    control characters, what may be a special token) is one piece, as it is.
+    control characters, what may be a special token) is one piece, as it is. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -43,13 +55,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        added = [t["content"] for t in made.get("added_tokens") or []]
+        self.by_pieces = (
+            made.get("normalizer") == _NORMALIZERS and made.get("pre_tokenizer") == _SPLITTERS and made["model"].get("type") == "BPE" and made["model"].get("end_of_word_suffix") == _WORD_ENDS
+            and not made["model"].get("dropout") and not made.get("truncation") and not made.get("padding")
+            and all(t.startswith("<") and not any(c.isspace() for c in t) for t in added) and not any(t.get("lstrip") or t.get("rstrip") for t in made.get("added_tokens") or [])
+        )
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(_WORD_ENDS)
         self.memo = PieceMemo(_MEMO)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> list[np.ndarray]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         parts: list[np.ndarray | None] = [None] * len(texts)
         words = [i for i, t in enumerate(texts) if t.isalpha() and t.isascii() or t.isalpha() and max(t) < "\u0100"]
@@ -66,22 +86,24 @@ class WordEncoder:
         rest = [i for i, p in enumerate(parts) if p is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             parts[i] = np.array(e.ids, np.uint32)
-        self.memo.remember(hashes, parts)
+        return parts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
         raw, at = buffer_of(texts)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        hashes, starts, ends = self._pieces(raw, at)
-        fresh, where = self.memo.unknown(hashes)
-        if len(fresh):
-            whole = raw.tobytes()
-            self._learn(fresh, [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        return self.memo.ids(hashes, starts, at)
+        if not self.by_pieces:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        own, starts, ends = self._pieces(raw, at)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        return self.memo.ids(self.memo.entries(span_hashes(own, starts, ends), own, starts, ends, self._learn, raw), starts, at)
 
     @staticmethod
     def _pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(raw with A-Z in lower case but for words that are one piece, where pieces start, where they end)."""
         kind, own = _KIND[raw], fold_ascii(raw)
         high = raw >= 0x80
         odd = _ODD[raw]
@@ -111,9 +133,7 @@ class WordEncoder:
         turn[edge] = True
         cuts = np.flatnonzero(turn)
         solid = kind[cuts] != 0
-        starts, ends = cuts[solid], np.append(cuts[1:], len(raw))[solid]
-        hashes = span_hashes(own, starts, ends) ^ (kind[starts] == 4).astype(_U)
-        return np.maximum(hashes, _U(1)), starts, ends
+        return own, cuts[solid], np.append(cuts[1:], len(raw))[solid]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -130,13 +150,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     The rows are dealt out by ranges of id (ties by a hash of the text), so file k holds smaller ids than file k + 1; each
     task encodes and writes its range as a stream. A file is written under a task's own name and then
-    renamed, so a task that runs again leaves one whole file. The folder must be one that all
+    renamed, so a task that runs again leaves one whole file. There are as many files as bytes and documents ask for
+    (FILE_BYTES, FILE_DOCS), unless `files` says how many. The folder must be one that all
     executors share. end_id, if any, is appended to each document. Null text counts as empty; null ids come
     first, and rows of one id are in the order of their texts' hashes. The manifest, one row a file: file, path, n_docs,
     n_ids and start, the ids of all files before it.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(quoted(text_col))), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+        small = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["size"] // (4 << 20)))  # a small table may still use all cores
+        files = max(1, small, -(-size["size"] // FILE_BYTES), -(-size["n"] // FILE_DOCS))
     rows = docs.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     # the bounds of the ranges pass through the driver: ids and hashes, not texts
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(0, _U), np.ones(0, _U)]
 #: Bytes that are hashed at a time; a longer text makes its own, longer turn.
 TURN = 1 << 20
 
@@ -31,17 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1B54A32D192ED03))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, b, _U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: The low bytes of a word of eight, by how many are wanted.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Spans of more bytes are hashed one by one.
+_LONG = 512
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +50,46 @@ def fold_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw on as a number; past the end there are zeros."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", padded.data, 0, (1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of raw[start:end] for each pair."""
-    up, down = _power(max(TURN, len(raw)))
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_TABLE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
+    """The hash of raw[start:end] for each pair, the same on every machine.
+
+    Eight bytes at a time are mixed in, so spans of one length of up to eight bytes never collide, and there is no algebra
+    by which longer ones do, as there is with polynomials modulo a power of two. Very long spans go by blake2b.
+    """
+    words = eights(raw)
+    size = ends - starts
+    out = mix(size.astype(_U) + _U(0x9E3779B97F4A7C15))
+    at, left, on = starts, size, np.flatnonzero(size <= _LONG)
+    if len(on) < len(size):
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        at, left = at[on], left[on]
+    while len(on):
+        out[on] = mix(out[on] ^ (words[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_spans(raw: np.ndarray, starts: np.ndarray, pool: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether raw and pool hold the same bytes from the places on, as many as sizes say."""
+    here, there = eights(raw), eights(pool)
+    out, on, done = np.ones(len(starts), bool), np.flatnonzero(sizes <= _LONG), 0
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[i] = np.array_equal(raw[starts[i] : starts[i] + sizes[i]], pool[others[i] : others[i] + sizes[i]])
+    while len(on):
+        differ = (here[starts[on] + done] ^ there[others[on] + done]) & _LOW_BYTES[np.minimum(sizes[on] - done, 8)] != 0
+        out[on[differ]] = False
+        on = on[~differ & (sizes[on] - done > 8)]
+        done += 8
+    return out
 
 
 def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +97,7 @@ def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.
 
     Words are runs of anything but ASCII white space, as they are; with fold, of anything but ASCII
     marks and white space, with A-Z and the capitals of Latin-1 as small letters. Equal words have equal hashes
-    on every machine; others differ but for a chance of 2**-64 a pair.
+    on every machine; others differ but for a chance of about 2**-64 a pair.
     """
     raw, at = buffer_of(texts)
     bounds = np.zeros(len(texts) + 1, np.int64)
@@ -123,9 +148,8 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, _U)
     out = np.zeros(n, _U)
     for j in range(k):
-        out *= _U(0x9FB21C651E98DF25)
-        out += words[j : j + n]
-    return mix(out)
+        out = mix((out ^ words[j : j + n]) + _U(0x9FB21C651E98DF25))
+    return out
 
 
 def turns(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
