@@ -550,3 +550,25 @@ def test_another_tokenizer_encodes_whole_texts():
     want = [t.encode(x or "", add_special_tokens=False).ids for x in rows]
     assert not e.by_pieces and ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
     assert WordEncoder(public_tokenizers.path("word_bpe_49k.json")).by_pieces
+
+
+def test_repeated_rows_are_one_document_of_the_host(spark):
+    from collections import Counter
+
+    from tickloom.llm.quality_rules import quality_rules
+
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"l{k}w{i}" for i in range(3 + k % 9)) for k in range(12)]
+    rows = []
+    for d in range(60):
+        own = [lines[k] for k in np.flatnonzero(rng.random(12) < 0.35)] + [" ".join(f"d{d}w{i}" for i in range(int(rng.integers(5, 30))))]
+        rows += [(d if d % 7 else None, "\n".join(own), ["h", "g", None][d % 3])] * int(rng.choice([1, 1, 25]))
+    docs = set(rows)
+    n_docs, held = Counter(h for _, _, h in docs), Counter((h, x) for _, t, h in docs for x in set(t.split("\n")))
+    want = {}
+    for d in docs:
+        gone = sum(len(x.split()) for x in d[1].split("\n") if held[d[2], x] >= 5 and held[d[2], x] > 0.3 * n_docs[d[2]])
+        want[d] = (gone, len(d[1].split()) >= 20 and len(d[1].split()) - gone >= 0.5 * len(d[1].split()))
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), min_docs=5, max_share=0.3, min_left=0.5, max_repeat_percent=100).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter(rows)
+    assert {(r.doc_id, r.text, r.source): (r.removed_words, r.kept) for r in out} == want and {k for _, k in want.values()} == {True, False}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -20,11 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is
+    set, a local session (tests) makes one of its own, and a cluster's raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get()
@@ -82,7 +84,3 @@ def join_hashed(many: DataFrame, few: DataFrame, h1: str, h2: str, how: str = "i
     few = few.withColumnsRenamed({h1: "_few_1", h2: "_few_2"})
     on = (many[h1] == few["_few_1"]) & (many[h2].bitwiseXOR(few["_few_2"]) == 0)
     return many.join(few, on, how).drop("_few_1", "_few_2")
-
-
-def plain_dir(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, quoted, read_table
+from .common import cut, join_hashed, key2, quoted, read_table
 from .word_hashes import gram_hashes, mix, turns, word_hashes
 
 _U = np.uint64
@@ -284,8 +284,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = rank.join(labels, "node", "left").select("node", F.coalesce(F.col("label.rep"), F.col("rep")).alias("rep"), F.coalesce(F.col("label.node"), F.col("node")).alias("root"))
     classed = some.select("id", "node").join(classes, "node")
-    counts = classed.groupBy("root").agg(F.count("*").alias("n_in_class")).withColumnRenamed("root", "r")
-    classed = classed.join(counts, F.col("root") == F.col("r")).select("id", F.when(F.col("rep") != _LAST, F.col("rep")).alias("class_id"), "n_in_class", (F.col("id") == F.col("rep")).alias("first"))
+    h1, h2 = key2(F.col("root"))
+    classed = classed.withColumns({"h1": h1, "h2": h2})
+    counts = classed.groupBy("h1", "h2").agg(F.count("*").alias("n_in_class"))
+    classed = join_hashed(classed, counts, "h1", "h2").select("id", F.when(F.col("rep") != _LAST, F.col("rep")).alias("class_id"), "n_in_class", (F.col("id") == F.col("rep")).alias("first"))
     alone = signed.where(F.col("node").isNull()).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_in_class"), F.lit(True).alias("first"))
     return classed.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "n_in_class")
 

@@ -66,27 +66,34 @@ def text_stats(docs: DataFrame, text_col: str = "text", *, window: int = 8) -> D
 def host_line_removals(docs: DataFrame, id_col: str, text_col: str, host_col: str, *, min_chars: int, min_docs: int, max_share: float) -> DataFrame:
     """A row (r1, r2, removed_words) for each document that has lines above its host's limits.
 
-    r1, r2: hashes of id and text. A line's key is the line stripped of ASCII white space with A-Z
-    in lower case. It is above the limits if at least min_docs of the host's documents, and more than
-    max_share of them, have it. Each document counts once for a line; counts combine before the
-    shuffle. A null host is a host of its own.
+    r1, r2: document_key, so rows of equal id, host and text are one document. A line's key is the line stripped of ASCII
+    white space with A-Z in lower case. It is above the limits if at least min_docs of the host's distinct documents, and
+    more than max_share of them, have it. Only hashes of lines and documents are shuffled; a hot line's documents
+    are told apart first, dealt out by both, and then counted in each task. A null host is a host of its own.
     """
     text = F.coalesce(quoted(text_col), F.lit(""))
-    k1, k2 = key2(quoted(id_col), text)
+    k1, k2 = document_key(id_col, text_col, host_col)
     host = F.coalesce(quoted(host_col).cast("string"), F.lit(_NO_HOST))
     base = docs.select(k1.alias("r1"), k2.alias("r2"), host.alias("host"), text.alias("body"))
-    lines = base.select("r1", "r2", "host", F.explode(F.split("body", "\n", -1)).alias("line"))
+    lines = base.select("r1", "r2", "host", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("norm", lower_ascii(strip_ascii(F.col("line")))).where(F.char_length("norm") >= min_chars)
     h1, h2 = key2(F.col("host"), F.col("norm"))
-    lines = lines.select("r1", "r2", "host", h1.alias("h1"), h2.alias("h2"), F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", WS_RUN, -1))).alias("words"))
+    lines = lines.select("r1", "r2", "pos", h1.alias("h1"), h2.alias("h2"), F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", WS_RUN, -1))).alias("words"))
 
     each = F.array_distinct(F.transform(F.split("body", "\n", -1), lambda x: lower_ascii(strip_ascii(x))))
-    once = base.select("host", F.explode(each).alias("norm")).where(F.char_length("norm") >= min_chars)
+    once = base.select("host", "r1", F.explode(each).alias("norm")).where(F.char_length("norm") >= min_chars)
     h1, h2 = key2(F.col("host"), F.col("norm"))
-    counts = once.groupBy(h1.alias("h1"), h2.alias("h2"), "host").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    hosts = base.groupBy("host").agg(F.count("*").alias("n_docs"))
+    once = once.select("host", "r1", h1.alias("h1"), h2.alias("h2")).distinct()
+    counts = once.groupBy("h1", "h2", "host").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    hosts = base.select("host", "r1", "r2").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
     above = counts.join(hosts, "host").where(F.col("n") > max_share * F.col("n_docs")).select("h1", "h2")
-    return join_hashed(lines, above, "h1", "h2").groupBy("r1", "r2").agg(F.sum("words").alias("removed_words"))
+    found = join_hashed(lines, above, "h1", "h2").groupBy("r1", "r2").agg(F.collect_set(F.struct("pos", "words")).alias("gone"))
+    return found.select("r1", "r2", F.aggregate("gone", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("removed_words"))
+
+
+def document_key(id_col: str, text_col: str, host_col: str) -> tuple[Column, Column]:
+    """128 bits that stand for a document: its id, host and text."""
+    return key2(quoted(id_col), quoted(host_col), F.coalesce(quoted(text_col), F.lit("")))
 
 
 def quality_rules(
@@ -113,14 +120,14 @@ def quality_rules(
     than that, and lines of at most max_share of a host's documents, however many these are. A line near that share
     everywhere is removed for some hosts and kept for others. How many documents other shares reject isn't measured.
 
-    Null or empty text has no word: base_failed. Equal rows get equal results, but each counts as a
-    document of its host. A null host is a host. Columns of the names above are replaced; others pass.
+    Null or empty text has no word: base_failed. Equal rows get equal results and are one
+    document of their host. A null host is a host. Columns of the names above are replaced; others pass.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
     docs = docs.select(*(quoted(c) for c in docs.columns if c not in new))
     p = prefix_for(docs)
     gone = host_line_removals(docs, id_col, text_col, host_col, min_chars=min_chars, min_docs=min_docs, max_share=max_share)
-    k1, k2 = key2(quoted(id_col), F.coalesce(quoted(text_col), F.lit("")))
+    k1, k2 = document_key(id_col, text_col, host_col)
     stats = text_stats(docs.withColumns({f"{p}a": k1, f"{p}b": k2}), text_col)
     gone = gone.withColumnsRenamed({"r1": f"{p}a", "r2": f"{p}b", "removed_words": f"{p}gone"})
     out = stats.join(gone, [f"{p}a", f"{p}b"], "left")
@@ -163,7 +170,7 @@ lines AS (
   FROM lines
 ), above AS (
   SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM keyed WHERE length(k) >= 10 GROUP BY source, k)
-  JOIN (SELECT source, count(*) AS n_docs FROM documents GROUP BY source) USING (source)
+  JOIN (SELECT source, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY source) USING (source)
   WHERE n >= 20 AND n > 0.1 * n_docs
 ), gone AS (
   SELECT doc_id, sum(len(regexp_extract_all(k, '[^\x20\x09-\x0D]+')))::BIGINT AS n FROM keyed JOIN above USING (source, k) GROUP BY doc_id
