@@ -32,12 +32,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each class of near copies stays; of equal rows, one does.
 
-    Documents without words are classes of their own. Rows of one id and different texts are judged by
+    Texts without words, such as copies whose lines all went, are one class. Rows of one id and different texts are judged by
     their id: all stay if any does.
     """
     p = prefix_for(docs)
+    word = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}\p{M}]"), F.lit(False))
+    least = docs.where(~word).agg(F.min("doc_id")).first()[0]
     first = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(f"{p}id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(f"{p}id")), "left_semi")
+    kept = docs.where(word | F.col("doc_id").eqNullSafe(F.lit(least))).join(first, F.col("doc_id").eqNullSafe(F.col(f"{p}id")), "left_semi")
     h1, h2 = key2(F.col("text"))
     return kept.withColumns({f"{p}1": h1, f"{p}2": h2}).dropDuplicates(["doc_id", f"{p}1", f"{p}2"]).select(*docs.columns)
 

@@ -572,3 +572,27 @@ def test_repeated_rows_are_one_document_of_the_host(spark):
     out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), min_docs=5, max_share=0.3, min_left=0.5, max_repeat_percent=100).collect()
     assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter(rows)
     assert {(r.doc_id, r.text, r.source): (r.removed_words, r.kept) for r in out} == want and {k for _, k in want.values()} == {True, False}
+
+
+# --- folding, short items, blocks ---
+def test_leaks_of_any_script_and_size(spark):
+    from tickloom.llm.decontaminate import find_leaks
+
+    items = ["数学题目的答案是什么", "Который сейчас ЧАС в Москве", "two words", "lonelyword", "«Ποιος» είναι ο ΠΡΩΤΟΣ;", "ภาษาไทยไม่มีช่องว่าง", "He said: “it's over” — and left the room"]
+    docs = ["前文数学题目的答案是什么呢", "и вот который СЕЙЧАС час в москве, а", "some Two, words here", "a lonelyword", "ποιος είναι ο πρωτος", "กขภาษาไทยไม่มีช่องว่างค", "he said it's over and left the room", "two other words, lonely word"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = texts(spark, docs).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    one = {r.doc_id: [x.asDict() for x in r.leaks] for r in find_leaks(rows, bench).collect()}
+    assert [[x["item_id"] for x in one[i]] for i in range(len(docs))] == [[i] for i in range(7)] + [[]]
+    for size in (60, 200):
+        some = {r.doc_id: [x.asDict() for x in r.leaks] for r in find_leaks(rows, bench, block_bytes=size).collect()}
+        assert some == one, size
+
+
+def test_leaks_are_the_same_whatever_the_block(spark, small):
+    from tickloom.llm.decontaminate import find_leaks
+
+    docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    bench = bench.unionByName(bench.limit(3))
+    one, some = ({(r.doc_id, tuple(map(tuple, sorted(r.leaks)))) for r in find_leaks(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 3000))
+    assert one == some and any(x for _, x in one)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ BLOCK_BYTES = 1 << 20
 SAMPLED = 3
 #: Words of a piece: items of more than twice as many are looked for by pieces.
 PIECE = 24
-#: Edited copies that the recall is measured over, for each class of sizes, at least.
+#: Edited copies that the recall is measured over, for each class of sizes.
 _COPIES = 1500
 #: An item's words in at least this share of the items are common.
 _COMMON = 0.03
@@ -95,11 +97,62 @@ def edit_distances(keys: np.ndarray, starts: np.ndarray, items: np.ndarray, leng
     return final[np.arange(len(starts)), best], best
 
 
+def _pieces(size: int) -> tuple[int, list[int]]:
+    """How many words a class's samples are of, and where in an item they start, in the order in which they are used."""
+    words = PIECE if size > 2 * PIECE else size
+    offsets = np.arange(0, size - words + 1, words)
+    return words, offsets[np.argsort(mix(offsets.astype(_U) + _U(1)), kind="stable")].tolist()
+
+
+@functools.cache
+def walks_for(size: int, k: int, target_recall: float) -> int:
+    """How many walks make copies of items of `size` words with k random edits meet them with target_recall: walks are
+    added until of _COPIES copies, of different words, that share and two standard errors of it more meet by some walk.
+
+    It is measured at the least size and the most edits of the class, which are the hardest. What items a benchmark has
+    doesn't matter, so that neither other items nor blocks change what is found.
+    """
+    rng = np.random.default_rng(size)
+    words, offsets = _pieces(size)
+    base = mix(np.arange(1, _COPIES * (size + 1) + 1, dtype=_U)) | _U(1)
+    flat = base.reshape(_COPIES, size + 1)
+    flat[:, size] = 0
+    starts = np.arange(_COPIES) * (size + 1)
+    copies = [edited(own[:size], k, rng) for own in flat]
+    kept = []
+    for own, copy in zip(flat, copies, strict=True):
+        place = {w: i for i, w in enumerate(own[:size].tolist())}
+        hit = [(place[w], i) for i, w in enumerate(copy.tolist()) if w in place]
+        kept.append(([a for a, _ in hit], [b for _, b in hit]))
+    other, others = Items._flat(_padded(copies), np.zeros(0, np.int64))
+    # where in a copy the first word from an offset on stands that it still has
+    at = {o: others + [b[min(bisect_left(a, o), len(b) - 1)] if o and b else 0 for a, b in kept] for o in offsets}
+    enough = min(1.0, target_recall + 2 * (target_recall * (1 - target_recall) / _COPIES) ** 0.5)
+    met, w = np.zeros(_COPIES, bool), 0
+    while w < 2 or met.mean() < enough:
+        o, left = offsets[w % len(offsets)], np.flatnonzero(~met)
+        met[left] = sample_keys(flat.reshape(-1), starts[left] + o, words, w)[1][-1] == sample_keys(other, at[o][left], words, w)[1][-1]
+        w += 1
+    return w
+
+
+def _padded(lists: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(lists), max(map(len, lists), default=1)), _U)
+    for i, x in enumerate(lists):
+        out[i, : len(x)] = x
+    return out
+
+
+def _next(size: int) -> int:
+    """The size of the next class of windows: a tenth more."""
+    return max(size + 1, size * 11 // 10)
+
+
 class Items:
     """A block of benchmark items, ready to be looked for: their words' keys, and for each class of sizes the
     keys of their samples. Made on the driver; its size is bounded by that of the block."""
 
-    def __init__(self, ids: list, texts: list[str], max_share: float, target_recall: float, min_words: int):
+    def __init__(self, ids: list, texts: list[str], max_share: float, target_recall: float, min_words: int = 1):
         hashes, at = word_hashes(pa.array(texts, pa.string()), fold=True)
         hashes = np.maximum(hashes, _U(1))
         lists = [hashes[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -119,46 +172,19 @@ class Items:
         own = sizes[np.searchsorted(sizes, self.lengths, "right") - 1] if words else np.zeros(0, np.int64)
         for size in np.unique(own).tolist():
             here = np.flatnonzero(own == size)
-            k = int(self.slack[here].max())
             rare = int(np.isin(self.words[here, :size], self.rare).sum(axis=1).min())
-            self.classes.append((size, k, rare - k, here, self._samples(here, size, target_recall)))
+            k = int((_next(size) - 1) * max_share)  # of any item of the class, so that other items change nothing
+            self.classes.append((size, k, rare - k, here, self._samples(here, size, walks_for(size, k, target_recall))))
 
-    def _samples(self, here: np.ndarray, size: int, target_recall: float) -> list[tuple[int, int, int, list[np.ndarray], np.ndarray]]:
+    def _samples(self, here: np.ndarray, size: int, walks: int) -> list[tuple[int, int, int, list[np.ndarray], np.ndarray]]:
         """(walk, offset, words) of each sample, the sorted keys of the items' samples up to each coordinate, and the
-        items in the last one's order. The words are the item's, or one piece after the other of a long item.
-
-        Samples are added until those made so far meet target_recall of edited copies, of items drawn evenly, at the
-        greatest distance: by two standard errors of that share more.
-        """
+        items in the last one's order. The words are the item's, or one piece after the other of a long item."""
         flat, starts = self._flat(self.words[here], self.lengths[here])
-        rng = np.random.default_rng(size)
-        long = size > 2 * PIECE
-        words = PIECE if long else size
-        offsets = np.arange(0, size - words + 1, words)
-        offsets = offsets[np.argsort(mix(offsets.astype(_U) + _U(1)), kind="stable")].tolist()
-        copies = max(1, min(-(-_COPIES // len(here)), 1 + (1 << 23) // int(self.lengths[here].sum())))
-        tried = np.tile(np.arange(len(here)), copies)
-        spoilt, kept = [], []
-        for i in here[tried].tolist():
-            n = int(self.lengths[i])
-            copy = edited(np.arange(n, dtype=_U), int(self.slack[i]), rng)
-            own = copy < _U(n)
-            spoilt.append(np.where(own, self.words[i, np.where(own, copy, _U(0)).astype(np.int64)], copy))
-            kept.append((copy[own].astype(np.int64), np.flatnonzero(own)))
-        width = max(map(len, spoilt), default=1)
-        padded = np.zeros((len(spoilt), width), _U)
-        for i, x in enumerate(spoilt):
-            padded[i, : len(x)] = x
-        other, others = self._flat(padded, np.array([len(x) for x in spoilt], np.int64))
-        # where in a copy the first word from an offset on stands that it still has
-        at = {o: others + [p[min(np.searchsorted(w, o), len(w) - 1)] if o and len(w) else 0 for w, p in kept] for o in offsets}
-        enough = target_recall + 2 * (target_recall * (1 - target_recall) / len(tried)) ** 0.5
-        met, out = np.zeros(len(tried), bool), []
-        while len(out) < 2 or met.mean() < min(enough, 1.0):
-            w, o = len(out), offsets[len(out) % len(offsets)]
+        words, offsets = _pieces(size)
+        out = []
+        for w in range(walks):
+            o = offsets[w % len(offsets)]
             _, keys = sample_keys(flat, starts + o, words, w)
-            left = np.flatnonzero(~met)
-            met[left] = keys[-1][tried[left]] == sample_keys(other, at[o][left], words, w)[1][-1]
             order = np.argsort(keys[-1], kind="stable")
             out.append((w, o, words, [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], here[order]))
         return out
@@ -175,7 +201,7 @@ class Items:
         hashes, at = word_hashes(texts, fold=True)
         if not self.classes or not len(hashes):
             return none, none, none, none, none
-        gap = int(self.slack.max()) + 1
+        gap = max(k for _, k, *_ in self.classes) + 1
         n = np.diff(at)
         owner = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(hashes)) + (owner + 1) * gap
@@ -271,7 +297,7 @@ def _ladder(most: int) -> Iterator[int]:
     size = 1
     while size <= most:
         yield size
-        size = max(size + 1, size * 11 // 10)
+        size = _next(size)
 
 
 def edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -309,26 +335,26 @@ def find_leaks(
     *,
     max_share: float = 0.2,
     target_recall: float = 0.95,
-    min_words: int = 5,
+    min_words: int = 1,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """docs with leaks: an array of (item_id, start, n_words, distance) for each benchmark item that the text holds.
 
     A text holds an item if some run of its words is within max_share * (the item's words), rounded down, edits of
     whole words from it; start and n_words say which words, the closest run, then the first. Words are folded
-    (letters and digits, case aside). Candidates come from CGK embeddings: the windows of an item's size (of its
+    (letters and digits, case aside; each character of a script without spaces is a word). So items of under five words are
+    found where their words stand as they are. Candidates come from CGK embeddings: the windows of an item's size (of its
     class of sizes, a tenth apart) at every word are embedded by random walks, a few coordinates of each
     walk are sampled, and windows whose samples equal an item's are checked by their exact edit distance. Of items
     of more than 2 * PIECE words pieces all over the item are embedded, and the check finds where a match starts.
-    There are as many walks as make copies with random edits up to the greatest distance meet their items with
-    target_recall, which is measured; exact copies always do. Windows that hold too few of the items' words for any
+    There are as many walks in a class as make copies with random edits up to the greatest distance meet their items with
+    target_recall, which is measured (walks_for); exact copies always do. Windows that hold too few of the items' words for any
     match are never embedded.
 
     Each text is searched where it lies: nothing is shuffled. The benchmark goes to the tasks in blocks of about
     block_bytes, one pass over docs each; where there are several, what each finds is written to the shared folder
     and joined in the end. Null or empty text: no leaks (an empty array); so with an empty
-    benchmark. Items under min_words words are not looked for: they can't be told from ordinary
-    text. Items of equal texts are found each. Equal rows get equal results; other columns pass
+    benchmark. Items without words, or of fewer than min_words, are not looked for. Items of equal texts are found each. Equal rows get equal results; other columns pass
     through; one named leaks is replaced.
     """
     item_type = benchmark.schema[item_id_col].dataType
@@ -343,17 +369,19 @@ def find_leaks(
     # a pass for each block, its finds written before the next: never more than two blocks on the driver
     p = prefix_for(docs)
     a, b = f"{p}a", f"{p}b"
-    keyed = docs.withColumns(dict(zip((a, b), key2(*(quoted(c) for c in docs.columns)), strict=True)))
+    keyed = docs.withColumns(dict(zip((a, b), key2(quoted(text_col)), strict=True)))  # what is found depends on the text alone
     path = scratch(docs.sparkSession, "leaks")
+    n = 0
     while items is not None:
+        n += 1
         if items.classes:
             found, shipped = _search(keyed.select(quoted(text_col).alias("text"), a, b), items, "text", leak)
-            found.where(F.size("leaks") > 0).select(a, b, "leaks").write.mode("append").parquet(path)
+            found.where(F.size("leaks") > 0).select(a, b, F.lit(n).alias("block"), "leaks").dropDuplicates([a, b]).write.mode("append").parquet(path)
             shipped.destroy()
         items, after = after, next(made, None)
-    schema = T.StructType([T.StructField(a, T.LongType()), T.StructField(b, T.LongType()), T.StructField("leaks", T.ArrayType(leak))])
+    schema = T.StructType([T.StructField(a, T.LongType()), T.StructField(b, T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("leaks", T.ArrayType(leak))])
     each = docs.sparkSession.read.schema(schema).parquet(path)
-    once = each.groupBy(a, b).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaks")))).alias("leaks"))
+    once = each.groupBy(a, b).agg(F.sort_array(F.flatten(F.collect_list("leaks"))).alias("leaks"))
     return keyed.join(once, [a, b], "left").select(*(quoted(c) for c in docs.columns), F.coalesce("leaks", none).alias("leaks"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,8 +97,9 @@ def same_spans(raw: np.ndarray, starts: np.ndarray, pool: np.ndarray, others: np
 def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, where each text's words start). Null texts have no words.
 
-    Words are runs of anything but ASCII white space, as they are; with fold, of anything but ASCII
-    marks and white space, with A-Z and the capitals of Latin-1 as small letters. Equal words have equal hashes
+    Words are runs of anything but ASCII white space, as they are; with fold, of letters, digits and combining marks, small
+    and capital letters alike (but for the few whose small letter takes another number of bytes), and each
+    character of a script without spaces (UNSPACED) is a word. Equal words have equal hashes
     on every machine; others differ but for a chance of about 2**-64 a pair.
     """
     raw, at = buffer_of(texts)
@@ -119,12 +122,11 @@ def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.
 
 
 def _turn(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    alone = None
     if fold:
         gap = MARKS[raw]
-        lead = raw[:-1] == 0xC3
         raw = _LOWER[raw]
-        capital = lead & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        raw[1:][capital] += 0x20
+        alone = _fold_wide(raw, gap)
     else:
         gap = SPACES[raw]
     edge = at[(at > 0) & (at < len(raw))]
@@ -136,11 +138,70 @@ def _turn(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.n
     after[-1] = True
     after[:-1] = gap[1:]
     after[edge - 1] = True
+    if alone is not None and len(alone):
+        first, last = alone
+        before[first] = after[last] = True
+        before[np.minimum(last + 1, len(raw) - 1)[last + 1 < len(raw)]] = True
+        after[(first - 1)[first > 0]] = True
     starts = np.flatnonzero(before & ~gap)
     ends = np.flatnonzero(after & ~gap) + 1
     return span_hashes(raw, starts, ends), starts
 
 
+#: Code points of scripts that are written without spaces: Thai and Lao, Burmese, Khmer, kana, Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _kind(c: int) -> int:
+    """0 for a letter, digit or combining mark, 1 for any other character, 2 for one that is a word alone."""
+    if unicodedata.category(chr(c))[0] not in "LNM":
+        return 1
+    return 2 if any(a <= c <= b for a, b in UNSPACED) else 0
+
+
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and small letter of each code point of up to three bytes."""
+    kind, lower = np.ones(1 << 16, np.uint8), np.arange(1 << 16)
+    for c in (*range(0x80, 0xD800), *range(0xE000, 1 << 16)):
+        kind[c] = _kind(c)
+        low = chr(c).casefold() if len(chr(c).casefold()) == 1 else chr(c).lower()
+        if len(low) == 1 and len(low.encode()) == len(chr(c).encode()):
+            lower[c] = ord(low)
+    return kind, lower
+
+
+def _fold_wide(raw: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fold the characters beyond ASCII in place: small letters, and gaps for marks. Returns the first and last bytes of
+    characters that are words alone."""
+    firsts, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    wide = np.flatnonzero(raw >= 0xC2)
+    lead = raw[wide]
+    for size, low, high, top in ((2, 0xC2, 0xE0, 31), (3, 0xE0, 0xF0, 15), (4, 0xF0, 0xF5, 7)):
+        at = wide[(lead >= low) & (lead < high)]
+        at = at[at + size <= len(raw)]
+        if not len(at):
+            continue
+        code = (raw[at] & top).astype(np.int64)
+        for k in range(1, size):
+            code = code << 6 | raw[at + k] & 63
+        if size < 4:
+            kinds, lower = _characters()
+            kind, small = kinds[code], lower[code]
+            turned = np.flatnonzero(small != code)
+            for k in range(size):
+                bits = small[turned] >> 6 * (size - 1 - k) & (63 if k else top)
+                raw[at[turned] + k] = bits | (0x80 if k else low & ~top if size == 2 else 0xE0)
+        else:
+            some, where = np.unique(code, return_inverse=True)
+            kind = np.array([_kind(c) if c < 0x110000 else 1 for c in some.tolist()], np.uint8)[where]
+        for k in range(size):
+            gap[at[kind == 1] + k] = True
+        firsts.append(at[kind == 2])
+        lasts.append(at[kind == 2] + size - 1)
+    return np.concatenate(firsts), np.concatenate(lasts)
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k words, by its first word; the last k - 1 places have none."""
     n = len(words) - k + 1
