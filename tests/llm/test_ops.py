@@ -596,3 +596,30 @@ def test_leaks_are_the_same_whatever_the_block(spark, small):
     bench = bench.unionByName(bench.limit(3))
     one, some = ({(r.doc_id, tuple(map(tuple, sorted(r.leaks)))) for r in find_leaks(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 3000))
     assert one == some and any(x for _, x in one)
+
+
+# --- op6 beyond 63 windows a fragment ---
+@pytest.mark.parametrize("window", [9, 35, 71, 72, 100])
+def test_repeats_of_long_windows_and_hot_passages(spark, window, monkeypatch):
+    from tickloom.llm import repeats as R
+
+    monkeypatch.setattr(R, "SHARD_WORDS", 20000)
+    rng = np.random.default_rng(window)
+    passage = [f"p{x}" for x in rng.integers(0, 4000, 400)]
+    rows = []
+    for k in range(120):
+        own = list(passage)
+        for _ in range(int(rng.integers(0, 4))):
+            own[int(rng.integers(len(own)))] = f"e{rng.integers(1 << 40)}"
+        rows.append(" ".join([*(f"a{x}" for x in rng.integers(0, 99, int(rng.integers(0, 30)))), *own[: int(rng.integers(20, 400))], *(f"b{k}x{x}" for x in range(int(rng.integers(0, 50))))]))
+    rows += [" ".join(passage), " ".join(passage), "x " * 300]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in R.remove_repeats(texts(spark, rows).repartition(5), window=window).collect()}
+    assert [got[i] for i in range(len(rows))] == repeats(rows, window)
+
+
+def test_repeats_of_odd_tables(spark, odd):
+    from tickloom.llm.repeats import remove_repeats
+
+    out = remove_repeats(odd).collect()
+    assert len(out) == len(ODD) and {r.n_words for r in out if r.doc_id == 4} == {16000} and {r.n_removed for r in out if r.doc_id == 4} == {16000}
+    assert set(remove_repeats(odd).columns) == {*odd.columns, "n_removed"} and remove_repeats(odd.where("false")).count() == 0

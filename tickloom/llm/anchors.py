@@ -8,6 +8,8 @@ from .word_hashes import gram_hashes, mix
 
 _U = np.uint64
 _PLACES = 26
+#: Windows of a fragment at most: a bit of an int64 each.
+MOST_WINDOWS = 63
 _MASK = _U((1 << _PLACES) - 1)
 
 
@@ -15,7 +17,7 @@ def fragments(words: np.ndarray, bounds: np.ndarray, window: int, gram: int) ->
     """(anchor, first, count, text) of the fragments of texts whose word hashes are words[bounds[i]:bounds[i + 1]].
 
     A window's anchor is the leftmost of its k-grams of least hash. Windows next to each other that share an
-    anchor are a fragment: `count` windows from word `first` of text `text` on. A window's anchor depends on its
+    anchor are a fragment, or several of at most MOST_WINDOWS: `count` windows from word `first` of text `text` on. A window's anchor depends on its
     own words alone, so equal windows have equal anchors wherever they are. anchor is the k-gram's hash.
     """
     none = np.zeros(0, np.int64)
@@ -41,6 +43,11 @@ def fragments(words: np.ndarray, bounds: np.ndarray, window: int, gram: int) ->
     new = np.ones(len(whole), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(whole)))
+    parts = -(-size // MOST_WINDOWS)
+    if parts.max() > 1:
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(first, parts) + nth * MOST_WINDOWS
     return mix(grams[at[first]]), whole[first], np.diff(np.append(first, len(whole))), text[first]
 
 

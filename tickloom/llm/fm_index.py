@@ -1,7 +1,8 @@
 """An FM-index of word sequences whose suffixes are ordered by their first `depth` words.
 
 For patterns of up to `depth` words this order is as good as the full one, and it costs log2(depth) sorts. The
-Burrows-Wheeler transform is held in a wavelet tree, level by level, as bits with counts.
+Burrows-Wheeler transform is held in a wavelet tree, level by level, as bits with counts. What goes with a place in the order
+is held sparsely: where intervals of shared words end as marked bits, weights only where they aren't 1.
 """
 
 from __future__ import annotations
@@ -29,6 +30,23 @@ class Bits:
         return self.before[k] + np.bitwise_count(low)
 
 
+class Marks:
+    """A sorted list of places: a bit for each place, and how many marks stand before it."""
+
+    def __init__(self, places: np.ndarray, size: int):
+        bits = np.zeros(size + 1, np.uint8)
+        bits[places] = 1
+        self.bits, self.places = Bits(bits), places.astype(np.int32)
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        return self.bits.rank(at)
+
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last mark up to each place, and the first one after it."""
+        k = self.bits.rank(at + 1)
+        return self.places[k - 1].astype(np.int64), self.places[k].astype(np.int64)
+
+
 class WaveletTree:
     """Rank of any symbol in a sequence of integers below `size`: a level for each bit, from the highest; at each
     level the zeros of the level above come first."""
@@ -72,7 +90,7 @@ class FMIndex:
         text = np.zeros(len(words) + len(lengths), np.int64)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         text[np.arange(len(words)) + owner] = codes + 1
-        self.text, self.starts = text, ends - lengths + np.arange(len(lengths))
+        self.text, self.starts = text.astype(np.int32), ends - lengths + np.arange(len(lengths))
         n, rank, have = len(text), text, 1
 
         def pair(shift: int) -> np.ndarray:
@@ -87,12 +105,16 @@ class FMIndex:
         order, _ = _renumber(pair(depth - have) if depth - have < n else rank)
         # where the suffixes that share depth - 1 words start and end
         same = less[order]
-        edge = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1], [True]]))
-        sizes = np.diff(edge)
-        self.low, self.high = np.repeat(edge[:-1], sizes), np.repeat(edge[1:], sizes)
+        self.edges = Marks(np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1], [True]])), n)
         self.tree = WaveletTree(text[order - 1], len(alphabet) + 1)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(alphabet) + 1))])[:-1]
-        self.weight = np.concatenate([[0], np.cumsum(np.repeat(weights, lengths + 1)[order])])
+        own = np.repeat(weights, lengths + 1)[order]
+        heavy = np.flatnonzero(own != 1)
+        self.heavy, self.more = Marks(heavy, n), np.concatenate([[0], np.cumsum(own[heavy] - 1)])
+
+    def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The weight of the suffixes of [low, high)."""
+        return high - low + self.more[self.heavy.before(high)] - self.more[self.heavy.before(low)]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the suffixes that start with the symbol and go on as those of [low, high)."""
@@ -112,10 +134,10 @@ class FMIndex:
         low, high = np.zeros(len(line), np.int64), np.full(len(line), len(self.text))
         for step in range(int(length[0]) if len(length) else 0):
             on = int(np.searchsorted(-length, -step, "left"))  # those longer than step
-            low, high = self.extend(self.text[start[:on] + length[:on] - 1 - step], low[:on], high[:on])
+            low, high = self.extend(self.text[start[:on] + length[:on] - 1 - step].astype(np.int64), low[:on], high[:on])
             if step >= self.depth - 1:
-                hit = self.weight[high] - self.weight[low] >= least
+                hit = self.occurrences(low, high) >= least
                 place = length[:on] - 1 - step
                 out[line[:on][hit]] |= np.left_shift(np.int64(1), place[hit])
-                low, high = self.low[low], self.high[low]
+                low, high = self.edges.around(low)
         return out

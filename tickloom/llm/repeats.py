@@ -148,7 +148,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first, count, low = F.shiftrightunsigned("place", 8).bitwiseAND(F.lit((1 << 32) - 1)), F.col("place").bitwiseAND(F.lit(255)), F.shiftrightunsigned("place", 40)
     hit = F.struct("anchor", "frag", first.alias("first"), count.alias("count"), "weight", F.coalesce("is_hot", F.lit(False)).alias("hot"))
     wanted = marked.groupBy("a", low.alias("c")).agg(F.collect_list(hit).alias("hits"))
-    total = distinct.agg(F.sum(count + window - 1)).first()[0] or 0
+    # words as they lie in shards: a hot fragment's stand there once a window
+    total = marked.agg(F.sum(F.when(F.col("is_hot"), count * window).otherwise(count + window - 1))).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_WORDS))
 
     keyed = named.select("a", F.col("b").bitwiseAND(F.lit(_LOW)).alias("c"), "rest", "text")
