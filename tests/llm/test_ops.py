@@ -623,3 +623,33 @@ def test_repeats_of_odd_tables(spark, odd):
     out = remove_repeats(odd).collect()
     assert len(out) == len(ODD) and {r.n_words for r in out if r.doc_id == 4} == {16000} and {r.n_removed for r in out if r.doc_id == 4} == {16000}
     assert set(remove_repeats(odd).columns) == {*odd.columns, "n_removed"} and remove_repeats(odd.where("false")).count() == 0
+
+
+# --- op1: names that mislead ---
+@pytest.mark.parametrize("source", [
+    "<html><body class='no-sidebar'><div><p>{}</p></div></body></html>",
+    "<html><body class='page has-navigation'><div><p>{}</p></div></body></html>",
+    "<html><body><nav>Menu</nav><article class='post post-related'><p>{}</p></article></body></html>",
+    "<html><body><form action='x'><div class='menu'>Menu</div><div id='content'><p>{}</p></div></form></body></html>",
+    "<html><body><article><section id='social-history'><p>{}</p></section></article></body></html>",
+    "<html><body><main><p title=it's>{}</p></main><footer>foot</footer></body></html>",
+    "<html><body><div class='sidebar-layout with-menu'><article><p>{}</p><section class='comments'><article class='comment'>I agree</article></section></article></div></body></html>",
+    "<html><body><div class='widget'><main>{}<script>no</script></main></div><form>Search <input></form></body></html>",
+    "<html><body><article>{}</article><div class='share-buttons'>Share</div><div class='cookie-policy-banner'>Accept</div></body></html>",
+])
+def test_main_text_whatever_its_containers_are_called(source):
+    from tickloom.llm.html_text import main_text
+
+    text = "The story of x2 and its many turns, told at some length."
+    assert main_text(source.format("The story of <math><mi>x</mi><mn>2</mn></math> and its <svg><p>no</p></svg>many turns,\n told at some length.")) == text
+
+
+def test_html_text_of_odd_tables(spark):
+    from tickloom.llm.html_text import extract_text
+
+    long = "<article>" + "<p>word word</p>" * 20000 + "</article>"
+    rows = [(1, None, None), (1, None, None), (None, "http://h/1", "<p>a</p>"), (None, "http://h/1", "<p>a</p>"), (2, "http://h/2", long), (3, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *(F.lit(1).alias(c) for c in ("text", "host", "roots", "n_chars", "page")))
+    out = extract_text(df).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1), (0, 1), (1, 0), (1, 0), (2, 20000 * 10 - 1), (3, 0)]
+    assert extract_text(df.where("false")).count() == 0

@@ -18,9 +18,10 @@ from .common import cut, quoted, read_table
 from .word_hashes import turns
 
 # Names of HTML elements, and words that name parts of a page.
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+                    "math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mtable mtr mtd mspace mpadded mphantom mfenced menclose semantics").split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg select object canvas annotation annotation-xml".split())
 _CONTAINER = frozenset("article aside body center details dialog div fieldset footer form header html main menu nav section table tbody td tr ul ol dl figure blockquote".split())
 _LEFT_OUT = frozenset("aside button dialog footer form head menu nav".split())
 _PARTS_LEFT_OUT = frozenset(
@@ -29,8 +30,13 @@ _PARTS_LEFT_OUT = frozenset(
 )
 _PAGE_HEADS = frozenset("header masthead topbar".split())
 _MAIN_PARTS = frozenset("article content entry main post story".split())
+_READERS_PARTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words that say where a part is or what it is made of, not what it is about; and words that turn a name round.
+_PLACE_WORDS = frozenset("# area bar block bottom box button buttons center col column container content fixed footer group head header holder inner item items left links list main outer overlay page panel "
+                         "post posts right row section side site sticky title top widget wrap wrapper".split())
+_TURNED = frozenset("has hide is no not show with without".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|))*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Bytes of templates that are sent to every task.
 BROADCAST_BYTES = 8 << 20
@@ -39,12 +45,24 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
 
 class Box:
-    """A container element: what names it, and where it stands."""
+    """A container element: what names it, and where it stands. reason: why it might be left out: 2 for what it is, 1 for what
+    it is called, or as a form; 0 for none."""
 
-    __slots__ = ("tag", "path", "out", "article", "rank", "chars", "up")
+    __slots__ = ("tag", "path", "reason", "head", "readers", "out", "rank", "chars", "up")
 
-    def __init__(self, tag: str, path: str, out: bool, article: bool, rank: int, up: Box | None):
-        self.tag, self.path, self.out, self.article, self.rank, self.chars, self.up = tag, path, out, article, rank, 0, up
+    def __init__(self, tag: str, path: str, reason: int, head: bool, readers: bool, rank: int, up: Box | None):
+        self.tag, self.path, self.reason, self.head, self.readers, self.rank, self.up, self.out, self.chars = tag, path, reason, head, readers, rank, up, False, 0
+
+
+def called(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id calls its element one of the words: by its last part, or by its first with nothing but
+    places after it. "no-sidebar" and "social-history" don't."""
+    parts = [w for w in re.split(r"[-_]+", name) if w]
+    if not parts or parts[0] in _TURNED:
+        return False
+    if len(parts) > 1 and not _TURNED.isdisjoint(parts):
+        return False
+    return parts[-1] in words or (parts[0] in words and all(w in _PLACE_WORDS or w in words for w in parts[1:]))
 
 
 def _box(tag: str, attrs: str, up: Box | None) -> Box:
@@ -53,12 +71,40 @@ def _box(tag: str, attrs: str, up: Box | None) -> Box:
         named.setdefault(k.lower(), a or b or c)
     label = _DIGITS.sub("#", f"{named.get('class', '')} {named.get('id', '')}".lower()).split()
     parts = {w for x in label for w in re.split(r"[-_]", x)}
-    inside = up is not None and up.article
     role = named.get("role", "").lower()
-    out = (up is not None and up.out) or tag in _LEFT_OUT or bool(parts & _PARTS_LEFT_OUT) or "hidden" in named or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog")
-    out = out or (not inside and (tag == "header" or bool(parts & _PAGE_HEADS)))
-    rank = 0 if out else 4 if tag == "article" or named.get("itemprop", "").lower() == "articlebody" else 3 if tag == "main" or role == "main" else 2 if parts & _MAIN_PARTS else 1
-    return Box(tag, (up.path if up else "") + "/" + ".".join([tag, *label]), out, inside or rank >= 3, rank, up)
+    rank = 4 if tag == "article" or named.get("itemprop", "").lower() == "articlebody" else 3 if tag == "main" or role == "main" else 2 if parts & _MAIN_PARTS else 1
+    readers = any(called(x, _READERS_PARTS) for x in label)
+    reason = 0
+    if (tag in _LEFT_OUT and tag != "form") or "hidden" in named or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
+        reason = 2
+    elif tag not in ("html", "body", "main") and (readers or tag == "form" or role == "form" or (not (tag == "article" and parts & _MAIN_PARTS) and any(called(x, _PARTS_LEFT_OUT) for x in label))):
+        reason = 1
+    head = tag == "header" or any(called(x, _PAGE_HEADS) for x in label)
+    return Box(tag, (up.path if up else "") + "/" + ".".join([tag, *label]), reason, head, readers, rank, up)
+
+
+def _judge(boxes: list[Box]) -> None:
+    """Say which boxes are left out: what is, or is called, another part of the page, and what stands in it. Around the page's main
+    elements (or its largest article that no readers wrote) names and forms don't count, nor do they where a form holds
+    most of the page; page headers count outside articles only."""
+    mains = [b for b in boxes if b.rank == 3]
+    articles = [b for b in boxes if b.rank == 4 and not b.readers]
+    mains += [max(articles, key=lambda b: (not b.reason, b.chars))] if articles else []
+    whole = max((b.chars for b in boxes), default=0)
+    held = set()
+    for b in mains:
+        up = b.up
+        while up is not None and id(up) not in held:
+            held.add(id(up))
+            up = up.up
+    inside: dict[int, bool] = {}
+    for b in boxes:  # a box comes after the one that it stands in
+        inside[id(b)] = b.rank >= 3 or (b.up is not None and inside[id(b.up)])
+        weak = id(b) in held or (b.tag == "form" and 2 * b.chars > whole)
+        b.out = (b.up is not None and b.up.out) or b.reason == 2 or (b.reason == 1 and not weak) or (b.head and not weak and not inside[id(b)])
+    for b in boxes:
+        if b.out:
+            b.rank = 0
 
 
 def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Box | None, int]]]:
@@ -72,6 +118,7 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
     blocks: list[tuple[str, Box | None]] = []
     tokens: list[tuple[str, Box | None, int]] = []
     stack: list[Box] = []
+    boxes: list[Box] = []
     held: list[str] = []
 
     def flush() -> None:
@@ -102,7 +149,8 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
             if tag == "br":
                 held.append(" ")
             continue
-        flush()
+        if tag == "title" or tag not in _RAW:
+            flush()
         if tag in _RAW and not ends:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = close.end() if close else size
@@ -111,6 +159,7 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
                 if tag not in _VOID and not m["attrs"].rstrip().endswith("/"):
                     box = _box(tag, m["attrs"], stack[-1] if stack else None)
                     stack.append(box)
+                    boxes.append(box)
                     tokens.append(("<", box, len(tokens)))
             elif any(b.tag == tag for b in stack):
                 while stack:
@@ -121,6 +170,7 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
     flush()
     while stack:
         tokens.append((">", stack.pop(), len(tokens)))
+    _judge(boxes)
     return blocks, tokens
 
 
