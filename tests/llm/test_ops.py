@@ -653,3 +653,49 @@ def test_html_text_of_odd_tables(spark):
     out = extract_text(df).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1), (0, 1), (1, 0), (1, 0), (2, 20000 * 10 - 1), (3, 0)]
     assert extract_text(df.where("false")).count() == 0
+
+
+# --- op3: coreference, check digits, odd tables ---
+def test_surrogates_of_names_are_one_person(spark):
+    from tickloom.llm.pii import pseudonymise
+
+    rows = ["Mr John Smith met Dr John Smith. Smith said that John, not Smithson, left. Mrs Smith agreed.", "Smith alone is not announced", "Mme Marie Curie, Prof Marie Curie", "Господин Иван Петров. Петров молчал."]
+    out = {r.doc_id: (r.text, r.n_entities) for r in pseudonymise(texts(spark, rows).repartition(2), "k").collect()}
+    t, n = out[0]
+    given, surname = re.match(r"Mr (\w+) (\w+)", t).groups()
+    assert t == f"Mr {given} {surname} met Dr {given} {surname}. {surname} said that {given}, not Smithson, left. Mrs {surname} agreed." and n == 3
+    assert given.endswith(("an", "or", "us", "in")) and out[1] == (rows[1], 0)
+    one, two = re.match(r"Mme (\w+ \w+), Prof (\w+ \w+)", out[2][0]).groups()
+    assert one == two and one.split()[0].endswith("a")
+    assert not {"Петров", "Иван"} & set(re.findall(r"\w+", out[3][0])) and re.search(r"(\w+)\. \1 молчал", out[3][0])
+
+
+def test_numbers_with_wrong_check_digits_stay(spark):
+    from tickloom.llm.pii import pseudonymise
+
+    rows = ["stamp 1700000000123, card 4111111111111112, IBAN DE88370400440532013000", "card 4111111111111111 and stamp 1700000000123", "from 2001:db8:0:0:0:0:2:1 or fe80:1::2, at 12:34:56"]
+    out = {r.doc_id: (r.text, r.n_entities) for r in pseudonymise(texts(spark, rows), "k").collect()}
+    assert out[0] == (rows[0], 0) and out[1][1] == 1 and out[1][0].endswith(" and stamp 1700000000123") and "4111111111111111" not in out[1][0]
+    assert out[2][1] == 2 and "2001:db8" not in out[2][0] and "fe80" not in out[2][0] and out[2][0].endswith("at 12:34:56")
+
+
+def test_surrogates_of_odd_tables(spark, odd):
+    import time
+
+    from tickloom.llm.pii import pseudonymise
+
+    out = pseudonymise(odd, "k")
+    assert out.count() == len(ODD) and set(out.columns) == set(odd.columns) and {r.text for r in out.collect()} == {r[1] for r in ODD}
+    assert pseudonymise(odd.where("false"), "k").count() == 0
+    run = "q1w2e3" * 170000
+    start = time.time()
+    long = pseudonymise(texts(spark, [run, run + " a.b@mail.example", "1.2.3.4"]).coalesce(1), "k").collect()
+    assert [r.n_entities for r in sorted(long)] == [0, 1, 1] and time.time() - start < 60
+
+
+def test_more_addresses_than_short_forms(spark):
+    from tickloom.llm.pii import surrogate_table
+
+    units = spark.range(9**4).select(F.lit("ip").alias("kind"), F.concat_ws(".", *(((F.col("id") / 9**k).cast("long") % 9 + 1).cast("string") for k in range(4))).alias("canon"))
+    out = surrogate_table(units, "k")
+    assert out.count() == out.select("stand_in").distinct().count() == 9**4 and out.join(units.withColumnRenamed("canon", "stand_in"), "stand_in", "left_semi").count() == 0

@@ -339,7 +339,7 @@ def deduce(n_pages: int, tokens: list[dict], *, share: float, layout_share: floa
     return roots, fixed
 
 
-def templates(pages: DataFrame, *, share: float = 0.5, layout_share: float = 0.1, fixed_share: float = 0.9, fixed_pages: int = 10, slot_share: float = 0.2) -> DataFrame:
+def templates(pages: DataFrame, *, share: float = 0.5, layout_share: float = 0.1, fixed_share: float = 0.9, fixed_pages: int = 3, slot_share: float = 0.2) -> DataFrame:
     """(host, roots, fixed) for each host of pages(host, html); fixed is int64 bytes.
 
     Equal pages of a host count once. A host's tokens that at least `layout_share` of its pages have go to one row: no
@@ -368,7 +368,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Each host's template is deduced over all its pages, then its slots are read page by page. Null or empty
     html gives "". A null url, or one without a host, is of the host "". A host's equal pages count once in its template
-    (one shuffle of pages, after each task's own copies went). Under ten different pages, none of a host's blocks are fixed.
+    (one shuffle of pages, after each task's own copies went). Under three different pages, none of a host's blocks are fixed.
     A host may hold most pages: its counts combine before the shuffle. Templates of up to BROADCAST_BYTES in all,
     which is looked at first, go to the pages, and these aren't shuffled again; else pages and templates are
     joined by a shuffle, in which a host's pages can be split. Other columns don't matter.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,12 @@ _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)?"
 _SECRET = r"(?i:passw(?:or)?d|secret|token|api[_-]?key)[ \t]?[=:][ \t]?[\"']?"
 #: Type -> pattern, in the order in which they are tried at a place in the text.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
     "secret": _SECRET + r"[^\s\"']{6,}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\p{L}\p{N}:])",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
     "card": r"\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})\b",
@@ -31,6 +34,9 @@ _TITLE = r"^(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? "
 #: What any entity holds.
 _HINT = r"[0-9@=:]|AKIA|ASIA|(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? \p{Lu}"
 
+#: Before a word with a capital, and after any word.
+_WORD_EDGES = r"(?<![\p{L}\p{M}])(?=\p{Lu})|(?<=[\p{L}\p{M}])(?![\p{L}\p{M}])"
+
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 _GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -103,16 +109,24 @@ def _invented(kind: Column, script: Column, digest: Column, extra: Column) -> Co
 
 
 def entity_type(value: Column) -> Column:
+    """The type of a match of ENTITY; null for a number that only looks like a card or an account: its check digits are wrong."""
+    bare = F.regexp_replace(value, "[ -]", "")
     found = None
     for kind, pattern in PATTERNS.items():
         test = value.rlike(f"^(?:{pattern})$")
-        found = F.when(test, kind) if found is None else found.when(test, kind)
+        if kind == "card":
+            result = F.when(_luhn_digit(F.left(bare, F.char_length(bare) - 1)) == F.right(bare, F.lit(1)), kind)
+        elif kind == "iban":
+            result = F.when(_iban_digits(F.left(bare, F.lit(2)), F.substr(bare, F.lit(5))) == F.substr(bare, F.lit(3), F.lit(2)), kind)
+        else:
+            result = F.lit(kind)
+        found = F.when(test, result) if found is None else found.when(test, result)
     return found
 
 
 def _units(kind: Column, value: Column) -> Column:
     """The parts of an entity that get a stand-in each: (kind, canonical form). Forms that differ only in
-    separators, or an e-mail's case, are one; a title's given name and surname are two."""
+    separators, or an e-mail's case, are one; a title's given name, with the gender that the title says, and surname are two."""
     unit = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
     bare = F.regexp_replace(value, r"[^\p{L}\p{N}]", "")
     title = F.regexp_replace(F.regexp_extract(value, _TITLE, 0), r"[. ]", "")
@@ -125,20 +139,30 @@ def _units(kind: Column, value: Column) -> Column:
         .when(kind == "email", F.array(unit(F.lit("mailbox"), low), unit(F.lit("domain"), F.substring_index(low, "@", -1))))
         .when(kind == "secret", F.array(unit(F.lit("secret"), F.regexp_replace(value, "^" + _SECRET, ""))))
         .when(kind == "ip", F.array(unit(kind, value)))
+        .when(kind == "ipv6", F.array(unit(kind, low)))
         .when((kind == "phone") & value.startswith("+"), F.array(unit(F.lit("phone"), F.concat(F.lit("+"), F.regexp_extract(value, r"^\+(\d{1,3})", 1), F.lit(" "), F.substr(bare, F.char_length(F.regexp_extract(value, r"^\+(\d{1,3})", 1)) + 1)))))
         .otherwise(F.array(unit(kind, bare)))
     )
 
 
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-512 of the message, in hex."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in raw)), message.cast("binary")), 512)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in raw)), F.unhex(inner)), 512)
+
+
 def _stand_in(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
     """The stand-in of a unit: a keyed function of kind, canonical form and nonce."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, nonce.cast("string")).cast("binary"), 512)
+    digest = _hmac(key, F.concat_ws("|", kind, F.char_length(canon).cast("string"), canon, nonce.cast("string")))
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     local = F.substring_index(canon, "@", 1)
     tail = F.array_join(F.transform(F.sequence(F.lit(1), nonce), lambda i: _pick(_LOWER, _byte(digest, i + 20))), "")
     mailbox = F.concat(_alike(local, digest), F.when(nonce > 0, tail).otherwise(""))
     host = F.regexp_extract(canon, r"^(.*)\.[^.]+$", 1)
     octets = F.transform(F.split(canon, r"\.", -1), lambda o, i: F.when(F.char_length(o) == 1, _byte(digest, i) % 9 + 1).when(F.char_length(o) == 2, _byte(digest, i) % 90 + 10).otherwise(_byte(digest, i) % 124 + 100).cast("string"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(digest, i) % 254 + 1).cast("string"))
     cc = F.substring_index(canon, " ", 1)
     digits = F.when(canon.contains(" "), F.substring_index(canon, " ", -1)).otherwise(canon)
     number = F.concat(_pick("23456789", _byte(digest, 63)), _alike(F.substr(digits, F.lit(2)), digest))
@@ -149,7 +173,9 @@ def _stand_in(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
         F.when(kind.isin("given_m", "given_f", "given_u", "surname"), _invented(kind, script, digest, nonce))
         .when(kind == "mailbox", mailbox)
         .when(kind == "domain", F.concat(_alike(host, digest), F.when(nonce > 0, tail).otherwise(""), F.lit("."), F.substring_index(canon, ".", -1)))
-        .when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "ip", F.array_join(F.when(nonce < 2, octets).otherwise(wide), "."))  # short forms are few
+        .when(kind == "ipv6", _alike(canon, digest, F.lit(True)))
+        .when(kind == "secret", F.concat(_alike(canon, digest, hexed), F.when(nonce > 1, tail).otherwise("")))
         .when(kind == "phone", F.when(canon.contains(" "), F.concat(cc, F.lit(" "), number)).otherwise(number))
         .when(kind == "ssn", F.concat(_pick("12345", _byte(digest, 63)), _alike(F.substr(canon, F.lit(2)), digest)))
         .when(kind == "card", F.concat(body, _luhn_digit(body)))
@@ -161,19 +187,19 @@ def _stand_in(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
 
 def surrogate_table(units: DataFrame, key: str, *, max_rounds: int = 24) -> DataFrame:
     """units(kind, canon), distinct, with a stand-in each: no two of a kind get the same, and none gets a
-    form that a unit of its kind really has.
+    form that a unit of its kind (of any name, for names) really has.
 
     Units that clash draw again with the next nonce, until none is left; the one of the least nonce, then
     the least canonical form, keeps what it has. Raises if clashes remain after max_rounds, which
     needs a kind with about as many units as forms.
     """
     table = cut(units.select("kind", "canon", F.lit(0).alias("nonce"), _stand_in(F.col("kind"), F.col("canon"), F.lit(0), key).alias("stand_in")))
-    real = table.select(F.col("kind").alias("k"), _shown(F.col("kind"), F.col("canon")).alias("c"))
+    real = table.select(_family(F.col("kind")).alias("k"), _shown(F.col("kind"), F.col("canon")).alias("c"))
     for _ in range(max_rounds):
         winners = table.groupBy("kind", "stand_in").agg(F.min(F.struct("nonce", "canon")).alias("first"), F.count("*").alias("n"))
         taken = winners.where(F.col("n") > 1).select("kind", "stand_in", "first")
         clash = table.join(taken, ["kind", "stand_in"]).where(F.struct("nonce", "canon") != F.col("first")).select("kind", "canon")
-        clash = clash.unionByName(table.join(real, (F.col("kind") == F.col("k")) & (F.col("stand_in") == F.col("c"))).select("kind", "canon")).distinct()
+        clash = clash.unionByName(table.join(real, (_family(F.col("kind")) == F.col("k")) & (F.col("stand_in") == F.col("c"))).select("kind", "canon")).distinct()
         clash = cut(clash.withColumn("again", F.lit(True)))
         if clash.isEmpty():
             return table
@@ -182,6 +208,10 @@ def surrogate_table(units: DataFrame, key: str, *, max_rounds: int = 24) -> Data
     raise ValueError("no distinct surrogates: too many entities of a kind for its format")
 
 
+def _family(kind: Column) -> Column:
+    return F.when(kind.isin("given_m", "given_f", "given_u", "surname"), "name").otherwise(kind)
+
+
 def _shown(kind: Column, canon: Column) -> Column:
     """A unit's real form, as stand-ins of its kind look."""
     return F.when(kind == "mailbox", F.substring_index(canon, "@", 1)).otherwise(canon)
@@ -201,35 +231,51 @@ def _filled(value: Column, stand_in: Column) -> Column:
     return F.aggregate(_chars(value), start, step, lambda acc: acc["out"])
 
 
+def _gendered(parts: DataFrame) -> DataFrame:
+    """parts(kind, canon, n, ...) with the gender of given names whose title says none: that of the same name's other
+    titles, if there are any. So "Dr John Smith" is "Mr John Smith"."""
+    men, women = (F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) for k in ("given_m", "given_f"))
+    known = parts.where(F.col("kind").isin("given_m", "given_f", "given_u")).groupBy(F.col("canon").alias("given")).agg(men.alias("men"), women.alias("women")).where("men + women > 0")
+    both = parts.join(known, F.col("canon") == F.col("given"), "left")
+    kind = F.when((F.col("kind") == "given_u") & F.col("given").isNotNull(), F.when(F.col("men") >= F.col("women"), "given_m").otherwise("given_f")).otherwise(F.col("kind"))
+    return both.withColumn("kind", kind).drop("given", "men", "women")
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each entity of PATTERNS in `text_col` replaced by its surrogate, and n_entities (long).
 
     A surrogate is of the same type, script and format (separators, case, lengths; valid check digits;
     an IP address of valid octets; a name that fits its title's gender; mail domains map as one) and the
     same for the same entity in all documents. Different entities get different surrogates and none
-    gets one that occurs itself (surrogate_table). The key decides them all.
+    gets one that occurs itself (surrogate_table). The key, by HMAC, decides them all. Formats are kept but where a kind has
+    about as many entities as forms of theirs: then IP addresses and secrets change their lengths, names grow.
+
+    Names are found after titles; then the same document's bare repeats of their parts ("Smith said") are replaced too, but not
+    counted. A name that no title announces anywhere in its document isn't found, nor are postal addresses and birth
+    dates. Numbers with wrong check digits are neither cards nor accounts.
 
-    Distinct entities, not texts, go through the rounds; hot entities combine before the shuffle and can
-    be split where they join. Null text stays null with 0 entities; equal rows get equal results; other
+    Texts are searched once. Distinct entities, not texts, go through the rounds; hot entities combine before the shuffle and can
+    be split where they join. Null text stays null with 0 entities, empty text empty; equal rows get equal results; other
     columns pass through; one named n_entities is replaced.
     """
     docs = docs.select(*(quoted(c) for c in docs.columns if c != "n_entities"))
     p = prefix_for(docs)
-    a, b, swaps = f"{p}a", f"{p}b", f"{p}swaps"
+    a, b, swaps, names = f"{p}a", f"{p}b", f"{p}swaps", f"{p}names"
     text = quoted(text_col)
     k1, k2 = key2(quoted(id_col), text)
 
     rows = docs.select(k1.alias("a"), k2.alias("b"), text.alias("body")).where(F.col("body").rlike(_HINT))
     rows = rows.select("a", "b", F.posexplode(F.regexp_extract_all("body", F.lit(ENTITY), F.lit(0))).alias("pos", "value"))
     h1, h2 = key2(F.col("value"))
-    rows = rows.select("a", "b", "pos", "value", h1.alias("h1"), h2.alias("h2"))
-    values = cut(rows.groupBy("value").agg(F.count("*").alias("n")).select("value", entity_type(F.col("value")).alias("type")))
-    values = values.withColumn("units", _units(F.col("type"), F.col("value")))
-    units = values.select(F.explode("units").alias("u")).select("u.kind", "u.canon").distinct()
-    table = surrogate_table(units, key)
-
-    parts = values.select("value", "type", F.posexplode("units").alias("i", "u")).select("value", "type", "i", F.col("u.kind").alias("kind"), F.col("u.canon").alias("canon"))
-    parts = parts.join(table.select("kind", "canon", "stand_in"), ["kind", "canon"]).groupBy("value", "type").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "stand_in"))), lambda x: x["stand_in"]).alias("s"))
+    rows = cut(rows.select("a", "b", "pos", "value", h1.alias("h1"), h2.alias("h2")))
+    values = cut(rows.groupBy("value").agg(F.count("*").alias("n")).withColumn("type", entity_type(F.col("value"))))
+    values = values.withColumn("units", F.when(F.col("type").isNotNull(), _units(F.col("type"), F.col("value"))))
+    parts = values.select("value", "type", "n", F.posexplode("units").alias("i", "u")).select("value", "type", "n", "i", F.col("u.kind").alias("kind"), F.col("u.canon").alias("canon"))
+    parts = cut(_gendered(parts))
+    table = surrogate_table(parts.select("kind", "canon").distinct(), key)
+
+    parts = parts.join(table.select("kind", "canon", "stand_in"), ["kind", "canon"]).groupBy("value", "type").agg(F.sort_array(F.collect_list(F.struct("i", "canon", "stand_in"))).alias("u"))
+    parts = parts.select("value", "type", F.col("u.stand_in").alias("s"), F.when(F.col("type") == "name", F.arrays_zip(F.col("u.canon").alias("w"), F.col("u.stand_in").alias("s"))).alias("names"))
     first = F.get("s", F.lit(0))
     prefix = F.when(F.col("type") == "secret", F.regexp_extract("value", "^" + _SECRET, 0)).otherwise("")
     mail = F.array_join("s", "@")
@@ -237,20 +283,28 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         F.when(F.col("type") == "name", F.concat(F.regexp_extract("value", _TITLE, 0), F.array_join("s", " ")))
         .when((F.col("type") == "email") & (F.char_length(mail) == F.char_length("value")), _filled(F.col("value"), mail))
         .when(F.col("type") == "email", mail)
+        .when(F.col("type") == "ip", first)
+        .when((F.col("type") == "secret") & (F.char_length(F.concat(prefix, first)) != F.char_length("value")), F.concat(prefix, first))
         .otherwise(F.concat(prefix, _filled(F.substr("value", F.char_length(prefix) + 1), first)))
     )
     h1, h2 = key2(F.col("value"))
-    swap = parts.select(h1.alias("h1"), h2.alias("h2"), new.alias("new"))
-    found = join_hashed(rows.drop("value"), swap, "h1", "h2")
-    found = found.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "new"))), lambda x: x["new"]).alias(swaps)).withColumnsRenamed({"a": a, "b": b})
+    swap = parts.select(h1.alias("h1"), h2.alias("h2"), new.alias("new"), "names")
+    found = join_hashed(rows, swap, "h1", "h2", "left").select("a", "b", "pos", F.coalesce("new", "value").alias("new"), "names", F.col("new").isNotNull().alias("is_entity"))
+    found = found.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("pos", "new", "is_entity"))).alias(swaps), F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))).alias(names))
+    found = found.where(F.exists(swaps, lambda x: x["is_entity"])).withColumnsRenamed({"a": a, "b": b})
 
     out = docs.withColumns({a: k1, b: k2}).join(found, [a, b], "left")
+    # of a word with two stand-ins in a document, the first
+    known = F.map_from_entries(F.filter(names, lambda x, i: (i == 0) | (F.get(F.col(names), i - 1)["w"] != x["w"])))
+    repeats = lambda x: F.array_join(F.transform(F.split(x, _WORD_EDGES, -1), lambda w: F.coalesce(F.try_element_at(known, w), w)), "")
     pieces = F.split(text, ENTITY, -1)
-    merged = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(swaps), i), F.lit("")))), "")
-    count = F.when(F.col(swaps).isNull(), 0).otherwise(F.size(swaps)).cast("long")
+    pieces = F.when(F.size(names) > 0, F.transform(pieces, repeats)).otherwise(pieces)
+    merged = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(swaps), i)["new"], F.lit("")))), "")
+    count = F.when(F.col(swaps).isNull(), 0).otherwise(F.size(F.filter(swaps, lambda x: x["is_entity"]))).cast("long")
     return out.select(*(F.when(F.col(swaps).isNull(), text).otherwise(merged).alias(c) if c == text_col else quoted(c) for c in docs.columns), count.alias("n_entities"))
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a stated one, so that the query repeats; a deployment passes its own to pseudonymise."""
     docs = read_table(spark, sf_dir, "documents")
-    return pseudonymise(docs, key="a key of the deployment").select("doc_id", "text", "n_entities")
+    return pseudonymise(docs, key="a stated key").select("doc_id", "text", "n_entities")
