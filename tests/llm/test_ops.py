@@ -699,3 +699,52 @@ def test_more_addresses_than_short_forms(spark):
     units = spark.range(9**4).select(F.lit("ip").alias("kind"), F.concat_ws(".", *(((F.col("id") / 9**k).cast("long") % 9 + 1).cast("string") for k in range(4))).alias("canon"))
     out = surrogate_table(units, "k")
     assert out.count() == out.select("stand_in").distinct().count() == 9**4 and out.join(units.withColumnRenamed("canon", "stand_in"), "stand_in", "left_semi").count() == 0
+
+
+# --- op9: files ---
+def test_warc_files_are_read_back_and_audited(spark, tmp_path):
+    import zlib as z
+    from pathlib import Path
+
+    from tickloom.llm.warc import audit, read_warc, warc_records, write_warc
+
+    rows = [(k, f"u{k}", "<p>" + f"{k} text " * (k % 50) + "</p>") for k in range(300)] + [(None, None, None), (7, "again", ""), (7, "again", ""), (8, "long", "x y " * 600_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("hash", F.lit(1)).withColumn("segment", F.lit(1))
+    files = write_warc(warc_records(df), str(tmp_path / "a"), 2)
+    here = read_warc(files).cache()
+    want = sorted((r.id or -1, len(r.record), hashlib.sha256(r.record).hexdigest()) for r in warc_records(df).collect())
+    assert sorted((r.id if r.id is not None else -1, r.length, r.hash) for r in here.collect()) == [(i if i != -1 else -1, n, h) for i, n, h in sorted((r.id if r.id is not None else -1, len(r.record), hashlib.sha256(bytes(r.record)).hexdigest()) for r in warc_records(df).collect())] and len(want) == len(rows)
+    places = {r.segment: sorted((x.ordinal, x.file_offset, x.offset, x.id, x.length) for x in here.collect() if x.segment == r.segment) for r in here.select("segment").distinct().collect()}
+    # on disk: bits turned in a compressed record, one lost from the middle, one put in, the end cut off
+    other = tmp_path / "b"
+    other.mkdir()
+    gone, spoilt, cut_off = {}, {}, {}
+    for r in files.collect():
+        raw, own = Path(r.path).read_bytes(), places[r.segment]
+        starts = [x[1] for x in own] + [len(raw)]
+        parts = [bytearray(raw[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        parts[20][len(parts[20]) // 2] ^= 255
+        spoilt[r.segment], gone[r.segment], cut_off[r.segment] = own[20][3], own[60][3], own[-1][3]
+        parts[-1] = parts[-1][: len(parts[-1]) // 2]
+        parts[60] = b""
+        new = z.compressobj(wbits=31)
+        parts.insert(90, new.compress(b"WARC/1.0\r\nWARC-Record-ID: <urn:page:999>\r\n\r\nnew") + new.flush())
+        (other / Path(r.path).name).write_bytes(b"".join(parts))
+    copies = files.withColumn("path", F.concat(F.lit(str(other) + "/"), F.element_at(F.split("path", "/"), -1)))
+    out = audit(here, read_warc(copies)).collect()
+    by = {s: {(r.segment, r.id) for r in out if r.status == s} for s in ("damaged", "missing", "added", "moved")}
+    assert by["damaged"] == set(spoilt.items()) | set(cut_off.items()) and by["missing"] == set(gone.items()) and by["added"] == {(s, 999) for s in gone}
+    assert all(r.hash == r.other_hash for r in out if r.status == "moved") and audit(here, here).count() == 0
+    assert read_warc(write_warc(warc_records(df.where("false")), str(tmp_path / "c"), 2)).count() == 0
+
+
+def test_a_lost_and_an_inserted_record_leave_the_others_whole(spark):
+    from tickloom.llm.warc import audit
+
+    row = lambda s, n, i, h: (s, n, i, 10 * n, 10, h)
+    kind = "segment int, ordinal int, id long, offset long, length long, hash string"
+    ids = [*range(40)]
+    one = spark.createDataFrame([row(0, n, i, f"h{i}") for n, i in enumerate(ids)], kind)
+    two = spark.createDataFrame([row(0, n, i, f"h{i}") for n, i in enumerate([*ids[:5], *ids[6:20], 77, *ids[20:]])], kind)
+    out = [(r.id, r.status) for r in audit(one, two).collect()]
+    assert {x for x in out if x[1] != "moved"} == {(5, "missing"), (77, "added")} and all(i in range(6, 20) for i, s in out if s == "moved")

@@ -84,3 +84,10 @@ def join_hashed(many: DataFrame, few: DataFrame, h1: str, h2: str, how: str = "i
     few = few.withColumnsRenamed({h1: "_few_1", h2: "_few_2"})
     on = (many[h1] == few["_few_1"]) & (many[h2].bitwiseXOR(few["_few_2"]) == 0)
     return many.join(few, on, how).drop("_few_1", "_few_2")
+
+
+def filesystem(path: str):
+    """(file system, path in it) of a path or address, for tasks that read or write files of their own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)

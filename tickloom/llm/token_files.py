@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, read_table, scratch
+from .common import filesystem, quoted, read_table, scratch
 from .pfor import BLOCK, Reader, Writer
 from .piece_memo import PieceMemo
 from .word_hashes import MARKS, SPACES, buffer_of, fold_ascii, span_hashes, turns
@@ -139,12 +139,6 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", *, files: int | None = None, block: int = BLOCK, percentile: float = 90.0) -> DataFrame:
     """Encode every text and write the ids to files in `folder`, in ascending id order; returns the manifest.
 
@@ -170,7 +164,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
         encoder = _ENCODERS[tokenizer_path]
         context = TaskContext.get()
-        system, base = _filesystem(folder)
+        system, base = filesystem(folder)
         system.create_dir(base, recursive=True)
         final = f"{base}/tokens-{context.partitionId():06d}.pfor"
         part = f"{final}.{context.taskAttemptId()}.tmp"
@@ -207,7 +201,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, name = _filesystem(path)
+                system, name = filesystem(path)
                 with system.open_input_file(name) as source:
                     out, size = [], 0
                     for doc, start, ids in Reader(source, source.size()).documents():
