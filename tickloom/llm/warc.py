@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, filesystem, quoted, read_table, scratch
+from .word_hashes import turns
 
 #: Children of a node.
 FANOUT = 16
 #: Records of a segment file, about; a segment is one tree.
-SEGMENT_RECORDS = 4096
+SEGMENT_RECORDS = 1024
 _CHUNK, _HEAD = 1 << 20, 1 << 14
 _MAGIC = b"\x1f\x8b\x08"
 _ID = re.compile(rb"\r\nWARC-Record-ID: *<urn:page:([^>\r]*)>", re.I)
@@ -46,7 +47,16 @@ def write_warc(records: DataFrame, folder: str, segments: int) -> DataFrame:
     own that is then changed: a task that runs again leaves whole files. The folder must be one that executors share.
     """
     rows = records.select("id", "record", F.sha2("record", 256).alias("hash")).withColumn("segment", _segment(segments))
-    rows = rows.repartition("segment").sortWithinPartitions("segment", F.col("id").asc_nulls_first(), "hash").select("segment", "record")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in turns(whole, 1):
+                made = pa.array([_member(x.as_py()) for x in batch.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), made, batch.column(2), batch.column(3)], names=batch.schema.names)
+
+    # compressed, records take less of the shuffle, too
+    rows = rows.mapInArrow(squeeze, rows.schema).repartition(max(1, min(segments, max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), segments // 64))), "segment")
+    rows = rows.sortWithinPartitions("segment", F.col("id").asc_nulls_first(), "hash").select("segment", "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
@@ -64,7 +74,7 @@ def write_warc(records: DataFrame, folder: str, segments: int) -> DataFrame:
                     end()
                     now, out = segment, system.open_output_stream(f"{base}/{_name(segment)}.{attempt}.tmp", compression=None)
                     made.append([segment, f"{folder}/{_name(segment)}", 0])
-                out.write(_member(record.as_py()))
+                out.write(record.as_py())
                 made[-1][2] += 1
         end()
         if made:
@@ -324,7 +334,7 @@ WITH made AS (
 ), hashed AS (
   SELECT page_id, h, length(h) // 2 AS length, length(h) // 4 AS middle, sha256(unhex(h)) AS record_sha256 FROM made
 ), placed AS (
-  SELECT *, (('0x' || substr(record_sha256, 1, 8))::BIGINT % greatest(1, (SELECT (count(*) + 4095) // 4096 FROM pages)))::INTEGER AS segment,
+  SELECT *, (('0x' || substr(record_sha256, 1, 8))::BIGINT % greatest(1, (SELECT (count(*) + 1023) // 1024 FROM pages)))::INTEGER AS segment,
     ('0x' || substr(record_sha256, 17, 8))::BIGINT % 199 = 0 AS lost,
     CASE WHEN ('0x' || substr(record_sha256, 9, 8))::BIGINT % 61 = 0
          THEN sha256(unhex(substr(h, 1, 2 * middle - 1) || translate(substr(h, 2 * middle, 1), '0123456789ABCDEF', '1032547698BADCFE') || substr(h, 2 * middle + 1)))
