@@ -137,7 +137,9 @@ def test_views_of_short_series(spark):
 def test_models_repeat_and_cover_the_test_rows(split):
     data = features.scaled(split).cache()
     n = data.where("split = 'test'").count()
-    for make in (lambda: models.fit_predict(data, "random_forest", trees=2), lambda: models.network_predict(data, epochs=1), lambda: models.arima_predict(split), lambda: models.arima_predict(split, "seasonal_arima")):
+    boosted = [lambda n=n: models.fit_predict(data, n, trees=1) for n in models.BOOSTED]
+    networks = [lambda n=n: models.network_predict(data, n, epochs=1) for n in models.NETWORKS]
+    for make in (*boosted, *networks, lambda: models.kernel_predict(data), lambda: models.fit_predict(data, "random_forest", trees=2), lambda: models.arima_predict(split), lambda: models.arima_predict(split, "seasonal_arima")):
         one, two = (make().orderBy("symbol", "dt").toPandas() for _ in range(2))
         assert len(one) == n and np.isfinite(one.predicted).all()
         pd.testing.assert_frame_equal(one, two)

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,14 +64,11 @@ def kernel_predict(scaled: DataFrame, n_features: int = 64, ridge: float = 1.0,
     names = columns or FEATURES
     rng = np.random.default_rng(SEED)
     weights, shifts = rng.normal(0, math.sqrt(2 / len(names)), (n_features, len(names))), rng.uniform(0, 2 * math.pi, n_features)
-    waves = []
-    for k in range(n_features):
-        total = F.lit(float(shifts[k]))
-        for j, c in enumerate(names):
-            total = total + F.col(c) * float(weights[k, j])
-        waves.append((F.cos(total) * math.sqrt(2 / n_features)).alias(f"_z{k}"))
-    wide = scaled.select(s.key, s.order, "split", "target", *waves)
-    vectors = VectorAssembler(inputCols=[f"_z{k}" for k in range(n_features)], outputCol="features").transform(wide)
+    waves = F.transform(
+        F.lit([[*map(float, w), float(b)] for w, b in zip(weights, shifts, strict=True)]),
+        lambda w: F.cos(F.aggregate(F.zip_with(F.array(*names, F.lit(1.0)), w, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)) * math.sqrt(2 / n_features),
+    )
+    vectors = scaled.select(s.key, s.order, "split", "target", array_to_vector(waves).alias("features"))
     model = _fit(LinearRegression(labelCol="target", regParam=ridge, solver="normal"), vectors)
     return _predictions(model.transform(vectors.where(F.col("split") == "test")), "kernel_rff", "ML", ord_, s)
 
