@@ -88,6 +88,22 @@ def test_trend_and_season(spark):
     out = {r.symbol: r for r in profile.series_profile(df).collect()}
     assert out["up"].signed_trend == pytest.approx(0.5) and out["up"].has_strong_trend
     assert out["weekly"].has_seasonality and not out["short"].has_seasonality and not out["short"].has_strong_trend
+    parts = profile.trend(df).join(profile.seasonality(df), "symbol").collect()
+    for r in parts:
+        for c in ("signed_trend", "trend_strength", "weekly_variation"):
+            assert (getattr(r, c) is None) == (getattr(out[r.symbol], c) is None) and getattr(out[r.symbol], c) == (None if getattr(r, c) is None else pytest.approx(getattr(r, c)))
+    every = {r.symbol: r for r in profile.characteristics(df).collect()}
+    tested = {r.symbol: r.is_stationary for r in profile.stationarity(df).collect()}
+    assert {k: r.is_stationary for k, r in every.items()} == tested and every["weekly"].has_seasonality
+
+
+def test_profile_of_odd_series(spark):
+    df = bars(spark, one=[5.0], few=[1.0, 2.0]).withColumn("daily_return", S.pct_change("close"))
+    nothing = df.withColumns({"symbol": F.lit("nothing"), "close": F.lit(None).cast("double"), "daily_return": F.lit(None).cast("double")})
+    out = {r.symbol: r for r in profile.series_profile(df.unionByName(nothing)).collect()}
+    assert set(out) == {"one", "few", "nothing"} and all(r.trend_strength is None and not r.has_seasonality and not r.is_high_volatility for k, r in out.items() if k != "few")
+    assert out["one"].weekly_variation is None and out["few"].weekly_variation == pytest.approx(np.std([1, 2], ddof=1) / 1.5)
+    assert profile.series_profile(df.where("false")).count() == 0
 
 
 def predictions(spark, rows):
@@ -103,6 +119,8 @@ def test_metrics_and_champion(spark):
     assert out["right"].r2 == 1 and out["mean"].r2 == pytest.approx(0) and out["wrong"].r2 < 0 and out["mean"].mae == 1
     assert evaluate.champion(m).first().model == "right"
     assert [r.model for r in evaluate.leaderboard(m).orderBy("rank").collect()] == ["right", "right_too", "mean", "wrong"]
+    best, joined = (sorted(x.collect()) for x in (evaluate.best_predictions(df), evaluate.champion_series(df, evaluate.champion(m))))
+    assert best == joined and len(best) == 4 and {r.model for r in best} == {"right"}
     assert {r.tier for r in evaluate.leaderboard(m).collect()} == {"Excellent", "Fair"}
     assert evaluate.preview(df, rows=2).count() == 2 and evaluate.preview_metrics(df, rows=3).first().n == 3
     assert {r.type: r.n_models for r in evaluate.training_summary(m).collect()} == {"ML": 4, "ALL": 4}
@@ -171,6 +189,11 @@ def test_failed_fit_is_reported(spark, split):
     few = split.where("symbol = 'a'").orderBy("dt").limit(3).withColumn("split", F.lit("test"))
     out = models.arima_predict(few).collect()
     assert out and all(r.predicted is None and r.fit_error for r in out)
+    scaled = features.scaled(few).na.fill(0.0)
+    for made in (models.fit_predict(scaled, "random_forest", trees=1), models.fit_predict(scaled, "boosting_deep", trees=1), models.kernel_predict(scaled)):
+        out = made.collect()
+        assert len(out) == 3 and all(r.predicted is None and r.fit_error for r in out)
+    assert evaluate.merged(made, evaluate.baseline_predictions(few)).where("model = 'kernel_rff'").count() == 0
 
 
 def test_queries_run_presets(monkeypatch):

@@ -83,6 +83,17 @@ def champion_series(predictions: DataFrame, champions: DataFrame, s: Series = S)
     return predictions.join(best, [s.key, "model"]).select(s.key, s.order, "model", "actual", "predicted", F.abs(F.col("actual") - F.col("predicted")).alias("abs_error"))
 
 
+def best_predictions(predictions: DataFrame, s: Series = S) -> DataFrame:
+    """champion_series of the predictions' own champions. Scores are windows over the series, on the partitioning that the
+    predictions already have, so that they are made once and not joined with themselves."""
+    w = Window.partitionBy(s.key, "model", "type", "ord")
+    error = F.col("actual") - F.col("predicted")
+    scored = predictions.withColumns({"_sse": F.sum(F.pow(error, 2)).over(w), "_sst": F.var_pop("actual").over(w) * F.count("actual").over(w)})
+    rank = F.struct(1 - F.try_divide(F.col("_sse"), F.col("_sst")), -F.col("ord"))
+    best = scored.withColumn("_best", F.max_by("model", rank).over(s.whole)).where(F.col("model") == F.col("_best"))
+    return best.select(s.key, s.order, "model", "actual", "predicted", F.abs(error).alias("abs_error"))
+
+
 def preview(predictions: DataFrame, s: Series = S, rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows of each series' first-listed model."""
     at = F.row_number().over(Window.partitionBy(s.key).orderBy("ord", s.order))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -42,20 +43,30 @@ def _fit(kind: Estimator, vectors: DataFrame) -> Model:
     """Fit on the train rows, kept meanwhile: an estimator reads them several times."""
     train = vectors.where(F.col("split") == "train").select("features", "target").persist()
     try:
+        if train.isEmpty():
+            raise ValueError("no train rows")
         return kind.fit(train)
     finally:
         train.unpersist()
 
 
-def _predictions(out: DataFrame, name: str, kind: str, ord_: int, s: Series) -> DataFrame:
-    return out.select(s.key, s.order, F.lit(name).alias("model"), F.lit(kind).alias("type"), F.lit(ord_).alias("ord"), F.col("target").alias("actual"), F.col("prediction").alias("predicted"))
+def _tested(kind: Estimator, vectors: DataFrame, name: str, ord_: int, s: Series) -> DataFrame:
+    """Predictions of the test rows. Where the train rows can't be fitted, such as none at all, they are null and fit_error says why."""
+    test, error = vectors.where(F.col("split") == "test"), None
+    try:
+        out = _fit(kind, vectors).transform(test)
+    except (ValueError, IllegalArgumentException) as e:
+        out, error = test.withColumn("prediction", F.lit(None).cast("double")), str(e)
+    return out.select(
+        s.key, s.order, F.lit(name).alias("model"), F.lit("ML").alias("type"), F.lit(ord_).alias("ord"), F.col("target").alias("actual"), F.col("prediction").alias("predicted"),
+        F.lit(error).cast("string").alias("fit_error"),
+    )
 
 
 def fit_predict(scaled: DataFrame, name: str, trees: int | None = None, ord_: int = 0, s: Series = S, columns: list[str] | None = None) -> DataFrame:
     """Fit a tree ensemble on the train rows of all series; predict the test rows."""
     vectors = VectorAssembler(inputCols=columns or FEATURES, outputCol="features").transform(scaled)
-    model = _fit(estimator(name, trees), vectors)
-    return _predictions(model.transform(vectors.where(F.col("split") == "test")), name, "ML", ord_, s)
+    return _tested(estimator(name, trees), vectors, name, ord_, s)
 
 
 def kernel_predict(scaled: DataFrame, n_features: int = 64, ridge: float = 1.0, ord_: int = 0, s: Series = S, columns: list[str] | None = None) -> DataFrame:
@@ -69,8 +80,7 @@ def kernel_predict(scaled: DataFrame, n_features: int = 64, ridge: float = 1.0,
         lambda w: F.cos(F.aggregate(F.zip_with(F.array(*names, F.lit(1.0)), w, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)) * math.sqrt(2 / n_features),
     )
     vectors = scaled.select(s.key, s.order, "split", "target", array_to_vector(waves).alias("features"))
-    model = _fit(LinearRegression(labelCol="target", regParam=ridge, solver="normal"), vectors)
-    return _predictions(model.transform(vectors.where(F.col("split") == "test")), "kernel_rff", "ML", ord_, s)
+    return _tested(LinearRegression(labelCol="target", regParam=ridge, solver="normal"), vectors, "kernel_rff", ord_, s)
 
 
 def _by_series(rows: DataFrame, fit: Callable[[pd.DataFrame], np.ndarray], name: str, kind: str, ord_: int, s: Series) -> DataFrame:

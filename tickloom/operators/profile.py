@@ -37,13 +37,26 @@ def trend(frame: DataFrame, s: Series = S) -> DataFrame:
 
 def series_profile(frame: DataFrame, s: Series = S) -> DataFrame:
     """A row for each series: volatility (annual, as a fraction), is_high_volatility, signed_trend, trend_strength,
-    has_strong_trend (either way), weekly_variation and has_seasonality (of at least 365 rows)."""
-    volatility = frame.groupBy(s.key).agg(annual_volatility(F.col("daily_return")).alias("volatility"))
-    joined = volatility.join(trend(frame, s), s.key, "left").join(seasonality(frame, s), s.key, "left")
+    has_strong_trend (either way), weekly_variation and has_seasonality (of at least 365 rows).
+
+    One aggregate of the frame, on the partitioning that its windows have: what trend and seasonality say of it."""
+    back, close, day = F.col("_back"), F.col("close"), F.weekday(s.order)
+    rows = frame.withColumn("_back", s.number_from_last())
+    one = rows.groupBy(s.key).agg(
+        annual_volatility(F.col("daily_return")).alias("volatility"),
+        (F.try_divide(F.avg(F.when(back <= 60, close)), F.avg(F.when(back.between(201, 260), close))) - 1).alias("signed_trend"),
+        F.filter(F.array(*(F.avg(F.when(day == k, close)) for k in range(7))), lambda m: m.isNotNull()).alias("_days"),
+        F.avg(close).alias("_mean"),
+        F.count(close).alias("_n"),
+    )
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
+    middle = F.try_divide(total(F.col("_days")), F.size("_days"))
+    spread = F.sqrt(F.try_divide(total(F.transform("_days", lambda m: F.pow(m - F.col("_middle"), 2))), F.size("_days") - 1))
+    wide = one.withColumn("_middle", middle).withColumns({"trend_strength": F.abs("signed_trend"), "weekly_variation": F.try_divide(spread, F.col("_mean"))})
     true = lambda c: F.coalesce(c, F.lit(False))
-    return joined.select(
+    return wide.select(
         s.key, "volatility", true(F.col("volatility") > HIGH_VOLATILITY).alias("is_high_volatility"), "signed_trend", "trend_strength", true(F.col("trend_strength") > STRONG_TREND).alias("has_strong_trend"),
-        "weekly_variation", true((F.col("n_rows") >= SEASONAL_ROWS) & (F.col("weekly_variation") > SEASONAL)).alias("has_seasonality"),
+        "weekly_variation", true((F.col("_n") >= SEASONAL_ROWS) & (F.col("weekly_variation") > SEASONAL)).alias("has_seasonality"),
     )
 
 
@@ -91,3 +104,10 @@ def stationarity(frame: DataFrame, s: Series = S, c: str = "close", min_rows: in
     rows = frame.select(frame[s.key].alias("key"), frame[s.order].alias("order"), frame[c].cast("double").alias("x"))
     out = rows.groupBy("key").applyInPandas(run, f"key {key_type}, n_rows long, adf_statistic double, critical_5 double, n_lags long, is_stationary boolean")
     return out.withColumnRenamed("key", s.key)
+
+
+def characteristics(frame: DataFrame, s: Series = S) -> DataFrame:
+    """A row for each series: is_stationary of its closes, is_high_volatility, has_strong_trend, has_seasonality,
+    volatility and trend_strength: all the badges of a series together."""
+    tested = stationarity(frame, s).select(s.key, "is_stationary")
+    return series_profile(frame, s).join(tested, s.key).select(s.key, "is_stationary", "is_high_volatility", "has_strong_trend", "has_seasonality", "volatility", "trend_strength")

@@ -130,6 +130,7 @@ _add("feature_scaled", lambda s, d: features.scaled(_split(s, d)).select("symbol
 _add("series_profile", _over(_frame, profile.series_profile), _of(f"{Q.IND}, {Q.PROFILE}", f"symbol, {Q.r('volatility', 'volatility')}, is_high_volatility, {Q.rounded('signed_trend', 'trend_strength')}, has_strong_trend, {Q.rounded('weekly_variation')}, has_seasonality", "profile"))
 _add("weekday_seasonality", _over(_frame, profile.weekday_means), _of(f"{Q.IND}, {Q.PROFILE}", f"symbol, CAST(weekday AS INTEGER) AS weekday, {Q.r('m', 'mean_close', 3)}", "wd"))
 _add("trend_strength", _over(_frame, profile.trend), _of(f"{Q.IND}, {Q.PROFILE}", f"symbol, {Q.r('signed_trend', 'signed_trend')}, {Q.r('abs(signed_trend)', 'trend_strength')}", "trend"))
+_add("series_characteristics", _over(_frame, profile.characteristics))
 _add("adf_test", lambda s, d: tidy(profile.stationarity(_frame(s, d))))
 
 # --- risk ---
@@ -150,14 +151,7 @@ _add("model_metrics", _over(_metrics, lambda df: df), _of(_EVAL, f"symbol, model
 _add("champion", _over(_metrics, evaluate.champion), _of(_EVAL, f"symbol, model, type, {Q.rounded('r2', 'rmse', 'mae')}", "ranked", "WHERE rank = 1"))
 _TIER = "CASE WHEN r2 > 0.7 THEN 'Excellent' WHEN r2 > 0.4 THEN 'Good' ELSE 'Fair' END AS tier"
 _add("leaderboard", _over(_metrics, evaluate.leaderboard), _of(_EVAL, f"symbol, CAST(rank AS INTEGER) AS rank, model, type, 'Machine Learning' AS family, {Q.rounded('r2', 'rmse', 'mae')}, {_TIER}", "ranked", "WHERE rank <= 10"))
-
-
-def _champion_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _predictions(spark, d)
-    return tidy(evaluate.champion_series(rows, evaluate.champion(evaluate.model_metrics(rows))))
-
-
-_add("prediction_errors", _champion_rows, _of(_EVAL, f"{KEY}, model, {Q.rounded('actual', 'predicted')}, {Q.r('abs(actual - predicted)', 'abs_error')}", "pred SEMI JOIN (SELECT symbol, model FROM ranked WHERE rank = 1) USING (symbol, model)"))
+_add("prediction_errors", _over(_predictions, evaluate.best_predictions), _of(_EVAL, f"{KEY}, model, {Q.rounded('actual', 'predicted')}, {Q.r('abs(actual - predicted)', 'abs_error')}", "pred SEMI JOIN (SELECT symbol, model FROM ranked WHERE rank = 1) USING (symbol, model)"))
 _FIRST = f"(SELECT * FROM pred WHERE ord = 0 QUALIFY row_number() OVER {Q.W} <= 50)"
 _add("preview", _over(_predictions, lambda df: evaluate.preview(df).select("symbol", "dt", "model", "actual", "predicted")), _of(_EVAL, f"{KEY}, model, {Q.rounded('actual', 'predicted')}", _FIRST))
 _add("preview_metrics", _over(_predictions, evaluate.preview_metrics), _of(_EVAL, f"symbol, model, count(*) AS n, {Q.r('avg(abs(actual - predicted))', 'mae')}, {Q.r('1 - sum(pow(actual - predicted, 2)) / nullif(var_pop(actual) * count(*), 0)', 'r2')}", _FIRST, "GROUP BY symbol, model"))
