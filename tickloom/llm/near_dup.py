@@ -185,6 +185,17 @@ def components(edges: DataFrame, rank: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(named: DataFrame, links: DataFrame, rank: DataFrame) -> DataFrame:
+    """named(node, label) after links(x, y): classes that links span get the least of their labels. Only the classes' labels
+    go through rounds, not their nodes."""
+    spans = links.join(named.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(named.select(F.col("node").alias("y"), F.col("label").alias("b")), "y").where(F.col("a") != F.col("b"))
+    spans = cut(spans.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
+    if spans.isEmpty():
+        return named
+    top = components(spans, rank).select(F.col("node").alias("top"), F.col("label").alias("far"))
+    return cut(named.join(top, F.col("label.node") == F.col("top"), "left").select("node", F.coalesce("far", "label").alias("label")))
+
+
 def links_to_check(nodes: DataFrame, texts: DataFrame, *, size: int, threshold: float) -> DataFrame:
     """(x, y), x < y, of nodes(node, label) of different labels: all whose similarity can be threshold or more.
 
@@ -242,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probability of 3e-5. In each bucket all nodes are checked against one, its leader, and linked where
     the similarity holds. Links within a class add nothing, so only nodes of buckets that then span classes go on:
     of them, pairs of different classes are checked that their rarest shingles do not rule out
-    (links_to_check). So no link that shares a bucket is lost, and a bucket of near copies costs as many checks
+    (links_to_check): one of each text, then those whose texts are still in different classes. So no link that shares a bucket is lost, and a bucket of near copies costs as many checks
     as it has nodes.
 
     class_id is the least id of the class; null ids come last. A text without words (null, empty,
@@ -269,20 +280,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = cut(similarities(stars, texts, size=size))
     linked = tested.where(F.col("sim") >= threshold)
     labels = components(linked, rank)
+    named = cut(rank.join(labels, "node", "left").select("node", F.coalesce("label", F.struct("rep", "node")).alias("label")))
 
-    own = rank.select("node", F.struct("rep", "node").alias("self"))
-    placed = shared.select("bucket", "node", "leader").join(labels, "node", "left").join(own, "node").select("bucket", "node", "leader", F.coalesce("label", "self").alias("label"))
+    placed = shared.select("bucket", "node").join(named, "node")
     torn = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("bucket")
     rest = cut(placed.join(torn, "bucket", "left_semi").select("node", "label").distinct())
     more = links_to_check(rest, texts, size=size, threshold=threshold)
     seen = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = cut(more.join(seen, ["x", "y"], "left_anti"))
     if not more.isEmpty():
-        found = cut(similarities(more, texts, size=size).where(F.col("sim") >= threshold))
-        if not found.isEmpty():
-            labels = components(linked.unionByName(found), rank)
-
-    classes = rank.join(labels, "node", "left").select("node", F.coalesce(F.col("label.rep"), F.col("rep")).alias("rep"), F.coalesce(F.col("label.node"), F.col("node")).alias("root"))
+        # one pair of each text first: a link inside what that joins would add nothing
+        once = cut(more.groupBy("x").agg(F.max("y").alias("y")))
+        named = relabelled(named, cut(similarities(once, texts, size=size).where(F.col("sim") >= threshold)), rank)
+        apart = more.join(once, ["x", "y"], "left_anti").join(named.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(named.select(F.col("node").alias("y"), F.col("label").alias("b")), "y")
+        apart = cut(apart.where(F.col("a") != F.col("b")).select("x", "y"))
+        if not apart.isEmpty():
+            named = relabelled(named, cut(similarities(apart, texts, size=size).where(F.col("sim") >= threshold)), rank)
+
+    classes = named.select("node", F.col("label.rep").alias("rep"), F.col("label.node").alias("root"))
     classed = some.select("id", "node").join(classes, "node")
     h1, h2 = key2(F.col("root"))
     classed = classed.withColumns({"h1": h1, "h2": h2})
