@@ -754,11 +754,10 @@ def test_links_join_classes_not_nodes(spark):
     from tickloom.llm.near_dup import relabelled
 
     n = [bytes([k]) for k in range(7)]
-    rank = spark.createDataFrame([(x, 10 - k) for k, x in enumerate(n)], "node binary, rep long")
     label = {0: 1, 1: 1, 2: 3, 3: 3, 4: 4, 5: 5, 6: 6}
     named = spark.createDataFrame([(n[k], (10 - v, n[v])) for k, v in label.items()], "node binary, label struct<rep: long, node: binary>")
     links = spark.createDataFrame([(n[0], n[2]), (n[1], n[2]), (n[2], n[4]), (n[0], n[1])], "x binary, y binary")
-    out = {r.node[0]: (r.label.rep, r.label.node[0]) for r in relabelled(named, links, rank).collect()}
+    out = {r.node[0]: (r.label.rep, r.label.node[0]) for r in relabelled(named, links).collect()}
     assert out == {**{k: (6, 4) for k in range(5)}, 5: (5, 5), 6: (4, 6)}
-    same = {r.node[0]: r.label.node[0] for r in relabelled(named, links.where("false"), rank).collect()}
+    same = {r.node[0]: r.label.node[0] for r in relabelled(named, links.where("false")).collect()}
     assert same == label

@@ -21,6 +21,8 @@ _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 #: Length of the first time cell; later cells double up to _LONGEST.
 _FIRST, _LONGEST = 2.0**-6, 16.0
 _LAST = (1 << 63) - 1
+#: How many times each text of a torn bucket tries one partner before all pairs still apart are made; results don't depend on it.
+ROUNDS = 2
 
 
 def _cells(upto: float, first: float) -> Iterator[tuple[int, float, float]]:
@@ -145,8 +147,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, *, bands: int, rows:
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, *, size: int) -> DataFrame:
-    """pairs(x, y) with sim, the weighted Jaccard similarity of the shingles of texts(node, text)."""
-    both = pairs.join(texts.withColumnsRenamed({"node": "y", "text": "text_y"}), "y").join(texts.withColumnsRenamed({"node": "x", "text": "text_x"}), "x")
+    """pairs(x, y), or pairs(p, q) of the 64-bit hashes of names, as (x, y, sim): sim is the weighted Jaccard similarity of the
+    shingles of texts(node, text)."""
+    px, py, key = ("x", "y", F.col("node")) if "x" in pairs.columns else ("p", "q", F.xxhash64("node"))
+    at_y, at_x = (texts.select(key.alias(at), F.struct("node", "text").alias(end)) for at, end in ((py, "end_y"), (px, "end_x")))
+    both = pairs.select(px, py).join(at_y, py).join(at_x, px).select(F.col("end_x.node").alias("x"), F.col("end_y.node").alias("y"), F.col("end_x.text").alias("text_x"), F.col("end_y.text").alias("text_y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -175,9 +180,11 @@ def components(edges: DataFrame, rank: DataFrame) -> DataFrame:
     two = cut(two)
     own = rank.select("node", F.struct("rep", "node").alias("label"))
     labels = cut(two.select(F.col("x").alias("node")).distinct().join(own, "node"))
+    none = F.lit(None).cast(labels.schema["label"].dataType)
     while True:
-        near = two.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        heard = two.join(labels.select(F.col("node").alias("y"), "label"), "y").select(F.col("x").alias("node"), "label", none.alias("old"))
+        heard = heard.unionByName(labels.select("node", "label", F.col("label").alias("old")))
+        step = heard.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = step.select(F.col("node").alias("to"), F.col("label").alias("far"))
         new = cut(step.join(jump, F.col("label.node") == F.col("to"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
         labels = new.select("node", "label")
@@ -185,29 +192,34 @@ def components(edges: DataFrame, rank: DataFrame) -> DataFrame:
             return labels
 
 
-def relabelled(named: DataFrame, links: DataFrame, rank: DataFrame) -> DataFrame:
-    """named(node, label) after links(x, y): classes that links span get the least of their labels. Only the classes' labels
+def relabelled(named: DataFrame, links: DataFrame) -> DataFrame:
+    """named(node, label, ...) after links(x, y): classes that links span get the least of their labels. Only the classes' labels
     go through rounds, not their nodes."""
     spans = links.join(named.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(named.select(F.col("node").alias("y"), F.col("label").alias("b")), "y").where(F.col("a") != F.col("b"))
-    spans = cut(spans.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
+    spans = cut(spans.select("a", "b").distinct())
     if spans.isEmpty():
         return named
-    top = components(spans, rank).select(F.col("node").alias("top"), F.col("label").alias("far"))
-    return cut(named.join(top, F.col("label.node") == F.col("top"), "left").select("node", F.coalesce("far", "label").alias("label")))
+    rank = spans.select("a.*").unionByName(spans.select("b.*")).distinct()
+    top = components(spans.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")), rank)
+    return cut(renamed(named, top.select(F.col("node").alias("top"), F.col("label").alias("far"))))
 
 
-def links_to_check(nodes: DataFrame, texts: DataFrame, *, size: int, threshold: float) -> DataFrame:
-    """(x, y), x < y, of nodes(node, label) of different labels: all whose similarity can be threshold or more.
+def renamed(named: DataFrame, top: DataFrame) -> DataFrame:
+    """named(node, label, ...) with the label far of top(top, far) where top is the label's node."""
+    return named.join(top, F.col("label.node") == F.col("top"), "left").withColumn("label", F.coalesce("far", "label")).drop("top", "far")
+
+
+def prefixes(texts: DataFrame, nodes: DataFrame, *, size: int, threshold: float) -> DataFrame:
+    """(nid, n, e, left): the elements by which texts(node, text) of nodes(node) can be found that are as similar as threshold.
 
     A text's shingles, the k-th occurrence of one being an element of its own, make a set, and the weighted Jaccard similarity is
     that of the sets. Elements are ordered by how many of the nodes have them, rarest first. Sets of n and m
     elements with a similarity of t share t / (1 + t) * (n + m) of them at least; so the first element that both have
-    comes where that many are left in each, and among the first (1 - t) * n of either. A text with many
-    elements of its own, such as a copy with too many edits, has no such place and is left out before any pair is
-    made; so are elements that only one class has.
+    comes where that many are left in each, and among the first (1 - t) * n of either. left counts the elements
+    from e on that other nodes have too. A text with many elements of its own, such as a copy with too many edits, has no
+    such place and is left out before any pair is made. nid is a 64-bit hash of the name.
     """
-    most, share, slack = 1 - threshold, threshold / (1 + threshold), 1e-6
-    named = nodes.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("label").alias("lab"))
+    most, slack = 1 - threshold, 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -222,26 +234,40 @@ def links_to_check(nodes: DataFrame, texts: DataFrame, *, size: int, threshold:
                 total = np.repeat(counts, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nid, counts)), pa.array(total, pa.int32()), pa.array(np.concatenate(elements).view(np.int64))], names=["nid", "n", "e"])
 
-    own = texts.join(named.select("node", "nid"), "node").select("nid", "text").mapInArrow(run, "nid long, n int, e long")
+    own = texts.join(nodes.select("node"), "node", "left_semi").select(F.xxhash64("node").alias("nid"), "text").mapInArrow(run, "nid long, n int, e long")
     held = own.groupBy("e").agg(F.count("*").alias("df")).where(F.col("df") > 1).select(F.col("e").bitwiseXOR(F.lit(1)).alias("other"), "df")
     # xor, so that neither side of the join is dealt out by the key already and hot elements can be split
     shared = own.withColumn("other", F.col("e").bitwiseXOR(F.lit(1))).join(held, "other").select("nid", "n", "e", "df")
     whole = Window.partitionBy("nid")
     placed = shared.withColumns({"at": F.row_number().over(whole.orderBy("df", "e")), "m": F.count("*").over(whole)})
-    left = F.col("m") - F.col("at") + 1  # elements from this one on that others have too
-    early = placed.withColumn("left", left.cast("int")).where(F.col("n") - F.col("left") <= most * F.col("n") + slack).select("nid", "n", "e", "left")
-    early = cut(early.join(named.select("nid", "lab"), "nid"))
-    least = early.groupBy("e").agg(F.min("n").alias("least"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where(F.col("lo") != F.col("hi")).select("e", "least")
-    able = early.join(least, "e").where(F.col("left") >= share * (F.col("n") + F.col("least")) - slack).drop("least")
-    two = able.groupBy("e").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where(F.col("lo") != F.col("hi")).select("e")
-    able = cut(able.join(two, "e", "left_semi"))
+    placed = placed.withColumn("left", (F.col("m") - F.col("at") + 1).cast("int"))
+    return placed.where(F.col("n") - F.col("left") <= most * F.col("n") + slack).select("nid", "n", "e", "left")
+
+
+def candidates(early: DataFrame, named: DataFrame, *, threshold: float, one: bool) -> DataFrame:
+    """(p, q): pairs of early (prefixes()) whose labels in named(node, label) differ and whose similarity can be threshold or more.
+
+    With one, a partner for each node, so no more pairs than nodes: of each element the class with the most nodes, or for its own nodes the
+    class with the fewest, offers the node with the most room, and of a node's offers the one made by most elements counts.
+    Else all such pairs, by a join of the elements that several classes have.
+    """
+    share, slack = threshold / (1 + threshold), 1e-6
+    labs = named.select(F.xxhash64("node").alias("nid"), F.xxhash64("label").alias("lab"))
+    rows = early.join(labs, "nid").withColumn("room", F.col("left") - share * F.col("n") + slack)
+    best = rows.groupBy("e", "lab").agg(F.count("*").alias("k"), F.max(F.struct("room", "nid", "n")).alias("best"), F.min("n").alias("least"))
+    ends = F.struct("k", "lab", "best")
+    top = best.groupBy("e").agg(F.max(ends).alias("hi"), F.min(ends).alias("lo"), F.min("least").alias("least")).where(F.col("hi.lab") != F.col("lo.lab"))
+    top = top.select(F.col("e").bitwiseXOR(F.lit(1)).alias("other"), "hi", "lo", "least")
+    able = rows.withColumn("other", F.col("e").bitwiseXOR(F.lit(1))).join(top, "other").where(F.col("room") >= share * F.col("least"))
+    if one:
+        offer = able.select("nid", "n", "room", F.when(F.col("lab") != F.col("hi.lab"), F.col("hi.best")).otherwise(F.col("lo.best")).alias("to"))
+        offer = offer.where((F.col("room") >= share * F.col("to.n")) & (F.col("to.room") >= share * F.col("n")))
+        made = offer.groupBy(F.col("nid").alias("p"), F.col("to.nid").alias("q")).agg(F.count("*").alias("k"))
+        return made.groupBy("p").agg(F.max(F.struct("k", "q")).alias("to")).select("p", F.col("to.q").alias("q"))
+    able = cut(able.select("nid", "n", "e", "lab", "room"))
     a, b = able.alias("a"), able.alias("b")
-    need = share * (F.col("a.n") + F.col("b.n")) - slack
-    on = (F.col("a.e") == F.col("b.e")) & (F.col("a.nid") < F.col("b.nid")) & (F.col("a.lab") != F.col("b.lab")) & (F.col("a.left") >= need) & (F.col("b.left") >= need)
-    pairs = a.join(b, on).select(F.col("a.nid").alias("p"), F.col("b.nid").alias("q")).distinct()
-    names = named.select("node", "nid")
-    full = pairs.join(names.withColumnsRenamed({"node": "s", "nid": "p"}), "p").join(names.withColumnsRenamed({"node": "t", "nid": "q"}), "q")
-    return full.select(F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y"))
+    on = (F.col("a.e") == F.col("b.e")) & (F.col("a.nid") < F.col("b.nid")) & (F.col("a.lab") != F.col("b.lab")) & (F.col("a.room") >= share * F.col("b.n")) & (F.col("b.room") >= share * F.col("a.n"))
+    return a.join(b, on).select(F.col("a.nid").alias("p"), F.col("b.nid").alias("q")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, size: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
@@ -252,9 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs. Signatures of bands x rows coordinates: a pair at 0.8 shares no band with a
     probability of 3e-5. In each bucket all nodes are checked against one, its leader, and linked where
     the similarity holds. Links within a class add nothing, so only nodes of buckets that then span classes go on:
-    of them, pairs of different classes are checked that their rarest shingles do not rule out
-    (links_to_check): one of each text, then those whose texts are still in different classes. So no link that shares a bucket is lost, and a bucket of near copies costs as many checks
-    as it has nodes.
+    of them, pairs of different classes are checked that their rarest shingles do not rule out (prefixes, candidates): ROUNDS
+    times one for each text, then all whose texts are still in different classes. So no link that shares a bucket is lost, and a
+    bucket of near copies costs as many checks as it has nodes.
 
     class_id is the least id of the class; null ids come last. A text without words (null, empty,
     marks only) is a class of its own, of its own id. n_in_class counts rows. Rows of equal id and text
@@ -285,17 +311,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = shared.select("bucket", "node").join(named, "node")
     torn = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("bucket")
     rest = cut(placed.join(torn, "bucket", "left_semi").select("node", "label").distinct())
-    more = links_to_check(rest, texts, size=size, threshold=threshold)
-    seen = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = cut(more.join(seen, ["x", "y"], "left_anti"))
-    if not more.isEmpty():
-        # one pair of each text first: a link inside what that joins would add nothing
-        once = cut(more.groupBy("x").agg(F.max("y").alias("y")))
-        named = relabelled(named, cut(similarities(once, texts, size=size).where(F.col("sim") >= threshold)), rank)
-        apart = more.join(once, ["x", "y"], "left_anti").join(named.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(named.select(F.col("node").alias("y"), F.col("label").alias("b")), "y")
-        apart = cut(apart.where(F.col("a") != F.col("b")).select("x", "y"))
-        if not apart.isEmpty():
-            named = relabelled(named, cut(similarities(apart, texts, size=size).where(F.col("sim") >= threshold)), rank)
+    if not rest.isEmpty():
+        early = cut(prefixes(texts, rest, size=size, threshold=threshold))
+        core = rest.withColumn("was", F.col("label"))
+        for one in (True,) * ROUNDS + (False,):
+            pairs = cut(candidates(early, core, threshold=threshold, one=one))
+            links = cut(similarities(pairs, texts, size=size).where(F.col("sim") >= threshold))
+            if not links.isEmpty():
+                core = relabelled(core, links)
+        merged = core.where(F.col("was") != F.col("label")).select(F.col("was.node").alias("top"), F.col("label").alias("far")).distinct()
+        named = cut(renamed(named, merged))
 
     classes = named.select("node", F.col("label.rep").alias("rep"), F.col("label.node").alias("root"))
     classed = some.select("id", "node").join(classes, "node")
