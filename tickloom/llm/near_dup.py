@@ -22,7 +22,7 @@ _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _FIRST, _LONGEST = 2.0**-6, 16.0
 _LAST = (1 << 63) - 1
 #: How many times each text of a torn bucket tries one partner before all pairs still apart are made; results don't depend on it.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def _cells(upto: float, first: float) -> Iterator[tuple[int, float, float]]:
@@ -209,11 +209,11 @@ def renamed(named: DataFrame, top: DataFrame) -> DataFrame:
     return named.join(top, F.col("label.node") == F.col("top"), "left").withColumn("label", F.coalesce("far", "label")).drop("top", "far")
 
 
-def prefixes(texts: DataFrame, nodes: DataFrame, *, size: int, threshold: float) -> DataFrame:
-    """(nid, n, e, left): the elements by which texts(node, text) of nodes(node) can be found that are as similar as threshold.
+def prefixes(texts: DataFrame, *, size: int, threshold: float) -> DataFrame:
+    """(nid, n, e, left): the elements by which those of texts(node, text) can be found that are as similar as threshold.
 
     A text's shingles, the k-th occurrence of one being an element of its own, make a set, and the weighted Jaccard similarity is
-    that of the sets. Elements are ordered by how many of the nodes have them, rarest first. Sets of n and m
+    that of the sets. Elements are ordered by how many of the texts have them, rarest first. Sets of n and m
     elements with a similarity of t share t / (1 + t) * (n + m) of them at least; so the first element that both have
     comes where that many are left in each, and among the first (1 - t) * n of either. left counts the elements
     from e on that other nodes have too. A text with many elements of its own, such as a copy with too many edits, has no
@@ -234,7 +234,7 @@ def prefixes(texts: DataFrame, nodes: DataFrame, *, size: int, threshold: float)
                 total = np.repeat(counts, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nid, counts)), pa.array(total, pa.int32()), pa.array(np.concatenate(elements).view(np.int64))], names=["nid", "n", "e"])
 
-    own = texts.join(nodes.select("node"), "node", "left_semi").select(F.xxhash64("node").alias("nid"), "text").mapInArrow(run, "nid long, n int, e long")
+    own = texts.select(F.xxhash64("node").alias("nid"), "text").mapInArrow(run, "nid long, n int, e long")
     held = own.groupBy("e").agg(F.count("*").alias("df")).where(F.col("df") > 1).select(F.col("e").bitwiseXOR(F.lit(1)).alias("other"), "df")
     # xor, so that neither side of the join is dealt out by the key already and hot elements can be split
     shared = own.withColumn("other", F.col("e").bitwiseXOR(F.lit(1))).join(held, "other").select("nid", "n", "e", "df")
@@ -312,11 +312,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     torn = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("bucket")
     rest = cut(placed.join(torn, "bucket", "left_semi").select("node", "label").distinct())
     if not rest.isEmpty():
-        early = cut(prefixes(texts, rest, size=size, threshold=threshold))
+        few = cut(texts.join(rest.select("node"), "node", "left_semi"))
+        early = cut(prefixes(few, size=size, threshold=threshold))
         core = rest.withColumn("was", F.col("label"))
         for one in (True,) * ROUNDS + (False,):
             pairs = cut(candidates(early, core, threshold=threshold, one=one))
-            links = cut(similarities(pairs, texts, size=size).where(F.col("sim") >= threshold))
+            links = cut(similarities(pairs, few, size=size).where(F.col("sim") >= threshold))
             if not links.isEmpty():
                 core = relabelled(core, links)
         merged = core.where(F.col("was") != F.col("label")).select(F.col("was.node").alias("top"), F.col("label").alias("far")).distinct()
