@@ -761,3 +761,21 @@ def test_links_join_classes_not_nodes(spark):
     assert out == {**{k: (6, 4) for k in range(5)}, 5: (5, 5), 6: (4, 6)}
     same = {r.node[0]: r.label.node[0] for r in relabelled(named, links.where("false")).collect()}
     assert same == label
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_rounds_of_single_partners_change_no_class(spark, rounds, monkeypatch):
+    from tickloom.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    rng = np.random.default_rng(21)
+    base, rows = [f"w{x}" for x in rng.integers(0, 900, 150)], []
+    for k in range(90):  # a drifting text: neighbours are near copies, ends are not
+        base = list(base)
+        base[int(rng.integers(150))] = f"n{k}"
+        w = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(150))] = f"m{rng.integers(1 << 30)}"
+        rows.append(" ".join(w))
+    out = {r.doc_id: r.class_id for r in near_dup.near_duplicates(texts(spark, rows).repartition(3)).collect()}
+    assert [out[i] for i in range(len(rows))] == classes(rows)
