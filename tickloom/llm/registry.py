@@ -10,6 +10,7 @@ from .byte_bpe import op5_byte_bpe
 from .decontaminate import op2_decontamination
 from .divergence import OP12_SQL, op12_source_divergence
 from .filter_audit import OP13_SQL, op13_filter_interactions
+from .group_join import OP11_SQL, op11_jaccard_components
 from .html_text import op1_html_text
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dup import op10_near_duplicates
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_warc_merkle": op9_warc_merkle,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_jaccard_components": op11_jaccard_components,
         "op12_source_divergence": op12_source_divergence,
         "op13_filter_interactions": op13_filter_interactions,
     }
@@ -40,5 +42,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_repeated_passages": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_merkle": OP9_SQL,
-        "op12_source_divergence": OP12_SQL, "op13_filter_interactions": OP13_SQL,
+        "op11_jaccard_components": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_filter_interactions": OP13_SQL,
     }
