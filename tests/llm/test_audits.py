@@ -185,6 +185,25 @@ def test_divergence_of_odd_rows(spark, odd):
     assert source_divergence(odd.limit(0)).count() == 0
 
 
+def test_terms_whose_hashes_collide_are_told_apart(spark, monkeypatch):
+    """Every hash the same: one term in each batch is a run's first, all others are counted by themselves."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tickloom.llm import divergence
+
+    monkeypatch.setattr(divergence, "span_hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+    rows = talk(7, 40)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in (2, 3, 1)], names=["lang", "source", "text"])
+    found, want = Counter(), Counter()
+    for r in divergence._counted(batch).to_pylist():
+        found[r["lang"], r["source"], r["term"]] += r["n"] + 1000 * r["n_docs"]
+    for _, text, lang, source in rows:
+        terms = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.lower()))
+        want.update({(lang, source, t): n + 1000 for t, n in terms.items()})
+    assert found == want
+
+
 def test_shares_are_exact():
     import numpy as np
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, lower_ascii, quoted, read_table, scratch
+from .common import quoted, read_table, scratch
+from .word_hashes import buffer_of, fold_ascii, mix, same_spans, span_hashes, turns
 
-#: Runs of letters, everything beyond ASCII being one.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of text whose terms are counted at a time, about.
+TURN = 8 << 20
 #: Probabilities are whole numbers of this.
 UNIT = 1_000_000_000
 #: Seats of the tournament: as many rounds less one, whatever the data. Even.
@@ -26,17 +28,77 @@ _CELL = ["lang", "block", "seat"]
 _MET = "lang string, source string, item string, value long"
 
 
+def _stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder: as recoverable as a checkpoint, and its columns compressed."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     """(lang, source, term, n, n_docs) of docs: how often a term occurs in a group, and in how many of its rows. A group
-    without any term has a row of a null term. Counts combine in each task before the shuffle."""
+    without any term has a row of a null term. Terms are counted in each batch before rows are made of them, and in each task before the shuffle."""
     part = lambda c: F.coalesce(quoted(c).cast("string"), F.lit(""))
-    words = F.regexp_extract_all(lower_ascii(F.coalesce(quoted(text_col), F.lit(""))), F.lit(TERM), F.lit(0))
-    own = docs.select(part(lang_col).alias("lang"), part(source_col).alias("source"), words.alias("words"))
-    own = own.select("lang", "source", F.size("words").alias("size"), F.concat("words", F.array_distinct("words")).alias("both"))
-    # each word, and then each distinct word once more
-    rows = own.select("lang", "source", "size", F.posexplode_outer("both").alias("pos", "term"))
-    is_word = F.col("pos") < F.col("size")
-    return rows.groupBy("lang", "source", "term").agg(F.count_if(is_word).alias("n"), F.count_if(~is_word).alias("n_docs"))
+    own = docs.select(part(lang_col).alias("lang"), part(source_col).alias("source"), quoted(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in turns(whole, 2, TURN):
+                yield _counted(batch)
+
+    counted = own.mapInArrow(run, "lang string, source string, term string, n long, n_docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of term_counts() for a batch of (lang, source, text). Occurrences meet by a hash of group and term, and each run of equal hashes
+    is compared byte by byte with its first; what differs is counted by itself."""
+    raw, at = buffer_of(batch.column(2))
+    raw = fold_ascii(raw)
+    letter = np.concatenate([[False], (raw >= 128) | (raw >= 97) & (raw <= 122), [False]])
+    begins, ends = letter[1:-1] & ~letter[:-2], letter[1:-1] & ~letter[2:]
+    edge = at[(at > 0) & (at < len(raw))]
+    begins[edge] = letter[1:-1][edge]
+    ends[edge - 1] = letter[1:-1][edge - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    doc, size = np.searchsorted(at, starts, "right") - 1, ends - starts
+    names: dict[tuple, int] = {}
+    of_doc = np.array([names.setdefault(x, len(names)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+    group = of_doc[doc]
+    key = mix(span_hashes(raw, starts, ends) ^ mix(group.astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    first = np.ones(len(order), bool)
+    first[1:] = key[order[1:]] != key[order[:-1]]
+    run = np.cumsum(first) - 1
+    head = order[first][run] if len(order) else order
+    same = (size[order] == size[head]) & (group[order] == group[head])
+    same[same] = same_spans(raw, starts[order[same]], raw, starts[head[same]], size[order[same]])
+    other = order[~same]
+    kept, run = order[same], run[same]
+    n = np.bincount(run, minlength=int(first.sum()))
+    new_doc = np.ones(len(kept), bool)
+    new_doc[1:] = (run[1:] != run[:-1]) | (doc[kept[1:]] != doc[kept[:-1]])
+    n_docs = np.bincount(run, new_doc, minlength=len(n)).astype(np.int64)
+
+    spans = order[first]
+    length = size[spans]
+    place = np.arange(int(length.sum())) + np.repeat(starts[spans] - (np.cumsum(length) - length), length)
+    offsets = np.zeros(len(spans) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    terms = pa.StringArray.from_buffers(len(spans), pa.py_buffer(offsets), pa.py_buffer(raw[place]))
+    groups = group[spans]
+    differ: dict[tuple, list] = {}
+    for i in other.tolist():
+        differ.setdefault((int(group[i]), raw[starts[i] : ends[i]].tobytes().decode()), []).append(int(doc[i]))
+    rest = [*differ, *((g, None) for g in sorted(set(names.values()) - set(groups.tolist())))]
+    counts = [(len(differ.get(x, [])), len(set(differ.get(x, [])))) for x in rest]
+    which = np.concatenate([groups, np.array([g for g, _ in rest], np.int64)])
+    held = list(names)
+    column = lambda k: pa.array([x[k] for x in held], pa.string()).take(pa.array(which))
+    return pa.RecordBatch.from_arrays([
+        column(0), column(1), pa.concat_arrays([terms, pa.array([t for _, t in rest], pa.string())]),
+        pa.array(np.concatenate([n, np.array([x for x, _ in counts], np.int64)])), pa.array(np.concatenate([n_docs, np.array([x for _, x in counts], np.int64)])),
+    ], names=["lang", "source", "term", "n", "n_docs"])
 
 
 def share_of_unit(n: np.ndarray, total: int) -> np.ndarray:
@@ -179,7 +241,7 @@ def source_divergence(
 ) -> DataFrame:
     """(lang, source, part, item, value, rank) for each group of rows of a language and source.
 
-    Terms are runs of letters (TERM), A-Z in lower case. Each language keeps those in at least min_docs of its rows, V in number. The
+    Terms are runs of letters, everything beyond ASCII being one, A-Z in lower case. Each language keeps those in at least min_docs of its rows, V in number. The
     share of a kept term in a group, or in the whole language, is p = 1 + floor(UNIT * (n + 1) / (N + V)), of its n
     and all kept terms' N occurrences there; f = floor((p - q)^2 / q). Part "pair": item is each other source of
     the language, value f of the group's shares to that source's, summed over all kept terms. Part "term": items are the group's kept
@@ -189,32 +251,34 @@ def source_divergence(
     vocabulary is; ids of terms are numbers within a block. A null text, language or source is ''. Rows are documents, equal ones too. A
     language without kept terms has pairs of value 0. A group without terms is a group. A single source has no pairs.
     """
-    counts = cut(term_counts(docs, lang_col, source_col, text_col))
-    vocabulary = cut(
+    counts = _stored(term_counts(docs, lang_col, source_col, text_col), "counts")
+    vocabulary = (
         counts.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("n_docs").alias("df"), F.sum("n").alias("lang_count"), F.count("*").alias("n_sources"))
         .where(F.col("df") >= min_docs).drop("df")
     )
+    vocabulary = _stored(vocabulary, "vocabulary")
     size = F.count("*").alias("v"), F.sum("lang_count").alias("lang_n"), F.sum("n_sources").alias("n_entries")
     langs = counts.select("lang").distinct().join(vocabulary.groupBy("lang").agg(*size), "lang", "left").na.fill(0, ["v", "lang_n", "n_entries"])
     blocks = F.greatest(F.lit(1), F.ceil((F.col("v") + F.col("n_entries") / SEATS) / block)).cast("int")
-    langs = cut(langs.select("lang", "v", (F.col("lang_n") + F.col("v")).alias("lang_total"), blocks.alias("blocks")))
+    langs = _stored(langs.select("lang", "v", (F.col("lang_n") + F.col("v")).alias("lang_total"), blocks.alias("blocks")), "langs")
 
-    own = Window.partitionBy("lang", "block")
-    placed = vocabulary.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), "blocks").cast("int"))
-    placed = placed.select("lang", "term", "block", "lang_count", (F.row_number().over(own.orderBy("term")) - 1).cast("long").alias("id"))
-    kept = cut(counts.where(F.col("term").isNotNull()).join(placed, ["lang", "term"]).select("lang", "source", "term", "block", "id", "n", "lang_count"))
+    # joined by a column of its own, so that what follows is dealt out by block too and not by language or group alone
+    own, by_lang, by_group = Window.partitionBy("lang", "block"), F.concat("lang", F.lit("\0")).alias("by"), F.concat("lang", F.lit("\0"), "source").alias("by")
+    placed = vocabulary.select("*", by_lang).join(langs.select("blocks", by_lang), "by").withColumn("block", F.pmod(F.xxhash64("term"), "blocks").cast("int"))
+    placed = _stored(placed.select("lang", "term", "block", "lang_count", (F.row_number().over(own.orderBy("term")) - 1).cast("long").alias("id")), "ids")
+    kept = _stored(counts.where(F.col("term").isNotNull()).join(placed, ["lang", "term"]).select("lang", "source", "term", "block", "id", "n", "lang_count"), "kept")
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"), F.count("*").alias("size"))
     groups = counts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang")
     # the largest sources are dealt first, so that seats hold about as much
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("size").desc_nulls_last(), "source")) - 1
-    groups = cut(groups.select("lang", "source", (nth % SEATS).cast("int").alias("seat"), (F.coalesce("group_n", F.lit(0)) + F.col("v")).alias("total"), "lang_total", "blocks"))
+    groups = _stored(groups.select("lang", "source", (nth % SEATS).cast("int").alias("seat"), (F.coalesce("group_n", F.lit(0)) + F.col("v")).alias("total"), "lang_total", "blocks"), "groups")
 
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     per_block = placed.groupBy("lang", "block").agg(F.count("*").alias("block_v"))
     every = groups.select("lang", "source", "seat", "total", "lang_total", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(per_block, ["lang", "block"], "left")
     every = every.select("lang", "block", "source", "seat", "total", "lang_total", none("id", "long"), none("term", "string"), none("n", "long"), none("lang_count", "long"), F.coalesce("block_v", F.lit(0)).alias("block_v"))
-    entries = kept.join(groups, ["lang", "source"]).select("lang", "block", "source", "seat", "total", "lang_total", "id", "term", "n", "lang_count", none("block_v", "long"))
-    held = cut(vectors(entries.unionByName(every), top))
+    entries = kept.select("*", by_group).join(groups.select("seat", "total", "lang_total", by_group), "by").select("lang", "block", "source", "seat", "total", "lang_total", "id", "term", "n", "lang_count", none("block_v", "long"))
+    held = _stored(vectors(entries.unionByName(every), top), "vectors")
 
     pairs = rotate(held).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
     terms = held.select("lang", "source", F.explode("top").alias("t")).select("lang", "source", "t.item", "t.value", F.lit("term").alias("part"))
