@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import quoted, read_table, scratch
+from .common import quoted, read_table, scratch, stored
 from .word_hashes import buffer_of, fold_ascii, mix, same_spans, span_hashes, turns
 
 #: Bytes of text whose terms are counted at a time, about.
@@ -28,13 +28,6 @@ _CELL = ["lang", "block", "seat"]
 _MET = "lang string, source string, item string, value long"
 
 
-def _stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: as recoverable as a checkpoint, and its columns compressed."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     """(lang, source, term, n, n_docs) of docs: how often a term occurs in a group, and in how many of its rows. A group
     without any term has a row of a null term. Terms are counted in each batch before rows are made of them, and in each task before the shuffle."""
@@ -251,34 +244,34 @@ def source_divergence(
     vocabulary is; ids of terms are numbers within a block. A null text, language or source is ''. Rows are documents, equal ones too. A
     language without kept terms has pairs of value 0. A group without terms is a group. A single source has no pairs.
     """
-    counts = _stored(term_counts(docs, lang_col, source_col, text_col), "counts")
+    counts = stored(term_counts(docs, lang_col, source_col, text_col), "counts")
     vocabulary = (
         counts.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("n_docs").alias("df"), F.sum("n").alias("lang_count"), F.count("*").alias("n_sources"))
         .where(F.col("df") >= min_docs).drop("df")
     )
-    vocabulary = _stored(vocabulary, "vocabulary")
+    vocabulary = stored(vocabulary, "vocabulary")
     size = F.count("*").alias("v"), F.sum("lang_count").alias("lang_n"), F.sum("n_sources").alias("n_entries")
     langs = counts.select("lang").distinct().join(vocabulary.groupBy("lang").agg(*size), "lang", "left").na.fill(0, ["v", "lang_n", "n_entries"])
     blocks = F.greatest(F.lit(1), F.ceil((F.col("v") + F.col("n_entries") / SEATS) / block)).cast("int")
-    langs = _stored(langs.select("lang", "v", (F.col("lang_n") + F.col("v")).alias("lang_total"), blocks.alias("blocks")), "langs")
+    langs = stored(langs.select("lang", "v", (F.col("lang_n") + F.col("v")).alias("lang_total"), blocks.alias("blocks")), "langs")
 
     # joined by a column of its own, so that what follows is dealt out by block too and not by language or group alone
     own, by_lang, by_group = Window.partitionBy("lang", "block"), F.concat("lang", F.lit("\0")).alias("by"), F.concat("lang", F.lit("\0"), "source").alias("by")
     placed = vocabulary.select("*", by_lang).join(langs.select("blocks", by_lang), "by").withColumn("block", F.pmod(F.xxhash64("term"), "blocks").cast("int"))
-    placed = _stored(placed.select("lang", "term", "block", "lang_count", (F.row_number().over(own.orderBy("term")) - 1).cast("long").alias("id")), "ids")
-    kept = _stored(counts.where(F.col("term").isNotNull()).join(placed, ["lang", "term"]).select("lang", "source", "term", "block", "id", "n", "lang_count"), "kept")
+    placed = stored(placed.select("lang", "term", "block", "lang_count", (F.row_number().over(own.orderBy("term")) - 1).cast("long").alias("id")), "ids")
+    kept = stored(counts.where(F.col("term").isNotNull()).join(placed, ["lang", "term"]).select("lang", "source", "term", "block", "id", "n", "lang_count"), "kept")
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"), F.count("*").alias("size"))
     groups = counts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang")
     # the largest sources are dealt first, so that seats hold about as much
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("size").desc_nulls_last(), "source")) - 1
-    groups = _stored(groups.select("lang", "source", (nth % SEATS).cast("int").alias("seat"), (F.coalesce("group_n", F.lit(0)) + F.col("v")).alias("total"), "lang_total", "blocks"), "groups")
+    groups = stored(groups.select("lang", "source", (nth % SEATS).cast("int").alias("seat"), (F.coalesce("group_n", F.lit(0)) + F.col("v")).alias("total"), "lang_total", "blocks"), "groups")
 
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     per_block = placed.groupBy("lang", "block").agg(F.count("*").alias("block_v"))
     every = groups.select("lang", "source", "seat", "total", "lang_total", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(per_block, ["lang", "block"], "left")
     every = every.select("lang", "block", "source", "seat", "total", "lang_total", none("id", "long"), none("term", "string"), none("n", "long"), none("lang_count", "long"), F.coalesce("block_v", F.lit(0)).alias("block_v"))
     entries = kept.select("*", by_group).join(groups.select("seat", "total", "lang_total", by_group), "by").select("lang", "block", "source", "seat", "total", "lang_total", "id", "term", "n", "lang_count", none("block_v", "long"))
-    held = _stored(vectors(entries.unionByName(every), top), "vectors")
+    held = stored(vectors(entries.unionByName(every), top), "vectors")
 
     pairs = rotate(held).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
     terms = held.select("lang", "source", F.explode("top").alias("t")).select("lang", "source", "t.item", "t.value", F.lit("term").alias("part"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, read_table
+from .common import forget, quoted, read_table, stored
 from .near_dup import components, relabelled
 from .word_hashes import buffer_of, fold_ascii, gram_hashes, turns, word_hashes
 
@@ -113,13 +113,13 @@ def survivors(nodes: DataFrame, percent: int) -> DataFrame:
     All other sets are one group here: a set of whose first tokens fewer are in that group's union than a link needs is out,
     before any pair is made. Only hashes are shuffled; a frequent token's rows can be split.
     """
-    own = nodes.select(F.xxhash64("node").alias("nid"), "n", F.explode("early").alias("token"))
+    own = nodes.select(F.xxhash64("node").alias("nid"), F.explode("early").alias("token"))
     # xor, so that neither side of the join is dealt out by the key already and hot tokens can be split
     twice = own.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > 1).select(F.col("token").bitwiseXOR(F.lit(1)).alias("other"))
-    shared = cut(own.withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).join(twice, "other").select("nid", "n", "token"))
-    able = shared.groupBy("nid").agg(F.min("n").alias("least"), F.count("*").alias("k")).where(F.col("k") >= spare(least_common(F.col("least"), percent))).select("nid")
-    named = nodes.select("node", "rep", F.xxhash64("node").alias("nid"))
-    return cut(shared.join(able, "nid").join(named, "nid").select("node", "rep", "n", "token"))
+    shared = stored(own.withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).join(twice, "other").select("nid", "token"), "shared")
+    named = nodes.select("node", "rep", "n", F.xxhash64("node").alias("nid"))
+    able = shared.groupBy("nid").agg(F.count("*").alias("k")).join(named, "nid").where(F.col("k") >= spare(least_common(F.col("n"), percent))).drop("k")
+    return stored(shared.join(able, "nid").select("node", "rep", "n", "token"), "survivors")
 
 
 def qualifying(rows: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +151,7 @@ def openings(rows: DataFrame, percent: int, *, one: bool) -> DataFrame:
     if one:
         tops = member.groupBy("g").agg(F.max_by("node", F.struct("rank", "n", "node")).alias("y"))
         return asks.join(tops, "g").select(F.col("node").alias("x"), "y")
-    asks, member = cut(asks), cut(member)
+    asks, member = stored(asks, "asks"), stored(member, "members")
     peer = member.select(F.col("node").alias("y"), F.col("n").alias("m"), "g", F.col("rank").alias("above"), F.col("early").alias("early_y"))
     fits = (F.col("rank") < F.col("above")) & (F.col("m") >= least_common(F.col("n"), percent)) & (F.col("n") >= least_common(F.col("m"), percent))
     pairs = asks.join(peer, "g").where(fits).join(member.select("node", "early"), "node")
@@ -173,28 +173,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the least id that links reach; null ids come last, and a class of null ids only has a null one. A text without words
     (null, empty, white space) has n_shingles 0 and is a component of its own. Rows of equal id and text are rows of one component. Other columns don't matter.
     """
-    made = cut(token_sets(docs, id_col, text_col, size=size, percent=percent))
+    whole = stored(token_sets(docs, id_col, text_col, size=size, percent=percent), "sets")
+    made = stored(whole.select("id", "node", "n"), "ids")
     some = made.where(F.col("node").isNotNull())
-    nodes = cut(some.groupBy("node").agg(F.coalesce(F.min("id"), F.lit(_LAST)).alias("rep"), F.first("n").alias("n"), F.first("early").alias("early")))
+    nodes = whole.where(F.col("node").isNotNull()).groupBy("node").agg(F.coalesce(F.min("id"), F.lit(_LAST)).alias("rep"), F.first("n").alias("n"), F.first("early").alias("early"))
+    nodes = stored(nodes, "nodes")
+    forget(whole)
     rows = survivors(nodes, percent)
-    named = cut(rows.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.min("token").alias("g")))
+    named = stored(rows.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.min("token").alias("g")), "named")
     tokens = rows.select("node", "token")
 
     reps = named.select(F.col("rep").alias("id")).where(F.col("id") != _LAST).distinct()
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     texts = set_texts(texts.join(reps, "id", "left_semi").unionByName(texts.where(F.col("id").isNull())), size)
-    texts = cut(texts.join(named.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    texts = stored(texts.join(named.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     leaders = named.groupBy("g").agg(F.min(F.struct("rep", "node")).alias("leader"), F.count("*").alias("k")).where(F.col("k") > 1).select("g", F.col("leader.node").alias("x"))
     stars = named.join(leaders, "g").where(F.col("node") != F.col("x")).select("x", F.col("node").alias("y"))
-    links = cut(linked(stars, texts, size=size, percent=percent))
+    links = stored(linked(stars, texts, size=size, percent=percent), "links")
     labels = components(links, named.select("node", "rep"))
-    named = cut(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.struct("rep", "node"))))
+    named = stored(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.struct("rep", "node"))), "labels")
     for one in (True,) * ROUNDS + (False,):
         sizes = named.groupBy("label").agg(F.count("*").alias("k"))
         ranked = named.join(sizes, "label").select("node", "n", "g", F.struct("k", "label").alias("rank"))
-        pairs = cut(openings(cut(tokens.join(ranked, "node")), percent, one=one).distinct())
-        links = cut(linked(pairs, texts, size=size, percent=percent))
+        pairs = stored(openings(stored(tokens.join(ranked, "node"), "ranked"), percent, one=one).distinct(), "pairs")
+        links = stored(linked(pairs, texts, size=size, percent=percent), "links")
         if not links.isEmpty():
             named = relabelled(named, links)
 
