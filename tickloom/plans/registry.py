@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import annual_volatility, sharpe, sortino
 from ..functions.series import Series
-from ..operators import evaluate, features, indicators, models, profile, recommend, risk, views
+from ..operators import evaluate, features, indicators, joins, models, profile, recommend, risk, segments, selection, views
 from ..operators.ewm import ewm_means
 from ..sources import bars as B
 from ..sources import catalogue
@@ -101,6 +101,72 @@ _add("row_numbers", _columns(_bars, n=lambda: S.number(), n_from_last=lambda: S.
 _add("expanding_max", _columns(_bars, highest=lambda: S.expanding(F.max, "close")), _of(Q.BASE, f"{KEY}, " + Q.r(f"max(close) OVER {Q.W}", "highest", None), "b"))
 _add("ewm_12_26", _over(_bars, lambda df: ewm_means(df, {"ema_12": ("close", 12), "ema_26": ("close", 26)}).select("symbol", "dt", "ema_12", "ema_26")), _of(Q.EWM, f"{KEY}, {Q.rounded('ema_12', 'ema_26')}", "e"))
 
+# --- ticks: scans of blocks of a series, joins by time, selection ---
+#: Rows of a block: few, so that small tables have several blocks too. A series has segments.MOST_BLOCKS at most.
+TICK_ROWS = 500
+_T = "(PARTITION BY symbol ORDER BY dt)"
+_TICKS = "t AS MATERIALIZED (SELECT event_type AS symbol, ts AS dt, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events)"
+
+
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    return B.read_table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").alias("dt"), F.col("value").alias("price"))
+
+
+def _blocks(spark: SparkSession, d: str, reach: int = 0) -> segments.Blocks:
+    return segments.blocks_of(_ticks(spark, d), S, rows=TICK_ROWS, reach=reach)
+
+
+_RUNS = {"total": ("sum", "price"), "seen": ("count", "price"), "highest": ("max", "price"), "lowest": ("min", "price")}
+_add("tick_running", lambda s, d: tidy(segments.running(_blocks(s, d), _RUNS).rows.select("symbol", "dt", *_RUNS)),
+     _of(_TICKS, f"{KEY}, {Q.r(f'sum(price) OVER {_T}', 'total')}, count(price) OVER {_T} AS seen, {Q.r(f'max(price) OVER {_T}', 'highest', None)}, {Q.r(f'min(price) OVER {_T}', 'lowest')}", "t"))
+_ROLLS = {"roll_mean_30": (F.avg, "price", 30), "roll_std_50": (F.stddev_samp, "price", 50), "roll_max_200": (F.max, "price", 200)}
+_add("tick_rolling", lambda s, d: tidy(segments.rolling(_blocks(s, d, 199), _ROLLS).rows.select("symbol", "dt", *_ROLLS)),
+     _of(_TICKS, f"{KEY}, {Q.r(Q.roll('avg', 'price', 30), 'roll_mean_30', 3)}, {Q.r(Q.roll('stddev_samp', 'price', 50), 'roll_std_50', 3)}, {Q.r(Q.roll('max', 'price', 200), 'roll_max_200', None)}", "t"))
+_add("tick_ewm", lambda s, d: tidy(segments.ewm(_blocks(s, d), {"ema_12": ("price", 12), "ema_200": ("price", 200)}).rows.select("symbol", "dt", "ema_12", "ema_200")),
+     _of(f"{_TICKS}, e AS (SELECT x.symbol, x.dt, {Q._ewm(12, 'price')} AS ema_12, {Q._ewm(200, 'price')} AS ema_200 FROM t x JOIN t y ON x.symbol = y.symbol AND y.rn <= x.rn GROUP BY ALL)", f"{KEY}, {Q.rounded('ema_12', 'ema_200')}", "e"))
+
+
+def _tick_drawdown(spark: SparkSession, d: str) -> DataFrame:
+    b = segments.rolling(_blocks(spark, d, 1), {"before": (F.first, "price", 2)})
+    # a step's return, made small: raw values jump too far to be compounded
+    step = (F.try_divide(F.col("price"), F.col("before")) - 1) / 1000
+    return tidy(segments.drawdown(b.of(b.frame.withColumn("r", step)), "r").rows.select("symbol", "dt", "growth", "peak", "drawdown"))
+
+
+_add("tick_drawdown", _tick_drawdown,
+     _of(f"""{_TICKS}, r AS (SELECT symbol, dt, (price / nullif(lag(price) OVER {_T}, 0) - 1) / 1000 AS r FROM t), g AS (SELECT symbol, dt, product(1 + r) OVER {_T} AS growth FROM r WHERE r IS NOT NULL),
+p AS (SELECT *, max(growth) OVER {_T} AS peak FROM g)""", f"{KEY}, {Q.rounded('growth', 'peak')}, {Q.r('(growth - peak) / peak * 100', 'drawdown')}", "p"))
+_add("tick_tail_risk", lambda s, d: tidy(selection.tail_risk(_ticks(s, d), "price")),
+     "SELECT symbol, count(*) AS n_returns, round(any_value(p5) * 100, 6) + 0.0 AS var, round(avg(value) FILTER (WHERE value <= p5) * 100, 6) + 0.0 AS cvar FROM (SELECT event_type AS symbol, value FROM events) JOIN (SELECT event_type AS symbol, quantile_cont(value, 0.05) AS p5 FROM events GROUP BY 1) USING (symbol) GROUP BY symbol")
+
+
+def _segment_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Line items with the market segment of their order's customer."""
+    lines, placed, who = (B.read_table(spark, d, t) for t in ("lineitem", "orders", "customer"))
+    rows = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(F.col("c_mktsegment").alias("symbol"), F.col("l_shipdate").alias("dt"), "l_orderkey", "l_linenumber", "l_quantity")
+
+
+_add("asof_bars", lambda s, d: tidy(joins.asof_join(_segment_lines(s, d), B.bars_orders(s, d).select("symbol", "dt", "close", "volume"), rows=TICK_ROWS)),
+     f"SELECT l.*, b.dt::TIMESTAMP AS dt_found, {Q.rounded('close', 'volume')} FROM (SELECT c_mktsegment AS symbol, l_shipdate AS dt, l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) l "
+     f"ASOF LEFT JOIN ({Q.BARS['orders']}) b ON l.symbol = b.symbol AND l.dt >= b.dt")
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """For each supplier, the pairs of a returned item in its 30 days of return and an accepted one on its way for a day for each piece."""
+    lines = B.read_table(spark, d, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    back = lines.where("l_returnflag = 'R'").select("l_suppkey", F.col("day").alias("r0"), F.date_add("day", 30).alias("r1"))
+    out = lines.where("l_returnflag = 'A'").select("l_suppkey", F.col("day").alias("a0"), F.expr("date_add(day, cast(l_quantity as int))").alias("a1"))
+    pairs = joins.interval_join(back, out, ["l_suppkey"], ("r0", "r1"), ("a0", "a1"))
+    days = F.datediff(F.least("r1", "a1"), F.greatest("r0", "a0"))
+    return pairs.groupBy("l_suppkey").agg(F.count("*").alias("n_pairs"), F.sum(days).alias("n_days"))
+
+
+_add("overlapping_shipments", _overlaps,
+     """WITH l AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d0, CAST(l_shipdate AS DATE) + CASE l_returnflag WHEN 'R' THEN 30 ELSE CAST(l_quantity AS INTEGER) END AS d1, l_returnflag FROM lineitem)
+SELECT r.l_suppkey, count(*) AS n_pairs, CAST(sum(least(r.d1, a.d1) - greatest(r.d0, a.d0)) AS BIGINT) AS n_days FROM l r JOIN l a ON r.l_suppkey = a.l_suppkey AND r.d0 < a.d1 AND a.d0 < r.d1
+WHERE r.l_returnflag = 'R' AND a.l_returnflag = 'A' GROUP BY r.l_suppkey""")
+
 # --- indicators ---
 _add("macd", _over(_bars, lambda df: indicators.add_macd(df).select("symbol", "dt", "macd", "macd_signal")), _of(Q.EWM, f"{KEY}, {Q.rounded('macd', 'macd_signal')}", "mc JOIN s USING (symbol, dt)"))
 _add("rsi", _over(_bars, lambda df: indicators.add_rsi(df).select("symbol", "dt", "rsi")), _of(f"{Q.BASE}, {Q.RSI}", f"{KEY}, {Q.rounded('rsi')}", "rsi"))
