@@ -9,16 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import forget, quoted, read_table, stored
-from .near_dup import components, relabelled
+from .near_dup import candidates, components, relabelled, renamed
 from .word_hashes import buffer_of, fold_ascii, gram_hashes, turns, word_hashes
 
 _U = np.uint64
 _LAST = (1 << 63) - 1
 #: One token in so many is looked at beyond those that a link needs; results don't depend on it.
 SPARE = 20
-#: Rounds in which a set is checked against one member of each group that it qualifies for, before groups are opened; nor on this.
+#: How many times a set of an opened group tries one partner before all pairs still apart are made; nor on this.
 ROUNDS = 2
 
 
@@ -88,9 +89,12 @@ def set_texts(texts: DataFrame, size: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
-    """Those of pairs(x, y) that link: 100 * tokens in common >= percent * tokens in either, of texts(node, text)."""
-    ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "xy"]
-    both = pairs.select("x", "y").join(ends[1], "y").join(ends[0], "x").select("x", "y", "text_x", "text_y")
+    """(x, y): those of pairs(x, y), or pairs(p, q) of the 64-bit hashes of names, that link: 100 * tokens in common >= percent * tokens in
+    either, of texts(node, text)."""
+    ends, key = (("x", "y"), F.col("node")) if "x" in pairs.columns else (("p", "q"), F.xxhash64("node"))
+    at_x, at_y = (texts.select(key.alias(end), F.struct("node", "text").alias(f"end_{end}")) for end in ends)
+    both = pairs.select(*ends).join(at_y, ends[1]).join(at_x, ends[0]).select(*(F.col(f"end_{end}.{c}").alias(f"{c}_{k}") for c in ("node", "text") for end, k in zip(ends, "xy", strict=True)))
+    both = both.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), "text_x", "text_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -123,40 +127,70 @@ def survivors(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def qualifying(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, n, rank, g): the groups in which each set may have a link to a set of a class of higher rank.
+    """(node, g): the groups in which each set may have a link to a set of a class of higher rank.
 
     rows: (node, n, g, rank, token), rank telling classes apart. The matrix has a cell for each token and group that holds it in the
     union of its sets' first tokens, with the highest class and the sizes of the sets that have it. A set's overlap with
     a group's union, over cells that leave such a link possible, bounds its overlap with every set of the group; the
     group qualifies if the bound reaches what a link needs. Of two classes the lower one asks, so a large class of near copies doesn't.
     """
-    n, most = F.col("n"), F.col("rank")
+    n, own = F.col("n"), F.col("rank")
     top = rows.groupBy("token").agg(F.max("rank").alias("top")).select(F.col("token").bitwiseXOR(F.lit(1)).alias("other"), "top")
-    asked = rows.withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).join(top, "other").where(most < F.col("top")).select("node", "n", "rank", "token")
+    asked = rows.withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).join(top, "other").where(own < F.col("top")).select("node", "n", "rank", "token")
     able = asked.groupBy("node").agg(F.min("n").alias("least"), F.count("*").alias("k")).where(F.col("k") >= spare(least_common(F.col("least"), percent))).select("node")
     asked = asked.join(able, "node").withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).drop("token")
     matrix = rows.groupBy("token", "g").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = matrix.select(F.col("token").bitwiseXOR(F.lit(1)).alias("other"), "g", "top", "low", "high")
-    cells = asked.join(matrix, "other").where((most < F.col("top")) & (F.col("high") >= least_common(n, percent)) & (n >= least_common(F.col("low"), percent)))
-    bound = cells.groupBy("node", "g").agg(F.count("*").alias("overlap"), F.first("n").alias("n"), F.first("rank").alias("rank"))
-    return bound.where(F.col("overlap") >= spare(least_common(n, percent))).select("node", "n", "rank", "g")
-
-
-def openings(rows: DataFrame, percent: int, *, one: bool) -> DataFrame:
-    """(x, y): pairs of sets of different classes to check. rows as in qualifying(). With one, each set with the
-    highest-ranked member of each group that it qualifies for; else with all members of higher rank, sizes and common first tokens
-    permitting."""
-    asks = qualifying(rows, percent)
-    member = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "g", "rank")), *(() if one else (F.sort_array(F.collect_list("token")).alias("early"),)))
-    if one:
-        tops = member.groupBy("g").agg(F.max_by("node", F.struct("rank", "n", "node")).alias("y"))
-        return asks.join(tops, "g").select(F.col("node").alias("x"), "y")
-    asks, member = stored(asks, "asks"), stored(member, "members")
-    peer = member.select(F.col("node").alias("y"), F.col("n").alias("m"), "g", F.col("rank").alias("above"), F.col("early").alias("early_y"))
-    fits = (F.col("rank") < F.col("above")) & (F.col("m") >= least_common(F.col("n"), percent)) & (F.col("n") >= least_common(F.col("m"), percent))
-    pairs = asks.join(peer, "g").where(fits).join(member.select("node", "early"), "node")
-    common = F.size(F.array_intersect("early", "early_y"))
-    return pairs.where(common >= spare(F.least("n", "m"))).select(F.col("node").alias("x"), "y")
+    cells = asked.join(matrix, "other").where((own < F.col("top")) & (F.col("high") >= least_common(n, percent)) & (n >= least_common(F.col("low"), percent)))
+    bound = cells.groupBy("node", "g").agg(F.count("*").alias("overlap"), F.first("n").alias("n"))
+    return bound.where(F.col("overlap") >= spare(least_common(n, percent))).select("node", "g")
+
+
+def rarest(texts: DataFrame, *, size: int, percent: int) -> DataFrame:
+    """(nid, n, e, left) of texts(node, text): the rarest tokens of each set, as many as a link allows to be missing, and how many tokens that
+    other sets have too are left from each on. nid is a 64-bit hash of the name.
+
+    Two sets of n and m tokens that link share p / (100 + p) of n + m, p being percent; in one order of all tokens, rarest first, the first one that both have
+    comes where that many are left in each. A set with too many tokens of its own has no such place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in turns(whole, 1, 1 << 20):
+                made, some = _sets(batch.column(1), size)
+                n = np.array([len(x) for x in made], np.int64)
+                tokens = np.concatenate([np.zeros(0, _U), *made]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[some], n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(tokens)], names=["nid", "n", "e"])
+
+    own = texts.select(F.xxhash64("node").alias("nid"), "text").mapInArrow(run, "nid long, n int, e long")
+    other = F.col("e").bitwiseXOR(F.lit(1)).alias("other")
+    held = own.groupBy("e").agg(F.count("*").alias("df")).where(F.col("df") > 1).select(other, "df")
+    shared = own.select("*", other).join(held, "other").select("nid", "n", "e", "df")
+    whole = Window.partitionBy("nid")
+    placed = shared.withColumns({"at": F.row_number().over(whole.orderBy("df", "e")), "m": F.count("*").over(whole)})
+    placed = placed.withColumn("left", (F.col("m") - F.col("at") + 1).cast("int"))
+    return placed.where(F.col("left") >= least_common(F.col("n"), percent)).select("nid", "n", "e", "left")
+
+
+def open_groups(asks: DataFrame, named: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
+    """named(node, label, g, ...) after the links between the sets of asks(node, g) and the members of their groups.
+
+    Only these sets are opened. Each first tries one partner, ROUNDS times: the one that its rarest tokens speak for most; then all
+    pairs still in different classes are checked that their rarest tokens and sizes leave room for.
+    """
+    inside = named.join(asks.select("g").distinct(), "g", "left_semi").select("node").unionByName(asks.select("node")).distinct()
+    core = stored(named.join(inside, "node", "left_semi").select("node", "label").withColumn("was", F.col("label")), "opened")
+    if core.isEmpty():
+        return named
+    few = stored(texts.join(core.select("node"), "node", "left_semi"), "few")
+    early = stored(rarest(few, size=size, percent=percent), "rarest")
+    for one in (True,) * ROUNDS + (False,):
+        pairs = stored(candidates(early, core, threshold=percent / 100, one=one), "pairs")
+        links = stored(linked(pairs, few, size=size, percent=percent), "links")
+        if not links.isEmpty():
+            core = relabelled(core, links)
+    merged = core.where(F.col("was") != F.col("label")).select(F.col("was.node").alias("top"), F.col("label").alias("far")).distinct()
+    return renamed(named, merged)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, percent: int = 85) -> DataFrame:
@@ -166,9 +200,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A-Z are lower-cased; words are runs of anything but ASCII white space; fewer words than `size` are one shingle. Shingles are
     told apart by 64-bit hashes. Texts of equal sets are one node, so copies never meet as pairs. Nodes that
     can link at all (survivors) are partitioned into groups by the least token that they share with others, which similar sets mostly
-    agree on. First each group's members are checked against one of them. Then sets ask the matrix of tokens and groups (qualifying), ROUNDS times
-    for one partner in each group whose union leaves room for a link, and last all such groups are opened (openings). Only sets that are
-    in different classes so far are compared: within a class a link adds nothing. No link between classes is lost, whatever the groups are.
+    agree on. First each group's members are checked against one of them. Then sets ask the matrix of tokens and groups which groups' unions leave room for
+    a link with another class (qualifying), and only those are opened (open_groups). Within a class a link adds nothing, so its sets aren't
+    compared. No link between classes is lost, whatever the groups are.
 
     component_id is the least id that links reach; null ids come last, and a class of null ids only has a null one. A text without words
     (null, empty, white space) has n_shingles 0 and is a component of its own. Rows of equal id and text are rows of one component. Other columns don't matter.
@@ -180,26 +214,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stored(nodes, "nodes")
     forget(whole)
     rows = survivors(nodes, percent)
-    named = stored(rows.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.min("token").alias("g")), "named")
-    tokens = rows.select("node", "token")
+    named = stored(rows.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.min("token").alias("g"), F.count("*").alias("k")), "named")
 
     reps = named.select(F.col("rep").alias("id")).where(F.col("id") != _LAST).distinct()
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     texts = set_texts(texts.join(reps, "id", "left_semi").unionByName(texts.where(F.col("id").isNull())), size)
     texts = stored(texts.join(named.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-    leaders = named.groupBy("g").agg(F.min(F.struct("rep", "node")).alias("leader"), F.count("*").alias("k")).where(F.col("k") > 1).select("g", F.col("leader.node").alias("x"))
+    # the member with the fewest tokens of its own is most like the others
+    central = F.struct(F.col("k") / (F.col("n") - least_common(F.col("n"), percent) + spare(F.col("n"))), "node")
+    leaders = named.groupBy("g").agg(F.max(central).alias("leader"), F.count("*").alias("members")).where(F.col("members") > 1).select("g", F.col("leader.node").alias("x"))
     stars = named.join(leaders, "g").where(F.col("node") != F.col("x")).select("x", F.col("node").alias("y"))
     links = stored(linked(stars, texts, size=size, percent=percent), "links")
     labels = components(links, named.select("node", "rep"))
     named = stored(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.struct("rep", "node"))), "labels")
-    for one in (True,) * ROUNDS + (False,):
-        sizes = named.groupBy("label").agg(F.count("*").alias("k"))
-        ranked = named.join(sizes, "label").select("node", "n", "g", F.struct("k", "label").alias("rank"))
-        pairs = stored(openings(stored(tokens.join(ranked, "node"), "ranked"), percent, one=one).distinct(), "pairs")
-        links = stored(linked(pairs, texts, size=size, percent=percent), "links")
-        if not links.isEmpty():
-            named = relabelled(named, links)
+    sizes = named.groupBy("label").agg(F.count("*").alias("members"))
+    ranked = named.join(sizes, "label").select("node", "n", "g", F.struct("members", "label").alias("rank"))
+    asks = stored(qualifying(stored(rows.select("node", "token").join(ranked, "node"), "ranked"), percent), "asks")
+    named = stored(open_groups(asks, named, texts, size=size, percent=percent), "classes")
 
     rep = F.coalesce(F.col("label.rep"), F.col("own"))
     known = nodes.select("node", F.col("rep").alias("own")).join(named.select("node", "label"), "node", "left").select("node", rep.alias("rep"))
