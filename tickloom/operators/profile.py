@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import annual_volatility
 from ..functions.series import Series
+from ..sources.scratch import kept
+from .moments import lag_rows, moments, recent, solve
+from .segments import ROWS, Blocks, blocks_of
 
 S = Series()
 HIGH_VOLATILITY, STRONG_TREND, SEASONAL, SEASONAL_ROWS = 0.4, 0.15, 0.02, 365
@@ -64,46 +68,76 @@ def series_profile(frame: DataFrame, s: Series = S) -> DataFrame:
 ADF_5_PERCENT = (-2.86154, -2.8903, -4.234, -40.04)
 
 
-def adf(x: np.ndarray, lags: int | None = None) -> tuple[float, int]:
-    """(t statistic, lags) of the augmented Dickey-Fuller regression with a constant; lags chosen by AIC on common rows."""
-    n, dx = len(x), np.diff(x)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2) if lags is None else lags
+def _lag_order(gram: np.ndarray, n: int, most: int) -> int:
+    """The number of lags of the least AIC, all orders on the same rows: each is a part of one table of moments."""
+    def aic(p: int) -> float:
+        part = np.r_[: 2 + p, -1]
+        _, sse, _ = solve(gram[np.ix_(part, part)], 2 + p, 2 + p)
+        return n * math.log(max(sse, 1e-300) / n) + 2 * (2 + p)
 
-    def fit(p: int, skip: int) -> tuple[float, float]:
-        y = dx[skip:]
-        design = np.column_stack([x[skip:-1], np.ones(len(y)), *(dx[skip - j : len(dx) - j] for j in range(1, p + 1))])
-        beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-        rest = y - design @ beta
-        sse = float(rest @ rest)
-        aic = len(y) * math.log(max(sse, 1e-300) / len(y)) + 2 * design.shape[1]
-        cov = np.linalg.pinv(design.T @ design)[0, 0] * sse / max(1, len(y) - design.shape[1])
-        return aic, float(beta[0] / math.sqrt(cov)) if cov > 0 else 0.0
+    return min(range(most + 1), key=aic)
 
-    best = min(range(most + 1), key=lambda p: fit(p, most)[0]) if lags is None else most
-    return fit(best, best)[1], best
 
+def _statistic(gram: np.ndarray, n: int, p: int) -> float:
+    """The t statistic of the level."""
+    part = np.r_[: 2 + p, -1]
+    beta, sse, inverse = solve(gram[np.ix_(part, part)], 2 + p, 2 + p)
+    cov = inverse[1, 1] * sse / max(1, n - 2 - p)
+    return float(beta[1] / math.sqrt(cov)) if cov > 0 else 0.0
 
-def stationarity(frame: DataFrame, s: Series = S, c: str = "close", min_rows: int = 20) -> DataFrame:
-    """(symbol, n_rows, adf_statistic, critical_5, n_lags, is_stationary): a unit root is rejected at 5 %.
 
-    A series is one group: bars, not ticks. Fewer than min_rows values, or a constant series: a null statistic and false.
+def dickey_fuller_rows(b: Blocks, c: str, most: int) -> Blocks:
+    """b with the array _seen of the last values of c and their number _seen_at, from which dickey_fuller_row() makes a regression's row."""
+    return recent(b, c, most + 2, "_seen")
+
+
+def dickey_fuller_row(lags: Column, most: int) -> Column:
+    """[1, the value before, the last changes before (those after `lags` as 0), the change]."""
+    change = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda j: F.get(F.col("_seen"), j) - F.get(F.col("_seen"), j + 1))
+    return lag_rows(change, lags, most, [F.get(F.col("_seen"), F.lit(1))])
+
+
+def stationarity(frame: DataFrame, s: Series = S, c: str = "close", min_rows: int = 20, rows: int = ROWS) -> DataFrame:
+    """(symbol, n_rows, adf_statistic, critical_5, n_lags, is_stationary): the augmented Dickey-Fuller test with a constant, its lags by AIC
+    on common rows; a unit root is rejected at 5 %.
+
+    Two passes of moments over the series' blocks: one for the order, of as many lags as the series' length allows, and one
+    for the statistic of that order on all its rows. A series is one row of moments when anything is solved, however long it is. Fewer than min_rows
+    values, or a constant series: a null statistic and false.
     """
-    key_type = frame.schema[s.key].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("order")["x"].dropna().to_numpy(float)
-        row = {"key": group["key"].iloc[0], "n_rows": len(x), "adf_statistic": None, "critical_5": None, "n_lags": None, "is_stationary": False}
-        if len(x) >= min_rows and float(np.ptp(x)) > 0:
-            t, lags = adf(x)
-            a, b, c2, d = ADF_5_PERCENT
-            m = len(x)
-            bound = a + b / m + c2 / m**2 + d / m**3
-            row |= {"adf_statistic": t, "critical_5": bound, "n_lags": lags, "is_stationary": bool(t < bound)}
-        return pd.DataFrame([row])
-
-    rows = frame.select(frame[s.key].alias("key"), frame[s.order].alias("order"), frame[c].cast("double").alias("x"))
-    out = rows.groupBy("key").applyInPandas(run, f"key {key_type}, n_rows long, adf_statistic double, critical_5 double, n_lags long, is_stationary boolean")
-    return out.withColumnRenamed("key", s.key)
+    x = F.col("_x")
+    values = frame.select(s.key, s.order, F.col(c).cast("double").alias("_x")).where(x.isNotNull() & ~F.isnan(x))
+    size = values.groupBy(s.key).agg(F.count("*").alias("n_rows"), F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_dev"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    most = F.least(F.ceil(12 * F.pow(F.col("n_rows") / 100, 0.25)), F.floor(F.col("n_rows") / 2) - 2).cast("int")
+    size = kept(size.withColumn("_most", F.when((F.col("n_rows") >= min_rows) & (F.col("_lo") < F.col("_hi")) & (F.col("_dev") > 0), most)), "sizes")
+    able = size.where(F.col("_most").isNotNull()).select(F.col(s.key).alias("_key"), "_mean", "_dev", "_most")
+    top = able.agg(F.max("_most")).first()[0]
+    kind = frame.schema[s.key].dataType.simpleString()
+    if top is None:
+        none = lambda t, n: F.lit(None).cast(t).alias(n)
+        return size.select(s.key, "n_rows", none("double", "adf_statistic"), none("double", "critical_5"), none("long", "n_lags"), F.lit(False).alias("is_stationary"))
+
+    def solved(grams: DataFrame, by: str, work, out: str) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                made = [work(np.asarray(g).reshape(top + 3, top + 3), int(n), int(k)) for g, n, k in zip(f["moments"], f["n"], f[by], strict=True)]
+                yield pd.DataFrame({"key": f["key"], "lags": f[by], "out": made})
+
+        return grams.select(F.col(s.key).alias("key"), "n", "moments", by).mapInPandas(run, f"key {kind}, lags long, out {out}")
+
+    # centred and scaled, which the statistic doesn't feel, so that the moments keep their digits
+    scaled = values.join(able, F.col(s.key).eqNullSafe(F.col("_key"))).select(s.key, s.order, ((x - F.col("_mean")) / F.col("_dev")).alias("_x"), "_most")
+    seen = dickey_fuller_rows(blocks_of(scaled, s, rows=rows, reach=top + 1), "_x", top).rows
+    first = seen.where(F.col("_seen_at") >= F.col("_most") + 2).withColumn("_row", dickey_fuller_row(F.col("_most"), top))
+    one = lambda grams, of: grams.join(of.withColumnRenamed(s.key, "_of") if s.key in of.columns else of, F.col(s.key).eqNullSafe(F.col("_of")))
+    order = solved(one(moments(first, s.key, "_row"), able.select(F.col("_key").alias("_of"), "_most")), "_most", _lag_order, "long")
+    order = kept(order.select(F.col("key").alias("_of"), F.col("out").alias("_lags")), "orders")
+    second = one(seen, order).where(F.col("_seen_at") >= F.col("_lags") + 2).withColumn("_row", dickey_fuller_row(F.col("_lags"), top))
+    tested = solved(one(moments(second, s.key, "_row"), order), "_lags", _statistic, "double")
+    a, b, c2, d = ADF_5_PERCENT
+    m = F.col("n_rows")
+    out = size.select(s.key, "n_rows").join(tested, F.col(s.key).eqNullSafe(F.col("key")), "left").withColumn("critical_5", F.when(F.col("out").isNotNull(), a + b / m + c2 / m**2 + d / m**3))
+    return out.select(s.key, "n_rows", F.col("out").alias("adf_statistic"), "critical_5", F.col("lags").alias("n_lags"), F.coalesce(F.col("out") < F.col("critical_5"), F.lit(False)).alias("is_stationary"))
 
 
 def characteristics(frame: DataFrame, s: Series = S) -> DataFrame:

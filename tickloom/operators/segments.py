@@ -127,11 +127,11 @@ def running(b: Blocks, made: dict[str, tuple[str, str]]) -> Blocks:
     return b.of(rows.withColumns(whole).drop(*carry))
 
 
-def rolling(b: Blocks, made: dict[str, tuple[Callable[[Column], Column], str, int]]) -> Blocks:
+def rolling(b: Blocks, made: dict[str, tuple]) -> Blocks:
     """The blocks' rows with a column for each name -> (aggregate, column, n): of the last n values, null until there are n that aren't null, as
-    Series.rolling has it. The last rows of each block go along into the next as its halo; blocks_of(reach=n - 1)
+    Series.rolling has it, or until there are as many as a fourth item says. The last rows of each block go along into the next as its halo; blocks_of(reach=n - 1)
     sees to it that one block's rows are enough."""
-    s, reach = b.series, max(n for _, _, n in made.values()) - 1
+    s, reach = b.series, max(n for _, _, n, *_ in made.values()) - 1
     backward = Window.partitionBy(s.key, BLOCK).orderBy(F.col(s.order).desc())
     own = b.frame.withColumn("_halo", F.lit(False))
     if reach:
@@ -139,9 +139,9 @@ def rolling(b: Blocks, made: dict[str, tuple[Callable[[Column], Column], str, in
         halo = b.frame.withColumn("_back", F.row_number().over(backward)).where(F.col("_back") <= reach).drop("_back")
         own = own.unionByName(halo.withColumns({BLOCK: F.col(BLOCK) + 1, "_halo": F.lit(True)}))
     out = {}
-    for name, (agg, c, n) in made.items():
+    for name, (agg, c, n, *least) in made.items():
         frame = b.forward.rowsBetween(1 - n, 0)
-        out[name] = F.when(F.count(F.col(c)).over(frame) >= n, agg(F.col(c)).over(frame))
+        out[name] = F.when(F.count(F.col(c)).over(frame) >= (least or [n])[0], agg(F.col(c)).over(frame))
     return b.of(own.withColumns(out).where(~F.col("_halo")).drop("_halo"))
 
 
