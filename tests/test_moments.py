@@ -79,3 +79,26 @@ def test_recent_values_reach_over_blocks(spark, walks):
     assert b.sizes.count() > 8
     for r in moments.recent(b, "close", 10, "seen").rows.orderBy("at").collect():
         assert r.seen == walks[0]["walk"][max(0, r["at"] - 9) : r["at"] + 1][::-1].tolist() and r.seen_at == r["at"] + 1
+
+
+@pytest.mark.parametrize("name", ["arima", "seasonal_arima"])
+def test_arima_from_moments_equals_the_whole_series(spark, name):
+    """Each series' forecast is that of one array at a time; a short series says that it is."""
+    from tickloom.operators import models
+
+    rng = np.random.default_rng(5)
+    series = {"a": 200 + np.cumsum(rng.normal(size=400)), "b": 90 + np.tile([0.0, 3, 1, 5, 2], 60) + rng.normal(size=300), "c": np.arange(7.0)}
+    rows = [(k, t, float(v), 0.0, "train" if t < 0.8 * len(x) else "test") for k, x in series.items() for t, v in enumerate(x)]
+    split = spark.createDataFrame(rows, "symbol string, at long, close double, target double, split string").repartition(3)
+    (p, d, q), season, seasonal = models.ORDERS[name]
+    for cut in (60, 10_000):
+        out = models.arima_predict(split, name, s=S, rows=cut).orderBy("symbol", "at").collect()
+        for k, x in series.items():
+            own = [r for r in out if r.symbol == k]
+            n = len(x) - len(own)
+            assert n == math.ceil(0.8 * len(x))
+            if k == "c":
+                assert all(r.predicted is None and r.fit_error for r in own)
+                continue
+            path = np.concatenate([x[n - 1 : n], models.arima_forecast(x[:n], len(own), p, d, q, season, seasonal)])
+            assert [r.predicted for r in own] == pytest.approx(list(path[1:] / path[:-1] - 1), rel=1e-5, abs=1e-7) and not any(r.fit_error for r in own)

@@ -1,14 +1,14 @@
 """Forecasting models over scaled features(symbol, dt, split, FEATURES, target): predictions of the test rows.
 
 Tree ensembles and random Fourier features are Spark ML estimators over the whole table, so a panel of many
-series is one fit. The network and the autoregression fit each series in a task of its own: bars, not
-ticks, so a series is a bounded group. Presets are the sizes, and queries use them.
+series is one fit. Autoregressions are fitted from moments that all tasks add to. A network fits each series in a task of its
+own: bars, not ticks, so a series is a bounded group. Presets are the sizes, and queries use them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import Series
+from ..sources.scratch import kept
 from .features import FEATURES
+from .moments import lag_rows, moments, recent, solve
+from .segments import ROWS, blocks_of, running
 
 S = Series()
 SEED = 42
@@ -179,25 +182,18 @@ def _arma(x: np.ndarray, p: list[int], q: list[int]) -> tuple[np.ndarray, np.nda
     return beta[1 : 1 + len(p)], beta[1 + len(p) :], float(beta[0]), shocks
 
 
-def arima_forecast(x: np.ndarray, steps: int, p: int, d: int, q: int, season: int = 0, seasonal: tuple[int, int] = (0, 0)) -> np.ndarray:
-    """The next values of x by an ARIMA(p, d, q), after one seasonal difference if season is given, with seasonal AR
-    and MA terms."""
-    parts, v = [], x
-    if season:
-        parts.append((season, v[-season:]))
-        v = v[season:] - v[:-season]
-    for _ in range(d):
-        parts.append((1, v[-1:]))
-        v = np.diff(v)
-    ps, qs = _lags(p, seasonal[0], season), _lags(q, seasonal[1], season)
-    ar, ma, constant, shocks = _arma(v, ps, qs)
-    past, noise, out = v[::-1][: max(ps, default=1)].tolist(), shocks[::-1][: max(qs, default=1)].tolist(), []
-    for _ in range(steps):
-        nxt = constant + float(np.dot(ar, [past[j - 1] for j in ps])) + float(np.dot(ma, [noise[j - 1] for j in qs]))
-        nxt = float(np.clip(nxt, -1e12, 1e12))
-        out.append(nxt)
-        past, noise = [nxt, *past], [0.0, *noise]
-    done = np.array(out)
+def _continued(beta: np.ndarray, ps: list[int], qs: list[int], past: list[float], noise: list[float], steps: int) -> np.ndarray:
+    """The next values of a series of coefficients [constant, *ar, *ma]; past and noise hold the last values and shocks, the newest first."""
+    constant, ar, ma = beta[0], beta[1 : 1 + len(ps)], beta[1 + len(ps) :]
+    longest = max(ps, default=1), max(qs, default=1)
+    values, shocks = [*past[: longest[0]][::-1]], [*noise[: longest[1]][::-1], *[0.0] * steps]
+    for k in range(steps):
+        values.append(constant + sum(a * values[-j] for a, j in zip(ar, ps, strict=True)) + sum(a * shocks[longest[1] + k - j] for a, j in zip(ma, qs, strict=True)))
+    return np.array(values[longest[0] :])
+
+
+def _undone(done: np.ndarray, parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Values whose differences are `done`; parts: (lag, last values before) of each difference taken, in order."""
     for back, last in reversed(parts):
         whole = np.concatenate([last, np.zeros(len(done))])
         for i in range(len(done)):
@@ -206,20 +202,90 @@ def arima_forecast(x: np.ndarray, steps: int, p: int, d: int, q: int, season: in
     return done
 
 
+def _differenced(x: np.ndarray, d: int, season: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    parts = []
+    for back in ([season] if season else []) + [1] * d:
+        parts.append((back, x[-back:]))
+        x = x[back:] - x[:-back]
+    return x, parts
+
+
+def arima_forecast(x: np.ndarray, steps: int, p: int, d: int, q: int, season: int = 0, seasonal: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """The next values of one array by an ARIMA(p, d, q), after one seasonal difference if season is given, with seasonal AR
+    and MA terms. A model that explodes gives values beyond doubles in the end."""
+    v, parts = _differenced(x, d, season)
+    ps, qs = _lags(p, seasonal[0], season), _lags(q, seasonal[1], season)
+    ar, ma, constant, shocks = _arma(v, ps, qs)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _undone(_continued(np.array([constant, *ar, *ma]), ps, qs, v[::-1].tolist(), shocks[::-1].tolist(), steps), parts)
+
+
 #: Orders (p, d, q), season and seasonal terms (AR, MA) of the price models. Fixed values.
 ORDERS = {"arima": ((5, 1, 2), 0, (0, 0)), "seasonal_arima": ((2, 1, 2), 5, (1, 1))}
 
 
-def arima_predict(split: DataFrame, name: str = "arima", ord_: int = 0, s: Series = S) -> DataFrame:
-    """Returns implied by a price forecast over each series' test rows, of a model of its train prices alone."""
-    (p, d, q), season, seasonal = ORDERS[name]
+def arima_predict(split: DataFrame, name: str = "arima", ord_: int = 0, s: Series = S, rows: int = ROWS) -> DataFrame:
+    """Returns implied by a price forecast over each series' test rows, of a model of its train prices alone.
 
-    def fit(group: pd.DataFrame) -> np.ndarray:
-        test = (group["split"] == "test").to_numpy()
-        price = group["close"].to_numpy(float)
-        path = np.concatenate([price[~test][-1:], arima_forecast(price[~test], int(test.sum()), p, d, q, season, seasonal)])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            change = path[1:] / path[:-1] - 1
-        return np.where(np.isfinite(change), change, np.nan)
-
-    return _by_series(split.select(s.key, s.order, "split", "close", "target"), fit, name, "TS", ord_, s)
+    Hannan-Rissanen in two regressions from moments over the series' blocks: a long autoregression, whose residuals stand in for the
+    shocks, and then lags of values and shocks. What is left for one task is a series' coefficients and last values, from which
+    the forecast is a recursion over its test rows. A series that is too short has null predictions and says so; so has, without a
+    reason, a step that is beyond doubles.
+    """
+    (p, d, q), season, seasonal = ORDERS[name]
+    ps, qs = _lags(p, seasonal[0], season), _lags(q, seasonal[1], season)
+    poly = np.array([1.0])
+    for back in ([season] if season else []) + [1] * d:
+        poly = np.convolve(poly, [1.0, *[0.0] * (back - 1), -1.0])
+    lost, top_p, top_q = len(poly) - 1, max(ps, default=0), max(qs, default=0)
+    most = max(top_p, top_q) + 10
+    key, order = (split.schema[c].dataType.simpleString() for c in (s.key, s.order))
+    on = lambda df, few: df.join(few, F.col(s.key).eqNullSafe(F.col("_key")))
+    named = lambda c: F.col(c).alias("_key")
+
+    train = split.where((F.col("split") == "train") & F.col("close").isNotNull()).select(s.key, s.order, F.col("close").cast("double").alias("_x"))
+    size = train.groupBy(named(s.key)).agg((F.count("*") - lost).alias("_m")).withColumn("_long", F.least(F.floor(F.col("_m") / 4), F.lit(most)).cast("int"))
+    size = size.withColumn("_start", F.greatest(F.col("_long") + top_q, F.lit(top_p)))
+    size = kept(size.where((F.col("_long") >= 1) & (F.col("_start") < F.col("_m"))), "sizes")
+    seen = recent(blocks_of(on(train, size).drop("_key", "_m"), s, rows=rows, reach=lost + most), "_x", lost + most + 1, "_seen")
+    value = lambda k: sum((F.get(F.col("_seen"), k + i) * float(c) for i, c in enumerate(poly) if c), F.lit(0.0))
+    made = seen.frame.withColumns({"_v": F.transform(F.sequence(F.lit(0), F.lit(most)), value), "_t": F.col("_seen_at") - 1 - lost})
+
+    def solved(table: DataFrame, width: int) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame({"_key": f["_key"], "_beta": [solve(np.asarray(g).reshape(width, width), width - 1, width - 1)[0].tolist() for g in f["moments"]]})
+
+        return kept(table.select(named(s.key), "moments").mapInPandas(run, f"_key {key}, _beta array<double>"), "coefficients")
+
+    first = made.withColumn("_row", F.when(F.col("_t") >= F.col("_long"), lag_rows(F.col("_v"), F.col("_long"), most, [])))
+    fit = F.aggregate(F.zip_with(F.slice("_row", 1, most + 1), F.col("_beta"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    shock = F.coalesce(F.get(F.col("_row"), F.lit(most + 1)) - fit, F.lit(0.0))
+    known = on(first, solved(moments(first, s.key, "_row"), most + 2)).withColumn("_shock", shock).drop("_key", "_beta", "_row")
+    noisy = recent(seen.of(known), "_shock", top_q + 1, "_noise").rows
+    lags = [*(F.get(F.col("_v"), F.lit(j)) for j in ps), *(F.get(F.col("_noise"), F.lit(j)) for j in qs)]
+    second = noisy.withColumn("_row", F.when(F.col("_t") >= F.col("_start"), F.array(F.lit(1.0), *lags, F.get(F.col("_v"), F.lit(0)))))
+    beta = solved(moments(second, s.key, "_row"), len(ps) + len(qs) + 2)
+
+    last = noisy.groupBy(named(s.key)).agg(F.max_by(F.struct("_seen", "_noise"), s.order).alias("_last"))
+    test = split.where(F.col("split") == "test").select(s.key, s.order, F.col("target").alias("actual"))
+    test = running(blocks_of(test, s, rows=rows), {"_nth": ("count", s.order)}).rows
+    steps = test.groupBy(s.key).agg(F.count("*").alias("steps"))
+    whole = on(steps.join(last, F.col(s.key).eqNullSafe(F.col("_key"))).select(s.key, "steps", "_last.*"), beta)
+
+    def forecast(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k, n, x, noise, b in f[["_key", "steps", "_seen", "_noise", "_beta"]].itertuples(index=False):
+                x = np.asarray(x, float)[::-1]
+                v, parts = _differenced(x, d, season)
+                with np.errstate(all="ignore"):
+                    path = np.concatenate([x[-1:], _undone(_continued(np.asarray(b), ps, qs, v[::-1].tolist(), list(noise), int(n)), parts)])
+                    change = path[1:] / path[:-1] - 1
+                for lo in range(0, len(change), 1 << 16):
+                    part = change[lo : lo + (1 << 16)]
+                    yield pd.DataFrame({"_key": [k] * len(part), "_step": np.arange(lo + 1, lo + 1 + len(part)), "predicted": np.where(np.isfinite(part), part, np.nan)})
+
+    paths = whole.select(named("_key"), "steps", "_seen", "_noise", "_beta").mapInPandas(forecast, f"_key {key}, _step long, predicted double")
+    out = test.join(paths, F.col(s.key).eqNullSafe(F.col("_key")) & (F.col("_nth") == F.col("_step")), "left")
+    error = F.when(F.col("_step").isNull(), F.lit("the series is too short"))
+    return out.select(s.key, s.order, F.lit(name).alias("model"), F.lit("TS").alias("type"), F.lit(ord_).alias("ord"), "actual", F.nanvl("predicted", F.lit(None).cast("double")).alias("predicted"), error.alias("fit_error"))
