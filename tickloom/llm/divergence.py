@@ -17,7 +17,7 @@ from .common import quoted, read_table, scratch, stored
 from .word_hashes import buffer_of, fold_ascii, mix, same_spans, span_hashes, turns
 
 #: Bytes of text whose terms are counted at a time, about.
-TURN = 8 << 20
+TURN = 4 << 20
 #: Probabilities are whole numbers of this.
 UNIT = 1_000_000_000
 #: Seats of the tournament: as many rounds less one, whatever the data. Even.
