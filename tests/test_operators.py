@@ -206,6 +206,8 @@ def test_queries_run_presets(monkeypatch):
     monkeypatch.setattr(registry, "_split", lambda s, d: None)
     monkeypatch.setattr(registry.features, "scaled", lambda df: None)
     monkeypatch.setattr(registry, "tidy", lambda df: df)
+    monkeypatch.setattr(registry, "kept", lambda df, what: df)
+    monkeypatch.setattr(models, "together", lambda fits: [fit() for fit in fits])
     for name in ("baseline_predictions", "model_metrics", "leaderboard"):
         monkeypatch.setattr(evaluate, name, lambda df: df)
     monkeypatch.setattr(evaluate, "merged", lambda *dfs: None)

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -54,12 +54,13 @@ def _fit(kind: Estimator, vectors: DataFrame) -> Model:
 
 
 def _tested(kind: Estimator, vectors: DataFrame, name: str, ord_: int, s: Series) -> DataFrame:
-    """Predictions of the test rows. Where the train rows can't be fitted, such as none at all, they are null and fit_error says why."""
+    """Predictions of the test rows. Where a model can't be fitted, for whatever reason, they are null and fit_error says why: one model's failure leaves the
+    others be."""
     test, error = vectors.where(F.col("split") == "test"), None
     try:
         out = _fit(kind, vectors).transform(test)
-    except (ValueError, IllegalArgumentException) as e:
-        out, error = test.withColumn("prediction", F.lit(None).cast("double")), str(e)
+    except Exception as e:  # noqa: BLE001
+        out, error = test.withColumn("prediction", F.lit(None).cast("double")), f"{type(e).__name__}: {e}"[:1000]
     return out.select(
         s.key, s.order, F.lit(name).alias("model"), F.lit("ML").alias("type"), F.lit(ord_).alias("ord"), F.col("target").alias("actual"), F.col("prediction").alias("predicted"),
         F.lit(error).cast("string").alias("fit_error"),
@@ -86,6 +87,13 @@ def kernel_predict(scaled: DataFrame, n_features: int = 64, ridge: float = 1.0,
     return _tested(LinearRegression(labelCol="target", regParam=ridge, solver="normal"), vectors, "kernel_rff", ord_, s)
 
 
+def together(fits: list[Callable[[], DataFrame]], workers: int = 6) -> list[DataFrame]:
+    """Each fit's predictions as a table of its own. The fits run side by side: a model's jobs are many and small, and wait for one
+    another, so that one model alone leaves most of a cluster idle."""
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(lambda fit: kept(fit(), "predictions"), fits))
+
+
 def _by_series(rows: DataFrame, fit: Callable[[pd.DataFrame], np.ndarray], name: str, kind: str, ord_: int, s: Series) -> DataFrame:
     """Predictions of fit(series in order) for its test rows; a series whose fit fails has null predictions and says why."""
     key, order = (rows.schema[c].dataType.simpleString() for c in (s.key, s.order))
@@ -96,8 +104,8 @@ def _by_series(rows: DataFrame, fit: Callable[[pd.DataFrame], np.ndarray], name:
         out = group.loc[test, [s.key, s.order, "target"]].rename(columns={"target": "actual"})
         try:
             out["predicted"], out["fit_error"] = fit(group), None
-        except (ValueError, np.linalg.LinAlgError) as e:
-            out["predicted"], out["fit_error"] = np.nan, str(e)
+        except Exception as e:  # noqa: BLE001
+            out["predicted"], out["fit_error"] = np.nan, f"{type(e).__name__}: {e}"[:1000]
         return out
 
     made = rows.groupBy(s.key).applyInPandas(run, f"`{s.key}` {key}, `{s.order}` {order}, actual double, predicted double, fit_error string")

@@ -13,6 +13,7 @@ from ..operators import evaluate, features, indicators, joins, models, profile,
 from ..operators.ewm import ewm_means
 from ..sources import bars as B
 from ..sources import catalogue
+from ..sources.scratch import kept
 from . import sql as Q
 
 S = Series()
@@ -298,15 +299,20 @@ for _k, _name in enumerate(models.ORDERS, 11):
     _add(f"{_name}_forecast", lambda s, d, n=_name, k=_k: models.arima_predict(_split(s, d), n, ord_=k))
 
 
+def _zoo_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of all models, and of the closed-form ones. Features are written once, and each model's predictions."""
+    split = kept(_split(spark, d), "split")
+    data = kept(features.scaled(split), "scaled")
+    fits = [lambda n=n, k=k: models.fit_predict(data, n, ord_=k) for k, n in enumerate(("random_forest", *models.BOOSTED), 4)]
+    fits += [lambda: models.kernel_predict(data, ord_=9)]
+    fits += [lambda n=n, k=k: models.network_predict(data, n, ord_=k) for k, n in enumerate(models.NETWORKS, 10)]
+    fits += [lambda n=n, k=k: models.arima_predict(split, n, ord_=k) for k, n in enumerate(models.ORDERS, 15)]
+    return evaluate.model_metrics(evaluate.merged(evaluate.baseline_predictions(split), *models.together(fits)))
+
+
 def _zoo(spark: SparkSession, d: str) -> DataFrame:
-    """All models, and the closed-form ones, on one leaderboard."""
-    split = _split(spark, d)
-    data = features.scaled(split)
-    trees = [models.fit_predict(data, n, ord_=k) for k, n in enumerate(("random_forest", *models.BOOSTED), 4)]
-    networks = [models.network_predict(data, n, ord_=k) for k, n in enumerate(models.NETWORKS, 10)]
-    arima = [models.arima_predict(split, n, ord_=k) for k, n in enumerate(models.ORDERS, 15)]
-    every = evaluate.merged(evaluate.baseline_predictions(split), *trees, models.kernel_predict(data, ord_=9), *networks, *arima)
-    return tidy(evaluate.leaderboard(evaluate.model_metrics(every)))
+    """All models on one leaderboard."""
+    return tidy(evaluate.leaderboard(_zoo_metrics(spark, d)))
 
 
 _add("model_zoo_leaderboard", _zoo)
