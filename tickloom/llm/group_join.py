@@ -20,7 +20,7 @@ _LAST = (1 << 63) - 1
 #: One token in so many is looked at beyond those that a link needs; results don't depend on it.
 SPARE = 20
 #: How many times a set of an opened group tries one partner before all pairs still apart are made; nor on this.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def least_common(n, percent: int):
@@ -112,18 +112,18 @@ def linked(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) -> Da
 
 
 def survivors(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, rep, n, token) of nodes(node, rep, n, early): the first tokens that other sets have too, of the sets that can link at all.
+    """(node, rep, n, token, df) of nodes(node, rep, n, early): the first tokens that other sets have too, of the sets that can link at all; df sets have a token.
 
     All other sets are one group here: a set of whose first tokens fewer are in that group's union than a link needs is out,
     before any pair is made. Only hashes are shuffled; a frequent token's rows can be split.
     """
     own = nodes.select(F.xxhash64("node").alias("nid"), F.explode("early").alias("token"))
     # xor, so that neither side of the join is dealt out by the key already and hot tokens can be split
-    twice = own.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > 1).select(F.col("token").bitwiseXOR(F.lit(1)).alias("other"))
-    shared = stored(own.withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).join(twice, "other").select("nid", "token"), "shared")
+    twice = own.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1).select(F.col("token").bitwiseXOR(F.lit(1)).alias("other"), "df")
+    shared = stored(own.withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).join(twice, "other").select("nid", "token", "df"), "shared")
     named = nodes.select("node", "rep", "n", F.xxhash64("node").alias("nid"))
     able = shared.groupBy("nid").agg(F.count("*").alias("k")).join(named, "nid").where(F.col("k") >= spare(least_common(F.col("n"), percent))).drop("k")
-    return stored(shared.join(able, "nid").select("node", "rep", "n", "token"), "survivors")
+    return stored(shared.join(able, "nid").select("node", "rep", "n", "token", "df"), "survivors")
 
 
 def qualifying(rows: DataFrame, percent: int) -> DataFrame:
@@ -199,8 +199,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A-Z are lower-cased; words are runs of anything but ASCII white space; fewer words than `size` are one shingle. Shingles are
     told apart by 64-bit hashes. Texts of equal sets are one node, so copies never meet as pairs. Nodes that
-    can link at all (survivors) are partitioned into groups by the least token that they share with others, which similar sets mostly
-    agree on. First each group's members are checked against one of them. Then sets ask the matrix of tokens and groups which groups' unions leave room for
+    can link at all (survivors) are partitioned into groups by the most frequent of their first tokens, which similar sets mostly
+    agree on, so that few groups hold a token. First sets that agree on the least of theirs are checked against one of them. Then sets ask the matrix of tokens and groups which groups' unions leave room for
     a link with another class (qualifying), and only those are opened (open_groups). Within a class a link adds nothing, so its sets aren't
     compared. No link between classes is lost, whatever the groups are.
 
@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stored(nodes, "nodes")
     forget(whole)
     rows = survivors(nodes, percent)
-    named = stored(rows.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.min("token").alias("g"), F.count("*").alias("k")), "named")
+    named = stored(rows.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.max(F.struct("df", "token"))["token"].alias("g"), F.min("token").alias("star"), F.count("*").alias("k")), "named")
 
     reps = named.select(F.col("rep").alias("id")).where(F.col("id") != _LAST).distinct()
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
@@ -223,8 +223,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # the member with the fewest tokens of its own is most like the others
     central = F.struct(F.col("k") / (F.col("n") - least_common(F.col("n"), percent) + spare(F.col("n"))), "node")
-    leaders = named.groupBy("g").agg(F.max(central).alias("leader"), F.count("*").alias("members")).where(F.col("members") > 1).select("g", F.col("leader.node").alias("x"))
-    stars = named.join(leaders, "g").where(F.col("node") != F.col("x")).select("x", F.col("node").alias("y"))
+    leaders = named.groupBy("star").agg(F.max(central).alias("leader"), F.count("*").alias("members")).where(F.col("members") > 1).select("star", F.col("leader.node").alias("x"))
+    stars = named.join(leaders, "star").where(F.col("node") != F.col("x")).select("x", F.col("node").alias("y"))
     links = stored(linked(stars, texts, size=size, percent=percent), "links")
     labels = components(links, named.select("node", "rep"))
     named = stored(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.struct("rep", "node"))), "labels")
