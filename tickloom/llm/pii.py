@@ -14,7 +14,8 @@ MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господ
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "Госпожа", "Κυρία")
 OPEN = ("Dr", "Prof", "Доктор")
 
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)?"
+_TITLES = r"(?:(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? )+"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+(?:[-'’]\p{Lu}[\p{L}\p{M}]+)?"
 _SECRET = r"(?i:passw(?:or)?d|secret|token|api[_-]?key)[ \t]?[=:][ \t]?[\"']?"
 #: Type -> pattern, in the order in which they are tried at a place in the text.
 PATTERNS = {
@@ -27,10 +28,10 @@ PATTERNS = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
     "card": r"\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})\b",
-    "name": r"\b(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? " + _NAME + r"(?: " + _NAME + r")?",
+    "name": r"\b" + _TITLES + _NAME + r"(?: " + _NAME + r")?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_TITLE = r"^(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? "
+_TITLE = "^" + _TITLES
 #: What any entity holds.
 _HINT = r"[0-9@=:]|AKIA|ASIA|(?:" + "|".join(MALE + FEMALE + OPEN) + r")\.? \p{Lu}"
 
@@ -124,14 +125,21 @@ def entity_type(value: Column) -> Column:
     return found
 
 
+def _plain_case(word: Column) -> Column:
+    """A name in capitals as it is written otherwise: capital first letters of its parts."""
+    low = F.transform(_chars(F.lower(word)), lambda c, i: F.when((i == 0) | F.get(_chars(word), i - 1).rlike("^[-'’]$"), F.upper(c)).otherwise(c))
+    return F.when((word == F.upper(word)) & (F.char_length(word) > 1), F.array_join(low, "")).otherwise(word)
+
+
 def _units(kind: Column, value: Column) -> Column:
     """The parts of an entity that get a stand-in each: (kind, canonical form). Forms that differ only in
     separators, or an e-mail's case, are one; a title's given name, with the gender that the title says, and surname are two."""
     unit = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
     bare = F.regexp_replace(value, r"[^\p{L}\p{N}]", "")
-    title = F.regexp_replace(F.regexp_extract(value, _TITLE, 0), r"[. ]", "")
-    gender = F.when(title.isin(*MALE), "given_m").when(title.isin(*FEMALE), "given_f").otherwise("given_u")
-    words = F.split(F.regexp_replace(value, _TITLE, ""), " ", -1)
+    titles = F.split(F.regexp_extract(value, _TITLE, 0), r"[. ]+", -1)
+    says = lambda which: F.arrays_overlap(titles, F.array(*map(F.lit, which)))
+    gender = F.when(says(MALE), "given_m").when(says(FEMALE), "given_f").otherwise("given_u")
+    words = F.transform(F.split(F.regexp_replace(value, _TITLE, ""), " ", -1), _plain_case)
     names = F.when(F.size(words) > 1, F.array(unit(gender, F.get(words, F.lit(0))), unit(F.lit("surname"), F.get(words, F.lit(1))))).otherwise(F.array(unit(F.lit("surname"), F.get(words, F.lit(0)))))
     low = F.lower(value)
     return (
@@ -169,6 +177,11 @@ def _stand_in(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
     body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _alike(F.substr(canon, F.lit(2), F.char_length(canon) - 2), digest))
     account = _alike(F.substr(canon, F.lit(5)), digest)
     hexed = canon.rlike("^[0-9a-f]+$")
+    # a format with hardly a form left grows by a digit or letter a round
+    more = F.greatest(nonce - 3, F.lit(0))
+    digits_more = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick(_DIGITS, _byte(digest, i + 30))), "")).otherwise("")
+    letters_more = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick(_UPPER, _byte(digest, i + 30))), "")).otherwise("")
+    number, body, account = F.concat(number, digits_more), F.concat(body, digits_more), F.concat(account, digits_more)
     return (
         F.when(kind.isin("given_m", "given_f", "given_u", "surname"), _invented(kind, script, digest, nonce))
         .when(kind == "mailbox", mailbox)
@@ -177,11 +190,11 @@ def _stand_in(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
         .when(kind == "ipv6", _alike(canon, digest, F.lit(True)))
         .when(kind == "secret", F.concat(_alike(canon, digest, hexed), F.when(nonce > 1, tail).otherwise("")))
         .when(kind == "phone", F.when(canon.contains(" "), F.concat(cc, F.lit(" "), number)).otherwise(number))
-        .when(kind == "ssn", F.concat(_pick("12345", _byte(digest, 63)), _alike(F.substr(canon, F.lit(2)), digest)))
+        .when(kind == "ssn", F.concat(_pick("12345", _byte(digest, 63)), _alike(F.substr(canon, F.lit(2)), digest), digits_more))
         .when(kind == "card", F.concat(body, _luhn_digit(body)))
         .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), _iban_digits(F.substr(canon, F.lit(1), F.lit(2)), account), account))
-        .when(kind == "access_key", F.concat(F.substr(canon, F.lit(1), F.lit(4)), _alike(F.substr(canon, F.lit(5)), digest)))
-        .otherwise(_alike(canon, digest, hexed))
+        .when(kind == "access_key", F.concat(F.substr(canon, F.lit(1), F.lit(4)), _alike(F.substr(canon, F.lit(5)), digest), letters_more))
+        .otherwise(F.concat(_alike(canon, digest, hexed), digits_more))
     )
 
 
@@ -189,22 +202,25 @@ def surrogate_table(units: DataFrame, key: str, *, max_rounds: int = 24) -> Data
     """units(kind, canon), distinct, with a stand-in each: no two of a kind get the same, and none gets a
     form that a unit of its kind (of any name, for names) really has.
 
-    Units that clash draw again with the next nonce, until none is left; the one of the least nonce, then
-    the least canonical form, keeps what it has. Raises if clashes remain after max_rounds, which
-    needs a kind with about as many units as forms.
+    Units that clash draw again with the next nonce, until none is left: those that drew first keep what they have, then the
+    least canonical form does. Only units that clash go into the next round. From some rounds on, forms grow, so that a kind with more units
+    than forms of its own length has enough. Raises if clashes remain after max_rounds all the same.
     """
-    table = cut(units.select("kind", "canon", F.lit(0).alias("nonce"), _stand_in(F.col("kind"), F.col("canon"), F.lit(0), key).alias("stand_in")))
-    real = table.select(_family(F.col("kind")).alias("k"), _shown(F.col("kind"), F.col("canon")).alias("c"))
+    drawn = lambda df: df.withColumn("stand_in", _stand_in(F.col("kind"), F.col("canon"), F.col("nonce"), key))
+    real = cut(units.select(_family(F.col("kind")).alias("k"), _shown(F.col("kind"), F.col("canon")).alias("c")).distinct())
+    new, table = cut(drawn(units.select("kind", "canon", F.lit(0).alias("nonce")))), None
+    order = F.struct("nonce", "canon")
     for _ in range(max_rounds):
-        winners = table.groupBy("kind", "stand_in").agg(F.min(F.struct("nonce", "canon")).alias("first"), F.count("*").alias("n"))
-        taken = winners.where(F.col("n") > 1).select("kind", "stand_in", "first")
-        clash = table.join(taken, ["kind", "stand_in"]).where(F.struct("nonce", "canon") != F.col("first")).select("kind", "canon")
-        clash = clash.unionByName(table.join(real, (_family(F.col("kind")) == F.col("k")) & (F.col("stand_in") == F.col("c"))).select("kind", "canon")).distinct()
-        clash = cut(clash.withColumn("again", F.lit(True)))
-        if clash.isEmpty():
+        # those that keep theirs are written once: later draws give way to them, and only what clashes is drawn and written again
+        free = new.join(real, (_family(F.col("kind")) == F.col("k")) & (F.col("stand_in") == F.col("c")), "left_anti")
+        if table is not None:
+            free = free.join(table.select("kind", "stand_in"), ["kind", "stand_in"], "left_anti")
+        winners = cut(free.groupBy("kind", "stand_in").agg(F.min(order).alias("first")).select("kind", F.col("first.canon").alias("canon"), F.col("first.nonce").alias("nonce"), "stand_in"))
+        table = winners if table is None else table.unionByName(winners)
+        left = cut(new.join(winners.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("nonce") + 1).alias("nonce")))
+        if left.isEmpty():
             return table
-        table = table.join(clash, ["kind", "canon"], "left").withColumn("nonce", F.when(F.col("again"), F.col("nonce") + 1).otherwise(F.col("nonce"))).drop("again")
-        table = cut(table.withColumn("stand_in", F.when(F.col("nonce") == 0, F.col("stand_in")).otherwise(_stand_in(F.col("kind"), F.col("canon"), F.col("nonce"), key))))
+        new = cut(drawn(left))
     raise ValueError("no distinct surrogates: too many entities of a kind for its format")
 
 
@@ -228,7 +244,8 @@ def _filled(value: Column, stand_in: Column) -> Column:
         put = F.when(put.isNull(), c).otherwise(put)
         return F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.struct(F.concat(acc["out"], put).alias("out"), (acc["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["k"].alias("k")))
 
-    return F.aggregate(_chars(value), start, step, lambda acc: acc["out"])
+    # what is longer than value goes on behind it
+    return F.aggregate(_chars(value), start, step, lambda acc: F.concat(acc["out"], F.array_join(F.slice(drawn, acc["k"] + 1, F.greatest(F.size(drawn) - acc["k"], F.lit(0))), "")))
 
 
 def _gendered(parts: DataFrame) -> DataFrame:
@@ -248,10 +265,10 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     an IP address of valid octets; a name that fits its title's gender; mail domains map as one) and the
     same for the same entity in all documents. Different entities get different surrogates and none
     gets one that occurs itself (surrogate_table). The key, by HMAC, decides them all. Formats are kept but where a kind has
-    about as many entities as forms of theirs: then IP addresses and secrets change their lengths, names grow.
+    about as many entities as forms of theirs: then they grow by a letter or digit, or IP addresses change their lengths.
 
-    Names are found after titles; then the same document's bare repeats of their parts ("Smith said") are replaced too, but not
-    counted. A name that no title announces anywhere in its document isn't found, nor are postal addresses and birth
+    Names are found after one or more titles, in capitals too; then the same document's bare repeats of their parts ("Smith said", "SMITH") are replaced
+    too, but not counted; a part that is a common word as well is replaced wherever it has a capital. A name that no title announces anywhere in its document isn't found, nor are postal addresses and birth
     dates. Numbers with wrong check digits are neither cards nor accounts.
 
     Texts are searched once. Distinct entities, not texts, go through the rounds; hot entities combine before the shuffle and can
@@ -276,11 +293,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     parts = parts.join(table.select("kind", "canon", "stand_in"), ["kind", "canon"]).groupBy("value", "type").agg(F.sort_array(F.collect_list(F.struct("i", "canon", "stand_in"))).alias("u"))
     parts = parts.select("value", "type", F.col("u.stand_in").alias("s"), F.when(F.col("type") == "name", F.arrays_zip(F.col("u.canon").alias("w"), F.col("u.stand_in").alias("s"))).alias("names"))
-    first = F.get("s", F.lit(0))
+    first, bare = F.get("s", F.lit(0)), F.regexp_replace("value", _TITLE, "")
     prefix = F.when(F.col("type") == "secret", F.regexp_extract("value", "^" + _SECRET, 0)).otherwise("")
     mail = F.array_join("s", "@")
     new = (
-        F.when(F.col("type") == "name", F.concat(F.regexp_extract("value", _TITLE, 0), F.array_join("s", " ")))
+        F.when(F.col("type") == "name", F.concat(F.regexp_extract("value", _TITLE, 0), F.when(bare == F.upper(bare), F.upper(F.array_join("s", " "))).otherwise(F.array_join("s", " "))))
         .when((F.col("type") == "email") & (F.char_length(mail) == F.char_length("value")), _filled(F.col("value"), mail))
         .when(F.col("type") == "email", mail)
         .when(F.col("type") == "ip", first)
@@ -296,7 +313,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     out = docs.withColumns({a: k1, b: k2}).join(found, [a, b], "left")
     # of a word with two stand-ins in a document, the first
     known = F.map_from_entries(F.filter(names, lambda x, i: (i == 0) | (F.get(F.col(names), i - 1)["w"] != x["w"])))
-    repeats = lambda x: F.array_join(F.transform(F.split(x, _WORD_EDGES, -1), lambda w: F.coalesce(F.try_element_at(known, w), w)), "")
+    repeats = lambda x: F.array_join(F.transform(F.split(x, _WORD_EDGES, -1), lambda w: F.coalesce(F.try_element_at(known, w), F.when((w == F.upper(w)) & (F.char_length(w) > 1), F.upper(F.try_element_at(known, F.initcap(w)))), w)), "")
     pieces = F.split(text, ENTITY, -1)
     pieces = F.when(F.size(names) > 0, F.transform(pieces, repeats)).otherwise(pieces)
     merged = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(swaps), i)["new"], F.lit("")))), "")
