@@ -21,6 +21,8 @@ from .word_hashes import turns
 _INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
                     "math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mtable mtr mtd mspace mpadded mphantom mfenced menclose semantics").split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Of the elements whose content isn't text: those that a slash closes or that end with what they stand in, if nothing else ends them.
+_EMBEDDED = frozenset("svg select object canvas iframe template annotation annotation-xml".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg select object canvas annotation annotation-xml".split())
 _CONTAINER = frozenset("article aside body center details dialog div fieldset footer form header html main menu nav section table tbody td tr ul ol dl figure blockquote".split())
 _LEFT_OUT = frozenset("aside button dialog footer form head menu nav".split())
@@ -37,7 +39,8 @@ _PLACE_WORDS = frozenset("# area bar block bottom box button buttons center col
 _TURNED = frozenset("has hide is no not show with without".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|))*+)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Bytes of templates that are sent to every task.
 BROADCAST_BYTES = 8 << 20
 _DIGITS = re.compile(r"\d+")
@@ -75,7 +78,7 @@ def _box(tag: str, attrs: str, up: Box | None) -> Box:
     rank = 4 if tag == "article" or named.get("itemprop", "").lower() == "articlebody" else 3 if tag == "main" or role == "main" else 2 if parts & _MAIN_PARTS else 1
     readers = any(called(x, _READERS_PARTS) for x in label)
     reason = 0
-    if (tag in _LEFT_OUT and tag != "form") or "hidden" in named or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
+    if (tag in _LEFT_OUT and tag != "form") or "hidden" in named or ("style" in named and _HIDES.search(named["style"])) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
         reason = 2
     elif tag not in ("html", "body", "main") and (readers or tag == "form" or role == "form" or (not (tag == "article" and parts & _MAIN_PARTS) and any(called(x, _PARTS_LEFT_OUT) for x in label))):
         reason = 1
@@ -111,7 +114,8 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
     """A page's blocks of text, each with the container it stands in, in order; and its tokens: tags of containers
     (path with "<" or ">") and blocks (None and the text), each with its container and place.
 
-    Scripts, styles, markup and comments go; character references are decoded; white space becomes one space. An
+    Scripts, styles, markup and comments go; character references are decoded; white space becomes one space. Blocks that
+    aren't containers, such as paragraphs, go if they are hidden or called a part that is left out. An
     element that is never closed ends where its parent does, which makes its end a token too; an end tag without a
     start is ignored.
     """
@@ -125,14 +129,14 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
-            if text:
+            if text and not muted:
                 box = stack[-1] if stack else None
                 blocks.append((text, box))
                 tokens.append(("=" + text, box, len(tokens)))
                 for b in stack:
                     b.chars += len(text)
 
-    at, size = 0, len(source)
+    at, size, muted = 0, len(source), False
     while at < size:
         m = _TAG.search(source, at)
         if m is None:
@@ -151,9 +155,16 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
             continue
         if tag == "title" or tag not in _RAW:
             flush()
+            muted = False
         if tag in _RAW and not ends:
+            if tag in _EMBEDDED and m["attrs"].rstrip().endswith("/"):
+                continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = close.end() if close else size
+            if close is None and tag in _EMBEDDED:
+                close = re.compile(rf"(?=</{re.escape(stack[-1].tag)}\s*>)", re.I).search(source, at) if stack else None
+                at = close.end() if close else at
+            else:
+                at = close.end() if close else size
         elif tag in _CONTAINER or tag in _LEFT_OUT:
             if not ends:
                 if tag not in _VOID and not m["attrs"].rstrip().endswith("/"):
@@ -167,6 +178,8 @@ def parse(source: str) -> tuple[list[tuple[str, Box | None]], list[tuple[str, Bo
                     tokens.append((">", box, len(tokens)))
                     if box.tag == tag:
                         break
+        elif not ends and m["attrs"]:
+            muted = _box(tag, m["attrs"], None).reason > 0
     flush()
     while stack:
         tokens.append((">", stack.pop(), len(tokens)))
