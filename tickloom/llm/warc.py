@@ -116,6 +116,9 @@ def members(source, keep: bool = False) -> Iterator[Member]:
         read += len(got)
         return got
 
+    data = more()
+    if data and not data.startswith(_MAGIC) and data.startswith(b"WARC/"):
+        raise ValueError("a WARC file that isn't compressed record by record")
     while data or (data := more()):
         one, unpack = Member(read - len(data)), zlib.decompressobj(31)
         try:
@@ -161,7 +164,8 @@ def read_warc(files: DataFrame) -> DataFrame:
     """(segment, ordinal, id, offset, length, hash, file_offset) of every record of files(segment, path).
 
     offset and length count a record's own bytes, hash is their SHA-256; file_offset is where the compressed record starts.
-    A task reads a file as a stream, and no record is held whole. id is the number that the record's name holds, or null.
+    A task reads a file as a stream, and no record is held whole. id is the number of 64 bits that the record's name holds, or null. Files are
+    gzip members of a record each, as write_warc() makes them; a file that starts otherwise raises.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +176,8 @@ def read_warc(files: DataFrame) -> DataFrame:
                 with system.open_input_stream(name, compression=None) as source:
                     for n, one in enumerate(members(source)):
                         found = _ID.search(one.head.split(b"\r\n\r\n", 1)[0])
-                        ident = int(found[1]) if found and re.fullmatch(rb"-?[0-9]{1,18}", found[1]) else None
+                        ident = int(found[1]) if found and re.fullmatch(rb"-?[0-9]{1,19}", found[1]) else None
+                        ident = ident if ident is not None and -(1 << 63) <= ident < 1 << 63 else None
                         rows.append((segment, n, ident, offset, one.length, one.digest.hexdigest(), one.at))
                         offset += one.length
                         if len(rows) == 10_000:
