@@ -187,7 +187,7 @@ def _stand_in(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
         .when(kind == "mailbox", mailbox)
         .when(kind == "domain", F.concat(_alike(host, digest), F.when(nonce > 0, tail).otherwise(""), F.lit("."), F.substring_index(canon, ".", -1)))
         .when(kind == "ip", F.array_join(F.when(nonce < 2, octets).otherwise(wide), "."))  # short forms are few
-        .when(kind == "ipv6", _alike(canon, digest, F.lit(True)))
+        .when(kind == "ipv6", _alike(F.when(more > 0, F.lit(":".join(["2a00"] * 8))).otherwise(canon), digest, F.lit(True)))
         .when(kind == "secret", F.concat(_alike(canon, digest, hexed), F.when(nonce > 1, tail).otherwise("")))
         .when(kind == "phone", F.when(canon.contains(" "), F.concat(cc, F.lit(" "), number)).otherwise(number))
         .when(kind == "ssn", F.concat(_pick("12345", _byte(digest, 63)), _alike(F.substr(canon, F.lit(2)), digest), digits_more))
@@ -301,6 +301,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         .when((F.col("type") == "email") & (F.char_length(mail) == F.char_length("value")), _filled(F.col("value"), mail))
         .when(F.col("type") == "email", mail)
         .when(F.col("type") == "ip", first)
+        .when((F.col("type") == "ipv6") & (F.char_length(first) != F.char_length("value")), first)
         .when((F.col("type") == "secret") & (F.char_length(F.concat(prefix, first)) != F.char_length("value")), F.concat(prefix, first))
         .otherwise(F.concat(prefix, _filled(F.substr("value", F.char_length(prefix) + 1), first)))
     )
