@@ -102,3 +102,28 @@ def test_arima_from_moments_equals_the_whole_series(spark, name):
                 continue
             path = np.concatenate([x[n - 1 : n], models.arima_forecast(x[:n], len(own), p, d, q, season, seasonal)])
             assert [r.predicted for r in own] == pytest.approx(list(path[1:] / path[:-1] - 1), rel=1e-5, abs=1e-7) and not any(r.fit_error for r in own)
+
+
+def test_insensitive_regression_is_at_its_optimum(spark):
+    """Each coefficient is the sum of the rows times multipliers: c outside the tube, none inside, at most c on its edge."""
+    from tickloom.operators.models import fit_insensitive
+
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=(200, 3)), np.ones(200)])
+    y = x @ np.array([1.0, -0.5, 0.0, 0.3]) + rng.standard_t(2, size=200) * 0.3
+    rows = spark.createDataFrame([([*map(float, r), float(v)],) for r, v in zip(x, y, strict=True)], "row array<double>").repartition(3).cache()
+    c, epsilon = 0.5, 0.2
+
+    def objective(w):
+        return w[:3] @ w[:3] / 2 + c * np.maximum(0, np.abs(y - x @ w) - epsilon).sum()
+
+    w = fit_insensitive(rows, 4, c=c, epsilon=epsilon, tolerance=1e-9)
+    e = y - x @ w
+    edge = np.abs(np.abs(e) - epsilon) < 1e-3
+    outside = (np.abs(e) > epsilon) & ~edge
+    rest = np.append(w[:3], 0.0) - c * (np.sign(e[outside])[:, None] * x[outside]).sum(axis=0)
+    on = x[edge] * np.sign(e[edge])[:, None]
+    share, *_ = np.linalg.lstsq(on.T, rest, rcond=None)
+    assert np.allclose(on.T @ share, rest, atol=0.02 * c) and len(share) >= 1
+    best = min(objective(w + rng.normal(size=4) * s) for s in (1e-3, 1e-2, 0.1, 1) for _ in range(300))
+    assert objective(w) <= best + 1e-4 and objective(w) < objective(np.zeros(4))

@@ -11,7 +11,7 @@ from tickloom.functions.series import Series
 from tickloom.operators.indicators import indicators
 from tickloom.sources import bars as B
 from tickloom.sources import catalogue, training_log
-from tickloom.streaming.bars import streaming_bars, streaming_ewm
+from tickloom.streaming.bars import _decayed, streaming_bars, streaming_ewm, streaming_sessions
 
 
 def test_catalogues(spark, tmp_path):
@@ -88,3 +88,29 @@ def test_streaming_ewm_goes_on_over_batches(spark, tmp_path):
     got = [r.ewm for r in spark.table("se").orderBy("dt").collect()]
     assert got == pytest.approx(pd.Series(closes).ewm(span=3).mean().tolist())
     assert Series().key == "symbol"
+
+
+def test_streaming_sessions_merge_over_batches(spark, tmp_path):
+    """An event between two sessions joins them, one that comes late but within the watermark counts, one beyond it doesn't."""
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    batches = [[(1, at(0, 0), 1, 1.0), (2, at(0, 40), 1, 2.0), (3, at(0, 10), 2, 5.0)], [(4, at(0, 35), 1, 4.0)], [(5, at(6, 0), 1, 8.0)], [(8, at(6, 5), 3, 1.0)], [(6, at(0, 20), 2, 100.0)], [(7, at(12, 0), 1, 0.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    made = streaming_sessions(_stream(spark, tmp_path / "in/*", schema), "36 minutes", "30 minutes")
+    q = made.writeStream.format("memory").queryName("ss").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(120)
+    rows = {(r.user_id, r.started.hour): (r.ended.hour, r.ended.minute, r.n_events, r.highest, r.value) for r in spark.table("ss").collect()}
+    assert rows == {(1, 0): (1, 16, 3, 4.0, 7.0), (2, 0): (0, 46, 1, 5.0, 5.0), (1, 6): (6, 36, 1, 8.0, 8.0), (3, 6): (6, 41, 1, 1.0, 1.0)}
+
+
+def test_decayed_sums_equal_a_loop():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for q in (0.0, 1e-4, 0.05, 0.5, 0.999):
+        x, s, want = rng.normal(size=3000), 2.5, []
+        for v in x:
+            s = q * s + v
+            want.append(s)
+        np.testing.assert_allclose(_decayed(x, 2.5, q), want, rtol=1e-9, atol=1e-12)

@@ -1,6 +1,6 @@
 """Forecasting models over scaled features(symbol, dt, split, FEATURES, target): predictions of the test rows.
 
-Tree ensembles and random Fourier features are Spark ML estimators over the whole table, so a panel of many
+Tree ensembles are Spark ML estimators over the whole table, and kernel regression is fitted from moments of all its rows, so a panel of many
 series is one fit. Autoregressions are fitted from moments that all tasks add to. A network fits each series in a task of its
 own: bars, not ticks, so a series is a bounded group. Presets are the sizes, and queries use them.
 """
@@ -15,9 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import Series
@@ -73,18 +72,71 @@ def fit_predict(scaled: DataFrame, name: str, trees: int | None = None, ord_: in
     return _tested(estimator(name, trees), vectors, name, ord_, s)
 
 
-def kernel_predict(scaled: DataFrame, n_features: int = 64, ridge: float = 1.0, ord_: int = 0, s: Series = S, columns: list[str] | None = None) -> DataFrame:
-    """An RBF kernel regression in its random Fourier features (Rahimi & Recht 2007): cosines as column
-    expressions, then a ridge regression. Stands in for support vectors, which Spark ML has for classes only."""
-    names = columns or FEATURES
+def kernel_waves(scaled: DataFrame, n_features: int, names: list[str]) -> Column:
+    """Random Fourier features of the RBF kernel (Rahimi & Recht 2007), as an array of cosines, and a one."""
     rng = np.random.default_rng(SEED)
     weights, shifts = rng.normal(0, math.sqrt(2 / len(names)), (n_features, len(names))), rng.uniform(0, 2 * math.pi, n_features)
     waves = F.transform(
         F.lit([[*map(float, w), float(b)] for w, b in zip(weights, shifts, strict=True)]),
         lambda w: F.cos(F.aggregate(F.zip_with(F.array(*names, F.lit(1.0)), w, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)) * math.sqrt(2 / n_features),
     )
-    vectors = scaled.select(s.key, s.order, "split", "target", array_to_vector(waves).alias("features"))
-    return _tested(LinearRegression(labelCol="target", regParam=ridge, solver="normal"), vectors, "kernel_rff", ord_, s)
+    return F.concat(waves, F.array(F.lit(1.0)))
+
+
+def fit_insensitive(rows: DataFrame, width: int, *, c: float = 1.0, epsilon: float = 0.1, rounds: int = 60, tolerance: float = 1e-6) -> np.ndarray:
+    """w of the least |w|^2 / 2 + c * sum(max(0, |y - w x| - epsilon)) over rows(row: the array [*x, y], x of `width` numbers, the last one a constant that
+    isn't penalised): support vector regression in its primal form.
+
+    Rounds of reweighted least squares (Perez-Cruz et al. 2000): a row outside the tube weighs c over its distance to it, a row inside nothing, and a
+    round is one table of moments that all tasks add to; the step is halved until the objective, one aggregate more, doesn't grow.
+    """
+    sure = np.diag([1.0] * (width - 1) + [1e-9])
+    predicted = lambda w: F.aggregate(F.zip_with(F.slice("row", 1, width), F.lit([float(v) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    error = lambda w: F.get(F.col("row"), F.lit(width)) - predicted(w)
+
+    def objective(w: np.ndarray) -> float:
+        lost = rows.agg(F.sum(F.greatest(F.abs(error(w)) - epsilon, F.lit(0.0)))).first()[0] or 0.0
+        return float(w @ sure @ w) / 2 + c * lost
+
+    w = np.zeros(width)
+    best = objective(w)
+    for _ in range(rounds):
+        away = F.abs(F.col("e")) - epsilon
+        # outside, the target is the tube's edge; the weight's root scales the row
+        root, edge = F.sqrt(c / F.greatest(away, F.lit(1e-6))), F.signum("e") * epsilon
+        weighed = rows.withColumn("e", error(w)).where(away > 0).withColumn("weighed", F.transform("row", lambda x, k: F.when(k == width, x - edge).otherwise(x) * root))
+        found = moments(weighed.withColumn("key", F.lit(0)), "key", "weighed").first()
+        gram = np.zeros((width + 1, width + 1)) if found is None else np.array(found.moments).reshape(width + 1, width + 1)
+        step = np.linalg.solve(gram[:width, :width] + sure, gram[:width, width]) - w
+        size = 1.0
+        while size > 1e-4 and (now := objective(w + size * step)) > best:
+            size /= 2
+        if size <= 1e-4 or best - now <= tolerance * max(1.0, best):
+            return w + size * step if size > 1e-4 else w
+        w, best = w + size * step, now
+    return w
+
+
+def kernel_predict(scaled: DataFrame, n_features: int = 64, c: float = 1.0, epsilon: float = 0.1, ord_: int = 0, s: Series = S, columns: list[str] | None = None) -> DataFrame:
+    """Support vector regression with an RBF kernel in its random Fourier features: the loss is insensitive below epsilon deviations of the train rows'
+    targets, as are c and epsilon measured in them."""
+    rows = scaled.select(s.key, s.order, "split", "target", kernel_waves(scaled, n_features, columns or FEATURES).alias("waves"))
+    train, error, predicted = rows.where(F.col("split") == "train"), None, F.lit(None).cast("double")
+    try:
+        mean, dev, n = train.agg(F.avg("target"), F.stddev_pop("target"), F.count("target")).first()
+        if not n:
+            raise ValueError("no train rows")
+        dev = dev or 1.0
+        fitted = kept(train.select(F.concat("waves", F.array((F.col("target") - mean) / dev)).alias("row")), "train")
+        w = fit_insensitive(fitted, n_features + 1, c=c, epsilon=epsilon)
+        predicted = F.aggregate(F.zip_with("waves", F.lit([float(v) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) * dev + mean
+    except Exception as e:  # noqa: BLE001
+        error = f"{type(e).__name__}: {e}"[:1000]
+    test = rows.where(F.col("split") == "test")
+    return test.select(
+        s.key, s.order, F.lit("kernel_rff").alias("model"), F.lit("ML").alias("type"), F.lit(ord_).alias("ord"), F.col("target").alias("actual"), predicted.alias("predicted"),
+        F.lit(error).cast("string").alias("fit_error"),
+    )
 
 
 def together(fits: list[Callable[[], DataFrame]], workers: int = 6) -> list[DataFrame]:

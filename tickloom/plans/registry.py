@@ -14,6 +14,7 @@ from ..operators.ewm import ewm_means
 from ..sources import bars as B
 from ..sources import catalogue
 from ..sources.scratch import kept
+from ..streaming.bars import streaming_bars, streaming_sessions
 from . import sql as Q
 
 S = Series()
@@ -168,6 +169,14 @@ _add("overlapping_shipments", _overlaps,
 SELECT r.l_suppkey, count(*) AS n_pairs, CAST(sum(least(r.d1, a.d1) - greatest(r.d0, a.d0)) AS BIGINT) AS n_days FROM l r JOIN l a ON r.l_suppkey = a.l_suppkey AND r.d0 < a.d1 AND a.d0 < r.d1
 WHERE r.l_returnflag = 'R' AND a.l_returnflag = 'A' GROUP BY r.l_suppkey""")
 
+_add("sliding_bars", lambda s, d: tidy(streaming_bars(B.read_table(s, d, "events"), "2 hours", slide="1 hour").withColumn("dt", F.col("dt").cast("timestamp_ntz"))),
+     f"""WITH e AS (SELECT event_id, event_type AS symbol, ts, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS dt FROM events)
+SELECT symbol, dt, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM e GROUP BY symbol, dt""")
+_add("event_sessions", lambda s, d: streaming_sessions(B.read_table(s, d, "events"), "6 hours").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n_events", "highest", F.round("value", 6).alias("value")),
+     """WITH e AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n_events, max(value) AS highest, round(sum(value), 6) AS value FROM n GROUP BY user_id, session""")
+
 # --- indicators ---
 _add("macd", _over(_bars, lambda df: indicators.add_macd(df).select("symbol", "dt", "macd", "macd_signal")), _of(Q.EWM, f"{KEY}, {Q.rounded('macd', 'macd_signal')}", "mc JOIN s USING (symbol, dt)"))
 _add("rsi", _over(_bars, lambda df: indicators.add_rsi(df).select("symbol", "dt", "rsi")), _of(f"{Q.BASE}, {Q.RSI}", f"{KEY}, {Q.rounded('rsi')}", "rsi"))
