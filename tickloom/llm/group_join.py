@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import forget, quoted, read_table, stored
-from .near_dup import candidates, components, relabelled, renamed
+from .near_dup import candidates, relabelled, renamed
 from .word_hashes import buffer_of, fold_ascii, gram_hashes, turns, word_hashes
 
 _U = np.uint64
@@ -135,10 +135,7 @@ def qualifying(rows: DataFrame, percent: int) -> DataFrame:
     group qualifies if the bound reaches what a link needs. Of two classes the lower one asks, so a large class of near copies doesn't.
     """
     n, own = F.col("n"), F.col("rank")
-    top = rows.groupBy("token").agg(F.max("rank").alias("top")).select(F.col("token").bitwiseXOR(F.lit(1)).alias("other"), "top")
-    asked = rows.withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).join(top, "other").where(own < F.col("top")).select("node", "n", "rank", "token")
-    able = asked.groupBy("node").agg(F.min("n").alias("least"), F.count("*").alias("k")).where(F.col("k") >= spare(least_common(F.col("least"), percent))).select("node")
-    asked = asked.join(able, "node").withColumn("other", F.col("token").bitwiseXOR(F.lit(1))).drop("token")
+    asked = rows.select("node", "n", "rank", F.col("token").bitwiseXOR(F.lit(1)).alias("other"))
     matrix = rows.groupBy("token", "g").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = matrix.select(F.col("token").bitwiseXOR(F.lit(1)).alias("other"), "g", "top", "low", "high")
     cells = asked.join(matrix, "other").where((own < F.col("top")) & (F.col("high") >= least_common(n, percent)) & (n >= least_common(F.col("low"), percent)))
@@ -226,7 +223,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leaders = named.groupBy("star").agg(F.max(central).alias("leader"), F.count("*").alias("members")).where(F.col("members") > 1).select("star", F.col("leader.node").alias("x"))
     stars = named.join(leaders, "star").where(F.col("node") != F.col("x")).select("x", F.col("node").alias("y"))
     links = stored(linked(stars, texts, size=size, percent=percent), "links")
-    labels = components(links, named.select("node", "rep"))
+    # a set is in one star, so a star's links are a class
+    ends = stored(links.select("x", F.col("y").alias("node")).unionByName(links.select("x", F.col("x").alias("node"))).distinct().join(named.select("node", "rep"), "node"), "ends")
+    labels = ends.join(ends.groupBy("x").agg(F.min(F.struct("rep", "node")).alias("label")), "x").select("node", "label")
     named = stored(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.struct("rep", "node"))), "labels")
     sizes = named.groupBy("label").agg(F.count("*").alias("members"))
     ranked = named.join(sizes, "label").select("node", "n", "g", F.struct("members", "label").alias("rank"))
