@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import annual_volatility, sharpe, sortino
 from ..functions.series import Series
-from ..operators import evaluate, features, indicators, joins, models, profile, recommend, risk, segments, selection, views
+from ..operators import evaluate, features, indicators, joins, models, moments, profile, recommend, risk, segments, selection, views
 from ..operators.ewm import ewm_means
 from ..sources import bars as B
 from ..sources import catalogue
@@ -209,6 +209,19 @@ _add("trend_strength", _over(_frame, profile.trend), _of(f"{Q.IND}, {Q.PROFILE}"
 _add("series_characteristics", _over(_frame, profile.characteristics))
 _add("adf_test", lambda s, d: tidy(profile.stationarity(_frame(s, d))))
 
+
+
+def _price_moments(spark: SparkSession, d: str) -> DataFrame:
+    """The mean products of a unit-root regression's columns with two lags: 1, the close before, the two changes before, the change."""
+    seen = profile.dickey_fuller_rows(segments.blocks_of(_bars(spark, d), S, rows=TICK_ROWS, reach=3), "close", 2).rows.where("_seen_at >= 4")
+    table = moments.moments(seen.withColumn("row", profile.dickey_fuller_row(F.lit(2), 2)), "symbol", "row")
+    cells = table.select("symbol", "n", F.posexplode("moments").alias("at", "x"))
+    return cells.select("symbol", "n", F.floor(F.col("at") / 5).cast("int").alias("i"), (F.col("at") % 5).cast("int").alias("j"), (F.round(F.col("x") / F.col("n"), 3) + F.lit(0.0)).alias("product"))
+
+
+_add("price_moments", _price_moments, _of(Q.BASE, "symbol, count(*) AS n, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(avg(v[i] * v[j]), 3) + 0.0 AS product",
+     f"(SELECT symbol, [1, b1, b1 - b2, b2 - b3, close - b1] AS v FROM (SELECT symbol, close, lag(close) OVER {Q.W} AS b1, lag(close, 2) OVER {Q.W} AS b2, lag(close, 3) OVER {Q.W} AS b3 FROM b) WHERE b3 IS NOT NULL), generate_series(1, 5) x(i), generate_series(1, 5) y(j)", "GROUP BY symbol, i, j"))
+
 # --- risk ---
 _RISKS = ("annual_volatility", "sharpe_ratio", "sortino_ratio", "max_drawdown", "var_95", "cvar_95")
 _add("risk_summary", _over(_frame, risk.risk_profile), _of(Q.RISK, f"symbol, n_returns, {Q.rounded(*_RISKS)}", "risk"))
