@@ -124,8 +124,8 @@ _add("tick_running", lambda s, d: tidy(segments.running(_blocks(s, d), _RUNS).ro
 _ROLLS = {"roll_mean_30": (F.avg, "price", 30), "roll_std_50": (F.stddev_samp, "price", 50), "roll_max_200": (F.max, "price", 200)}
 _add("tick_rolling", lambda s, d: tidy(segments.rolling(_blocks(s, d, 199), _ROLLS).rows.select("symbol", "dt", *_ROLLS)),
      _of(_TICKS, f"{KEY}, {Q.r(Q.roll('avg', 'price', 30), 'roll_mean_30', 3)}, {Q.r(Q.roll('stddev_samp', 'price', 50), 'roll_std_50', 3)}, {Q.r(Q.roll('max', 'price', 200), 'roll_max_200', None)}", "t"))
-_add("tick_ewm", lambda s, d: tidy(segments.ewm(_blocks(s, d), {"ema_12": ("price", 12), "ema_200": ("price", 200)}).rows.select("symbol", "dt", "ema_12", "ema_200")),
-     _of(f"{_TICKS}, e AS (SELECT x.symbol, x.dt, {Q._ewm(12, 'price')} AS ema_12, {Q._ewm(200, 'price')} AS ema_200 FROM t x JOIN t y ON x.symbol = y.symbol AND y.rn <= x.rn GROUP BY ALL)", f"{KEY}, {Q.rounded('ema_12', 'ema_200')}", "e"))
+_add("tick_ewm", lambda s, d: tidy(segments.ewm(_blocks(s, d), {"mean_12": ("price", 12), "mean_200": ("price", 200)}).rows.select("symbol", "dt", "mean_12", "mean_200")),
+     _of(f"{_TICKS}, e AS (SELECT x.symbol, x.dt, {Q._ewm(12, 'price')} AS mean_12, {Q._ewm(200, 'price')} AS mean_200 FROM t x JOIN t y ON x.symbol = y.symbol AND y.rn <= x.rn GROUP BY ALL)", f"{KEY}, {Q.rounded('mean_12', 'mean_200')}", "e"))
 
 
 def _tick_drawdown(spark: SparkSession, d: str) -> DataFrame:
