@@ -1,6 +1,6 @@
 """Forecasting models over scaled features(symbol, dt, split, FEATURES, target): predictions of the test rows.
 
-Tree ensembles are Spark ML estimators over the whole table, and kernel regression is fitted from moments of all its rows, so a panel of many
+Tree ensembles are Spark ML estimators, or `boosting`'s, over the whole table, and kernel regression is fitted from moments of all its rows, so a panel of many
 series is one fit. Autoregressions are fitted from moments that all tasks add to. A network fits each series in a task of its
 own: bars, not ticks, so a series is a bounded group. Presets are the sizes, and queries use them.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -21,23 +22,30 @@ from pyspark.sql import functions as F
 
 from ..functions.series import Series
 from ..sources.scratch import kept
+from . import boosting
+from .boosting import Growth
 from .features import FEATURES
 from .moments import lag_rows, moments, recent, solve
 from .segments import ROWS, blocks_of, running
 
 S = Series()
 SEED = 42
-#: Boosted ensembles by name: trees, learning rate, depth. Fixed values.
-BOOSTED = {"gradient_boosting": (100, 0.1, 3), "boosting_deep": (200, 0.05, 8), "boosting_leafwise": (200, 0.05, 5), "boosting_symmetric": (200, 0.05, 6)}
+#: Boosted ensembles by name: trees, learning rate, depth of the first-order one; how the second-order ones grow. Fixed values.
+FIRST_ORDER = {"gradient_boosting": (100, 0.1, 3)}
+GROWN = {
+    "boosting_deep": Growth(200, 0.05, depth=8, penalty=1.0), "boosting_leafwise": Growth(200, 0.05, leaves=31, least=20),
+    "boosting_symmetric": Growth(200, 0.05, depth=6, penalty=3.0, symmetric=True, bins=254),
+}
+BOOSTED = [*FIRST_ORDER, *GROWN]
 FOREST_TREES, FOREST_DEPTH = 200, 10
 PREDICTIONS = "model string, type string, ord int"
 
 
 def estimator(name: str, trees: int | None = None) -> Estimator:
-    """The Spark ML estimator of a model, with its own number of trees unless another is given."""
+    """The Spark ML estimator of a forest or of first-order boosting, with its own number of trees unless another is given."""
     if name == "random_forest":
         return RandomForestRegressor(labelCol="target", numTrees=trees or FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all")
-    n, rate, depth = BOOSTED[name]
+    n, rate, depth = FIRST_ORDER[name]
     return GBTRegressor(labelCol="target", maxIter=trees or n, stepSize=rate, maxDepth=depth, seed=SEED)
 
 
@@ -52,12 +60,12 @@ def _fit(kind: Estimator, vectors: DataFrame) -> Model:
         train.unpersist()
 
 
-def _tested(kind: Estimator, vectors: DataFrame, name: str, ord_: int, s: Series) -> DataFrame:
-    """Predictions of the test rows. Where a model can't be fitted, for whatever reason, they are null and fit_error says why: one model's failure leaves the
+def _tested(vectors: DataFrame, predict: Callable[[DataFrame], DataFrame], name: str, ord_: int, s: Series) -> DataFrame:
+    """predict(test rows): they with prediction. Where a model can't be fitted, for whatever reason, they are null and fit_error says why: one model's failure leaves the
     others be."""
     test, error = vectors.where(F.col("split") == "test"), None
     try:
-        out = _fit(kind, vectors).transform(test)
+        out = predict(test)
     except Exception as e:  # noqa: BLE001
         out, error = test.withColumn("prediction", F.lit(None).cast("double")), f"{type(e).__name__}: {e}"[:1000]
     return out.select(
@@ -68,8 +76,13 @@ def _tested(kind: Estimator, vectors: DataFrame, name: str, ord_: int, s: Series
 
 def fit_predict(scaled: DataFrame, name: str, trees: int | None = None, ord_: int = 0, s: Series = S, columns: list[str] | None = None) -> DataFrame:
     """Fit a tree ensemble on the train rows of all series; predict the test rows."""
-    vectors = VectorAssembler(inputCols=columns or FEATURES, outputCol="features").transform(scaled)
-    return _tested(estimator(name, trees), vectors, name, ord_, s)
+    names = columns or FEATURES
+    if growth := GROWN.get(name):
+        growth = replace(growth, trees=trees or growth.trees)
+        grown = lambda test: boosting.predict(test, boosting.fit(scaled.where(F.col("split") == "train"), names, growth), [s.key, s.order, "target"])
+        return _tested(scaled, grown, name, ord_, s)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
+    return _tested(vectors, lambda test: _fit(estimator(name, trees), vectors).transform(test), name, ord_, s)
 
 
 def kernel_waves(scaled: DataFrame, n_features: int, names: list[str]) -> Column:
