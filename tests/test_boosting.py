@@ -146,3 +146,14 @@ def test_a_hot_value_and_a_constant_column(spark):
     x[:400, 0], x[:, 2] = 0.5, 1.0
     e = boosting.fit(frame(spark, x, y), COLUMNS, Growth(2, 0.3, depth=3, penalty=1.0))
     assert len(e.edges[2]) == 1 and all((t.feature != 2).all() for t in e.trees)
+
+
+def test_models_by_name(spark):
+    from tickloom.operators import models
+
+    x, y = table(60)
+    data = frame(spark, x, y).withColumns({"symbol": F.lit("s"), "dt": F.monotonically_increasing_id(), "split": F.when(F.col("a") > 1, "test").otherwise("train")})
+    out = models.fit_predict(data, "symmetric_boosting", trees=1, columns=COLUMNS).collect()
+    assert len(out) == (x[:, 0] > 1).sum() and all(r.predicted is not None and r.fit_error is None and r.model == "symmetric_boosting" for r in out)
+    out = models.fit_predict(data.withColumn("split", F.lit("test")), "leafwise_boosting", trees=1, columns=COLUMNS).collect()
+    assert len(out) == 60 and all(r.predicted is None and "no train rows" in r.fit_error for r in out)

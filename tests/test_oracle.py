@@ -17,7 +17,8 @@ def test_matches_sql(spark, small, db, name):
 
 
 #: Presets that take minutes: test_operators.py fits each of their kinds small, and asks that the queries run the presets.
-SLOW = {"boosting_deep_predictions", "boosting_leafwise_predictions", "boosting_symmetric_predictions", "network_gated_3_predictions", "network_gated_2_predictions", "model_zoo_leaderboard"}
+SLOW = {"boosting_deep_predictions", "boosting_leafwise_predictions", "boosting_symmetric_predictions", "network_gated_3_predictions", "network_gated_2_predictions", "model_zoo_leaderboard",
+        "second_order_boosting_predictions", "leafwise_boosting_predictions", "symmetric_boosting_predictions"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))

@@ -30,13 +30,13 @@ from .segments import ROWS, blocks_of, running
 
 S = Series()
 SEED = 42
-#: Boosted ensembles by name: trees, learning rate, depth of the first-order one; how the second-order ones grow. Fixed values.
-FIRST_ORDER = {"gradient_boosting": (100, 0.1, 3)}
+#: Spark ML's boosted ensembles by name: trees, learning rate, depth. Fixed values.
+BOOSTED = {"gradient_boosting": (100, 0.1, 3), "boosting_deep": (200, 0.05, 8), "boosting_leafwise": (200, 0.05, 5), "boosting_symmetric": (200, 0.05, 6)}
+#: How the ensembles of `boosting` grow, by name. Fixed values.
 GROWN = {
-    "boosting_deep": Growth(200, 0.05, depth=8, penalty=1.0), "boosting_leafwise": Growth(200, 0.05, leaves=31, least=20),
-    "boosting_symmetric": Growth(200, 0.05, depth=6, penalty=3.0, symmetric=True, bins=254),
+    "second_order_boosting": Growth(200, 0.05, depth=8, penalty=1.0), "leafwise_boosting": Growth(200, 0.05, leaves=31, least=20),
+    "symmetric_boosting": Growth(200, 0.05, depth=6, penalty=3.0, symmetric=True, bins=254),
 }
-BOOSTED = [*FIRST_ORDER, *GROWN]
 FOREST_TREES, FOREST_DEPTH = 200, 10
 PREDICTIONS = "model string, type string, ord int"
 
@@ -45,7 +45,7 @@ def estimator(name: str, trees: int | None = None) -> Estimator:
     """The Spark ML estimator of a forest or of first-order boosting, with its own number of trees unless another is given."""
     if name == "random_forest":
         return RandomForestRegressor(labelCol="target", numTrees=trees or FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all")
-    n, rate, depth = FIRST_ORDER[name]
+    n, rate, depth = BOOSTED[name]
     return GBTRegressor(labelCol="target", maxIter=trees or n, stepSize=rate, maxDepth=depth, seed=SEED)
 
 

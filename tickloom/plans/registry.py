@@ -314,6 +314,8 @@ def _modelled(predict: Callable[[DataFrame], DataFrame]) -> Query:
 _add("rf_predictions", _modelled(lambda df: models.fit_predict(df, "random_forest")))
 for _k, _name in enumerate(models.BOOSTED, 1):
     _add(f"{_name}_predictions", _modelled(lambda df, n=_name, k=_k: models.fit_predict(df, n, ord_=k)))
+for _k, _name in enumerate(models.GROWN, 2):
+    _add(f"{_name}_predictions", _modelled(lambda df, n=_name, k=_k: models.fit_predict(df, n, ord_=k)))
 _add("svr_rff_predictions", _modelled(lambda df: models.kernel_predict(df, ord_=5)))
 for _k, _name in enumerate(models.NETWORKS, 6):
     _add(f"network_{_name}_predictions", _modelled(lambda df, n=_name, k=_k: models.network_predict(df, n, ord_=k)))
