@@ -109,6 +109,50 @@ def test_jaccard_components_do_not_depend_on_the_rounds(spark, monkeypatch):
     assert found_components(group_join.jaccard_components(docs)) == jaccard_brute(rows)
 
 
+@pytest.mark.parametrize(("percent", "many", "tries"), [(85, 1, 4), (85, 2, 0), (50, 1, 1), (100, 1, 1)])
+def test_jaccard_components_do_not_depend_on_what_is_a_crowd(spark, monkeypatch, percent, many, tries):
+    from tickloom.llm import group_join
+
+    rows = [(k, t) for k, t in near_copies(5)] + [(10_000 + k, t) for k, t in crowd(60, 6)]
+    for name, value in {"MANY": many, "TRIES": tries, "ROUNDS": tries % 2}.items():
+        monkeypatch.setattr(group_join, name, value)
+    assert found_components(group_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)) == jaccard_brute(rows, percent)
+
+
+def crowd(n, seed):
+    """Texts of one template, two or three words of each changed to some of its own or one of a few, or left out, so that most similarities are just
+    under or over 0.85; and families that share three changes."""
+    rng, rows = random.Random(seed), []
+    base = [f"b{k}" for k in range(147)]
+    families = [{rng.randrange(147): f"f{k}{i}" for i in range(3)} for k in range(3)]
+    for k in range(n):
+        text = dict(enumerate(base)) | (families[k % 3] if k % 8 == 0 else {})
+        for at in rng.sample(range(147), 1 if k % 8 == 0 else rng.choice([2, 3])):
+            text[at] = rng.choice([f"own{k} own{k}x", f"own{k}", f"few{rng.randrange(3)}", "", "", f"own{k}y"])
+        rows.append(" ".join(w for _, w in sorted(text.items()) if w))
+    return list(enumerate(rows))
+
+
+def test_jaccard_components_of_a_crowd_make_few_pairs(spark, monkeypatch):
+    """Twice the texts of one template: about twice the pairs, not four times."""
+    from tickloom.llm import group_join
+
+    checked, plain = [], group_join.linked
+
+    def linked(pairs, *rest, **named):
+        checked.append(pairs.count())
+        return plain(pairs, *rest, **named)
+
+    monkeypatch.setattr(group_join, "linked", linked)
+    made = []
+    for n in (200, 400):
+        checked.clear()
+        rows = crowd(n, 7)
+        assert found_components(group_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == jaccard_brute(rows)
+        made.append(sum(checked))
+    assert made[1] < 3 * made[0] and made[1] < 10 * 400, made
+
+
 def test_first_tokens_of_linked_sets_meet():
     """The bound that everything rests on, over all small sets that link."""
     from tickloom.llm.group_join import least_common, spare

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import forget, quoted, read_table, stored
-from .near_dup import candidates, relabelled, renamed
+from .near_dup import relabelled, renamed
 from .word_hashes import buffer_of, fold_ascii, gram_hashes, turns, word_hashes
 
 _U = np.uint64
@@ -21,6 +21,10 @@ _LAST = (1 << 63) - 1
 SPARE = 20
 #: How many times a set of an opened group tries one partner before all pairs still apart are made; nor on this.
 ROUNDS = 1
+#: How many sets may meet at a token as pairs; where more do, their differences from one of them meet instead; nor on this.
+MANY = 16
+#: How many times a set tries the partner that its differences speak for most, before all pairs left are made; nor on this.
+TRIES = 2
 
 
 def least_common(n, percent: int):
@@ -88,13 +92,18 @@ def set_texts(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node binary, text string")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
-    """(x, y): those of pairs(x, y), or pairs(p, q) of the 64-bit hashes of names, that link: 100 * tokens in common >= percent * tokens in
-    either, of texts(node, text)."""
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(x, y, text_x, text_y) of pairs(x, y), or pairs(p, q) of the 64-bit hashes of names."""
     ends, key = (("x", "y"), F.col("node")) if "x" in pairs.columns else (("p", "q"), F.xxhash64("node"))
     at_x, at_y = (texts.select(key.alias(end), F.struct("node", "text").alias(f"end_{end}")) for end in ends)
     both = pairs.select(*ends).join(at_y, ends[1]).join(at_x, ends[0]).select(*(F.col(f"end_{end}.{c}").alias(f"{c}_{k}") for c in ("node", "text") for end, k in zip(ends, "xy", strict=True)))
-    both = both.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), "text_x", "text_y")
+    return both.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), "text_x", "text_y")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
+    """(x, y): those of pairs(x, y), or pairs(p, q) of the 64-bit hashes of names, that link: 100 * tokens in common >= percent * tokens in
+    either, of texts(node, text)."""
+    both = with_texts(pairs, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -144,8 +153,8 @@ def qualifying(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def rarest(texts: DataFrame, *, size: int, percent: int) -> DataFrame:
-    """(nid, n, e, left) of texts(node, text): the rarest tokens of each set, as many as a link allows to be missing, and how many tokens that
-    other sets have too are left from each on. nid is a 64-bit hash of the name.
+    """(nid, n, m, e, left) of texts(node, text): the rarest tokens of each set, as many as a link allows to be missing, and how many tokens that
+    other sets have too are left from each on, of m in all. nid is a 64-bit hash of the name.
 
     Two sets of n and m tokens that link share p / (100 + p) of n + m, p being percent; in one order of all tokens, rarest first, the first one that both have
     comes where that many are left in each. A set with too many tokens of its own has no such place.
@@ -166,26 +175,138 @@ def rarest(texts: DataFrame, *, size: int, percent: int) -> DataFrame:
     whole = Window.partitionBy("nid")
     placed = shared.withColumns({"at": F.row_number().over(whole.orderBy("df", "e")), "m": F.count("*").over(whole)})
     placed = placed.withColumn("left", (F.col("m") - F.col("at") + 1).cast("int"))
-    return placed.where(F.col("left") >= least_common(F.col("n"), percent)).select("nid", "n", "e", "left")
+    return placed.where(F.col("left") >= least_common(F.col("n"), percent)).select("nid", "n", "m", "e", "left")
+
+
+def flipped(name: str) -> Column:
+    """A key with a bit turned: neither side of a join on it is dealt out by it already, so hot keys can be split."""
+    return F.col(name).bitwiseXOR(F.lit(1)).alias("other")
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """rows(nid, lab, e, room, ask, ...) of tokens e that several classes have and of sets that can meet another one there; hi and lo are
+    the class with the most and the one with the fewest sets, and the set with the most room of each.
+
+    Two sets of different classes may link if they have a token at which the room of either is at least what the other asks for.
+    """
+    best = rows.groupBy("e", "lab").agg(F.count("*").alias("k"), F.max(F.struct("room", "nid", "ask")).alias("best"), F.min("ask").alias("least"))
+    ends = F.struct("k", "lab", "best")
+    top = best.groupBy("e").agg(F.max(ends).alias("hi"), F.min(ends).alias("lo"), F.min("least").alias("least"), F.max("best.room").alias("most")).where(F.col("hi.lab") != F.col("lo.lab"))
+    able = rows.withColumn("other", flipped("e")).join(top.select(flipped("e"), "hi", "lo", "least", "most"), "other")
+    return able.where((F.col("room") >= F.col("least")) & (F.col("most") >= F.col("ask"))).drop("other", "least", "most")
+
+
+def partners(able: DataFrame) -> DataFrame:
+    """(p, q): a partner for each set of contested(), the one that most tokens offer."""
+    offer = able.select("nid", "ask", "room", F.when(F.col("lab") != F.col("hi.lab"), F.col("hi.best")).otherwise(F.col("lo.best")).alias("to"))
+    offer = offer.where((F.col("room") >= F.col("to.ask")) & (F.col("to.room") >= F.col("ask")))
+    made = offer.groupBy(F.col("nid").alias("p"), F.col("to.nid").alias("q")).agg(F.count("*").alias("k"))
+    return made.groupBy("p").agg(F.max(F.struct("k", "q")).alias("to")).select("p", F.col("to.q").alias("q"))
+
+
+def meetings(able: DataFrame) -> DataFrame:
+    """(p, q): all pairs of contested() that may link."""
+    a, b = able.alias("a"), able.alias("b")
+    on = (F.col("a.e") == F.col("b.e")) & (F.col("a.nid") < F.col("b.nid")) & (F.col("a.lab") != F.col("b.lab")) & (F.col("a.room") >= F.col("b.ask")) & (F.col("b.room") >= F.col("a.ask"))
+    return a.join(b, on).select(F.col("a.nid").alias("p"), F.col("b.nid").alias("q")).distinct()
+
+
+def differences(spokes: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
+    """(x, y, cost, near, far, diff) of spokes(p, q): the tokens that only one of a set x and its pivot y has.
+
+    Two sets a and b with differences of d and f from one pivot, x of them in common, differ in d + f - 2 x tokens, and link if
+    (100 + percent) * that <= (100 - percent) * (the sum of their sizes). So with cost = (100 + percent) * d - (100 - percent) * size they link if
+    2 * (100 + percent) * x >= the sum of their costs. The pivot has no differences and the least cost.
+
+    Jaccard distances obey the triangle inequality: of two sets that link, both are near, at most 1/2 and a link's distance from the
+    pivot, or both far, over 1/2. Only what is near has a diff here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in turns(whole, 2, 1 << 20):
+                (left, right) = (batch.column(k).dictionary_encode() for k in (2, 3))
+                a, b = (_sets(x.dictionary, size)[0] for x in (left, right))
+                cost, near, far, diff = [], [], [], []
+                for p, q in zip(left.indices.to_pylist(), right.indices.to_pylist(), strict=True):
+                    d = np.setxor1d(a[p], b[q], assume_unique=True)
+                    twice = len(a[p]) + len(b[q]) + len(d)  # the union, twice
+                    cost.append((100 + percent) * len(d) - (100 - percent) * len(a[p]))
+                    near.append(200 * len(d) <= (150 - percent) * twice)
+                    far.append(4 * len(d) > twice)
+                    diff.append(d if near[-1] else d[:0])
+                ends = np.concatenate([[0], np.cumsum([len(d) for d in diff])]).astype(np.int32)
+                tokens = np.concatenate([np.zeros(0, _U), *diff]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cost, pa.int64()), pa.array(near, pa.bool_()), pa.array(far, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))],
+                                                 names=["x", "y", "cost", "near", "far", "diff"])
+
+    return with_texts(spokes, texts).mapInArrow(run, "x binary, y binary, cost long, near boolean, far boolean, diff array<long>")
+
+
+def rarest_differences(measured: DataFrame, percent: int) -> DataFrame:
+    """(nid, e, room, ask): the differences in differences() that several sets have from one pivot, as e; room is what the cost of another
+    set can be at most, if this is the rarest difference that they share."""
+    own = measured.select(F.xxhash64("x").alias("nid"), "y", "cost", F.explode("diff").alias("token")).select("nid", "y", "cost", F.xxhash64("y", "token").alias("e"))
+    held = own.groupBy("e").agg(F.count("*").alias("df")).where(F.col("df") > 1).select(flipped("e"), "df")
+    shared = own.withColumn("other", flipped("e")).join(held, "other").drop("other")
+    left = F.count("*").over(Window.partitionBy("nid", "y").orderBy(F.desc("df"), F.desc("e")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return shared.select("nid", "e", (2 * (100 + percent) * left - F.col("cost")).alias("room"), F.col("cost").alias("ask"))
 
 
 def open_groups(asks: DataFrame, named: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
     """named(node, label, g, ...) after the links between the sets of asks(node, g) and the members of their groups.
 
     Only these sets are opened. Each first tries one partner, ROUNDS times: the one that its rarest tokens speak for most; then all
-    pairs still in different classes are checked that their rarest tokens and sizes leave room for.
+    pairs still in different classes are checked that their rarest tokens and sizes leave room for, where no more than MANY sets meet at
+    a token. At any other token one of its sets is the pivot. All are checked against it; sets that do not link with it can
+    only link, with whatever other set, by differences from it that both have, so pairs are made at the rarest of those.
     """
     inside = named.join(asks.select("g").distinct(), "g", "left_semi").select("node").unionByName(asks.select("node")).distinct()
     core = stored(named.join(inside, "node", "left_semi").select("node", "label").withColumn("was", F.col("label")), "opened")
     if core.isEmpty():
         return named
     few = stored(texts.join(core.select("node"), "node", "left_semi"), "few")
+    share, slack = percent / (100 + percent), 1e-6
     early = stored(rarest(few, size=size, percent=percent), "rarest")
-    for one in (True,) * ROUNDS + (False,):
-        pairs = stored(candidates(early, core, threshold=percent / 100, one=one), "pairs")
-        links = stored(linked(pairs, few, size=size, percent=percent), "links")
-        if not links.isEmpty():
-            core = relabelled(core, links)
+    early = early.withColumns({"room": F.col("left") - share * F.col("n") + slack, "ask": share * F.col("n")})
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.join(core.select(F.xxhash64("node").alias("nid"), F.xxhash64("label").alias("lab")), "nid")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return stored(linked(stored(pairs, "pairs"), few, size=size, percent=percent), "links")
+
+    def joined(links: DataFrame) -> DataFrame:
+        # a table, as the optimizer's constraints on a checkpoint double with every relabelling
+        return core if links.isEmpty() else stored(relabelled(core, links), "core")
+
+    for _ in range(ROUNDS):
+        core = joined(checked(partners(contested(classed(early)))))
+
+    able = stored(contested(classed(early)).select("nid", "lab", "e", "room", "ask", (F.col("m") / F.col("n")).alias("like")), "able")
+    # of a crowd's sets the one with the fewest tokens of its own
+    crowds = able.groupBy("e").agg(F.count("*").alias("k"), F.max(F.struct("like", "nid"))["nid"].alias("q")).where(F.col("k") > MANY)
+    crowds = stored(crowds.select(flipped("e"), "q"), "crowds")
+    pairs = meetings(able.join(crowds.select(F.col("other").bitwiseXOR(F.lit(1)).alias("e")), "e", "left_anti"))
+    if not crowds.isEmpty():
+        crowded = stored(able.withColumn("other", flipped("e")).join(crowds, "other").drop("other", "like"), "crowded")
+        measured = stored(differences(crowded.select(F.col("nid").alias("p"), "q").distinct(), few, size=size, percent=percent), "measured")
+        # the pivot's cost is -(100 - percent) * its size
+        pivots = measured.where(F.col("x") == F.col("y")).select("y", F.col("cost").alias("least"))
+        links = measured.join(pivots, "y").where((F.col("cost") + F.col("least") <= 0) & (F.col("x") != F.col("y"))).select("x", "y")
+        core = joined(stored(links, "links"))
+        far = crowded.drop("lab").join(measured.where("far").select(F.xxhash64("x").alias("nid"), F.xxhash64("y").alias("q")), ["nid", "q"])
+        near = stored(rarest_differences(measured.where("near"), percent), "near")
+        for _ in range(TRIES):
+            links = checked(partners(contested(classed(near))))
+            if links.isEmpty():
+                break
+            core = joined(links)
+        pairs = pairs.unionByName(meetings(stored(contested(classed(near)), "apart")))
+        if not measured.where("far").isEmpty():
+            pairs = pairs.unionByName(meetings(stored(contested(classed(far)), "far")))
+        pairs = pairs.distinct()
+    core = joined(checked(pairs))
     merged = core.where(F.col("was") != F.col("label")).select(F.col("was.node").alias("top"), F.col("label").alias("far")).distinct()
     return renamed(named, merged)
 
