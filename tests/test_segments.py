@@ -88,6 +88,55 @@ def test_scans_follow_one_another(series):
     same(found, plain, ["growth", "peak", "drawdown"])
 
 
+def test_running_and_drawdown_of_ties_equal_sql(spark):
+    """Rows at the very same time share their result, and so do their growth and peak; a row of one block and many blocks."""
+    import duckdb
+
+    rng = random.Random(11)
+    made = [("hot", k // 3, round(rng.uniform(-1, 1), 2)) for k in range(900)] + [("few", 1, 0.5), ("few", 1, 0.25), ("few", 2, 0.125)]
+    rng.shuffle(made)
+    df = spark.createDataFrame(made, SCHEMA).repartition(4)
+    frame = df.toPandas()  # noqa: F841
+    kinds = {"total": ("sum", "x"), "n": ("count", "x"), "top": ("max", "x"), "low": ("min", "x")}
+    rows = lambda found: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found)
+    for size in (40, 10_000):
+        b = segments.blocks_of(df, S, rows=size)
+        out = segments.running(b, kinds).rows.select("symbol", "at", "x", *kinds).collect()
+        w = "(PARTITION BY symbol ORDER BY \"at\")"
+        assert rows(out) == rows(duckdb.sql(f"SELECT symbol, \"at\", x, sum(x) OVER {w}, count(x) OVER {w}, max(x) OVER {w}, min(x) OVER {w} FROM frame").fetchall())
+        out = segments.drawdown(b.of(b.frame.withColumn("r", F.col("x") / 100)), "r").rows.select("symbol", "at", "x", "growth", "peak").collect()
+        grown = f"SELECT symbol, \"at\", x, product(1 + x / 100) OVER {w} AS growth FROM frame"
+        assert rows(out) == rows(duckdb.sql(f"SELECT *, max(growth) OVER {w} FROM ({grown})").fetchall())
+
+
+def test_running_sums_of_many_blocks_round_once(spark):
+    """Sums of two decimals stay theirs to the last bit that a double has, over 2,000 blocks, next to values beyond doubles' sums."""
+    n, rng = 2000, random.Random(12)
+    cents = [rng.randrange(10**9, 10**10) for _ in range(n)]
+    made = [("a", k, c / 100) for k, c in enumerate(cents)] + [("b", k, x) for k, x in enumerate([1e308, -1e308, float("inf"), 1.0, None])] + [("c", 0, 0.0), ("c", 1, 1e-310), ("d", 0, None)]
+    df = spark.createDataFrame(made, SCHEMA)
+    table = segments.Blocks(df.withColumn(segments.BLOCK, F.col("at").cast("int")), df.select("symbol", F.col("at").cast("int").alias(segments.BLOCK), F.lit(1).alias("n")), S)
+    found = {(r.symbol, r["at"]): r.total for r in segments.running(table, {"total": ("sum", "x")}).rows.collect()}
+    total = 0
+    for k, c in enumerate(cents):
+        total += c
+        assert found["a", k] == pytest.approx(total / 100, rel=3e-16)
+    assert [found["b", k] for k in range(5)] == [1e308, 0.0, float("inf"), float("inf"), float("inf")]
+    assert found["c", 1] == 1e-310 and found["d", 0] is None
+
+
+def test_lookup_of_blocks_equals_bisection(spark):
+    """Rows carry no more than 64 of 4,095 bounds; nulls and series without bounds go to the first block."""
+    from bisect import bisect_right
+
+    rng = random.Random(13)
+    cuts = {"a": sorted(rng.sample(range(20_000), 4095)), "b": [5], "c": sorted(rng.sample(range(20_000), 128)), None: [3, 9]}
+    df = spark.createDataFrame([(k, rng.randrange(-5, 20_005)) for k in (*cuts, "none") for _ in range(2000)] + [("a", None), *((k, x) for k, c in cuts.items() for x in c)], "symbol string, _at long")
+    placed = segments._placed(df, spark.createDataFrame(list(cuts.items()), "_bound_key string, _cuts array<bigint>"), S)
+    assert placed.columns == ["symbol", "_at", segments.BLOCK]
+    assert all(r[segments.BLOCK] == (0 if r["_at"] is None else bisect_right(cuts.get(r.symbol, []), r["_at"])) for r in placed.collect())
+
+
 def test_scans_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     b = segments.blocks_of(none, S, reach=5)

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import Series
+from ..sources.scratch import kept
 from .ewm import TINY, ewm_sums
 
 S = Series()
 #: Rows of a block, about, and the most blocks of a series: longer series have longer blocks.
 ROWS, MOST_BLOCKS = 1 << 18, 4096
-#: Bounds are looked through in two steps of so many.
+#: Bounds are looked through in two steps of fewer than so many.
 _STEP = 64
 BLOCK = "_block"
 
@@ -74,10 +75,7 @@ def blocks_of(df: DataFrame, s: Series = S, *, rows: int = ROWS, reach: int = 0)
         own = F.least(F.ceil(F.col("_n") / rows), F.lit(most)).cast("int")
         picked = F.transform(F.sequence(F.lit(1), F.col("_own") - 1), lambda k: F.get(F.col("_cuts"), F.floor(k * most / F.col("_own")).cast("int") - 1))
         bounds = found.withColumn("_own", own).where(F.col("_own") > 1).select(F.col(s.key).alias("_bound_key"), F.array_sort(F.array_distinct(picked)).alias("_cuts"))
-        coarse = F.filter("_cuts", lambda x, k: ((k + 1) % _STEP == 0) & (x <= F.col("_at")))
-        fine = F.filter(F.slice("_cuts", F.col("_far") + 1, F.lit(_STEP)), lambda x: x <= F.col("_at"))
-        cut = df.withColumn("_at", at).join(bounds, F.col(s.key).eqNullSafe(F.col("_bound_key")), "left").withColumn("_far", F.size(coarse) * _STEP)
-        frame = cut.withColumn(BLOCK, F.when(F.col("_cuts").isNull() | F.col("_at").isNull(), 0).otherwise(F.col("_far") + F.size(fine))).drop("_at", "_cuts", "_far", "_bound_key")
+        frame = _placed(df.withColumn("_at", at), kept(bounds, "bounds"), s).drop("_at")
         sizes = frame.groupBy(s.key, BLOCK).agg(F.count("*").alias("n"))
         if not reach or (sizes.where(F.col(BLOCK) >= 0).withColumn("_k", F.count("*").over(Window.partitionBy(s.key))).where("_k > 1").agg(F.min("n")).first()[0] or reach) >= reach:
             return Blocks(frame, sizes, s)
@@ -86,6 +84,28 @@ def blocks_of(df: DataFrame, s: Series = S, *, rows: int = ROWS, reach: int = 0)
     return Blocks(frame, frame.groupBy(s.key, BLOCK).agg(F.count("*").alias("n")), s)
 
 
+def _placed(df: DataFrame, bounds: DataFrame, s: Series) -> DataFrame:
+    """df with BLOCK, the number of its series' bounds(_bound_key, _cuts) that are at most _at; 0 where either is missing.
+
+    Every 64th bound is looked through first, then those up to the next of them, both by halving and in columns of plain expressions: rows carry 64 bounds at
+    most, and a lookup is 12 comparisons.
+    """
+    cut = lambda *on: F.col(on[0]).eqNullSafe(F.col("_bound_key")) if len(on) == 1 else F.col(on[0]).eqNullSafe(F.col("_bound_key")) & (F.col(on[1]) == F.col("_part"))
+    every = bounds.select("_bound_key", F.filter("_cuts", lambda _, k: (k + 1) % _STEP == 0).alias("_some"))
+    parts = bounds.select("_bound_key", "_cuts", F.explode(F.sequence(F.lit(0), F.floor(F.size("_cuts") / _STEP).cast("int"))).alias("_part"))
+    parts = parts.select("_bound_key", "_part", F.slice("_cuts", F.col("_part") * _STEP + 1, F.lit(_STEP)).alias("_some"))
+
+    def passed(rows: DataFrame, out: str) -> DataFrame:
+        rows, step = rows.withColumn(out, F.lit(0)), _STEP
+        while step := step // 2:
+            rows = rows.withColumn(out, F.col(out) + F.when(F.get("_some", F.col(out) + (step - 1)) <= F.col("_at"), step).otherwise(0))
+        return rows.drop("_some", "_bound_key")
+
+    far = passed(df.join(every, cut(s.key), "left"), "_far")
+    near = passed(far.join(parts, cut(s.key, "_far"), "left"), "_near")
+    return near.withColumn(BLOCK, F.col("_far") * _STEP + F.col("_near")).drop("_far", "_near", "_part")
+
+
 def _carried(rows: DataFrame, table: DataFrame, s: Series, names: list[str]) -> DataFrame:
     """rows with the columns `names` of the table of blocks."""
     few = table.select(F.col(s.key).alias("_few_key"), F.col(BLOCK).alias("_few_block"), *names)
@@ -106,10 +126,21 @@ def _both(merge: Callable[[Column, Column], Column], local: Column, carry: Colum
     return F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(merge(local, carry))
 
 
+def _exact_sum(c: Column, s: Series, before: Window) -> Column:
+    """The sum of doubles over the window `before` of a series, rounded about once however many there are: multiples of a unit, which add up exactly, and what is left of
+    each value, apart."""
+    whole = Window.partitionBy(s.key)
+    unit = F.pow(F.lit(2.0), F.ceil(F.log2(F.max(F.abs(c)).over(whole) * F.count("*").over(whole))) - 52)
+    sure = (unit > 1e-290) & (unit < 1e290)
+    high = F.when(sure, F.rint(F.try_divide(c, unit)) * unit).otherwise(c)
+    return F.sum(high).over(before) + F.sum(F.when(sure, c - high).otherwise(0.0)).over(before)
+
+
 def running(b: Blocks, made: dict[str, tuple[str, str]]) -> Blocks:
     """The blocks' rows with a column for each name -> (aggregate, column): the aggregate (RUNNING, or "last" value that isn't null) of all
-    values up to the row. Blocks are reduced to a row each before anything is carried, so a series' tasks are as many as its blocks."""
-    s, local, summary, carry = b.series, {}, [], {}
+    values up to the row and of rows at the very same order, as SQL has it. Blocks are reduced to a row each before anything is carried, so a series' tasks are as many as
+    its blocks; sums of doubles are carried without the rounding errors of earlier blocks."""
+    s, local, summary, carry, kinds = b.series, {}, [], {}, dict(b.frame.dtypes)
     for name, (kind, c) in made.items():
         x = F.col(c)
         if kind == "last":
@@ -118,9 +149,12 @@ def running(b: Blocks, made: dict[str, tuple[str, str]]) -> Blocks:
             carry[f"_c_{name}"] = F.last(f"_s_{name}", ignorenulls=True).over(b.earlier)
         else:
             agg, _ = RUNNING[kind]
-            local[name] = agg(x).over(b.forward.rowsBetween(Window.unboundedPreceding, 0))
+            local[name] = agg(x).over(b.forward)
             summary.append(agg(x).alias(f"_s_{name}"))
-            carry[f"_c_{name}"] = (F.sum if kind == "count" else agg)(F.col(f"_s_{name}")).over(b.earlier)
+            if kind == "sum" and kinds[c] in ("double", "float"):
+                carry[f"_c_{name}"] = _exact_sum(F.col(f"_s_{name}"), s, b.earlier)
+            else:
+                carry[f"_c_{name}"] = (F.sum if kind == "count" else agg)(F.col(f"_s_{name}")).over(b.earlier)
     table = b.frame.groupBy(s.key, BLOCK).agg(*summary).withColumns(carry)
     rows = _carried(b.frame.withColumns(local), table, s, list(carry))
     whole = {name: _both(RUNNING[kind][1] if kind != "last" else lambda a, c: a, F.col(name), F.col(f"_c_{name}")) for name, (kind, _) in made.items()}
@@ -177,7 +211,7 @@ def drawdown(b: Blocks, returns: str) -> Blocks:
     the extremes of its own growth: times what is carried in, one of them is its highest point."""
     s = b.series
     kept = b.frame.where(F.col(returns).isNotNull())
-    so_far = b.forward.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = b.forward
     local = kept.withColumn("_own", F.product(1 + F.col(returns)).over(so_far))
     table = local.groupBy(s.key, BLOCK).agg(F.max_by("_own", s.order).alias("_p"), F.max("_own").alias("_hi"), F.min("_own").alias("_lo"))
     table = table.withColumn("_growth", F.coalesce(F.product("_p").over(b.earlier), F.lit(1.0)))
