@@ -134,6 +134,7 @@ def test_lookup_of_blocks_equals_bisection(spark):
     df = spark.createDataFrame([(k, rng.randrange(-5, 20_005)) for k in (*cuts, "none") for _ in range(2000)] + [("a", None), *((k, x) for k, c in cuts.items() for x in c)], "symbol string, _at long")
     placed = segments._placed(df, spark.createDataFrame(list(cuts.items()), "_bound_key string, _cuts array<bigint>"), S)
     assert placed.columns == ["symbol", "_at", segments.BLOCK]
+    assert len(placed.where(F.col(segments.BLOCK) > 3)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert all(r[segments.BLOCK] == (0 if r["_at"] is None else bisect_right(cuts.get(r.symbol, []), r["_at"])) for r in placed.collect())
 
 

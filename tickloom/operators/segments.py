@@ -77,7 +77,7 @@ def blocks_of(df: DataFrame, s: Series = S, *, rows: int = ROWS, reach: int = 0)
         bounds = found.withColumn("_own", own).where(F.col("_own") > 1).select(F.col(s.key).alias("_bound_key"), F.array_sort(F.array_distinct(picked)).alias("_cuts"))
         frame = _placed(df.withColumn("_at", at), kept(bounds, "bounds"), s).drop("_at")
         sizes = frame.groupBy(s.key, BLOCK).agg(F.count("*").alias("n"))
-        if not reach or (sizes.where(F.col(BLOCK) >= 0).withColumn("_k", F.count("*").over(Window.partitionBy(s.key))).where("_k > 1").agg(F.min("n")).first()[0] or reach) >= reach:
+        if not reach or (sizes.withColumn("_k", F.count("*").over(Window.partitionBy(s.key))).where("_k > 1").agg(F.min("n")).first()[0] or reach) >= reach:
             return Blocks(frame, sizes, s)
         most //= 2
     frame = df.withColumn(BLOCK, F.lit(0))
@@ -87,23 +87,18 @@ def blocks_of(df: DataFrame, s: Series = S, *, rows: int = ROWS, reach: int = 0)
 def _placed(df: DataFrame, bounds: DataFrame, s: Series) -> DataFrame:
     """df with BLOCK, the number of its series' bounds(_bound_key, _cuts) that are at most _at; 0 where either is missing.
 
-    Every 64th bound is looked through first, then those up to the next of them, both by halving and in columns of plain expressions: rows carry 64 bounds at
-    most, and a lookup is 12 comparisons.
+    Every 64th bound is looked through first, then those up to the next of them, both by halving: rows carry 64 bounds at most, and a lookup is 12
+    comparisons. One expression each, as columns of steps would be multiplied out where a filter on BLOCK is pushed below them.
     """
-    cut = lambda *on: F.col(on[0]).eqNullSafe(F.col("_bound_key")) if len(on) == 1 else F.col(on[0]).eqNullSafe(F.col("_bound_key")) & (F.col(on[1]) == F.col("_part"))
-    every = bounds.select("_bound_key", F.filter("_cuts", lambda _, k: (k + 1) % _STEP == 0).alias("_some"))
+    cuts = bounds.withColumnsRenamed({"_bound_key": "_far_key"})
+    every = cuts.select("_far_key", F.filter("_cuts", lambda _, k: (k + 1) % _STEP == 0).alias("_some"))
     parts = bounds.select("_bound_key", "_cuts", F.explode(F.sequence(F.lit(0), F.floor(F.size("_cuts") / _STEP).cast("int"))).alias("_part"))
-    parts = parts.select("_bound_key", "_part", F.slice("_cuts", F.col("_part") * _STEP + 1, F.lit(_STEP)).alias("_some"))
-
-    def passed(rows: DataFrame, out: str) -> DataFrame:
-        rows, step = rows.withColumn(out, F.lit(0)), _STEP
-        while step := step // 2:
-            rows = rows.withColumn(out, F.col(out) + F.when(F.get("_some", F.col(out) + (step - 1)) <= F.col("_at"), step).otherwise(0))
-        return rows.drop("_some", "_bound_key")
-
-    far = passed(df.join(every, cut(s.key), "left"), "_far")
-    near = passed(far.join(parts, cut(s.key, "_far"), "left"), "_near")
-    return near.withColumn(BLOCK, F.col("_far") * _STEP + F.col("_near")).drop("_far", "_near", "_part")
+    parts = parts.select("_bound_key", "_part", F.slice("_cuts", F.col("_part") * _STEP + 1, F.lit(_STEP)).alias("_few"))
+    halves = F.array(*(F.lit(_STEP >> k) for k in range(1, _STEP.bit_length())))
+    passed = lambda some: F.aggregate(halves, F.lit(0), lambda n, k: n + F.when(F.get(some, n + k - 1) <= F.col("_at"), k).otherwise(0))
+    far = df.join(every, F.col(s.key).eqNullSafe(F.col("_far_key")), "left").withColumn("_far", passed(F.col("_some"))).drop("_some", "_far_key")
+    near = far.join(parts, F.col(s.key).eqNullSafe(F.col("_bound_key")) & (F.col("_far") == F.col("_part")), "left")
+    return near.withColumn(BLOCK, F.col("_far") * _STEP + passed(F.col("_few"))).drop("_far", "_few", "_part", "_bound_key")
 
 
 def _carried(rows: DataFrame, table: DataFrame, s: Series, names: list[str]) -> DataFrame:
