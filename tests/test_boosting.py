@@ -157,3 +157,49 @@ def test_models_by_name(spark):
     assert len(out) == (x[:, 0] > 1).sum() and all(r.predicted is not None and r.fit_error is None and r.model == "symmetric_boosting" for r in out)
     out = models.fit_predict(data.withColumn("split", F.lit("test")), "leafwise_boosting", trees=1, columns=COLUMNS).collect()
     assert len(out) == 60 and all(r.predicted is None and "no train rows" in r.fit_error for r in out)
+
+
+@pytest.mark.parametrize("g", [Growth(12, 0.2, depth=4, bins=31, first=1.0), Growth(12, 0.3, leaves=9, least=5), Growth(12, 0.3, depth=3, penalty=3.0, symmetric=True)])
+def test_trees_of_one_task_equal_those_of_many(spark, monkeypatch, g):
+    """Steps of one task, of tasks whose sums are added at once, and of tasks that shuffle them."""
+    x, y = table(300)
+    made = []
+    for near, few in ((boosting.NEAR, boosting.FEW), (0, 8), (0, 0)):
+        monkeypatch.setattr(boosting, "NEAR", near)
+        monkeypatch.setattr(boosting, "FEW", few)
+        made.append(boosting.fit(frame(spark, x, y, 4), COLUMNS, g).trees)
+    assert all(len(trees) == g.trees for trees in made)
+    for trees in made[1:]:
+        assert all(np.array_equal(a, b) for s, t in zip(made[0], trees, strict=True) for a, b in zip(s, t, strict=True))
+
+
+def test_first_order_presets_equal_spark_ml(spark):
+    """Columns of eight values have the same splits in both, so the trees' predictions of train rows are equal."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tickloom.operators import models
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 8, (500, 3)).astype(float)
+    data = frame(spark, x, x[:, 0] * (x[:, 1] > 3) + rng.normal(size=500)).withColumn("id", F.monotonically_increasing_id()).cache()
+    for name, (_, rate, depth) in models.BOOSTED.items():
+        vectors = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(data)
+        want = GBTRegressor(labelCol="target", maxIter=6, stepSize=rate, maxDepth=depth, seed=1).fit(vectors).transform(vectors).select("id", F.col("prediction").alias("want"))
+        found = boosting.predict(data, boosting.fit(data, COLUMNS, models.growth(name, 6)), ["id"])
+        assert found.join(want, "id").agg(F.max(F.abs(F.col("prediction") - F.col("want")))).first()[0] < 1e-9
+
+
+def test_presets_of_two_hundred_trees_run_in_few_jobs(spark):
+    """Thousands of jobs before: three of each level of each tree."""
+    from tickloom.operators import models
+
+    x, y = table(200)
+    rows = frame(spark, x, y)
+    spark.sparkContext.setJobGroup("presets", "")
+    try:
+        for name in ("boosting_deep", "boosting_leafwise", "boosting_symmetric"):
+            assert len(boosting.fit(rows, COLUMNS, models.growth(name)).trees) == 200
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("presets")) < 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -3,15 +3,17 @@
 Features are cut into bins once. For each step of a tree, tasks add up residuals and rows by (node, feature, bin), the sums are added before and after
 the shuffle, and the driver holds what the model's size bounds: at most leaves x features x bins sums, whatever the rows are. Only the smaller of two
 children is asked for; its sibling is what its parent leaves. Residuals are rounded to multiples of a power of two that lets any sum of them
-be exact, so trees don't depend on how rows are partitioned.
+be exact, so trees don't depend on how rows are partitioned. Thousands of steps of few rows would be all scheduling: up to NEAR numbers, the same steps
+are taken in one task, with the same trees.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import NamedTuple
 
 import numpy as np
@@ -26,11 +28,14 @@ from ..sources.scratch import kept
 REWRITE = 10
 #: So many tasks' sums are added without a shuffle.
 FEW = 8
+#: Bins and predictions, at most, of a table whose trees are grown in one task: a tenth of a GB with all that is made of them there.
+NEAR = 1 << 22
 
 
 @dataclass(frozen=True)
 class Growth:
-    """How an ensemble grows. `penalty` is the L2 penalty of a leaf's value, `least` the rows a leaf needs, `gain` what a split must exceed."""
+    """How an ensemble grows. `penalty` is the L2 penalty of a leaf's value, `least` the rows a leaf needs, `gain` what a split must exceed; `first` is the
+    first tree's rate, where that is another."""
 
     trees: int = 200
     rate: float = 0.05
@@ -41,6 +46,7 @@ class Growth:
     symmetric: bool = False
     bins: int = 255
     gain: float = 0.0
+    first: float | None = None
 
 
 class Tree(NamedTuple):
@@ -145,6 +151,12 @@ def blocks(state: DataFrame, width: int, models: int, base: float) -> RDD:
     return state.select("target", "turn", "bins").mapInArrow(pack, "target binary, turn binary, bins binary").rdd.map(block)
 
 
+def near_blocks(batches: Iterator[pa.RecordBatch], width: int, models: int, base: float) -> list[Block]:
+    """The Blocks of batches of (target, turn, bins)."""
+    some = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _unpacked(b.column(2), width, np.uint8)) for b in batches if b.num_rows]
+    return [Block(bins, target, turn, np.full((len(target), models), base)) for target, turn, bins in some]
+
+
 class _Asker:
     """Histograms of rows by node: residuals and counts as (nodes, 2, features, bins), residuals as multiples of `unit`."""
 
@@ -178,11 +190,15 @@ class _Asker:
                     total[slot] = total[slot] + x if slot in total else x
             return iter(total.items())
 
-        found, out = self.rows.mapPartitions(run), np.zeros((slots, width))
-        for slot, x in (found if self.rows.getNumPartitions() <= FEW else found.reduceByKey(np.add)).collect():
+        out = np.zeros((slots, width))
+        for slot, x in self.gathered(run):
             out[slot] += x
         return out
 
+    def gathered(self, run: Callable) -> list[tuple[int, np.ndarray]]:
+        found = self.rows.mapPartitions(run)
+        return (found if self.rows.getNumPartitions() <= FEW else found.reduceByKey(np.add)).collect()
+
     def __call__(self, tree: Tree | Symmetric, nodes: list[int]) -> np.ndarray:
         features, bins, unit, trees = self.features, self.bins, self.unit, list(self.trees)
         slots = np.full(max(len(tree.feature) if isinstance(tree, Tree) else 1 << len(tree.feature), 1), -1)
@@ -214,6 +230,22 @@ class _Asker:
         return self.summed(each, 1, 2 * n * models).reshape(2, n, models)
 
 
+class _NearAsker(_Asker):
+    """The same of blocks at hand, inside a task."""
+
+    def __init__(self, rows: list[Block], features: int, models: int, bins: int, unit: float):
+        self.rows, self.features, self.models, self.bins, self.unit, self.trees = rows, features, models, bins, unit, []
+
+    def grown(self, tree: Tree | Symmetric) -> None:
+        self.rows = [b._replace(at=b.after([tree])) for b in self.rows]
+
+    def close(self) -> None:
+        self.rows = []
+
+    def gathered(self, run: Callable) -> list[tuple[int, np.ndarray]]:
+        return list(run(iter(self.rows)))
+
+
 def _halves(hist: np.ndarray, penalty: float, least: int) -> np.ndarray:
     """Scores of a node's two sides by (feature, cut): squared residual sums over rows and penalty; -inf where a side has under `least` rows."""
     sums = hist.cumsum(axis=2)
@@ -312,6 +344,19 @@ def grow_symmetric(ask: Callable, g: Growth, unit: float, models: int) -> Symmet
     return asked._replace(values=g.rate * unit * sums / np.maximum(counts + g.penalty, 1e-300))
 
 
+def grown_by(ask: _Asker, g: Growth, unit: float, models: int) -> list[Tree | Symmetric]:
+    """The ensemble's trees, one after another."""
+    trees: list[Tree | Symmetric] = []
+    try:
+        for k in range(g.trees):
+            own = g if k or g.first is None else replace(g, rate=g.first)
+            trees.append(grow_symmetric(ask, own, unit, models) if g.symmetric else grow(ask, own, unit))
+            ask.grown(trees[-1])
+    finally:
+        ask.close()
+    return trees
+
+
 def fit(rows: DataFrame, columns: list[str], g: Growth, target: str = "target", seed: int = 42) -> Ensemble:
     """The ensemble of squared errors on rows; rows of a null or NaN target are left out. ValueError if none is left.
 
@@ -337,13 +382,16 @@ def fit(rows: DataFrame, columns: list[str], g: Growth, target: str = "target",
         share = (F.xxhash64("bins", "_y", F.lit(seed)).bitwiseAND((1 << 52) - 1) + 1) / float(1 << 52)
         turn = F.greatest(F.ceil(F.log2(share)) + models - 2, F.lit(0))
     state = kept(made.select(F.col("_y").alias("target"), turn.cast("int").alias("turn"), "bins"), "boosting")
-    ask, trees = _Asker(blocks(state, len(columns), models, base), len(columns), models, bins, unit), []
-    try:
-        for _ in range(g.trees):
-            trees.append(grow_symmetric(ask, g, unit, models) if g.symmetric else grow(ask, g, unit))
-            ask.grown(trees[-1])
-    finally:
-        ask.close()
+    width = len(columns)
+    if n * (width + models) > NEAR:
+        trees = grown_by(_Asker(blocks(state, width, models, base), width, models, bins, unit), g, unit, models)
+    else:
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = grown_by(_NearAsker(near_blocks(batches, width, models, base), width, models, bins, unit), g, unit, models)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["trees"])
+
+        trees = pickle.loads(state.coalesce(1).mapInArrow(near, "trees binary").first().trees)
     return Ensemble(columns, edges, base, [t._replace(values=t.values[:, -1:]) for t in trees])
 
 

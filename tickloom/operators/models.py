@@ -1,6 +1,6 @@
 """Forecasting models over scaled features(symbol, dt, split, FEATURES, target): predictions of the test rows.
 
-Tree ensembles are Spark ML estimators, or `boosting`'s, over the whole table, and kernel regression is fitted from moments of all its rows, so a panel of many
+Forests are Spark ML estimators and boosted trees `boosting`'s, over the whole table, and kernel regression is fitted from moments of all its rows, so a panel of many
 series is one fit. Autoregressions are fitted from moments that all tasks add to. A network fits each series in a task of its
 own: bars, not ticks, so a series is a bounded group. Presets are the sizes, and queries use them.
 """
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from .segments import ROWS, blocks_of, running
 
 S = Series()
 SEED = 42
-#: Spark ML's boosted ensembles by name: trees, learning rate, depth. Fixed values.
+#: First-order boosted ensembles by name: trees, learning rate, depth. Fixed values.
 BOOSTED = {"gradient_boosting": (100, 0.1, 3), "boosting_deep": (200, 0.05, 8), "boosting_leafwise": (200, 0.05, 5), "boosting_symmetric": (200, 0.05, 6)}
 #: How the ensembles of `boosting` grow, by name. Fixed values.
 GROWN = {
@@ -41,12 +41,21 @@ FOREST_TREES, FOREST_DEPTH = 200, 10
 PREDICTIONS = "model string, type string, ord int"
 
 
-def estimator(name: str, trees: int | None = None) -> Estimator:
-    """The Spark ML estimator of a forest or of first-order boosting, with its own number of trees unless another is given."""
-    if name == "random_forest":
-        return RandomForestRegressor(labelCol="target", numTrees=trees or FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all")
-    n, rate, depth = BOOSTED[name]
-    return GBTRegressor(labelCol="target", maxIter=trees or n, stepSize=rate, maxDepth=depth, seed=SEED)
+def growth(name: str, trees: int | None = None) -> Growth | None:
+    """How the ensemble of a name grows, with its own number of trees unless another is given; None for a forest.
+
+    First-order ensembles grow as Spark ML's gradient-boosted trees do: 32 bins, leaves of one row or more without a penalty, a first tree of full weight, and later
+    ones on the gradients of squared errors, which are twice the residuals.
+    """
+    if name in BOOSTED:
+        n, rate, depth = BOOSTED[name]
+        return Growth(trees or n, 2 * rate, depth=depth, bins=31, first=1.0)
+    return replace(GROWN[name], trees=trees or GROWN[name].trees) if name in GROWN else None
+
+
+def estimator(trees: int | None = None) -> Estimator:
+    """The Spark ML estimator of the forest, with its own number of trees unless another is given."""
+    return RandomForestRegressor(labelCol="target", numTrees=trees or FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all")
 
 
 def _fit(kind: Estimator, vectors: DataFrame) -> Model:
@@ -77,12 +86,16 @@ def _tested(vectors: DataFrame, predict: Callable[[DataFrame], DataFrame], name:
 def fit_predict(scaled: DataFrame, name: str, trees: int | None = None, ord_: int = 0, s: Series = S, columns: list[str] | None = None) -> DataFrame:
     """Fit a tree ensemble on the train rows of all series; predict the test rows."""
     names = columns or FEATURES
-    if growth := GROWN.get(name):
-        growth = replace(growth, trees=trees or growth.trees)
-        grown = lambda test: boosting.predict(test, boosting.fit(scaled.where(F.col("split") == "train"), names, growth), [s.key, s.order, "target"])
+    if grows := growth(name, trees):
+
+        def grown(_: DataFrame) -> DataFrame:
+            # written once: train and test rows share the work that features take
+            whole = kept(scaled.select(s.key, s.order, "split", "target", *names), "scaled")
+            return boosting.predict(whole.where(F.col("split") == "test"), boosting.fit(whole.where(F.col("split") == "train"), names, grows), [s.key, s.order, "target"])
+
         return _tested(scaled, grown, name, ord_, s)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
-    return _tested(vectors, lambda test: _fit(estimator(name, trees), vectors).transform(test), name, ord_, s)
+    return _tested(vectors, lambda test: _fit(estimator(trees), vectors).transform(test), name, ord_, s)
 
 
 def kernel_waves(scaled: DataFrame, n_features: int, names: list[str]) -> Column:
