@@ -138,6 +138,18 @@ def test_lookup_of_blocks_equals_bisection(spark):
     assert all(r[segments.BLOCK] == (0 if r["_at"] is None else bisect_right(cuts.get(r.symbol, []), r["_at"])) for r in placed.collect())
 
 
+def test_rolling_over_many_blocks_keeps_its_plan_small(spark):
+    """No list of bounds is looked through row by row in a scan of 300 blocks, and results equal windows of the whole series, ties of equal rows included."""
+    df = spark.range(6000).select(F.lit("hot").alias("symbol"), F.floor(F.col("id") / 2).alias("at"), ((F.floor(F.col("id") / 2) * 7919) % 1000 / 100).alias("x"))
+    b = segments.blocks_of(df, S, rows=20, reach=9)
+    assert b.sizes.count() > 200
+    plan = b.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(slice(" not in plan and len(b.frame.where(F.col(segments.BLOCK) > 3)._jdf.queryExecution().optimizedPlan().toString()) < 2 * len(plan) + 2000
+    frames = {"mean": (F.avg, "x", 5), "top": (F.max, "x", 10)}
+    rows = lambda found: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r) for r in found.select("at", *frames).fillna(-1).collect())
+    assert rows(segments.rolling(b, frames).rows) == rows(df.withColumns({k: S.rolling(f, c, n) for k, (f, c, n) in frames.items()}))
+
+
 def test_scans_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     b = segments.blocks_of(none, S, reach=5)
