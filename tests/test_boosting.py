@@ -203,3 +203,9 @@ def test_presets_of_two_hundred_trees_run_in_few_jobs(spark):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("presets")) < 60
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_edges_of_small_tables_are_the_same_for_any_partitions(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 3))
+    made = [boosting.fit(frame(spark, x, x[:, 0], n), COLUMNS, Growth(1, 0.1, depth=2, bins=31)) for n in (1, 7)]
+    assert all(np.array_equal(a, b) for a, b in zip(made[0].edges, made[1].edges, strict=True))

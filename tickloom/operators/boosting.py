@@ -87,10 +87,10 @@ class Ensemble(NamedTuple):
     trees: list[Tree | Symmetric]
 
 
-def edges_of(rows: DataFrame, columns: list[str], bins: int = 255) -> list[np.ndarray]:
-    """At most `bins` distinct edges of each column: quantiles, off by at most a quarter of a bin in rank. A value's bin is the number of edges below it."""
+def edges_of(rows: DataFrame, columns: list[str], bins: int = 255, off: float = 0.25) -> list[np.ndarray]:
+    """At most `bins` distinct edges of each column: quantiles, off by at most `off` bins in rank. With 0 they don't depend on partitions either. A value's bin is the number of edges below it."""
     share = [k / (bins + 1) for k in range(1, bins + 1)]
-    found = rows.approxQuantile(columns, share, 0.25 / (bins + 1))
+    found = rows.approxQuantile(columns, share, off / (bins + 1))
     return [np.unique(np.asarray(q, float)) for q in found]
 
 
@@ -369,7 +369,7 @@ def fit(rows: DataFrame, columns: list[str], g: Growth, target: str = "target",
     n, low, high = sure.agg(F.count("*"), F.min("_y"), F.max("_y")).first()
     if not n:
         raise ValueError("no train rows")
-    edges = edges_of(sure, columns, g.bins)
+    edges = edges_of(sure, columns, g.bins, 0.0 if n * len(columns) <= NEAR else 0.25)
     bins = max((len(e) for e in edges), default=0) + 1
     models = math.ceil(math.log2(n)) + 2 if g.symmetric else 1
     # a residual stays within twice the targets' range; sums of n of them then are whole numbers below 2^53
